@@ -209,3 +209,196 @@ SQL["rolling_features"] = f"""WITH {EV}
 SELECT tx_id, {_roll('1d', 1)},
        {_roll('7d', 7)}
 FROM ev"""
+
+
+# --- graph ----------------------------------------------------------------------------------------
+
+SE = """
+se AS (
+  SELECT src, dst, tx_id, amount_paid, label, payment_format, is_cross_currency, n_tx FROM (
+    SELECT sender_account AS src, receiver_account AS dst, tx_id, amount_paid, label, payment_format,
+           CAST(coalesce(payment_currency <> receiving_currency, true) AS INTEGER) AS is_cross_currency,
+           count(*) OVER (PARTITION BY sender_account, receiver_account) AS n_tx,
+           row_number() OVER (PARTITION BY sender_account, receiver_account ORDER BY ts DESC, tx_id DESC) AS rn
+    FROM tx WHERE sender_account IS NOT NULL AND receiver_account IS NOT NULL) q
+  WHERE rn = 1)"""
+
+SQL["latest_edge"] = with_tx(f"""
+SELECT src, dst, tx_id, {fx('amount_paid', 6)} AS amount_paid, label, payment_format, is_cross_currency, n_tx
+FROM se""", SE)
+
+SQL["accounts"] = with_tx("""
+SELECT sender_account AS account_id FROM tx WHERE sender_account IS NOT NULL
+UNION SELECT receiver_account FROM tx WHERE receiver_account IS NOT NULL""")
+
+NODE_FEATURES = ["log_sent_sum", "sent_count", "log_sent_mean", "log_sent_std", "log_recv_sum", "recv_count",
+                 "sent_to_unique", "recv_from_unique"]
+
+NF = f"""
+acc AS (SELECT sender_account AS account_id FROM tx WHERE sender_account IS NOT NULL
+        UNION SELECT receiver_account FROM tx WHERE receiver_account IS NOT NULL),
+sent AS (SELECT sender_account AS account_id, CAST(sum(CAST(amount_paid AS DECIMAL(20,6))) AS DOUBLE) AS ss,
+                count(amount_paid) AS sent_count, stddev_samp(amount_paid) AS sd,
+                count(DISTINCT receiver_account) AS sent_to_unique
+         FROM tx WHERE sender_account IS NOT NULL GROUP BY 1),
+recv AS (SELECT receiver_account AS account_id, CAST(sum(CAST(amount_received AS DECIMAL(18,4))) AS DOUBLE) AS rs,
+                count(amount_received) AS recv_count, count(DISTINCT sender_account) AS recv_from_unique
+         FROM tx WHERE receiver_account IS NOT NULL GROUP BY 1),
+ns AS (SELECT acc.account_id,
+              {fx('coalesce(sent.ss, 0)', 4)} AS sent_sum, coalesce(sent.sent_count, 0) AS sent_count,
+              {fx('coalesce(sent.ss / CAST(sent.sent_count AS DOUBLE), 0)', 6)} AS sent_mean,
+              {fx('coalesce(sent.sd, 0)', 4)} AS sent_std,
+              {fx('coalesce(recv.rs, 0)', 4)} AS recv_sum, coalesce(recv.recv_count, 0) AS recv_count,
+              coalesce(sent.sent_to_unique, 0) AS sent_to_unique, coalesce(recv.recv_from_unique, 0) AS recv_from_unique
+       FROM acc LEFT JOIN sent ON acc.account_id = sent.account_id LEFT JOIN recv ON acc.account_id = recv.account_id),
+nf AS (SELECT account_id, {fx('ln(1 + sent_sum)', 6)} AS log_sent_sum, CAST(sent_count AS DOUBLE) AS sent_count,
+              {fx('ln(1 + sent_mean)', 6)} AS log_sent_mean, {fx('ln(1 + sent_std)', 6)} AS log_sent_std,
+              {fx('ln(1 + recv_sum)', 6)} AS log_recv_sum, CAST(recv_count AS DOUBLE) AS recv_count,
+              CAST(sent_to_unique AS DOUBLE) AS sent_to_unique, CAST(recv_from_unique AS DOUBLE) AS recv_from_unique
+       FROM ns)"""
+
+_z = ",\n       ".join(
+    f"{fx(f'({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1)', 4)} AS {c}_z"
+    for c in NODE_FEATURES)
+SQL["node_features"] = with_tx(f"SELECT *, {_z} FROM nf", NF)
+
+SQL["edge_features"] = with_tx(f"""
+SELECT tx_id, sender_account AS src, receiver_account AS dst, label,
+       {fx('coalesce(ln(1 + amount_paid), 0)', 6)} AS e_log_amount,
+       CAST(coalesce(payment_currency <> receiving_currency, true) AS DOUBLE) AS e_cross_currency,
+       CAST(payment_format_enc AS DOUBLE) AS e_format,
+       CAST(coalesce(from_bank <> to_bank, true) AS DOUBLE) AS e_cross_bank
+FROM enc""", DICTS)
+
+SQL["degrees"] = with_tx("""
+SELECT node AS account_id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree,
+       CAST(sum(f) AS BIGINT) AS fraud_out
+FROM (SELECT src AS node, 1 AS o, 0 AS i, coalesce(label, 0) AS f FROM se
+      UNION ALL SELECT dst, 0, 1, 0 FROM se) q GROUP BY node""", SE)
+
+SQL["graph_summary"] = with_tx(f"""
+SELECT (SELECT count(DISTINCT n) FROM (SELECT src AS n FROM se UNION ALL SELECT dst FROM se) q) AS n_nodes,
+       count(*) AS n_edges, count(*) FILTER (WHERE coalesce(label, 0) = 1) AS n_fraud_edges,
+       {fx('CAST(count(*) FILTER (WHERE coalesce(label, 0) = 1) AS DOUBLE) * CAST(100 AS DOUBLE) / count(*)', 6)} AS fraud_pct
+FROM se""", SE)
+
+EGO = """
+seeds AS (SELECT sender_account AS seed FROM tx WHERE label = 1 AND sender_account IS NOT NULL
+          GROUP BY sender_account ORDER BY count(*) DESC, sender_account LIMIT 10),
+und AS (SELECT src AS a, dst AS b FROM se UNION SELECT dst, src FROM se),
+v0 AS (SELECT seed, seed AS node FROM seeds WHERE seed IN (SELECT a FROM und)),
+n1 AS (SELECT seed, node FROM v0 UNION SELECT v0.seed, und.b FROM v0 JOIN und ON v0.node = und.a),
+n2 AS (SELECT seed, node FROM n1 UNION SELECT n1.seed, und.b FROM n1 JOIN und ON n1.node = und.a),
+sub AS (SELECT s.seed, se.src, se.dst, se.label FROM se JOIN n2 s ON se.src = s.node
+        JOIN n2 d ON d.seed = s.seed AND se.dst = d.node)"""
+
+SQL["ego_2hop"] = with_tx("""
+SELECT n.seed, n.n_nodes, coalesce(e.n_edges, 0) AS n_edges, coalesce(e.n_fraud_edges, 0) AS n_fraud_edges
+FROM (SELECT seed, count(*) AS n_nodes FROM n2 GROUP BY seed) n
+LEFT JOIN (SELECT seed, count(*) AS n_edges, count(*) FILTER (WHERE label = 1) AS n_fraud_edges FROM sub GROUP BY seed) e
+ON n.seed = e.seed""", SE, EGO)
+
+SQL["node_role"] = with_tx("""
+SELECT n2.seed, n2.node,
+       CASE WHEN n2.node = n2.seed THEN 'seed' WHEN n2.node IN (SELECT seed FROM seeds) THEN 'flagged'
+            WHEN coalesce(d.fraud_out, 0) > 0 THEN 'fraud_linked' ELSE 'normal' END AS role,
+       coalesce(d.out_degree, 0) AS out_degree, coalesce(d.in_degree, 0) AS in_degree, coalesce(d.fraud_out, 0) AS fraud_out
+FROM n2 LEFT JOIN (
+  SELECT seed, node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(f) AS BIGINT) AS fraud_out
+  FROM (SELECT seed, src AS node, 1 AS o, 0 AS i, coalesce(label, 0) AS f FROM sub
+        UNION ALL SELECT seed, dst, 0, 1, 0 FROM sub) q GROUP BY seed, node) d
+ON n2.seed = d.seed AND n2.node = d.node""", SE, EGO)
+
+SQL["alert_neighbourhood"] = with_tx("""
+SELECT n.seed AS tx_id, n.n_nodes, e.n_edges, e.n_highlight
+FROM (SELECT seed, count(*) AS n_nodes FROM nodes GROUP BY seed) n
+LEFT JOIN (SELECT s.seed, count(*) AS n_edges,
+                  CAST(sum(CAST((se.src = al.sender_account AND se.dst = al.receiver_account) OR coalesce(se.label, 0) = 1 AS INTEGER)) AS BIGINT) AS n_highlight
+           FROM se JOIN nodes s ON se.src = s.node JOIN nodes d ON d.seed = s.seed AND se.dst = d.node
+           JOIN alerts al ON al.tx_id = s.seed GROUP BY s.seed) e ON n.seed = e.seed""", SE, """
+alerts AS (SELECT tx_id, sender_account, receiver_account FROM tx WHERE label = 1 ORDER BY ts DESC, tx_id DESC LIMIT 50),
+und AS (SELECT src AS a, dst AS b FROM se UNION SELECT dst, src FROM se),
+ends AS (SELECT DISTINCT seed, node FROM (SELECT tx_id AS seed, sender_account AS node FROM alerts
+                                          UNION ALL SELECT tx_id, receiver_account FROM alerts) q
+         WHERE node IN (SELECT a FROM und)),
+nodes AS (SELECT seed, node FROM ends UNION SELECT ends.seed, und.b FROM ends JOIN und ON ends.node = und.a)""")
+
+
+def _khop_sql(k: int) -> str:
+    ctes = [NF, "me AS (SELECT sender_account AS src, receiver_account AS dst FROM tx)",
+            "h0 AS (SELECT account_id, " + ", ".join(NODE_FEATURES) + " FROM nf)"]
+    for h in range(1, k + 1):
+        sums = ", ".join(f"CAST(sum(CAST(x.{c} AS DECIMAL(30,6))) AS DOUBLE) AS s_{c}" for c in NODE_FEATURES)
+        ctes.append(f"a{h} AS (SELECT me.dst, count(*) AS deg, {sums} FROM me JOIN h{h-1} x ON me.src = x.account_id GROUP BY me.dst)")
+        cols = ", ".join(f"{fx(f'coalesce(a.s_{c} / CAST(greatest(a.deg, 1) AS DOUBLE), 0)', 6)} AS {c}" for c in NODE_FEATURES)
+        ctes.append(f"h{h} AS (SELECT n.account_id, {cols} FROM nf n LEFT JOIN a{h} a ON n.account_id = a.dst)")
+    sel = ["h0.account_id"]
+    for h in range(0, k + 1):
+        sel += [f"h{h}.{c} AS {c}_h{h}" for c in NODE_FEATURES]
+    joins = " ".join(f"JOIN h{h} ON h{h}.account_id = h0.account_id" for h in range(1, k + 1))
+    return ctes, f"SELECT {', '.join(sel)} FROM h0 {joins}"
+
+
+_c1, _b1 = _khop_sql(1)
+SQL["neighbour_mean_1"] = with_tx(_b1, *_c1)
+_c2, _b2 = _khop_sql(2)
+SQL["neighbour_mean_2"] = with_tx(_b2, *_c2)
+_emb_cols = [f"{c}_h{h}" for h in (0, 1) for c in NODE_FEATURES]
+SQL["edge_representation"] = with_tx(
+    "SELECT e.tx_id, e.label, e.e_log_amount, e.e_cross_currency, e.e_format, e.e_cross_bank, "
+    + ", ".join(f"s.{c} AS src_{c}" for c in _emb_cols) + ", "
+    + ", ".join(f"d.{c} AS dst_{c}" for c in _emb_cols)
+    + " FROM ef e LEFT JOIN emb s ON e.src = s.account_id LEFT JOIN emb d ON e.dst = d.account_id",
+    DICTS, *_c1, "emb AS (" + _b1 + ")",
+    f"""ef AS (SELECT tx_id, sender_account AS src, receiver_account AS dst, label,
+       {fx('coalesce(ln(1 + amount_paid), 0)', 6)} AS e_log_amount,
+       CAST(coalesce(payment_currency <> receiving_currency, true) AS DOUBLE) AS e_cross_currency,
+       CAST(payment_format_enc AS DOUBLE) AS e_format,
+       CAST(coalesce(from_bank <> to_bank, true) AS DOUBLE) AS e_cross_bank FROM enc)""")
+
+ENDS = """ends AS (SELECT account_id, label FROM (SELECT sender_account AS account_id, label FROM tx
+                  UNION ALL SELECT receiver_account, label FROM tx) q WHERE account_id IS NOT NULL)"""
+
+SQL["fraud_nodes"] = with_tx(
+    "SELECT account_id, CAST(max(coalesce(label, 0)) AS INTEGER) AS is_fraud_node FROM ends GROUP BY account_id", ENDS)
+
+SQL["edge_score"] = with_tx(f"""
+SELECT tx.tx_id, {fx('(s.score + d.score) / CAST(2 AS DOUBLE)', 6)} AS edge_score
+FROM tx LEFT JOIN ns s ON tx.sender_account = s.account_id LEFT JOIN ns d ON tx.receiver_account = d.account_id""",
+    ENDS, f"ns AS (SELECT account_id, {fx('CAST(sum(label) AS DOUBLE) / count(*)', 6)} AS score FROM ends GROUP BY account_id)")
+
+SQL["cycles_3"] = with_tx("""
+SELECT e1.src AS node_a, e1.dst AS node_b, e2.dst AS node_c
+FROM e e1 JOIN e e2 ON e1.dst = e2.src JOIN e e3 ON e2.dst = e3.src AND e3.dst = e1.src
+WHERE e1.src < e1.dst AND e1.src < e2.dst""", SE, "e AS (SELECT DISTINCT src, dst FROM se WHERE src <> dst)")
+
+
+def _fan(key: str, other: str, amount: str, k: int) -> str:
+    return with_tx(f"""
+SELECT {key} AS account_id, time_bucket(INTERVAL 30 DAY, ts, TIMESTAMP '1970-01-01') AS window_start,
+       count(DISTINCT {other}) AS n_counterparties, count(*) AS n_tx,
+       {fx(f'CAST(sum(CAST({amount} AS DECIMAL(20,6))) AS DOUBLE)', 4)} AS total_amount
+FROM tx WHERE {key} IS NOT NULL AND {other} IS NOT NULL AND ts IS NOT NULL
+GROUP BY 1, 2 HAVING count(DISTINCT {other}) >= {k}""")
+
+
+SQL["fan_out"] = _fan("sender_account", "receiver_account", "amount_paid", 5)
+SQL["fan_in"] = _fan("receiver_account", "sender_account", "amount_received", 5)
+
+SQL["split_merge"] = with_tx("""
+SELECT src AS src_account, dst AS dst_account, count(DISTINCT m) AS n_intermediates, count(*) AS n_paths
+FROM (SELECT l1.s AS src, l2.r AS dst, l1.r AS m
+      FROM b l1 JOIN b l2 ON l1.r = l2.s
+      WHERE l2.t >= l1.t AND l2.t - l1.t <= 2592000000000 AND l1.s <> l2.r
+        AND l2.a >= l1.a * CAST(0.9 AS DOUBLE) AND l2.a <= l1.a * CAST(1.0 AS DOUBLE)) p
+GROUP BY 1, 2 HAVING count(DISTINCT m) >= 2""", """
+b AS (SELECT sender_account AS s, receiver_account AS r, epoch_us(ts) AS t, amount_paid AS a FROM tx
+      WHERE sender_account IS NOT NULL AND receiver_account IS NOT NULL AND sender_account <> receiver_account
+        AND ts IS NOT NULL)""")
+
+SQL["structuring"] = with_tx(f"""
+SELECT sender_account AS account_id, time_bucket(INTERVAL 90 DAY, ts, TIMESTAMP '1970-01-01') AS window_start,
+       count(*) AS n_tx, {fx('CAST(sum(CAST(amount_received AS DECIMAL(20,6))) AS DOUBLE)', 4)} AS total_amount
+FROM tx WHERE amount_received >= CAST(9000.0 AS DOUBLE) AND amount_received < CAST(10000.0 AS DOUBLE)
+  AND sender_account IS NOT NULL
+GROUP BY 1, 2 HAVING count(*) >= 2""")

@@ -147,3 +147,156 @@ def q_rolling_features(spark, sf):
     ev = SRC.events_as_transactions(spark, sf)
     return FE.rolling_window_stats(ev, "sender_account", "amount_paid",
                                    {"1d": FE.DAY_US, "7d": 7 * FE.DAY_US}, prefix="")
+
+
+# --- graph ----------------------------------------------------------------------------------------
+
+from ledgerlens.operators import graph as GR  # noqa: E402
+
+EGO_SEEDS = 10      # top-k report: accounts with the most fraud-labelled transfers
+ALERT_FEED = 50     # the analyst feed: most recent alerts
+
+
+def _ego_seeds(t: DataFrame) -> DataFrame:
+    return GR.top_accounts_by(t, F.col("label") == 1, EGO_SEEDS)
+
+
+@register("latest_edge")
+def q_latest_edge(spark, sf):
+    e = GR.simple_edges(tx(spark, sf))
+    return e.select("src", "dst", "tx_id", C.fixed("amount_paid", 6).alias("amount_paid"), "label",
+                    "payment_format", "is_cross_currency", "n_tx")
+
+
+@register("accounts")
+def q_accounts(spark, sf):
+    return GR.accounts(tx(spark, sf))
+
+
+@register("node_features")
+def q_node_features(spark, sf):
+    nf = GR.node_features(tx(spark, sf))
+    return GR.standardize(nf, GR.NODE_FEATURES, "_z", dp=4)
+
+
+@register("edge_features")
+def q_edge_features(spark, sf):
+    f = FE.cross_flags(FE.encode_categories(tx(spark, sf)))
+    e = GR.edge_features(f)
+    return e.select("tx_id", "src", "dst", "label", C.fixed("e_log_amount", 6).alias("e_log_amount"),
+                    "e_cross_currency", "e_format", "e_cross_bank")
+
+
+@register("degrees")
+def q_degrees(spark, sf):
+    e = GR.simple_edges(tx(spark, sf)).withColumn("seed", F.lit("*"))
+    return GR.subgraph_degrees(e).select(F.col("node").alias("account_id"), "out_degree", "in_degree", "fraud_out")
+
+
+@register("graph_summary")
+def q_graph_summary(spark, sf):
+    return GR.graph_summary(GR.simple_edges(tx(spark, sf)))
+
+
+@register("ego_2hop")
+def q_ego_2hop(spark, sf):
+    t = tx(spark, sf)
+    e = GR.simple_edges(t)
+    nodes, sub = GR.ego_subgraph(e, _ego_seeds(t), hops=2)
+    n = nodes.groupBy("seed").agg(F.count(F.lit(1)).alias("n_nodes"))
+    s = sub.groupBy("seed").agg(F.count(F.lit(1)).alias("n_edges"),
+                                F.count_if(F.col("label") == 1).alias("n_fraud_edges"))
+    return n.join(s, "seed", "left").select("seed", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"),
+                                            F.coalesce("n_fraud_edges", F.lit(0)).alias("n_fraud_edges"))
+
+
+@register("node_role")
+def q_node_role(spark, sf):
+    t = tx(spark, sf)
+    e = GR.simple_edges(t)
+    seeds = _ego_seeds(t)
+    nodes, sub = GR.ego_subgraph(e, seeds, hops=2)
+    return GR.node_roles(nodes, sub, seeds, flag_col="seed")
+
+
+def recent_fraud(t: DataFrame, n: int) -> DataFrame:
+    return t.where(F.col("label") == 1).orderBy(F.col("ts").desc(), F.col("tx_id").desc()).limit(n)
+
+
+@register("alert_neighbourhood")
+def q_alert_neighbourhood(spark, sf):
+    t = tx(spark, sf)
+    e = GR.simple_edges(t)
+    nodes, sub = GR.alert_neighbourhood(e, recent_fraud(t, ALERT_FEED))
+    n = nodes.groupBy("seed").agg(F.count(F.lit(1)).alias("n_nodes"))
+    s = sub.groupBy("seed").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("highlight").cast("long").alias("n_highlight"))
+    return n.join(s, "seed", "left").select(F.col("seed").alias("tx_id"), "n_nodes", "n_edges", "n_highlight")
+
+
+def _khop(spark, sf, k):
+    t = tx(spark, sf)
+    nf = GR.node_features(t)
+    return GR.khop_embedding(GR.multi_edges(t), nf, GR.NODE_FEATURES, k=k, dp=6)
+
+
+@register("neighbour_mean_1")
+def q_neighbour_mean_1(spark, sf):
+    return _khop(spark, sf, 1)
+
+
+@register("neighbour_mean_2")
+def q_neighbour_mean_2(spark, sf):
+    return _khop(spark, sf, 2)
+
+
+@register("edge_representation")
+def q_edge_representation(spark, sf):
+    t = tx(spark, sf)
+    emb = GR.khop_embedding(GR.multi_edges(t), GR.node_features(t), GR.NODE_FEATURES, k=1, dp=6)
+    ef = GR.edge_features(FE.cross_flags(FE.encode_categories(t)))
+    ef = ef.withColumn("e_log_amount", C.fixed("e_log_amount", 6))
+    return GR.edge_representation(ef, emb).drop("src", "dst")
+
+
+@register("fraud_nodes")
+def q_fraud_nodes(spark, sf):
+    return GR.label_fraud_nodes(tx(spark, sf))
+
+
+def fraud_share(t: DataFrame) -> DataFrame:
+    ends = (t.select(F.col("sender_account").alias("account_id"), "label")
+            .union(t.select(F.col("receiver_account").alias("account_id"), "label"))
+            .where(F.col("account_id").isNotNull()))
+    return ends.groupBy("account_id").agg(
+        C.fixed(F.sum(F.col("label").cast("double")) / F.count(F.lit(1)), 6).alias("score"))
+
+
+@register("edge_score")
+def q_edge_score(spark, sf):
+    t = tx(spark, sf)
+    return GR.edge_score(t, fraud_share(t)).select("tx_id", C.fixed("edge_score", 6).alias("edge_score"))
+
+
+@register("cycles_3")
+def q_cycles_3(spark, sf):
+    return GR.cycles_3(GR.simple_edges(tx(spark, sf)))
+
+
+@register("fan_out")
+def q_fan_out(spark, sf):
+    return GR.fan_out(tx(spark, sf), "30 days", 5).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@register("fan_in")
+def q_fan_in(spark, sf):
+    return GR.fan_in(tx(spark, sf), "30 days", 5).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@register("split_merge")
+def q_split_merge(spark, sf):
+    return GR.split_merge(tx(spark, sf))
+
+
+@register("structuring")
+def q_structuring(spark, sf):
+    return GR.structuring(tx(spark, sf)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
