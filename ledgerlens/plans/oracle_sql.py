@@ -27,7 +27,8 @@ tx AS (
          l.l_extendedprice * (CAST(1 AS DOUBLE) - l.l_discount) * (CAST(1 AS DOUBLE) + l.l_tax) AS amount_paid,
          cn.n_name AS payment_currency,
          o.o_orderpriority AS payment_format,
-         CAST(l.l_returnflag = 'R' AND l.l_quantity >= 49 AND l.l_discount >= 0.08 AS INTEGER) AS label
+         CAST(l.l_returnflag = 'R' AND l.l_quantity >= 49 AND l.l_discount >= 0.08 AS INTEGER) AS label,
+         l.l_quantity, l.l_discount, l.l_returnflag
   FROM lineitem l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey
@@ -402,3 +403,100 @@ SELECT sender_account AS account_id, time_bucket(INTERVAL 90 DAY, ts, TIMESTAMP
 FROM tx WHERE amount_received >= CAST(9000.0 AS DOUBLE) AND amount_received < CAST(10000.0 AS DOUBLE)
   AND sender_account IS NOT NULL
 GROUP BY 1, 2 HAVING count(*) >= 2""")
+
+
+# --- fusion, alerts, service counters ------------------------------------------------------------
+
+def _fused(w: float) -> str:
+    gw = 1.0 - w
+    return f"""
+sc AS (SELECT tx_id, ts, sender_account, receiver_account, amount_paid, label,
+              l_quantity / CAST(50 AS DOUBLE) AS tabular_score,
+              CASE WHEN l_returnflag <> 'N' THEN l_discount * CAST(10 AS DOUBLE) END AS gnn_score FROM tx),
+fu0 AS (SELECT *, CASE WHEN gnn_score IS NULL THEN tabular_score
+                       ELSE CAST({w!r} AS DOUBLE) * tabular_score + CAST({gw!r} AS DOUBLE) * gnn_score END AS f FROM sc),
+fu AS (SELECT *, {fx('f', 6)} AS fused_score, f >= CAST(0.5 AS DOUBLE) AS is_fraud,
+              {fx('abs(f - CAST(0.5 AS DOUBLE)) / CAST(0.5 AS DOUBLE)', 4)} AS confidence,
+              CASE WHEN gnn_score IS NULL THEN CAST(1.0 AS DOUBLE) ELSE CAST({w!r} AS DOUBLE) END AS weight_tabular,
+              CASE WHEN gnn_score IS NULL THEN CAST(0.0 AS DOUBLE) ELSE CAST({gw!r} AS DOUBLE) END AS weight_graph,
+              CAST(0.5 AS DOUBLE) AS threshold FROM fu0)"""
+
+
+FUSE_OUT = f"""SELECT tx_id, {fx('tabular_score', 6)} AS tabular_score, {fx('gnn_score', 6)} AS gnn_score, fused_score,
+       is_fraud, confidence, weight_tabular, weight_graph, threshold FROM fu"""
+SQL["fuse"] = with_tx(FUSE_OUT, _fused(0.6))
+SQL["fuse_equal"] = with_tx(FUSE_OUT, _fused(0.5))
+
+SQL["alerts"] = with_tx("""
+SELECT tx_id, fused_score, CASE WHEN coalesce(fused_score, 0) >= CAST(0.7 AS DOUBLE) THEN 'FRAUD' ELSE 'SUSPICIOUS' END AS status
+FROM fu WHERE fused_score >= CAST(0.5 AS DOUBLE)""", _fused(0.6))
+
+SQL["status_band"] = with_tx("""
+SELECT left(tx_id, 12) AS transaction, left(sender_account, 12) AS sender, left(receiver_account, 12) AS receiver,
+       '$' || format('{:,.2f}', amount_paid) AS amount, printf('%.4f', fused_score) AS fused_risk,
+       CASE WHEN coalesce(fused_score, 0) >= CAST(0.7 AS DOUBLE) THEN 'FRAUD' ELSE 'SUSPICIOUS' END AS status
+FROM fu WHERE coalesce(fused_score, 0) >= CAST(0.6 AS DOUBLE)""", _fused(0.6))
+
+SQL["recent_alerts"] = with_tx("""
+SELECT tx_id, ts, fused_score FROM fu WHERE fused_score >= CAST(0.5 AS DOUBLE)
+ORDER BY ts DESC NULLS LAST, tx_id DESC LIMIT 50""", _fused(0.6))
+
+SQL["last_n"] = with_tx("SELECT tx_id, ts, sender_account FROM tx ORDER BY ts DESC NULLS LAST, tx_id DESC LIMIT 1000")
+
+SQL["p99"] = """
+SELECT event_type, value AS p99 FROM (
+  SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn,
+         count(*) OVER (PARTITION BY event_type) AS n
+  FROM events WHERE value IS NOT NULL AND NOT isnan(value)) q
+WHERE rn = least(floor(CAST(0.99 AS DOUBLE) * CAST(n AS DOUBLE)) + 1, n)"""
+
+SQL["counters"] = with_tx(f"""
+SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS total_scored, count(*) FILTER (WHERE coalesce(is_fraud, false)) AS total_flagged,
+       count(*) FILTER (WHERE fused_score IS NULL) AS errors,
+       {fx('CAST(count(*) FILTER (WHERE coalesce(is_fraud, false)) AS DOUBLE) / CAST(greatest(count(*), 1) AS DOUBLE)', 6)} AS flagged_rate
+FROM fu GROUP BY 1""", _fused(0.6))
+
+
+# --- evaluation metrics --------------------------------------------------------------------------
+
+def _metrics_ctes(score: str, where: str = "TRUE", p: str = "") -> list[str]:
+    return [f"""
+{p}g AS (SELECT s, count(*) FILTER (WHERE label = 1) AS tp, count(*) FILTER (WHERE label <> 1) AS fp
+       FROM (SELECT {score} AS s, label FROM fu WHERE {where}) q WHERE s IS NOT NULL AND NOT isnan(s) GROUP BY s)""",
+            f"""
+{p}c AS (SELECT s, tp, fp, sum(tp) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS ctp,
+              sum(fp) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS cfp,
+              sum(tp) OVER () AS P, sum(fp) OVER () AS N FROM {p}g)""",
+            f"""
+{p}cm AS (SELECT
+   {fx(f"CASE WHEN max(P) > 0 THEN sum(CAST(tp AS DOUBLE) / CAST(P AS DOUBLE) * (CAST(ctp AS DOUBLE) / CAST(ctp + cfp AS DOUBLE))) ELSE 0 END", 6)} AS pr_auc,
+   {fx(f"CASE WHEN max(P) > 0 THEN sum(CAST(tp AS DOUBLE) / CAST(P AS DOUBLE) * (CAST(ctp AS DOUBLE) / CAST(ctp + cfp AS DOUBLE) + CASE WHEN (ctp - tp) + (cfp - fp) > 0 THEN CAST(ctp - tp AS DOUBLE) / CAST((ctp - tp) + (cfp - fp) AS DOUBLE) ELSE CAST(1 AS DOUBLE) END) / CAST(2 AS DOUBLE)) ELSE 0 END", 6)} AS pr_auc_trapezoid,
+   {fx(f"CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(CAST(fp AS DOUBLE) * CAST(ctp + ctp - tp AS DOUBLE) / CAST(2 AS DOUBLE)) / CAST(max(P) * max(N) AS DOUBLE) ELSE 0 END", 6)} AS roc_auc,
+   {fx(f"CASE WHEN max(P) > 0 AND max(N) > 0 THEN coalesce(max(CASE WHEN CAST(cfp AS DOUBLE) / CAST(N AS DOUBLE) <= CAST(0.05 AS DOUBLE) THEN CAST(ctp AS DOUBLE) / CAST(P AS DOUBLE) END), 0) ELSE 0 END", 6)} AS recall_at_fpr_5pct
+ FROM {p}c)""",
+            f"""
+{p}pr AS (SELECT
+   {fx(f"coalesce(CAST(count(*) FILTER (WHERE {score} >= CAST(0.5 AS DOUBLE) AND label = 1) AS DOUBLE) / nullif(CAST(count(*) FILTER (WHERE {score} >= CAST(0.5 AS DOUBLE)) AS DOUBLE), 0), 0)", 6)} AS precision_at_05,
+   {fx(f"coalesce(CAST(count(*) FILTER (WHERE {score} >= CAST(0.5 AS DOUBLE) AND label = 1) AS DOUBLE) / nullif(CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE), 0), 0)", 6)} AS recall_at_05,
+   {fx(f"coalesce(CAST(2 AS DOUBLE) * CAST(count(*) FILTER (WHERE {score} >= CAST(0.5 AS DOUBLE) AND label = 1) AS DOUBLE) / nullif(CAST(count(*) FILTER (WHERE {score} >= CAST(0.5 AS DOUBLE)) + count(*) FILTER (WHERE label = 1) AS DOUBLE), 0), 0)", 6)} AS f1_at_05,
+   {fx('avg(CAST(label AS DOUBLE))', 6)} AS fraud_rate_test, count(*) AS n_test, count(*) FILTER (WHERE label = 1) AS n_fraud_test
+ FROM fu WHERE {where})"""]
+
+
+_M = _metrics_ctes("fused_score")
+SQL["pr_auc"] = with_tx("SELECT pr_auc FROM cm", _fused(0.6), *_M)
+SQL["pr_auc_trapezoid"] = with_tx("SELECT pr_auc_trapezoid FROM cm", _fused(0.6), *_M)
+SQL["roc_auc"] = with_tx("SELECT roc_auc FROM cm", _fused(0.6), *_M)
+SQL["recall_at_fpr"] = with_tx("SELECT recall_at_fpr_5pct FROM cm", _fused(0.6), *_M)
+SQL["prf1"] = with_tx("SELECT precision_at_05, recall_at_05, f1_at_05 FROM pr", _fused(0.6), *_M)
+SQL["prevalence"] = with_tx("SELECT fraud_rate_test, n_test, n_fraud_test FROM pr", _fused(0.6), *_M)
+
+_MT = _metrics_ctes("tabular_score", "tabular_score IS NOT NULL", "t_")
+_MG = _metrics_ctes("gnn_score", "gnn_score IS NOT NULL", "g_")
+_MET = ["pr_auc", "pr_auc_trapezoid", "roc_auc", "recall_at_fpr_5pct", "precision_at_05", "recall_at_05",
+        "f1_at_05", "fraud_rate_test"]
+_rows = " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, CAST(tc.{m} AS DOUBLE) AS tabular, CAST(gc.{m} AS DOUBLE) AS graph "
+    f"FROM (SELECT * FROM t_cm, t_pr) tc, (SELECT * FROM g_cm, g_pr) gc" for m in _MET)
+SQL["compare_models"] = with_tx(f"SELECT metric, tabular, graph, {fx('graph - tabular', 6)} AS delta FROM ({_rows}) q",
+                                _fused(0.6), *_MT, *_MG)

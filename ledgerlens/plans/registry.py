@@ -300,3 +300,112 @@ def q_split_merge(spark, sf):
 @register("structuring")
 def q_structuring(spark, sf):
     return GR.structuring(tx(spark, sf)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# --- fusion, alerts, service counters ------------------------------------------------------------
+
+from ledgerlens.operators import fusion as FU  # noqa: E402
+from ledgerlens.operators import metrics as EV  # noqa: E402
+from ledgerlens.operators import service as SV  # noqa: E402
+
+
+def scored(spark: SparkSession, sf_dir: str, tabular_weight: float = 0.6) -> DataFrame:
+    """Transactions with two column-made scores (tabular = quantity / 50, graph = discount x 10,
+    missing for open lines) fused into one risk score."""
+    t = SRC.transactions_from_tables(spark, sf_dir, extra=("l_quantity", "l_discount", "l_returnflag"))
+    t = t.select("tx_id", "ts", "sender_account", "receiver_account", "amount_paid", "label",
+                 (F.col("l_quantity") / F.lit(50.0)).alias("tabular_score"),
+                 F.when(F.col("l_returnflag") != "N", F.col("l_discount") * F.lit(10.0)).alias("gnn_score"))
+    return FU.fuse(t, tabular_weight=tabular_weight)
+
+
+def _fuse_out(df: DataFrame) -> DataFrame:
+    return df.select("tx_id", C.fixed("tabular_score", 6).alias("tabular_score"),
+                     C.fixed("gnn_score", 6).alias("gnn_score"), "fused_score", "is_fraud", "confidence",
+                     "weight_tabular", "weight_graph", "threshold")
+
+
+@register("fuse")
+def q_fuse(spark, sf):
+    return _fuse_out(scored(spark, sf, 0.6))
+
+
+@register("fuse_equal")
+def q_fuse_equal(spark, sf):
+    return _fuse_out(scored(spark, sf, 0.5))
+
+
+@register("alerts")
+def q_alerts(spark, sf):
+    a = FU.flag(scored(spark, sf))
+    return a.select("tx_id", "fused_score", FU.status_band().alias("status"))
+
+
+@register("status_band")
+def q_status_band(spark, sf):
+    return FU.tx_display(FU.min_risk(scored(spark, sf), 0.6))
+
+
+@register("recent_alerts")
+def q_recent_alerts(spark, sf):
+    a = FU.recent_alerts(FU.flag(scored(spark, sf)), limit=50)
+    return a.select("tx_id", ntz("ts"), "fused_score")
+
+
+@register("last_n")
+def q_last_n(spark, sf):
+    return FU.latest(tx(spark, sf), 1000).select("tx_id", ntz("ts"), "sender_account")
+
+
+@register("p99")
+def q_p99(spark, sf):
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    return SV.exact_quantile(ev, "value", 0.99, by=["event_type"], out="p99")
+
+
+@register("counters")
+def q_counters(spark, sf):
+    s = scored(spark, sf)
+    return SV.service_counters(s, by=[F.date_format("ts", "yyyy-MM-dd").alias("day")])
+
+
+# --- evaluation metrics --------------------------------------------------------------------------
+
+def _curve(spark, sf):
+    return EV.score_curve(scored(spark, sf), "label", "fused_score")
+
+
+@register("pr_auc")
+def q_pr_auc(spark, sf):
+    return EV.curve_metrics(_curve(spark, sf)).select("pr_auc")
+
+
+@register("pr_auc_trapezoid")
+def q_pr_auc_trapezoid(spark, sf):
+    return EV.curve_metrics(_curve(spark, sf)).select("pr_auc_trapezoid")
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf):
+    return EV.curve_metrics(_curve(spark, sf)).select("roc_auc")
+
+
+@register("recall_at_fpr")
+def q_recall_at_fpr(spark, sf):
+    return EV.curve_metrics(_curve(spark, sf), (0.05,)).select("recall_at_fpr_5pct")
+
+
+@register("prf1")
+def q_prf1(spark, sf):
+    return EV.precision_recall_f1(scored(spark, sf), "label", "fused_score", 0.5)
+
+
+@register("prevalence")
+def q_prevalence(spark, sf):
+    return EV.prevalence(scored(spark, sf))
+
+
+@register("compare_models")
+def q_compare_models(spark, sf):
+    s = scored(spark, sf)
+    return EV.compare_models(s, {"tabular": "tabular_score", "graph": "gnn_score"})

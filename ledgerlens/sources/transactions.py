@@ -100,13 +100,14 @@ def parse_event_time(c: Column, kind: str = "timestamp", fmt: str | None = None)
     raise ValueError(f"unknown time kind {kind!r}")
 
 
-def transactions_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transactions_from_tables(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """The canonical transaction table over the driver's star schema.
 
     lineitem ⨝ orders (sender = customer, event time = order date) and ⨝ supplier
     (receiver). Bank = region of the nation, currency = nation name. Nation is a fixed
     25-row table and is broadcast; customer / supplier / orders are left to AQE, which
     broadcasts only what its measured shuffle size allows and sort-merges the rest.
+    ``extra`` carries further lineitem / orders columns through unchanged.
     """
     configure(spark)
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
@@ -144,6 +145,7 @@ def transactions_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("payment_format"),
         ((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 49) & (F.col("l_discount") >= 0.08))
         .cast("int").alias("label"),
+        *[F.col(c) for c in extra],
     )
 
 
