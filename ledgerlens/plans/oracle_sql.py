@@ -500,3 +500,53 @@ _rows = " UNION ALL ".join(
     f"FROM (SELECT * FROM t_cm, t_pr) tc, (SELECT * FROM g_cm, g_pr) gc" for m in _MET)
 SQL["compare_models"] = with_tx(f"SELECT metric, tabular, graph, {fx('graph - tabular', 6)} AS delta FROM ({_rows}) q",
                                 _fused(0.6), *_MT, *_MG)
+
+
+# --- drift -----------------------------------------------------------------------------------------
+
+FEATURE_LIST = [c.strip() for c in FEATURE_NAMES.split(",")]
+
+
+def _long(src: str) -> str:
+    casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURE_LIST)
+    return (f"SELECT feature, value FROM (SELECT {casts} FROM {src}) q "
+            f"UNPIVOT (value FOR feature IN ({', '.join(FEATURE_LIST)})) "
+            "WHERE value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value)")
+
+
+_bin = " + ".join(f"CAST(value >= CAST({j} AS DOUBLE) * step + lo AS INTEGER)" for j in range(1, 10))
+
+DRIFT = f"""
+refr AS (SELECT * FROM feat WHERE ts < TIMESTAMP '1999-01-01'),
+curr AS (SELECT * FROM feat WHERE NOT (ts < TIMESTAMP '1999-01-01')),
+rl AS ({_long('refr')}),
+cl AS ({_long('curr')}),
+st AS (SELECT feature, min(value) AS mn, max(value) AS mx, count(*) AS n_ref FROM rl GROUP BY feature),
+ed AS (SELECT feature, lo, hi, n_ref, (hi - lo) / CAST(10 AS DOUBLE) AS step FROM (
+         SELECT feature, n_ref,
+                CASE WHEN mn = mx THEN mn - CAST(0.5 AS DOUBLE) ELSE mn END AS lo,
+                CASE WHEN mn = mx THEN mx + CAST(0.5 AS DOUBLE) ELSE mx END AS hi FROM st) q),
+rb AS (SELECT feature, {_bin} AS bin, count(*) AS r_n FROM rl JOIN ed USING (feature)
+       WHERE value >= lo AND value <= hi GROUP BY 1, 2),
+cb AS (SELECT feature, {_bin} AS bin, count(*) AS c_n FROM cl JOIN ed USING (feature)
+       WHERE value >= lo AND value <= hi GROUP BY 1, 2),
+nc AS (SELECT feature, count(*) AS n_cur FROM cl GROUP BY feature),
+pt AS (SELECT ed.feature,
+              (CAST(coalesce(rb.r_n, 0) AS DOUBLE) + 1e-10) / (CAST(ed.n_ref AS DOUBLE) + 1e-10) AS r,
+              (CAST(coalesce(cb.c_n, 0) AS DOUBLE) + 1e-10) / (CAST(coalesce(nc.n_cur, 0) AS DOUBLE) + 1e-10) AS c
+       FROM ed CROSS JOIN range(10) b(bin)
+       LEFT JOIN nc ON nc.feature = ed.feature
+       LEFT JOIN rb ON rb.feature = ed.feature AND rb.bin = b.bin
+       LEFT JOIN cb ON cb.feature = ed.feature AND cb.bin = b.bin),
+ps AS (SELECT feature, sum((c - r) * ln(c / r)) AS psi FROM pt GROUP BY feature),
+fd AS (SELECT feature, {fx('psi', 4)} AS psi, psi > CAST(0.2 AS DOUBLE) AS drifted FROM ps)"""
+
+_DR = [DICTS, SENDER, RECEIVER, FEATURES, DRIFT]
+SQL["psi"] = with_tx(f"SELECT feature, {fx('psi', 6)} AS psi FROM ps", *_DR)
+SQL["feature_drift"] = with_tx("SELECT feature, psi, drifted FROM fd", *_DR)
+SQL["dataset_drift"] = with_tx(f"""
+SELECT n_features, n_drifted, {fx('score', 4)} AS drift_score, score > CAST(0.1 AS DOUBLE) AS drift_detected,
+       (score > CAST(0.1 AS DOUBLE)) AND {fx('score', 4)} >= CAST(0.15 AS DOUBLE) AS retrain
+FROM (SELECT count(*) AS n_features, count(*) FILTER (WHERE drifted) AS n_drifted,
+             CAST(count(*) FILTER (WHERE drifted) AS DOUBLE) / CAST(greatest(count(*), 1) AS DOUBLE) AS score FROM fd) q""",
+    *_DR)

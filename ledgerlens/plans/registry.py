@@ -409,3 +409,36 @@ def q_prevalence(spark, sf):
 def q_compare_models(spark, sf):
     s = scored(spark, sf)
     return EV.compare_models(s, {"tabular": "tabular_score", "graph": "gnn_score"})
+
+
+# --- drift -----------------------------------------------------------------------------------------
+
+from ledgerlens.operators import drift as DR  # noqa: E402
+
+DRIFT_SPLIT = "1999-01-01"   # reference period: orders before 1999; current: the rest
+
+
+def drift_frames(spark, sf):
+    f = FE.engineer_features(tx(spark, sf))
+    f = f.select("ts", *[C.fixed(c, 6).alias(c) if c in ROUND6 else F.col(c) for c in FE.FEATURE_COLUMNS])
+    cut = F.lit(DRIFT_SPLIT).cast("timestamp")
+    return f.where(F.col("ts") < cut), f.where(~(F.col("ts") < cut))
+
+
+@register("psi")
+def q_psi(spark, sf):
+    ref, cur = drift_frames(spark, sf)
+    return DR.psi(ref, cur, FE.FEATURE_COLUMNS).select("feature", C.fixed("psi", 6).alias("psi"))
+
+
+@register("feature_drift")
+def q_feature_drift(spark, sf):
+    ref, cur = drift_frames(spark, sf)
+    return DR.feature_drift(DR.psi(ref, cur, FE.FEATURE_COLUMNS))
+
+
+@register("dataset_drift")
+def q_dataset_drift(spark, sf):
+    ref, cur = drift_frames(spark, sf)
+    fd, dd = DR.drift_report(ref, cur, FE.FEATURE_COLUMNS)
+    return DR.should_retrain(dd)
