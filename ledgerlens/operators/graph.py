@@ -23,8 +23,8 @@ DAY_US = 86_400 * 1_000_000
 
 def multi_edges(tx: DataFrame) -> DataFrame:
     """GR-2: one edge per transaction."""
-    return tx.select(F.col("sender_account").alias("src"), F.col("receiver_account").alias("dst"), "tx_id", "ts",
-                     "amount_paid", "amount_received", "label", "payment_format")
+    extra = [c for c in ("tx_id", "ts", "amount_paid", "amount_received", "label", "payment_format") if c in tx.columns]
+    return tx.select(F.col("sender_account").alias("src"), F.col("receiver_account").alias("dst"), *extra)
 
 
 def simple_edges(tx: DataFrame) -> DataFrame:
