@@ -550,3 +550,34 @@ SELECT n_features, n_drifted, {fx('score', 4)} AS drift_score, score > CAST(0.1
 FROM (SELECT count(*) AS n_features, count(*) FILTER (WHERE drifted) AS n_drifted,
              CAST(count(*) FILTER (WHERE drifted) AS DOUBLE) / CAST(greatest(count(*), 1) AS DOUBLE) AS score FROM fd) q""",
     *_DR)
+
+
+# --- streaming -------------------------------------------------------------------------------------
+
+_ES = "least(value / CAST(500 AS DOUBLE), CAST(1 AS DOUBLE))"
+SQL["stream_scores"] = f"""
+SELECT CAST(event_id AS VARCHAR) AS tx_id, {fx(_ES, 6)} AS fused_score, {_ES} >= CAST(0.5 AS DOUBLE) AS is_fraud
+FROM events"""
+
+SQL["stream_alerts"] = f"""
+SELECT CAST(event_id AS VARCHAR) AS tx_id, {fx(_ES, 6)} AS fused_score FROM events
+WHERE {_ES} >= CAST(0.5 AS DOUBLE)"""
+
+SQL["stream_counters"] = f"""
+SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS total_scored,
+       count(*) FILTER (WHERE {_ES} >= CAST(0.5 AS DOUBLE)) AS total_flagged, CAST(0 AS BIGINT) AS errors,
+       {fx(f'CAST(count(*) FILTER (WHERE {_ES} >= CAST(0.5 AS DOUBLE)) AS DOUBLE) / CAST(greatest(count(*), 1) AS DOUBLE)', 6)} AS flagged_rate
+FROM events GROUP BY 1"""
+
+_RW = "(PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+SQL["account_running_state"] = f"""
+SELECT CAST(event_id AS VARCHAR) AS tx_id, 'USR_' || CAST(user_id AS VARCHAR) AS account_id,
+       count(value) OVER {_RW} AS prior_count,
+       {fx(f'coalesce(sum(value) OVER {_RW}, 0)', 4)} AS prior_sum,
+       {fx(f"coalesce({fx(f'coalesce(sum(value) OVER {_RW}, 0)', 4)} / nullif(CAST(count(value) OVER {_RW} AS DOUBLE), 0), 0)", 6)} AS prior_mean,
+       {fx(f'CASE WHEN count(value) OVER {_RW} > 1 THEN stddev_samp(value) OVER {_RW} ELSE 0 END', 4)} AS prior_std
+FROM events"""
+
+SQL["stream_dedup"] = """
+SELECT CAST(event_id AS VARCHAR) AS tx_id, ts FROM events
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1"""

@@ -442,3 +442,80 @@ def q_dataset_drift(spark, sf):
     ref, cur = drift_frames(spark, sf)
     fd, dd = DR.drift_report(ref, cur, FE.FEATURE_COLUMNS)
     return DR.should_retrain(dd)
+
+
+# --- streaming (each runs its stream to completion over the events table) --------------------------
+
+from ledgerlens.streaming import jobs as ST  # noqa: E402
+
+
+def events_stream(spark, sf, max_files: int | None = None):
+    sch = spark.read.parquet(f"{sf}/events.parquet").schema
+    # a glob, because the file source lists a folder or pattern, and the table is one file
+    return SRC.events_to_transactions(ST.read_stream(spark, f"{sf}/events.parquet*", sch, "parquet", max_files))
+
+
+def _event_score():
+    return F.least(F.col("amount_paid") / F.lit(500.0), F.lit(1.0))
+
+
+def scored_stream(spark, sf):
+    f = ST.online_features(events_stream(spark, sf), {"USD": 0}).withColumn("_s", _event_score())
+    return ST.score_stream(f, tabular_score="_s")
+
+
+@register("stream_scores")
+def q_stream_scores(spark, sf):
+    s = scored_stream(spark, sf).select("tx_id", "fused_score", "is_fraud")
+    return ST.run_to_table(s, "scores")
+
+
+@register("stream_alerts")
+def q_stream_alerts(spark, sf):
+    from ledgerlens.session import scratch_path
+    base = scratch_path(spark, "alerts")
+    q = ST.write_alert_stream(scored_stream(spark, sf), f"{base}/out", f"{base}/checkpoint")
+    q.awaitTermination()
+    return spark.read.schema("tx_id string, fused_score double").json(f"{base}/out").select("tx_id", "fused_score")
+
+
+@register("stream_counters")
+def q_stream_counters(spark, sf):
+    c = ST.stream_counters(scored_stream(spark, sf), "1 day", "1 day")
+    t = ST.run_to_table(c, "counters", mode="update", keys=["window_start"])
+    return t.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@register("account_velocity")
+def q_account_velocity(spark, sf):
+    v = ST.account_velocity(events_stream(spark, sf), "1 hour", "10 minutes", "1 hour")
+    t = ST.run_to_table(v, "velocity", mode="update", keys=["account_id", "window_start"])
+    return t.select("account_id", F.col("window_start").cast("timestamp_ntz"), F.col("window_end").cast("timestamp_ntz"),
+                    "n_tx", "amount", "n_counterparties")
+
+
+@register("account_running_state")
+def q_account_running_state(spark, sf):
+    r = ST.run_to_table(ST.account_running_state(events_stream(spark, sf)), "running")
+    return r.select("tx_id", "account_id", "prior_count", C.fixed("prior_sum", 4).alias("prior_sum"),
+                    C.fixed(F.coalesce(F.try_divide(C.fixed("prior_sum", 4), F.col("prior_count").cast("double")),
+                                       F.lit(0.0)), 6).alias("prior_mean"),
+                    C.fixed("prior_std", 4).alias("prior_std"))
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, sf):
+    d = ST.dedup_transactions(events_stream(spark, sf), "24 hours").select("tx_id", "ts")
+    return ST.run_to_table(d, "dedup").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@register("drift_microbatch")
+def q_drift_microbatch(spark, sf):
+    from ledgerlens.session import scratch_path
+    ev = SRC.events_as_transactions(spark, sf)
+    ref = ev.where(F.col("ts") < F.lit("2024-01-15").cast("timestamp")).select("amount_paid")
+    base = scratch_path(spark, "drift")
+    q = ST.drift_microbatch(events_stream(spark, sf).select("amount_paid"), ref, ["amount_paid"], f"{base}/out",
+                            f"{base}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("feature", "psi", "drifted")

@@ -153,7 +153,12 @@ def events_as_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Microsecond-stamped event feed mapped onto the transaction layout (stream and
     point-in-time operators): user = sender, event type = payment format, value = amount."""
     configure(spark)
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
+    return events_to_transactions(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def events_to_transactions(ev: DataFrame) -> DataFrame:
+    """The event layout (event_id, ts, user_id, event_type, value) as transactions; works on
+    static and streaming frames alike."""
     return ev.select(
         F.col("event_id").cast("string").alias("tx_id"),
         F.col("ts").cast("timestamp").alias("ts"),
