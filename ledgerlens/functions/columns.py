@@ -55,7 +55,7 @@ def day_of_month(ts: str | Column) -> Column:
 
 def coerce_amount(c: str | Column, from_string: bool = False) -> Column:
     """Numeric coercion: unparsable text, NULL and NaN become 0."""
-    x = F.try_cast(F.trim(col(c)), "double") if from_string else col(c).cast("double")
+    x = F.trim(col(c)).try_cast("double") if from_string else col(c).cast("double")
     return F.coalesce(F.nanvl(x, F.lit(None).cast("double")), F.lit(0.0))
 
 

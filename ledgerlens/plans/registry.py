@@ -519,3 +519,60 @@ def q_drift_microbatch(spark, sf):
                             f"{base}/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").select("feature", "psi", "drifted")
+
+
+# --- models (rows-only: fitted models have no SQL twin) --------------------------------------------
+
+from ledgerlens.operators import models as ML  # noqa: E402
+from ledgerlens.plans import training as TR  # noqa: E402
+
+MODEL_ROUNDS = 20
+_FITTED: dict = {}
+
+
+def _training(spark, sf):
+    """One training run per (session, data folder), reused by the model queries."""
+    key = (id(spark), sf)
+    if key not in _FITTED:
+        _FITTED[key] = TR.run_training(spark, tx(spark, sf), rounds=MODEL_ROUNDS)
+    return _FITTED[key]
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf):
+    return _training(spark, sf)["comparison"]
+
+
+@register("training_summary")
+def q_training_summary(spark, sf):
+    return TR.training_summary(spark, _training(spark, sf)["summary"])
+
+
+@register("scored_test")
+def q_scored_test(spark, sf):
+    s = _training(spark, sf)["scored"]
+    return s.select("tx_id", "label", C.fixed("tabular_score", 6).alias("tabular_score"),
+                    C.fixed("gnn_score", 6).alias("gnn_score"), "fused_score", "is_fraud", "confidence")
+
+
+@register("risk_factors")
+def q_risk_factors(spark, sf):
+    model = _training(spark, sf)["models"]["tabular"]
+    feats = FE.engineer_features(tx(spark, sf))
+    c = ML.tree_contributions(model, feats, FE.FEATURE_COLUMNS)
+    return ML.risk_factors(c).select("tx_id", C.fixed("base_margin", 6).alias("base_margin"),
+                                     C.fixed("margin", 6).alias("margin"), "top_risk_factors")
+
+
+@register("global_importance")
+def q_global_importance(spark, sf):
+    model = _training(spark, sf)["models"]["tabular"]
+    feats = FE.engineer_features(tx(spark, sf))
+    return ML.global_importance(ML.tree_contributions(model, feats, FE.FEATURE_COLUMNS))
+
+
+@register("score_batch")
+def q_score_batch(spark, sf):
+    r = _training(spark, sf)
+    s = TR.score_batch(tx(spark, sf), r["models"]["tabular"], r["models"].get("graph"), explain_k=0)
+    return s.select("tx_id", "fused_score", "is_fraud", "confidence", "weight_tabular")

@@ -81,7 +81,7 @@ def resolve_label(df: DataFrame, strict: bool = True) -> DataFrame:
     Strict mode raises when none is present; lenient mode fills 0."""
     for name in ("label", "Is Laundering", "is_laundering"):
         if name in df.columns:
-            lab = F.try_cast(F.trim(F.col(f"`{name}`").cast("string")), "double").cast("int")
+            lab = F.trim(F.col(f"`{name}`").cast("string")).try_cast("double").cast("int")
             out = df.withColumn("label", lab)
             return out.drop(name) if name != "label" else out
     if strict:
@@ -95,7 +95,7 @@ def parse_event_time(c: Column, kind: str = "timestamp", fmt: str | None = None)
     if kind == "timestamp":
         return F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
     if kind == "day_number":
-        days = F.try_cast(c.cast("string"), "double").cast("long")
+        days = c.cast("string").try_cast("double").cast("long")
         return F.timestamp_seconds(days * F.lit(86400))
     raise ValueError(f"unknown time kind {kind!r}")
 
