@@ -581,3 +581,36 @@ FROM events"""
 SQL["stream_dedup"] = """
 SELECT CAST(event_id AS VARCHAR) AS tx_id, ts FROM events
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1"""
+
+
+# --- remaining inventory items --------------------------------------------------------------------
+
+SQL["first_n"] = with_tx("SELECT tx_id, ts, sender_account FROM tx ORDER BY ts ASC NULLS LAST, tx_id LIMIT 1000")
+
+SQL["account_join"] = with_tx("""
+SELECT tx.tx_id, a.balance AS src_balance, a.segment AS src_segment, a.country AS src_country,
+       b.balance AS dst_balance, b.segment AS dst_segment, b.country AS dst_country
+FROM tx JOIN attrs a ON tx.sender_account = a.account_id JOIN attrs b ON tx.receiver_account = b.account_id""", """
+attrs AS (SELECT 'ACC_' || CAST(c_custkey AS VARCHAR) AS account_id, c_acctbal AS balance, c_mktsegment AS segment,
+                 n_name AS country FROM customer JOIN nation ON c_nationkey = n_nationkey)""")
+
+_ACC = """acc AS (SELECT sender_account AS account_id FROM tx WHERE sender_account IS NOT NULL
+        UNION SELECT receiver_account FROM tx WHERE receiver_account IS NOT NULL),
+ix AS (SELECT account_id, row_number() OVER (ORDER BY account_id) - 1 AS idx FROM acc)"""
+SQL["account_index"] = with_tx("SELECT account_id, idx FROM ix", _ACC)
+SQL["edge_index"] = with_tx("""
+SELECT tx.tx_id, s.idx AS src_idx, d.idx AS dst_idx
+FROM tx JOIN ix s ON tx.sender_account = s.account_id JOIN ix d ON tx.receiver_account = d.account_id""", _ACC)
+
+SQL["cycle_check"] = with_tx("""
+SELECT c.tx_id, c.s AS src, c.d AS dst, CAST(min(p.len) IS NOT NULL AS INTEGER) AS in_cycle, coalesce(min(p.len), 0) AS cycle_len
+FROM c LEFT JOIN (
+  SELECT tx_id, 1 AS len FROM c WHERE d = s
+  UNION ALL SELECT c.tx_id, 2 FROM c JOIN e e1 ON e1.src = c.d AND e1.dst = c.s
+  UNION ALL SELECT c.tx_id, 3 FROM c JOIN e e1 ON e1.src = c.d JOIN e e2 ON e2.src = e1.dst AND e2.dst = c.s
+  UNION ALL SELECT c.tx_id, 4 FROM c JOIN e e1 ON e1.src = c.d JOIN e e2 ON e2.src = e1.dst
+                                     JOIN e e3 ON e3.src = e2.dst AND e3.dst = c.s) p ON p.tx_id = c.tx_id
+GROUP BY c.tx_id, c.s, c.d""", SE, """
+e AS (SELECT DISTINCT src, dst FROM se WHERE src <> dst),
+c AS (SELECT tx_id, sender_account AS s, receiver_account AS d FROM tx WHERE label = 1
+      ORDER BY ts DESC, tx_id DESC LIMIT 50)""")

@@ -609,3 +609,47 @@ def q_score_batch(spark, sf):
     r = _training(spark, sf)
     s = TR.score_batch(tx(spark, sf), r["models"]["tabular"], r["models"].get("graph"), explain_k=0)
     return s.select("tx_id", "fused_score", "is_fraud", "confidence", "weight_tabular")
+
+
+# --- remaining inventory items --------------------------------------------------------------------
+
+@register("first_n")
+def q_first_n(spark, sf):
+    return SRC.read_limit(tx(spark, sf), 1000).select("tx_id", ntz("ts"), "sender_account")
+
+
+def account_attributes(spark, sf):
+    """Account attributes from the customer table (balance, segment, home currency)."""
+    c = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey")
+    n = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_name")
+    return c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.concat(F.lit("ACC_"), F.col("c_custkey").cast("string")).alias("account_id"),
+        F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("country"))
+
+
+@register("account_join")
+def q_account_join(spark, sf):
+    j = GR.join_account_attributes(tx(spark, sf), account_attributes(spark, sf))
+    return j.select("tx_id", "src_balance", "src_segment", "src_country", "dst_balance", "dst_segment", "dst_country")
+
+
+@register("account_index")
+def q_account_index(spark, sf):
+    return GR.ordered_index(GR.accounts(tx(spark, sf)), "account_id")
+
+
+@register("edge_index")
+def q_edge_index(spark, sf):
+    t = tx(spark, sf)
+    idx = GR.ordered_index(GR.accounts(t), "account_id")
+    return GR.index_edges(GR.multi_edges(t), idx).select("tx_id", "src_idx", "dst_idx")
+
+
+@register("cycle_check")
+def q_cycle_check(spark, sf):
+    t = tx(spark, sf)
+    cand = recent_fraud(t, ALERT_FEED).select(F.col("tx_id").alias("cand_id"), F.col("sender_account").alias("src"),
+                                              F.col("receiver_account").alias("dst"))
+    r = GR.cycle_membership(GR.simple_edges(t), cand, max_len=4)
+    return r.select(F.col("cand_id").alias("tx_id"), "src", "dst", "in_cycle",
+                    F.coalesce("cycle_len", F.lit(0)).alias("cycle_len"))   # 0 = closes no cycle
