@@ -199,12 +199,16 @@ def edge_score(tx: DataFrame, node_scores: DataFrame, score: str = "score", node
 # --- ego subgraphs (GR-5..9, SET-2, JOIN-6) --------------------------------------------------------
 
 def ego_nodes(edges: DataFrame, seeds: DataFrame, hops: int = 2, seed_col: str = "seed",
-              checkpoint_every: int = 2) -> DataFrame:
+              checkpoint: bool = True) -> DataFrame:
     """GR-5 node sets: (seed, node, hop) for every node within ``hops`` undirected steps of
     each seed. Seeds absent from the graph yield nothing. Each hop joins the new frontier
     with the undirected edges, takes distinct (seed, node) and anti-joins the visited set
-    (SET-2); every ``checkpoint_every`` hops the visited set is checkpointed to cut lineage."""
+    (SET-2). With ``checkpoint`` the undirected edge set (read by every hop) and the visited
+    set after every hop are reliable checkpoints, so the plan does not grow with the hops and
+    a lost executor recomputes one hop, not the whole expansion."""
     und = undirected(edges)
+    if checkpoint:
+        und = cut_lineage(und)
     verts = und.select(F.col("a").alias("node")).distinct()
     visited = (seeds.select(F.col(seed_col).alias("seed")).distinct()
                .join(verts, F.col("seed") == F.col("node"), "left_semi")
@@ -215,10 +219,11 @@ def ego_nodes(edges: DataFrame, seeds: DataFrame, hops: int = 2, seed_col: str =
                .join(visited.select("seed", "node"), ["seed", "node"], "left_anti")
                .withColumn("hop", F.lit(h)))
         visited = visited.unionByName(nxt)
-        frontier = nxt
-        if checkpoint_every and h % checkpoint_every == 0 and h < hops:
+        if checkpoint:
             visited = cut_lineage(visited)
             frontier = visited.where(F.col("hop") == h)
+        else:
+            frontier = nxt
     return visited
 
 
@@ -277,9 +282,14 @@ def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-def alert_neighbourhood(edges: DataFrame, alerts: DataFrame, alert_id: str = "tx_id") -> tuple[DataFrame, DataFrame]:
+def alert_neighbourhood(edges: DataFrame, alerts: DataFrame, alert_id: str = "tx_id",
+                        checkpoint: bool = True) -> tuple[DataFrame, DataFrame]:
     """GR-6 + GR-9: for each alert (sender -> receiver), the nodes {sender, receiver} and their
-    in/out neighbours, the induced edges, and ``highlight`` = alert edge or fraud edge."""
+    in/out neighbours, the induced edges, and ``highlight`` = alert edge or fraud edge. The
+    alert list and node sets are checkpointed (each is read several times)."""
+    alerts = alerts.select(alert_id, "sender_account", "receiver_account")
+    if checkpoint:
+        alerts = cut_lineage(alerts)
     ends = (alerts.select(F.col(alert_id).alias("seed"), F.col("sender_account").alias("node"))
             .union(alerts.select(F.col(alert_id).alias("seed"), F.col("receiver_account").alias("node"))))
     und = undirected(edges)
@@ -287,6 +297,8 @@ def alert_neighbourhood(edges: DataFrame, alerts: DataFrame, alert_id: str = "tx
     ends = ends.join(verts, "node", "left_semi").distinct()
     hop1 = ends.join(und, ends["node"] == und["a"]).select("seed", F.col("b").alias("node"))
     nodes = ends.select("seed", "node").unionByName(hop1).distinct()
+    if checkpoint:
+        nodes = cut_lineage(nodes)
     sub = induced_edges(edges, nodes)
     a = alerts.select(F.col(alert_id).alias("seed"), F.col("sender_account").alias("_as"),
                       F.col("receiver_account").alias("_ar"))

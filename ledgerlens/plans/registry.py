@@ -177,6 +177,11 @@ EGO_SEEDS = 10      # top-k report: accounts with the most fraud-labelled transf
 ALERT_FEED = 50     # the analyst feed: most recent alerts
 
 
+def graph_edges(spark, sf):
+    """GR-1 simple edges, stored once per application (the graph table a deployment keeps)."""
+    return stored(spark, sf, "simple-edges", lambda: GR.simple_edges(tx(spark, sf)))
+
+
 def _ego_seeds(t: DataFrame) -> DataFrame:
     return GR.top_accounts_by(t, F.col("label") == 1, EGO_SEEDS)
 
@@ -209,19 +214,19 @@ def q_edge_features(spark, sf):
 
 @register("degrees")
 def q_degrees(spark, sf):
-    e = GR.simple_edges(tx(spark, sf)).withColumn("seed", F.lit("*"))
+    e = graph_edges(spark, sf).withColumn("seed", F.lit("*"))
     return GR.subgraph_degrees(e).select(F.col("node").alias("account_id"), "out_degree", "in_degree", "fraud_out")
 
 
 @register("graph_summary")
 def q_graph_summary(spark, sf):
-    return GR.graph_summary(GR.simple_edges(tx(spark, sf)))
+    return GR.graph_summary(graph_edges(spark, sf))
 
 
 @register("ego_2hop")
 def q_ego_2hop(spark, sf):
     t = tx(spark, sf)
-    e = GR.simple_edges(t)
+    e = graph_edges(spark, sf)
     nodes, sub = GR.ego_subgraph(e, _ego_seeds(t), hops=2)
     n = nodes.groupBy("seed").agg(F.count(F.lit(1)).alias("n_nodes"))
     s = sub.groupBy("seed").agg(F.count(F.lit(1)).alias("n_edges"),
@@ -233,7 +238,7 @@ def q_ego_2hop(spark, sf):
 @register("node_role")
 def q_node_role(spark, sf):
     t = tx(spark, sf)
-    e = GR.simple_edges(t)
+    e = graph_edges(spark, sf)
     seeds = _ego_seeds(t)
     nodes, sub = GR.ego_subgraph(e, seeds, hops=2)
     return GR.node_roles(nodes, sub, seeds, flag_col="seed")
@@ -246,7 +251,7 @@ def recent_fraud(t: DataFrame, n: int) -> DataFrame:
 @register("alert_neighbourhood")
 def q_alert_neighbourhood(spark, sf):
     t = tx(spark, sf)
-    e = GR.simple_edges(t)
+    e = graph_edges(spark, sf)
     nodes, sub = GR.alert_neighbourhood(e, recent_fraud(t, ALERT_FEED))
     n = nodes.groupBy("seed").agg(F.count(F.lit(1)).alias("n_nodes"))
     s = sub.groupBy("seed").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("highlight").cast("long").alias("n_highlight"))
@@ -299,7 +304,7 @@ def q_edge_score(spark, sf):
 
 @register("cycles_3")
 def q_cycles_3(spark, sf):
-    return GR.cycles_3(GR.simple_edges(tx(spark, sf)))
+    return GR.cycles_3(graph_edges(spark, sf))
 
 
 @register("fan_out")
@@ -650,6 +655,6 @@ def q_cycle_check(spark, sf):
     t = tx(spark, sf)
     cand = recent_fraud(t, ALERT_FEED).select(F.col("tx_id").alias("cand_id"), F.col("sender_account").alias("src"),
                                               F.col("receiver_account").alias("dst"))
-    r = GR.cycle_membership(GR.simple_edges(t), cand, max_len=4)
+    r = GR.cycle_membership(graph_edges(spark, sf), cand, max_len=4)
     return r.select(F.col("cand_id").alias("tx_id"), "src", "dst", "in_cycle",
                     F.coalesce("cycle_len", F.lit(0)).alias("cycle_len"))   # 0 = closes no cycle
