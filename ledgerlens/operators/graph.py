@@ -158,15 +158,25 @@ def neighbour_mean(edges: DataFrame, x: DataFrame, cols: list[str], node: str =
 
 
 def khop_embedding(edges: DataFrame, x: DataFrame, cols: list[str], k: int = 2, node: str = "account_id",
-                   dp: int | None = None) -> DataFrame:
+                   dp: int | None = None, checkpoint: bool = True) -> DataFrame:
     """GR-11: [x, A x, A^2 x, ...] with A = mean over in-edges (pre-computed propagation, the
-    published SIGN/SGC form; a linear head is trained on it). Output: node + k+1 blocks."""
+    published SIGN/SGC form; a linear head is trained on it). Output: node + k+1 blocks.
+
+    Each layer reads the previous one; with ``checkpoint`` every layer (one row per node) is a
+    reliable checkpoint, so layer h does not recompute layers 0..h-1. The edge list is read
+    once per layer, joined on its source and aggregated on its destination (partial sums
+    map-side, so a hub destination costs one row per map task)."""
     r = (lambda c: C.fixed(c, dp)) if dp is not None else (lambda c: c)
-    out = x.select(node, *[r(F.col(c)).alias(f"{c}_h0") for c in cols])
-    cur = out.select(node, *[F.col(f"{c}_h0").alias(c) for c in cols])
+    cur = x.select(node, *[r(F.col(c)).alias(c) for c in cols])
+    if checkpoint:
+        cur = cut_lineage(cur)
+    out = cur.select(node, *[F.col(c).alias(f"{c}_h0") for c in cols])
+    msg_edges = edges.select("src", "dst")
     for h in range(1, k + 1):
-        nb = neighbour_mean(edges, cur, cols, node, suffix="", exact_dp=dp)
+        nb = neighbour_mean(msg_edges, cur, cols, node, suffix="", exact_dp=dp)
         nb = nb.select(node, *[r(F.col(c)).alias(c) for c in cols])
+        if checkpoint:
+            nb = cut_lineage(nb)
         out = out.join(nb.select(node, *[F.col(c).alias(f"{c}_h{h}") for c in cols]), node)
         cur = nb
     return out
