@@ -149,15 +149,67 @@ def attach_profiles(df: DataFrame, sender: DataFrame, receiver: DataFrame) -> Da
     return out
 
 
-def engineer_features(tx: DataFrame, max_entries: int = DEFAULT_MAX_ENTRIES) -> DataFrame:
+def engineer_features(tx: DataFrame, max_entries: int = DEFAULT_MAX_ENTRIES, point_in_time: bool = False) -> DataFrame:
     """The feature table: one row per transaction with the 21 model features.
 
-    Account aggregates are global (every row sees the whole table, later rows included), as
-    in the reference; ``rolling_account_features`` gives the strictly-earlier counterparts.
+    ``point_in_time=False``: account aggregates are global (every row sees the whole table,
+    later rows included), as in the reference. ``True``: the same columns are computed from
+    strictly earlier transactions only (``history_stats``), which removes that look-ahead.
     """
     f = cross_flags(amount_features(time_features(tx)))
     f = encode_categories(f, max_entries)
-    return attach_profiles(f, sender_profile(f), receiver_profile(f))
+    if not point_in_time:
+        return attach_profiles(f, sender_profile(f), receiver_profile(f))
+    s = history_stats(f, "sender_account", "amount_paid", "receiver_account", "sender", "sender_receiver_diversity")
+    r = history_stats(f, "receiver_account", "amount_received", "sender_account", "receiver",
+                      "receiver_sender_diversity").drop("receiver_std_amount")
+    out = f.join(s, "tx_id", "left").join(r, "tx_id", "left")
+    for c in SENDER_COLS + RECEIVER_COLS:
+        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0).cast(out.schema[c].dataType)))
+    return out
+
+
+def history_stats(df: DataFrame, key: str, amount: str, other: str, prefix: str, diversity: str,
+                  id_col: str = "tx_id", ts: str = "ts", bucket_us: int = 30 * 86_400 * 1_000_000) -> DataFrame:
+    """WIN-1 over the whole history: per transaction, count / exact sum / mean / sample std of
+    ``amount`` and the number of distinct ``other`` over the same ``key``'s strictly earlier
+    transactions (same timestamp = not earlier).
+
+    Distinct counterparties come from first-seen markers: one row per (key, other) at the time
+    the pair first appears. Skew: running sums are split by (key, time bucket) — the window
+    runs inside a bucket, and the totals of all earlier buckets come from a table with one row
+    per (key, bucket) — so a hot account is spread over as many tasks as it has buckets.
+    The variance uses the sums of x and x^2 (doubles) and is clamped at 0."""
+    base = df.select(F.col(id_col).alias("_id"), F.col(key).alias("_k"), F.col(other).alias("_o"),
+                     F.unix_micros(F.col(ts)).alias("_t"), F.col(amount).cast("double").alias("_x")) \
+        .where(F.col("_k").isNotNull() & F.col("_t").isNotNull())
+    first = base.where(F.col("_o").isNotNull()).groupBy("_k", "_o").agg(F.min("_t").alias("_t"))
+    dec = PAID_DEC
+    rows = (base.select("_id", "_k", "_t", "_x", F.lit(1).alias("_n"), F.lit(0).alias("_m"))
+            .unionByName(first.select(F.lit(None).cast("string").alias("_id"), "_k", "_t",
+                                      F.lit(None).cast("double").alias("_x"), F.lit(0).alias("_n"), F.lit(1).alias("_m")))
+            .withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us))))
+    tot = rows.groupBy("_k", "_b").agg(F.sum("_n").alias("_bn"), F.sum(F.col("_x").cast(dec)).alias("_bs"),
+                                       F.sum(F.col("_x") * F.col("_x")).alias("_bq"), F.sum("_m").alias("_bm"))
+    wb = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_k", "_b", *[F.sum(c).over(wb).alias("_o" + c[2:]) for c in ("_bn", "_bs", "_bq", "_bm")])
+    wi = Window.partitionBy("_k", "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    inb = rows.select("_id", "_k", "_b", "_n",
+                      F.sum("_n").over(wi).alias("_ln"), F.sum(F.col("_x").cast(dec)).over(wi).alias("_ls"),
+                      F.sum(F.col("_x") * F.col("_x")).over(wi).alias("_lq"), F.sum("_m").over(wi).alias("_lm")) \
+        .where(F.col("_n") == 1)
+    j = inb.join(off, ["_k", "_b"])
+    z = lambda a, b: F.coalesce(F.col(a), F.lit(0)) + F.coalesce(F.col(b), F.lit(0))
+    n, sm, q, m = z("_on", "_ln"), z("_os", "_ls"), z("_oq", "_lq"), z("_om", "_lm")
+    sd = sm.cast("double")
+    var = F.when(n > 1, F.greatest((q - sd * sd / n.cast("double")) / (n - 1).cast("double"), F.lit(0.0)))
+    return j.select(
+        F.col("_id").alias(id_col),
+        n.cast("long").alias(f"{prefix}_tx_count"),
+        C.fixed(sd, 4).alias(f"{prefix}_total_amount"),
+        C.fixed(F.coalesce(F.try_divide(sd, n.cast("double")), F.lit(0.0)), 6).alias(f"{prefix}_mean_amount"),
+        C.fixed(F.coalesce(F.sqrt(var), F.lit(0.0)), 4).alias(f"{prefix}_std_amount"),
+        m.cast("long").alias(diversity))
 
 
 def feature_matrix_columns(df: DataFrame) -> list[str]:

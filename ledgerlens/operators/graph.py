@@ -142,13 +142,15 @@ def neighbour_mean(edges: DataFrame, x: DataFrame, cols: list[str], node: str =
     """GR-10: for every node, the mean of its in-neighbours' features over incoming edges,
     counting parallel edges (multiplicity); nodes without in-edges get 0.
 
-    ``exact_dp``: features are summed as decimals with that scale (exact and independent of
-    partitioning) before dividing by the in-degree."""
+    ``exact_dp``: features (already rounded to that many decimals) are summed as scaled
+    integers — exact, independent of partitioning, and long arithmetic rather than BigDecimal;
+    under ANSI mode an overflow (|x| * 10^dp * in-degree > 9.2e18) raises instead of wrapping."""
     xs = x.select(F.col(node).alias("src"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(cols)])
     msg = edges.select("src", "dst").join(xs, "src")
     if exact_dp is not None:
-        dec = f"decimal(30,{exact_dp})"
-        aggs = [F.sum(F.col(f"_x{i}").cast(dec)).cast("double").alias(f"_s{i}") for i in range(len(cols))]
+        sc = float(10 ** exact_dp)
+        aggs = [(F.sum(F.round(F.col(f"_x{i}") * F.lit(sc)).cast("long")).cast("double") / F.lit(sc)).alias(f"_s{i}")
+                for i in range(len(cols))]
     else:
         aggs = [F.sum(F.col(f"_x{i}")).alias(f"_s{i}") for i in range(len(cols))]
     agg = msg.groupBy("dst").agg(F.count(F.lit(1)).alias("_deg"), *aggs)

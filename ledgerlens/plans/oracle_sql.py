@@ -329,7 +329,7 @@ def _khop_sql(k: int) -> str:
     ctes = [NF, "me AS (SELECT sender_account AS src, receiver_account AS dst FROM tx)",
             "h0 AS (SELECT account_id, " + ", ".join(NODE_FEATURES) + " FROM nf)"]
     for h in range(1, k + 1):
-        sums = ", ".join(f"CAST(sum(CAST(x.{c} AS DECIMAL(30,6))) AS DOUBLE) AS s_{c}" for c in NODE_FEATURES)
+        sums = ", ".join(f"CAST(sum(CAST(round(x.{c} * 1e6) AS BIGINT)) AS DOUBLE) / 1e6 AS s_{c}" for c in NODE_FEATURES)
         ctes.append(f"a{h} AS (SELECT me.dst, count(*) AS deg, {sums} FROM me JOIN h{h-1} x ON me.src = x.account_id GROUP BY me.dst)")
         cols = ", ".join(f"{fx(f'coalesce(a.s_{c} / CAST(greatest(a.deg, 1) AS DOUBLE), 0)', 6)} AS {c}" for c in NODE_FEATURES)
         ctes.append(f"h{h} AS (SELECT n.account_id, {cols} FROM nf n LEFT JOIN a{h} a ON n.account_id = a.dst)")
@@ -614,3 +614,35 @@ GROUP BY c.tx_id, c.s, c.d""", SE, """
 e AS (SELECT DISTINCT src, dst FROM se WHERE src <> dst),
 c AS (SELECT tx_id, sender_account AS s, receiver_account AS d FROM tx WHERE label = 1
       ORDER BY ts DESC, tx_id DESC LIMIT 50)""")
+
+
+# --- point-in-time feature table ------------------------------------------------------------------
+
+_WS = "(PARTITION BY sender_account ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"
+_WR = "(PARTITION BY receiver_account ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"
+PIT = f"""
+fs AS (SELECT sender_account, receiver_account, min(ts) AS t0 FROM tx
+       WHERE sender_account IS NOT NULL AND receiver_account IS NOT NULL GROUP BY 1, 2),
+dvs AS (SELECT tx.tx_id, count(fs.t0) AS d FROM tx LEFT JOIN fs ON fs.sender_account = tx.sender_account
+        AND fs.t0 < tx.ts GROUP BY tx.tx_id),
+dvr AS (SELECT tx.tx_id, count(fs.t0) AS d FROM tx LEFT JOIN fs ON fs.receiver_account = tx.receiver_account
+        AND fs.t0 < tx.ts GROUP BY tx.tx_id),
+hist AS (
+  SELECT tx_id,
+    count(*) OVER {_WS} AS sender_tx_count,
+    {fx(f'coalesce(CAST(sum(CAST(amount_paid AS DECIMAL(20,6))) OVER {_WS} AS DOUBLE), 0)', 4)} AS sender_total_amount,
+    {fx(f'coalesce(CAST(sum(CAST(amount_paid AS DECIMAL(20,6))) OVER {_WS} AS DOUBLE) / CAST(count(*) OVER {_WS} AS DOUBLE), 0)', 6)} AS sender_mean_amount,
+    {fx(f'coalesce(stddev_samp(amount_paid) OVER {_WS}, 0)', 4)} AS sender_std_amount,
+    count(*) OVER {_WR} AS receiver_tx_count,
+    {fx(f'coalesce(CAST(sum(CAST(amount_received AS DECIMAL(20,6))) OVER {_WR} AS DOUBLE), 0)', 4)} AS receiver_total_amount,
+    {fx(f'coalesce(CAST(sum(CAST(amount_received AS DECIMAL(20,6))) OVER {_WR} AS DOUBLE) / CAST(count(*) OVER {_WR} AS DOUBLE), 0)', 6)} AS receiver_mean_amount
+  FROM tx)"""
+
+_PIT_COLS = ", ".join(
+    f"h.{c}" if c.startswith(("sender_", "receiver_")) and not c.endswith("diversity") else
+    ("dvs.d AS sender_receiver_diversity" if c == "sender_receiver_diversity" else
+     "dvr.d AS receiver_sender_diversity" if c == "receiver_sender_diversity" else f"f.{c}")
+    for c in FEATURE_LIST)
+SQL["pit_features"] = with_tx(
+    f"SELECT f.tx_id, f.label, {_PIT_COLS} FROM feat f JOIN hist h ON f.tx_id = h.tx_id "
+    "JOIN dvs ON dvs.tx_id = f.tx_id JOIN dvr ON dvr.tx_id = f.tx_id", DICTS, SENDER, RECEIVER, FEATURES, PIT)

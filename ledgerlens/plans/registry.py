@@ -658,3 +658,9 @@ def q_cycle_check(spark, sf):
     r = GR.cycle_membership(graph_edges(spark, sf), cand, max_len=4)
     return r.select(F.col("cand_id").alias("tx_id"), "src", "dst", "in_cycle",
                     F.coalesce("cycle_len", F.lit(0)).alias("cycle_len"))   # 0 = closes no cycle
+
+
+@register("pit_features")
+def q_pit_features(spark, sf):
+    """WIN-1 switched on: the feature table with strictly-earlier account aggregates."""
+    return feature_projection(FE.engineer_features(tx(spark, sf), point_in_time=True))

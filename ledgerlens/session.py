@@ -67,6 +67,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never a local checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by writing ``df`` as a Parquet table in the shared checkpoint folder and
+    reading it back: computed once, survives executor loss, never a local checkpoint."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

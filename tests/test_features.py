@@ -153,3 +153,24 @@ def test_validate_and_normalize(spark):
     valid, rejected = SRC.validate_transactions(SRC.normalize_transactions(df))
     assert [r.tx_id for r in valid.collect()] == ["a"]
     assert rejected.first().reasons == ["missing_sender"]
+
+
+def test_history_stats_match_brute_force_across_buckets(spark):
+    import numpy as np
+    rng = np.random.default_rng(9)
+    base = datetime(2024, 1, 1)
+    rows = [(f"t{i:03d}", base + timedelta(hours=int(h)), f"A{a}", f"R{r}", float(v))
+            for i, (h, a, r, v) in enumerate(zip(rng.integers(0, 200, 300), rng.integers(0, 3, 300),
+                                                  rng.integers(0, 8, 300), np.round(rng.random(300) * 100, 2)))]
+    df = spark.createDataFrame(rows, "tx_id string, ts timestamp, sender_account string, receiver_account string, "
+                                     "amount_paid double")
+    got = {r.tx_id: r for r in FE.history_stats(df, "sender_account", "amount_paid", "receiver_account", "s", "div",
+                                                 bucket_us=7 * 3600 * 10**6).collect()}
+    for tid, ts, a, rc, v in rows:
+        prev = [x for x in rows if x[2] == a and x[1] < ts]
+        g = got[tid]
+        assert g.s_tx_count == len(prev)
+        assert g.div == len({x[3] for x in prev})
+        assert abs(g.s_total_amount - sum(x[4] for x in prev)) < 1e-6
+        if len(prev) > 1:
+            assert abs(g.s_std_amount - float(np.std([x[4] for x in prev], ddof=1))) < 1e-3
