@@ -145,15 +145,15 @@ def tree_contributions(model: PipelineModel, df: DataFrame, cols: list[str], key
                        out: str = "contributions") -> DataFrame:
     """ML-7b: per row (key, base_margin, margin, contributions array<struct<feature, contribution>>)."""
     spark = df.sparkSession
+    # the ensemble (trees x nodes, a bound fixed by rounds and depth) travels with the function
     trees, weights = tree_table(model.stages[-1], spark)
-    bc = spark.sparkContext.broadcast((trees, weights))
     n = len(cols)
     schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("base_margin", T.DoubleType()),
                            T.StructField("margin", T.DoubleType())]
                           + [T.StructField(f"_c{j}", T.DoubleType()) for j in range(n)])
 
     def run(batches):
-        tr, ws = bc.value
+        tr, ws = trees, weights
         for pdf in batches:
             c, b = _path_contributions(pdf[cols].to_numpy(dtype=float), tr, ws, n)
             o = pd.DataFrame(c, columns=[f"_c{j}" for j in range(n)])

@@ -646,3 +646,14 @@ _PIT_COLS = ", ".join(
 SQL["pit_features"] = with_tx(
     f"SELECT f.tx_id, f.label, {_PIT_COLS} FROM feat f JOIN hist h ON f.tx_id = h.tx_id "
     "JOIN dvs ON dvs.tx_id = f.tx_id JOIN dvr ON dvr.tx_id = f.tx_id", DICTS, SENDER, RECEIVER, FEATURES, PIT)
+
+_PROFILE = ["sender_tx_count", "sender_total_amount", "sender_mean_amount", "sender_std_amount",
+            "sender_receiver_diversity", "receiver_tx_count", "receiver_total_amount", "receiver_mean_amount",
+            "receiver_sender_diversity"]
+_pit_body = (f"SELECT f.tx_id, {_PIT_COLS} FROM feat f JOIN hist h ON f.tx_id = h.tx_id "
+             "JOIN dvs ON dvs.tx_id = f.tx_id JOIN dvr ON dvr.tx_id = f.tx_id")
+_leak = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {fx(f'avg(abs(CAST(g.{c} AS DOUBLE) - CAST(p.{c} AS DOUBLE)))', 6)} AS mean_abs_diff, "
+    f"{fx(f'avg(CAST(abs(CAST(g.{c} AS DOUBLE) - CAST(p.{c} AS DOUBLE)) > 0 AS DOUBLE))', 6)} AS share_changed "
+    f"FROM feat g JOIN pitf p ON g.tx_id = p.tx_id" for c in _PROFILE)
+SQL["feature_leak"] = with_tx(_leak, DICTS, SENDER, RECEIVER, FEATURES, PIT, f"pitf AS ({_pit_body})")

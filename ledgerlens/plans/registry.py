@@ -35,7 +35,8 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     """A table built once per application and data folder and written to the shared checkpoint
     folder; later queries read it back (the stored table a deployment would keep)."""
     from ledgerlens.session import scratch_path
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    from ledgerlens.session import app_key
+    key = (app_key(spark), sf_dir, name)
     if key not in _STORED:
         path = scratch_path(spark, name)
         w = build().write.mode("overwrite")
@@ -570,7 +571,8 @@ _FITTED: dict = {}
 
 def _training(spark, sf):
     """One training run per (session, data folder), reused by the model queries."""
-    key = (id(spark), sf)
+    from ledgerlens.session import app_key
+    key = (app_key(spark), sf)
     if key not in _FITTED:
         _FITTED[key] = TR.run_training(spark, tx(spark, sf), rounds=MODEL_ROUNDS)
     return _FITTED[key]
@@ -664,3 +666,23 @@ def q_cycle_check(spark, sf):
 def q_pit_features(spark, sf):
     """WIN-1 switched on: the feature table with strictly-earlier account aggregates."""
     return feature_projection(FE.engineer_features(tx(spark, sf), point_in_time=True))
+
+
+PROFILE_COLS = FE.SENDER_COLS + FE.RECEIVER_COLS
+
+
+@register("feature_leak")
+def q_feature_leak(spark, sf):
+    """How much the global account aggregates look ahead: per profile column, the mean absolute
+    difference to the strictly-earlier value and the share of rows where they differ."""
+    t = tx(spark, sf)
+    g = FE.engineer_features(t).select("tx_id", *PROFILE_COLS)
+    p = FE.engineer_features(t, point_in_time=True).select("tx_id", *[F.col(c).alias(f"p_{c}") for c in PROFILE_COLS])
+    j = g.join(p, "tx_id")
+    aggs = []
+    for c in PROFILE_COLS:
+        d = F.abs(F.col(c).cast("double") - F.col(f"p_{c}").cast("double"))
+        aggs += [C.fixed(F.avg(d), 6).alias(f"{c}__d"), C.fixed(F.avg((d > 0).cast("double")), 6).alias(f"{c}__s")]
+    wide = j.agg(*aggs)
+    stack = ", ".join(f"'{c}', `{c}__d`, `{c}__s`" for c in PROFILE_COLS)
+    return wide.selectExpr(f"stack({len(PROFILE_COLS)}, {stack}) AS (feature, mean_abs_diff, share_changed)")
