@@ -290,8 +290,9 @@ def graph_summary(edges: DataFrame, fraud: str = "label", by: list[str] | None =
 
 
 def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join two single-row aggregates on a constant key (no cartesian product)."""
-    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    """Attach the single row of ``b`` to every row of ``a``: ``b`` is one row (a fixed bound), so it
+    is broadcast and ``a`` is never shuffled on the constant key."""
+    return a.withColumn("_k", F.lit(1)).join(F.broadcast(b.withColumn("_k", F.lit(1))), "_k").drop("_k")
 
 
 def alert_neighbourhood(edges: DataFrame, alerts: DataFrame, alert_id: str = "tx_id",

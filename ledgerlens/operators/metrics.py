@@ -18,7 +18,9 @@ DEFAULT_BUCKETS = 4096
 
 
 def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    """Attach the single row of ``b`` to every row of ``a``: ``b`` is one row (a fixed bound), so it
+    is broadcast and ``a`` is never shuffled on the constant key."""
+    return a.withColumn("_k", F.lit(1)).join(F.broadcast(b.withColumn("_k", F.lit(1))), "_k").drop("_k")
 
 
 def score_curve(df: DataFrame, label: str = "label", score: str = "score", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
