@@ -170,7 +170,7 @@ def engineer_features(tx: DataFrame, max_entries: int = DEFAULT_MAX_ENTRIES, poi
 
 
 def history_stats(df: DataFrame, key: str, amount: str, other: str, prefix: str, diversity: str,
-                  id_col: str = "tx_id", ts: str = "ts", bucket_us: int = 30 * 86_400 * 1_000_000) -> DataFrame:
+                  id_col: str = "tx_id", ts: str = "ts", bucket_us: int = 86_400 * 1_000_000) -> DataFrame:
     """WIN-1 over the whole history: per transaction, count / exact sum / mean / sample std of
     ``amount`` and the number of distinct ``other`` over the same ``key``'s strictly earlier
     transactions (same timestamp = not earlier).

@@ -2,9 +2,9 @@
 
 All curve metrics derive from one score curve: per distinct score, true / false positives
 cumulated from the highest score down. The cumulation never uses a single-partition window:
-scores are cut into ``buckets`` order-preserving ranges, the running sum inside a bucket is a
-window partitioned by bucket, and the bucket offsets come from a table of at most
-buckets + 1 rows.
+distinct scores are cut into ``buckets`` order-preserving, count-balanced ranges, the running
+sum inside a bucket is a window partitioned by bucket, and the bucket offsets come from a table
+of at most ``buckets`` rows.
 """
 
 from __future__ import annotations
@@ -23,6 +23,21 @@ def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumn("_k", F.lit(1)).join(F.broadcast(b.withColumn("_k", F.lit(1))), "_k").drop("_k")
 
 
+def score_buckets(g: DataFrame, buckets: int) -> DataFrame:
+    """Order-preserving bucket ``_b`` per distinct score, balanced by count: boundaries are
+    approximate quantiles of the distinct scores (one bounded list of ``buckets - 1`` values),
+    applied with a JVM binary search. Scores pile up near 0 for rare-event models, so equal-width
+    buckets would put most distinct scores into one window partition."""
+    from pyspark.ml.feature import Bucketizer
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = g.approxQuantile("score", probs, 1.0 / (4 * buckets)) if buckets > 1 else []
+    splits = [float("-inf")] + sorted({float(c) for c in cuts}) + [float("inf")]
+    if len(splits) < 3:
+        return g.withColumn("_b", F.lit(0))
+    bz = Bucketizer(splits=splits, inputCol="score", outputCol="_bd")
+    return bz.transform(g).withColumn("_b", F.col("_bd").cast("int")).drop("_bd")
+
+
 def score_curve(df: DataFrame, label: str = "label", score: str = "score", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """EVAL-0: (score, tp, fp, ctp, cfp, P, N) per distinct score, cumulated from high to low.
     Rows with a missing or NaN score are left out."""
@@ -30,7 +45,7 @@ def score_curve(df: DataFrame, label: str = "label", score: str = "score", bucke
     g = (df.where(s.isNotNull() & ~F.isnan(s))
          .groupBy(s.alias("score"))
          .agg(F.count_if(F.col(label) == 1).alias("tp"), F.count_if(F.col(label) != 1).alias("fp")))
-    g = g.withColumn("_b", F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * F.lit(float(buckets))))
+    g = score_buckets(g, buckets)
     wl = Window.partitionBy("_b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     local = g.withColumn("_ltp", F.sum("tp").over(wl)).withColumn("_lfp", F.sum("fp").over(wl))
     tot = g.groupBy("_b").agg(F.sum("tp").alias("_btp"), F.sum("fp").alias("_bfp"))
