@@ -336,15 +336,28 @@ def trimmed_edges(edges: DataFrame) -> DataFrame:
 
 def cycles_3(edges: DataFrame) -> DataFrame:
     """GR-14: directed 3-cycles a -> b -> c -> a, each listed once from its smallest id.
-    The closing edge is part of the second join's key, so open 3-paths never exist; the
-    ordering predicates (a < b, a < c) run inside the join conditions."""
-    e = trimmed_edges(edges)
-    e1 = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).where(F.col("a") < F.col("b"))
-    e2 = e.select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    p2 = e1.join(e2, "b").where(F.col("a") < F.col("c"))
-    e3 = e.select(F.col("src").alias("c"), F.col("dst").alias("a"))
-    return p2.join(e3, ["c", "a"]).select(F.col("a").alias("node_a"), F.col("b").alias("node_b"),
-                                         F.col("c").alias("node_c"))
+
+    Every cycle u -> v -> w -> u is found exactly once, at its lowest-ranked vertex u
+    (rank = (degree, id)): the wedge pairs u's higher-ranked out-neighbours v with its
+    higher-ranked in-neighbours w, and the closing edge v -> w is part of the join key, so open
+    paths are never kept. A hub has the highest rank, so its neighbour pairs are never formed;
+    the wedge count is bounded by O(m^1.5) rather than the hub's in-degree x out-degree. The
+    cycle is then rotated to start at its smallest id."""
+    e = trimmed_edges(edges).select("src", "dst")
+    deg = (e.select(F.col("src").alias("n")).union(e.select(F.col("dst").alias("n")))
+           .groupBy("n").agg(F.count(F.lit(1)).alias("d")))
+    r = (e.join(deg.select(F.col("n").alias("src"), F.col("d").alias("ds")), "src")
+         .join(deg.select(F.col("n").alias("dst"), F.col("d").alias("dd")), "dst"))
+    up = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
+    out_hi = r.where(up).select(F.col("src").alias("u"), F.col("dst").alias("v"))         # rank(v) > rank(u)
+    in_hi = r.where(~up).select(F.col("dst").alias("u"), F.col("src").alias("w"))         # rank(w) > rank(u)
+    closing = e.select(F.col("src").alias("v"), F.col("dst").alias("w"))
+    cyc = out_hi.join(in_hi, "u").where(F.col("v") != F.col("w")).join(closing, ["v", "w"])
+    m = F.least("u", "v", "w")
+    a = m
+    b = F.when(F.col("u") == m, F.col("v")).when(F.col("v") == m, F.col("w")).otherwise(F.col("u"))
+    c = F.when(F.col("u") == m, F.col("w")).when(F.col("v") == m, F.col("u")).otherwise(F.col("v"))
+    return cyc.select(a.alias("node_a"), b.alias("node_b"), c.alias("node_c"))
 
 
 def cycle_membership(edges: DataFrame, candidates: DataFrame, max_len: int = 4) -> DataFrame:
