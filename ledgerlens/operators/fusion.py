@@ -92,3 +92,9 @@ def top_k_factors(contrib: str = "contributions", k: int = 5):
     return F.transform(top, lambda e: F.struct(
         e["feature"].alias("feature"), C.fixed(e["contribution"], 6).alias("contribution"),
         F.when(e["contribution"] > 0, "increases").otherwise("decreases").alias("direction")))
+
+
+def time_ordered(df: DataFrame, ts: str = "ts", key: str = "tx_id") -> DataFrame:
+    """WIN-8: global order by event time (ties by key) — a range-partitioned sort, each task
+    sorting one contiguous time slice."""
+    return df.orderBy(F.col(ts).asc_nulls_last(), F.col(key))

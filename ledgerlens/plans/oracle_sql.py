@@ -657,3 +657,6 @@ _leak = " UNION ALL ".join(
     f"{fx(f'avg(CAST(abs(CAST(g.{c} AS DOUBLE) - CAST(p.{c} AS DOUBLE)) > 0 AS DOUBLE))', 6)} AS share_changed "
     f"FROM feat g JOIN pitf p ON g.tx_id = p.tx_id" for c in _PROFILE)
 SQL["feature_leak"] = with_tx(_leak, DICTS, SENDER, RECEIVER, FEATURES, PIT, f"pitf AS ({_pit_body})")
+
+SQL["time_ordered"] = with_tx("SELECT tx_id, ts, sender_account, receiver_account FROM tx ORDER BY ts NULLS LAST, tx_id")
+SQL["currency_dictionary"] = with_tx("SELECT value, code FROM cur", DICTS)

@@ -686,3 +686,14 @@ def q_feature_leak(spark, sf):
     wide = j.agg(*aggs)
     stack = ", ".join(f"'{c}', `{c}__d`, `{c}__s`" for c in PROFILE_COLS)
     return wide.selectExpr(f"stack({len(PROFILE_COLS)}, {stack}) AS (feature, mean_abs_diff, share_changed)")
+
+
+@register("time_ordered")
+def q_time_ordered(spark, sf):
+    return FU.time_ordered(tx(spark, sf)).select("tx_id", ntz("ts"), "sender_account", "receiver_account")
+
+
+@register("currency_dictionary")
+def q_currency_dictionary(spark, sf):
+    """AGG-13 + PRJ-11: the shared currency dictionary (value, code)."""
+    return FE.category_dictionary(tx(spark, sf), "payment_currency", "receiving_currency")
