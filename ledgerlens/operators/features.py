@@ -88,14 +88,33 @@ def category_dictionary(df: DataFrame, *cols: str, fill: str | None = None) -> D
 
 def encode_categories(df: DataFrame, max_entries: int = DEFAULT_MAX_ENTRIES) -> DataFrame:
     """PRJ-11/12: one shared currency dictionary for both currency columns, one for formats
-    (missing format -> ``Unknown``); values absent from the dictionary get -1."""
-    cur = category_dictionary(df, "payment_currency", "receiving_currency")
-    fmt = category_dictionary(df, "payment_format", fill=UNKNOWN_FORMAT)
-    out = lookup(df, "payment_currency", cur, "value", "code", "payment_currency_enc", -1, max_entries)
-    out = lookup(out, "receiving_currency", cur, "value", "code", "receiving_currency_enc", -1, max_entries)
-    out = lookup(out, F.coalesce(F.col("payment_format"), F.lit(UNKNOWN_FORMAT)), fmt, "value", "code",
-                 "payment_format_enc", -1, max_entries)
-    return out
+    (missing format -> ``Unknown``); values absent from the dictionary get -1.
+
+    Both dictionaries come from one distinct pass, read only if it holds at most
+    2 * max_entries values, and are applied as literal maps (no join, no shuffle). Codes are
+    the rank in binary string order (the order Spark and the SQL oracle sort by). Beyond the
+    bound the dictionaries stay DataFrames and are joined."""
+    from ledgerlens.operators.lookup import bounded_rows, map_literal
+    vals = (df.select(F.lit("c").alias("k"), F.col("payment_currency").cast("string").alias("v"))
+            .union(df.select(F.lit("c"), F.col("receiving_currency").cast("string")))
+            .union(df.select(F.lit("f"), F.coalesce(F.col("payment_format").cast("string"), F.lit(UNKNOWN_FORMAT))))
+            .where(F.col("v").isNotNull()).distinct())
+    rows = bounded_rows(vals, 2 * max_entries)
+    fmt_key = F.coalesce(F.col("payment_format"), F.lit(UNKNOWN_FORMAT))
+    if rows is None:
+        cur = category_dictionary(df, "payment_currency", "receiving_currency")
+        fmt = category_dictionary(df, "payment_format", fill=UNKNOWN_FORMAT)
+        out = lookup(df, "payment_currency", cur, "value", "code", "payment_currency_enc", -1, 0)
+        out = lookup(out, "receiving_currency", cur, "value", "code", "receiving_currency_enc", -1, 0)
+        return lookup(out, fmt_key, fmt, "value", "code", "payment_format_enc", -1, 0)
+    codes = {}
+    for kind in ("c", "f"):
+        ordered = sorted((r["v"] for r in rows if r["k"] == kind), key=lambda x: x.encode("utf-8"))
+        codes[kind] = map_literal([(v, i) for i, v in enumerate(ordered)])
+    enc = lambda m, c: F.coalesce(F.try_element_at(m, c), F.lit(-1))
+    return (df.withColumn("payment_currency_enc", enc(codes["c"], F.col("payment_currency")))
+              .withColumn("receiving_currency_enc", enc(codes["c"], F.col("receiving_currency")))
+              .withColumn("payment_format_enc", enc(codes["f"], fmt_key)))
 
 
 # --- account aggregates (AGG-1..4) -----------------------------------------------------------
