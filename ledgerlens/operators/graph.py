@@ -334,7 +334,7 @@ def trimmed_edges(edges: DataFrame) -> DataFrame:
              .join(both.withColumnRenamed("n", "dst"), "dst", "left_semi"))
 
 
-def cycles_3(edges: DataFrame) -> DataFrame:
+def cycles_3(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
     """GR-14: directed 3-cycles a -> b -> c -> a, each listed once from its smallest id.
 
     Every cycle u -> v -> w -> u is found exactly once, at its lowest-ranked vertex u
@@ -342,8 +342,11 @@ def cycles_3(edges: DataFrame) -> DataFrame:
     higher-ranked in-neighbours w, and the closing edge v -> w is part of the join key, so open
     paths are never kept. A hub has the highest rank, so its neighbour pairs are never formed;
     the wedge count is bounded by O(m^1.5) rather than the hub's in-degree x out-degree. The
-    cycle is then rotated to start at its smallest id."""
+    cycle is then rotated to start at its smallest id. The trimmed edge set is read four times
+    and is written once (``checkpoint``)."""
     e = trimmed_edges(edges).select("src", "dst")
+    if checkpoint:
+        e = cut_lineage(e)
     deg = (e.select(F.col("src").alias("n")).union(e.select(F.col("dst").alias("n")))
            .groupBy("n").agg(F.count(F.lit(1)).alias("d")))
     r = (e.join(deg.select(F.col("n").alias("src"), F.col("d").alias("ds")), "src")
