@@ -324,23 +324,27 @@ DAY_US = 86_400 * 1_000_000
 
 
 def rolling_window_stats(df: DataFrame, key: str, amount: str, windows: dict[str, int | None],
-                         id_col: str = "tx_id", ts: str = "ts", prefix: str = "") -> DataFrame:
+                         id_col: str = "tx_id", ts: str = "ts", prefix: str = "", split: int = 1) -> DataFrame:
     """Count / exact sum / mean / sample std / max of ``amount`` over rows of the same ``key``
     strictly earlier than each row, for every (name -> width in microseconds) in ``windows``.
 
-    Skew: the window is partitioned by (key, time bucket) with bucket width = the longest
-    window; every row is also copied, as context only, into the next bucket. A hot account is
-    thereby split into as many tasks as it has buckets; no partition holds more than two
-    buckets of one account. A width of None means the whole history (single bucket per key).
+    Skew: the window is partitioned by (key, time bucket) with bucket width = longest window /
+    ``split``; every row is also copied, as context only, into the next ``split`` buckets, which
+    together cover the longest window. A hot account is thereby spread over as many tasks as it
+    has buckets, and ``split`` shrinks each partition further for bursty accounts at the cost of
+    ``split`` context copies per row. A width of None means the whole history (one partition
+    per key; ``history_stats`` is the skew-safe form of that case).
     """
     widths = [w for w in windows.values() if w is not None]
     span = max(widths) if widths and all(w is not None for w in windows.values()) else None
     base = df.select(F.col(id_col).alias("_id"), F.col(key).alias("_k"), F.unix_micros(F.col(ts)).alias("_t"),
                      F.col(amount).cast("double").alias("_x")).where(F.col("_k").isNotNull() & F.col("_t").isNotNull())
     if span is not None:
-        own = base.withColumn("_bkt", F.floor(F.col("_t") / F.lit(span))).withColumn("_target", F.lit(True))
-        ctx = base.withColumn("_bkt", F.floor(F.col("_t") / F.lit(span)) + 1).withColumn("_target", F.lit(False))
-        rows = own.unionByName(ctx)
+        k = max(1, int(split))
+        width = -(-span // k)
+        rows = (base.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(k))))
+                .withColumn("_bkt", F.floor(F.col("_t") / F.lit(width)) + F.col("_j"))
+                .withColumn("_target", F.col("_j") == 0).drop("_j"))
         w0 = Window.partitionBy("_k", "_bkt").orderBy("_t")
     else:
         rows = base.withColumn("_target", F.lit(True))

@@ -174,3 +174,19 @@ def test_history_stats_match_brute_force_across_buckets(spark):
         assert abs(g.s_total_amount - sum(x[4] for x in prev)) < 1e-6
         if len(prev) > 1:
             assert abs(g.s_std_amount - float(np.std([x[4] for x in prev], ddof=1))) < 1e-3
+
+
+def test_rolling_split_buckets_same_result(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    base = datetime(2024, 1, 1)
+    rows = [(f"t{i:03d}", base + timedelta(minutes=int(m)), "HOT", float(v))
+            for i, (m, v) in enumerate(zip(rng.integers(0, 60 * 24 * 20, 300), np.round(rng.random(300) * 50, 2)))]
+    df = spark.createDataFrame(rows, "tx_id string, ts timestamp, sender_account string, amount_paid double")
+    w = {"1d": FE.DAY_US, "7d": 7 * FE.DAY_US}
+    a = {r.tx_id: tuple(r)[1:] for r in FE.rolling_window_stats(df, "sender_account", "amount_paid", w).collect()}
+    b = {r.tx_id: tuple(r)[1:] for r in FE.rolling_window_stats(df, "sender_account", "amount_paid", w, split=5).collect()}
+    assert a == b and len(a) == 300
+    t0 = rows[150]
+    prev = [x for x in rows if x[1] < t0[1] and x[1] >= t0[1] - timedelta(days=7)]
+    assert a[t0[0]][5] == len(prev)
