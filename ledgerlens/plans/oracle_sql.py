@@ -554,20 +554,23 @@ FROM (SELECT count(*) AS n_features, count(*) FILTER (WHERE drifted) AS n_drifte
 
 # --- streaming -------------------------------------------------------------------------------------
 
-_ES = "least(value / CAST(500 AS DOUBLE), CAST(1 AS DOUBLE))"
+_ES = "least(value / (CAST(10 AS DOUBLE) * m.mean_amount), CAST(1 AS DOUBLE))"
+_EVJ = f"""events JOIN (SELECT user_id AS uid,
+       {fx('CAST(sum(CAST(value AS DECIMAL(20,6))) AS DOUBLE) / count(*)', 6)} AS mean_amount
+       FROM events GROUP BY user_id) m ON events.user_id = m.uid"""
 SQL["stream_scores"] = f"""
 SELECT CAST(event_id AS VARCHAR) AS tx_id, {fx(_ES, 6)} AS fused_score, {_ES} >= CAST(0.5 AS DOUBLE) AS is_fraud
-FROM events"""
+FROM {_EVJ}"""
 
 SQL["stream_alerts"] = f"""
-SELECT CAST(event_id AS VARCHAR) AS tx_id, {fx(_ES, 6)} AS fused_score FROM events
+SELECT CAST(event_id AS VARCHAR) AS tx_id, {fx(_ES, 6)} AS fused_score FROM {_EVJ}
 WHERE {_ES} >= CAST(0.5 AS DOUBLE)"""
 
 SQL["stream_counters"] = f"""
 SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS total_scored,
        count(*) FILTER (WHERE {_ES} >= CAST(0.5 AS DOUBLE)) AS total_flagged, CAST(0 AS BIGINT) AS errors,
        {fx(f'CAST(count(*) FILTER (WHERE {_ES} >= CAST(0.5 AS DOUBLE)) AS DOUBLE) / CAST(greatest(count(*), 1) AS DOUBLE)', 6)} AS flagged_rate
-FROM events GROUP BY 1"""
+FROM {_EVJ} GROUP BY 1"""
 
 _RW = "(PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 SQL["account_running_state"] = f"""

@@ -495,12 +495,22 @@ def events_stream(spark, sf, max_files: int | None = None):
 
 
 def _event_score():
-    return F.least(F.col("amount_paid") / F.lit(500.0), F.lit(1.0))
+    """Amount relative to ten times the sender's mean amount (from the static profile table)."""
+    return F.least(F.col("amount_paid") / (F.lit(10.0) * F.col("sender_mean_amount")), F.lit(1.0))
+
+
+def event_profiles(spark, sf):
+    """Account profiles of the event table, stored once; the stream joins them stream-static."""
+    ev = SRC.events_as_transactions(spark, sf)
+    s = stored(spark, sf, "event-sender-profile", lambda: FE.sender_profile(ev))
+    r = stored(spark, sf, "event-receiver-profile", lambda: FE.receiver_profile(ev))
+    return s, r
 
 
 def scored_stream(spark, sf):
-    f = ST.online_features(events_stream(spark, sf), {"USD": 0}).withColumn("_s", _event_score())
-    return ST.score_stream(f, tabular_score="_s")
+    s, r = event_profiles(spark, sf)
+    f = ST.online_features(events_stream(spark, sf), {"USD": 0}, sender_profile=s, receiver_profile=r)
+    return ST.score_stream(f.withColumn("_s", _event_score()), tabular_score="_s")
 
 
 @register("stream_scores")
