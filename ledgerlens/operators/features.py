@@ -303,7 +303,7 @@ def _ranked_in_buckets(df: DataFrame, group: list[str], order: Column, key: str,
 
 
 def stratified_split(df: DataFrame, test_frac: float = 0.2, seed: int = 42, key: str = "tx_id",
-                     label: str = "label", bucket_hex: int = 3) -> DataFrame:
+                     label: str = "label", bucket_hex: int = 4) -> DataFrame:
     """WIN-3: per label, the first ceil(frac * n_label) rows in seeded-hash order are test."""
     r = _ranked_in_buckets(df, [label], _hash_order(seed, key), key, bucket_hex)
     return r.withColumn("is_test", (F.col("_rank") <= F.ceil(F.col("_n") * F.lit(float(test_frac)))).cast("int")) \
@@ -311,7 +311,7 @@ def stratified_split(df: DataFrame, test_frac: float = 0.2, seed: int = 42, key:
 
 
 def random_split(df: DataFrame, test_frac: float = 0.2, seed: int = 7, key: str = "tx_id",
-                 bucket_hex: int = 3) -> DataFrame:
+                 bucket_hex: int = 4) -> DataFrame:
     """WIN-4: floor(frac * m) rows in seeded-hash order are test, no stratification."""
     r = _ranked_in_buckets(df, [], _hash_order(seed, key), key, bucket_hex)
     return r.withColumn("is_test", (F.col("_rank") <= F.floor(F.col("_n") * F.lit(float(test_frac)))).cast("int")) \
