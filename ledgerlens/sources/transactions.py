@@ -89,11 +89,18 @@ def resolve_label(df: DataFrame, strict: bool = True) -> DataFrame:
     return df.withColumn("label", F.lit(0))
 
 
+# Timestamp layouts tried, in order, when no format is given (ISO first, then the bank export's).
+TIME_FORMATS = ["yyyy/MM/dd HH:mm", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd"]
+
+
 def parse_event_time(c: Column, kind: str = "timestamp", fmt: str | None = None) -> Column:
-    """SRC-6: event time from text. ``timestamp`` parses (optionally with ``fmt``);
-    ``day_number`` treats the value as whole days since 1970-01-01 (hour 0)."""
+    """SRC-6: event time from text. ``timestamp`` parses with ``fmt``, or else ISO and then the
+    layouts in ``TIME_FORMATS``; ``day_number`` treats the value as whole days since
+    1970-01-01 (hour 0). Unparsable text gives NULL (no exception path)."""
     if kind == "timestamp":
-        return F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
+        if fmt:
+            return F.try_to_timestamp(c, F.lit(fmt))
+        return F.coalesce(F.try_to_timestamp(c), *[F.try_to_timestamp(c, F.lit(f)) for f in TIME_FORMATS])
     if kind == "day_number":
         days = c.cast("string").try_cast("double").cast("long")
         return F.timestamp_seconds(days * F.lit(86400))

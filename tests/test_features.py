@@ -134,8 +134,8 @@ def test_read_transactions_csv_by_position(spark, tmp_path):
                  "2022/09/01 00:20,10,8000EBD30,10,8000EBD30,3697.34,US Dollar,3697.34,US Dollar,Reinvestment,0\n"
                  "2022/09/01 00:20,3208,8000F4580,1,8000F5340,abc,US Dollar,0.01,US Dollar,Cheque,1\n")
     df = SRC.read_transactions(spark, str(p), time_kind="timestamp", fmt="csv")
-    df = df.withColumn("ts", SRC.parse_event_time(F.lit("2022/09/01 00:20"), "timestamp", "yyyy/MM/dd HH:mm"))
     r = df.orderBy("label").collect()
+    assert r[0].ts == datetime(2022, 9, 1, 0, 20)
     assert r[0].sender_account == "8000EBD30" and r[1].receiver_account == "8000F5340"
     assert r[1].amount_received == 0.0 and r[1].label == 1
     summary = SRC.label_summary(df).first()
