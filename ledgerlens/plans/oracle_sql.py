@@ -663,3 +663,23 @@ SQL["feature_leak"] = with_tx(_leak, DICTS, SENDER, RECEIVER, FEATURES, PIT, f"p
 
 SQL["time_ordered"] = with_tx("SELECT tx_id, ts, sender_account, receiver_account FROM tx ORDER BY ts NULLS LAST, tx_id")
 SQL["currency_dictionary"] = with_tx("SELECT value, code FROM cur", DICTS)
+
+
+def _roll_side(prefix: str, key: str, amount: str, name: str, days: int) -> str:
+    w = (f"(PARTITION BY {key} ORDER BY ts RANGE BETWEEN INTERVAL {days} DAY PRECEDING "
+         "AND INTERVAL 1 MICROSECOND PRECEDING)")
+    s = f"CAST(sum(CAST({amount} AS DECIMAL(20,6))) OVER {w} AS DOUBLE)"
+    return f"""count({amount}) OVER {w} AS {prefix}cnt_{name},
+       {fx(f'coalesce({s}, 0)', 4)} AS {prefix}sum_{name},
+       {fx(f'coalesce({s} / CAST(count({amount}) OVER {w} AS DOUBLE), 0)', 6)} AS {prefix}mean_{name},
+       {fx(f'coalesce(stddev_samp({amount}) OVER {w}, 0)', 4)} AS {prefix}std_{name},
+       coalesce(max({amount}) OVER {w}, 0) AS {prefix}max_{name}"""
+
+
+SQL["rolling_account"] = with_tx(f"""
+SELECT tx_id,
+       {_roll_side('sender_', 'sender_account', 'amount_paid', '7d', 7)},
+       {_roll_side('sender_', 'sender_account', 'amount_paid', '30d', 30)},
+       {_roll_side('receiver_', 'receiver_account', 'amount_received', '7d', 7)},
+       {_roll_side('receiver_', 'receiver_account', 'amount_received', '30d', 30)}
+FROM tx""")

@@ -707,3 +707,9 @@ def q_time_ordered(spark, sf):
 def q_currency_dictionary(spark, sf):
     """AGG-13 + PRJ-11: the shared currency dictionary (value, code)."""
     return FE.category_dictionary(tx(spark, sf), "payment_currency", "receiving_currency")
+
+
+@register("rolling_account")
+def q_rolling_account(spark, sf):
+    """WIN-1 on both ends of every transaction: 7- and 30-day strictly-earlier windows."""
+    return FE.rolling_account_features(tx(spark, sf), {"7d": 7 * FE.DAY_US, "30d": 30 * FE.DAY_US})
