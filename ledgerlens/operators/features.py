@@ -10,7 +10,6 @@ its measured size is small and otherwise sort-merges with skew-join splitting of
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -365,25 +364,11 @@ def rolling_window_stats(df: DataFrame, key: str, amount: str, windows: dict[str
     return out.withColumnRenamed("_id", id_col)
 
 
-def rolling_account_features(df: DataFrame, windows: dict[str, int | None] | None = None) -> DataFrame:
-    """WIN-1 for both ends of each transaction (sender paid / receiver received), keyed by tx_id.
-
-    With ``windows={'all': None}`` the columns are named like the global profile columns, so
-    they replace AGG-1/2 with their leak-free, strictly-earlier counterparts."""
+def rolling_account_features(df: DataFrame, windows: dict[str, int | None] | None = None, split: int = 1) -> DataFrame:
+    """WIN-1 for both ends of each transaction (sender: paid, receiver: received), keyed by
+    tx_id, over strictly earlier transfers inside each window. Whole-history statistics with
+    distinct counterparties are ``history_stats`` / ``engineer_features(point_in_time=True)``."""
     windows = windows or {"1d": DAY_US, "7d": 7 * DAY_US, "30d": 30 * DAY_US}
-    s = rolling_window_stats(df, "sender_account", "amount_paid", windows, prefix="sender_")
-    r = rolling_window_stats(df, "receiver_account", "amount_received", windows, prefix="receiver_")
-    out = s.join(r, "tx_id", "full")
-    if list(windows) == ["all"]:
-        out = out.select(
-            "tx_id",
-            F.col("sender_cnt_all").alias("sender_tx_count"),
-            F.col("sender_sum_all").alias("sender_total_amount"),
-            F.col("sender_mean_all").alias("sender_mean_amount"),
-            F.col("sender_std_all").alias("sender_std_amount"),
-            F.col("receiver_cnt_all").alias("receiver_tx_count"),
-            F.col("receiver_sum_all").alias("receiver_total_amount"),
-            F.col("receiver_mean_all").alias("receiver_mean_amount"),
-            F.lit(0).cast("long").alias("sender_receiver_diversity"),
-            F.lit(0).cast("long").alias("receiver_sender_diversity"))
-    return out
+    s = rolling_window_stats(df, "sender_account", "amount_paid", windows, prefix="sender_", split=split)
+    r = rolling_window_stats(df, "receiver_account", "amount_received", windows, prefix="receiver_", split=split)
+    return s.join(r, "tx_id", "full")
