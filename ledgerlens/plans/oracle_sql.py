@@ -683,3 +683,11 @@ SELECT tx_id,
        {_roll_side('receiver_', 'receiver_account', 'amount_received', '7d', 7)},
        {_roll_side('receiver_', 'receiver_account', 'amount_received', '30d', 30)}
 FROM tx""")
+
+SQL["account_velocity"] = f"""
+SELECT 'USR_' || CAST(user_id AS VARCHAR) AS account_id, ws AS window_start, ws + INTERVAL 1 HOUR AS window_end,
+       count(*) AS n_tx, {fx('sum(value)', 4)} AS amount, count(DISTINCT event_type) AS n_counterparties
+FROM (SELECT user_id, event_type, value,
+             time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01') - j * INTERVAL 10 MINUTE AS ws
+      FROM events, range(6) r(j)) q
+GROUP BY 1, 2"""
