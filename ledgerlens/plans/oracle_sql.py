@@ -691,3 +691,21 @@ FROM (SELECT user_id, event_type, value,
              time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01') - j * INTERVAL 10 MINUTE AS ws
       FROM events, range(6) r(j)) q
 GROUP BY 1, 2"""
+
+_OK = "value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value)"
+SQL["drift_microbatch"] = f"""
+WITH refv AS (SELECT value FROM events WHERE ts < TIMESTAMP '2024-01-15' AND {_OK}),
+curv AS (SELECT value FROM events WHERE {_OK}),
+st AS (SELECT min(value) AS mn, max(value) AS mx, count(*) AS n_ref FROM refv),
+ed AS (SELECT lo, hi, n_ref, (hi - lo) / CAST(10 AS DOUBLE) AS step FROM (
+         SELECT n_ref, CASE WHEN mn = mx THEN mn - CAST(0.5 AS DOUBLE) ELSE mn END AS lo,
+                CASE WHEN mn = mx THEN mx + CAST(0.5 AS DOUBLE) ELSE mx END AS hi FROM st) q),
+rb AS (SELECT {_bin} AS bin, count(*) AS r_n FROM refv, ed WHERE value >= lo AND value <= hi GROUP BY 1),
+cb AS (SELECT {_bin} AS bin, count(*) AS c_n FROM curv, ed WHERE value >= lo AND value <= hi GROUP BY 1),
+nc AS (SELECT count(*) AS n_cur FROM curv),
+pt AS (SELECT (CAST(coalesce(rb.r_n, 0) AS DOUBLE) + 1e-10) / (CAST(ed.n_ref AS DOUBLE) + 1e-10) AS r,
+              (CAST(coalesce(cb.c_n, 0) AS DOUBLE) + 1e-10) / (CAST(nc.n_cur AS DOUBLE) + 1e-10) AS c
+       FROM ed CROSS JOIN nc CROSS JOIN range(10) b(bin)
+       LEFT JOIN rb ON rb.bin = b.bin LEFT JOIN cb ON cb.bin = b.bin)
+SELECT 'amount_paid' AS feature, {fx('sum((c - r) * ln(c / r))', 4)} AS psi,
+       sum((c - r) * ln(c / r)) > CAST(0.2 AS DOUBLE) AS drifted FROM pt"""
