@@ -107,3 +107,12 @@ def test_fraud_nodes_and_edge_score(spark):
     sc = spark.createDataFrame([("A", 1.0), ("B", 0.5), ("C", 0.0)], "account_id string, score double")
     es = {r.tx_id: r.edge_score for r in GR.edge_score(t, sc).collect()}
     assert es == {"E00000": 0.75, "E00001": 0.25}
+
+
+def test_ordered_index_across_partitions(spark):
+    import random
+    random.seed(3)
+    ids = [f"ACC_{random.randrange(10**6)}" for _ in range(700)]
+    df = spark.createDataFrame([(i,) for i in ids], "account_id string")
+    got = {r.account_id: r.idx for r in GR.ordered_index(df, "account_id", partitions=7).collect()}
+    assert got == {v: i for i, v in enumerate(sorted(set(ids)))}
