@@ -67,11 +67,14 @@ def run_training(spark: SparkSession, tx: DataFrame, out_dir: str | None = None,
         scored = scored.withColumn("gnn_score", F.lit(None).cast("double"))
     scored = materialize(FU.fuse(scored, tabular_weight=tabular_weight, threshold=threshold), "scored-test")
     cmp = EV.compare_models(scored, {"tabular": "tabular_score", "graph": "gnn_score", "fused": "fused_score"})
-    balance = FE.class_balance(train).first()
+    st = data.agg(F.count_if(F.col("is_test") == 0).alias("n_train"), F.count_if(F.col("is_test") == 1).alias("n_test"),
+                  F.count_if((F.col("is_test") == 0) & (F.col("label") == 1)).alias("p_train")).first()   # one pass
+    n_train, p_train = int(st["n_train"]), int(st["p_train"])
     summary = {
-        "train_size": train.count(), "test_size": test.count(),
-        "fraud_rate_train": float(train.agg(F.avg(F.col("label").cast("double"))).first()[0] or 0.0),
-        "pos_weight": float(balance["pos_weight"]), "tabular_weight": tabular_weight, "threshold": threshold,
+        "train_size": n_train, "test_size": int(st["n_test"]),
+        "fraud_rate_train": p_train / n_train if n_train else 0.0,
+        "pos_weight": round((n_train - p_train) / max(p_train, 1), 6), "tabular_weight": tabular_weight,
+        "threshold": threshold,
     }
     result = {"models": models, "scored": scored, "comparison": cmp, "summary": summary}
     if out_dir:
