@@ -252,6 +252,23 @@ def fit(words: DataFrame, documents: int, path: str, rounds: int, top: list[tupl
     return logp, {w: (k, q) for k, (w, q) in enumerate(zip(names, logq.tolist()))}
 
 
+def frequent_words(words: DataFrame, most: int) -> list[tuple[str, int]]:
+    """The words of the highest counts, ``most`` at most: whole classes of counts (eighths of a doubling),
+    so that only the words taken and one line a class reach the driver."""
+    level = F.floor(F.log2("c") * 8)
+    classes = words.filter("c > 0").groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    taken, least = 0, None
+    for r in sorted(classes, key=lambda r: -r["level"]):
+        taken += r["n"]
+        if taken > most:
+            break
+        least = r["level"]
+    if least is None:
+        return []
+    found = words.filter((F.col("c") > 0) & (level >= F.lit(least))).select("word", "c").collect()
+    return sorted(((r["word"], r["c"]) for r in found), key=lambda x: (-x[1], x[0]))
+
+
 def score(docs: DataFrame, training: Column, path: str, rounds: int = ROUNDS, frequent: int = FREQUENT) -> DataFrame:
     """Every document's base score (add-half unigram words) and lattice score, both log10.
 
@@ -262,7 +279,7 @@ def score(docs: DataFrame, training: Column, path: str, rounds: int = ROUNDS, fr
     ends = docs.filter("t").count()
     # the end is a token of the base model and counts as one of its words
     total, kinds = int(n_train) + ends, int(distinct) + (1 if ends else 0)
-    listed = [(r["word"], r["c"]) for r in words.filter("c > 0").orderBy(F.desc("c"), "word").limit(frequent).collect()]
+    listed = frequent_words(words, frequent)
     top = {w.encode(): c for w, c in listed}
     logp, whole = fit(words, ends, path, rounds, listed)
     floor = math.log10(total + 0.5 * (kinds + 1))
