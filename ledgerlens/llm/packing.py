@@ -92,7 +92,7 @@ def served_after(n: int, totals: np.ndarray, weights: np.ndarray) -> np.ndarray:
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if due_by(mid).sum() < n else (low, mid)
-    served = due_by(low)
+    served = np.maximum(due_by(low) - 1, 0)      # one back: the last ones are taken in exact order below
     key = lambda s: ((2 * int(served[s]) + 1) / (2 * float(weights[s])), s)
     heap = [key(s) for s in range(len(totals)) if served[s] < totals[s]]
     heapq.heapify(heap)

@@ -3,8 +3,8 @@
 The base finds e-mail addresses, IP addresses, payment cards and phone numbers by pattern and checks
 (a match that fails its check is dropped). The random field labels the words around digits, @ and +
 with these kinds from features of each word's shape, ends and length and of its neighbours' shapes,
-and is decoded by Viterbi in numpy batches. What it finds is added where no base match, kept or
-dropped, lies.
+and is decoded by Viterbi in numpy batches. What it finds is added where no base match lies; inside
+a match that the base dropped (a card run together with the next number), only if it passes the check.
 
 It is trained in numpy on a small table of word windows that the base labels, from about SAMPLE
 documents (those with the smallest hash) and MAX_WINDOWS windows at most: the documented bound of this
@@ -278,8 +278,7 @@ def added_spans(texts: list[str], bases: list, field: Field) -> list[list[tuple[
     # a window whose marked words all lie in matches has nothing to add
     todo = []
     for k, run in runs:
-        spans, dropped = bases[k]
-        taken = [(s, e) for _, s, e in spans] + dropped
+        taken = [(s, e) for _, s, e in bases[k][0]]
         if any(_MARKED.search(texts[k][a:b]) and not any(s < b and a < e for s, e in taken) for a, b in run):
             todo.append((k, run, taken))
     if not todo:
@@ -300,7 +299,9 @@ def added_spans(texts: list[str], bases: list, field: Field) -> list[list[tuple[
                 b -= 1
             while a < b and texts[k][a] in "\"'(":
                 a += 1
-            if b > a and _MARKED.search(texts[k], a, b) and not any(s < b and a < x for s, x in taken):
+            again = any(s < b and a < x for s, x in bases[k][1])      # in what the base dropped: only if it passes now
+            fits = not again or PATTERNS[kind].fullmatch(texts[k], a, b) and passes(kind, texts[k][a:b])
+            if b > a and fits and _MARKED.search(texts[k], a, b) and not any(s < b and a < x for s, x in taken):
                 out[k].append((kind, a, b))
                 taken.append((a, b))
             j = e
