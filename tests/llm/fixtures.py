@@ -16,7 +16,7 @@ def rows(n=60, seed=1):
         if i % 10 == 4:
             t = t.replace(" ", " idiot ", 2) + ". You scum!\nworthless"
         if i % 10 == 7:
-            t += " mail bob.42@mail8.example.com or +1 (988) 555-2485, 42.144.35.254 4041894974608795, 999.1.1.1"
+            t += " mail bob.42@mail8.example.com or +1 (988) 555-2485, 42.144.35.254, 4041894974608795, 999.1.1.1"
         out.append((i, t, "de" if i % 3 == 0 else "en", "hot" if i % 2 else f"s{i % 7}", len(t)))
     return out
 
