@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import columns as C
-from ledgerlens.operators.lookup import DEFAULT_MAX_ENTRIES, lookup
+from ledgerlens.operators.lookup import DEFAULT_MAX_ENTRIES, lookup, null_safe_join
 
 # Model feature names and order (must equal the reference's).
 FEATURE_COLUMNS = [
@@ -296,7 +296,7 @@ def _ranked_in_buckets(df: DataFrame, group: list[str], order: Column, key: str,
         F.coalesce(F.sum("_c").over(wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         .alias("_off"),
         F.sum("_c").over(wg).alias("_n"))
-    return (local.join(F.broadcast(offsets), keys)
+    return (null_safe_join(local, F.broadcast(offsets), keys)
             .withColumn("_rank", F.col("_off") + F.col("_r"))
             .drop("_b", "_r", "_off"))
 

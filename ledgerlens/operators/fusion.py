@@ -46,8 +46,12 @@ def fuse_equal(df: DataFrame, tabular: str = "tabular_score", graph: str = "gnn_
 
 
 def flag(df: DataFrame, score: str = "fused_score", threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """FLT-1: rows at or above the threshold (inclusive)."""
-    return df.where(F.col(score) >= F.lit(float(threshold)))
+    """FLT-1: rows at or above the threshold (inclusive). Rows that ``fuse`` scored carry its decision on
+    the unrounded score; it is taken over where the threshold is the one they were fused with."""
+    above = F.col(score) >= F.lit(float(threshold))
+    if score == "fused_score" and {"is_fraud", "threshold"} <= set(df.columns):
+        above = F.when(F.col("threshold") == F.lit(float(threshold)), F.col("is_fraud")).otherwise(above)
+    return df.where(above)
 
 
 def min_risk(df: DataFrame, x: float, score: str = "fused_score") -> DataFrame:

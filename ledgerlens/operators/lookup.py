@@ -40,3 +40,10 @@ def lookup(df: DataFrame, key: Column | str, table: DataFrame, table_key: str, t
     t = table.select(F.col(table_key).alias(f"__lk_{out}"), F.col(table_value).alias(f"__lv_{out}"))
     j = df.join(t, key_col == F.col(f"__lk_{out}"), "left")
     return j.withColumn(out, F.coalesce(F.col(f"__lv_{out}"), dflt)).drop(f"__lk_{out}", f"__lv_{out}")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which a null key meets a null key; the keys of ``left`` stay."""
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}" if c in keys else c) for c in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, on).drop(*[f"_right_{k}" for k in keys])

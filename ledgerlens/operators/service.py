@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import columns as C
+from ledgerlens.operators.lookup import null_safe_join
 from ledgerlens.session import cut_lineage
 
 DEFAULT_BUCKETS = 4096
@@ -52,7 +53,7 @@ def exact_quantile(df: DataFrame, value: str, q: float = 0.99, by: list[str] | N
     rng = rng.select(*keys, "_lo", "_hi", F.least(F.floor(F.lit(float(q)) * F.col("_n").cast("double")) + 1,
                                                   F.col("_n")).alias("_k"))
     for _ in range(levels):
-        cand = vc.join(rng, keys).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        cand = null_safe_join(vc, rng, keys).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
         width = F.col("_hi") - F.col("_lo")
         cand = cand.withColumn("_b", F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width
                                                                         * F.lit(float(buckets))), F.lit(buckets - 1)))
@@ -63,7 +64,7 @@ def exact_quantile(df: DataFrame, value: str, q: float = 0.99, by: list[str] | N
         bc = bc.withColumn("_off", F.coalesce(F.sum("_bc").over(wo), F.lit(0)))
         rng = bc.where((F.col("_off") < F.col("_k")) & (F.col("_k") <= F.col("_off") + F.col("_bc"))).select(
             *keys, F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"), (F.col("_k") - F.col("_off")).alias("_k"))
-    last = vc.join(rng, keys).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    last = null_safe_join(vc, rng, keys).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
     wr = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = last.withColumn("_cum", F.sum("_c").over(wr))
     hit = ranked.where((F.col("_cum") >= F.col("_k")) & (F.col("_cum") - F.col("_c") < F.col("_k")))

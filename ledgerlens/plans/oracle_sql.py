@@ -317,7 +317,7 @@ LEFT JOIN (SELECT s.seed, count(*) AS n_edges,
                   CAST(sum(CAST((se.src = al.sender_account AND se.dst = al.receiver_account) OR coalesce(se.label, 0) = 1 AS INTEGER)) AS BIGINT) AS n_highlight
            FROM se JOIN nodes s ON se.src = s.node JOIN nodes d ON d.seed = s.seed AND se.dst = d.node
            JOIN alerts al ON al.tx_id = s.seed GROUP BY s.seed) e ON n.seed = e.seed""", SE, """
-alerts AS (SELECT tx_id, sender_account, receiver_account FROM tx WHERE label = 1 ORDER BY ts DESC, tx_id DESC LIMIT 50),
+alerts AS (SELECT tx_id, sender_account, receiver_account FROM tx WHERE label = 1),
 und AS (SELECT src AS a, dst AS b FROM se UNION SELECT dst, src FROM se),
 ends AS (SELECT DISTINCT seed, node FROM (SELECT tx_id AS seed, sender_account AS node FROM alerts
                                           UNION ALL SELECT tx_id, receiver_account FROM alerts) q
@@ -429,7 +429,7 @@ SQL["fuse_equal"] = with_tx(FUSE_OUT, _fused(0.5))
 
 SQL["alerts"] = with_tx("""
 SELECT tx_id, fused_score, CASE WHEN coalesce(fused_score, 0) >= CAST(0.7 AS DOUBLE) THEN 'FRAUD' ELSE 'SUSPICIOUS' END AS status
-FROM fu WHERE fused_score >= CAST(0.5 AS DOUBLE)""", _fused(0.6))
+FROM fu WHERE is_fraud""", _fused(0.6))
 
 SQL["status_band"] = with_tx("""
 SELECT left(tx_id, 12) AS transaction, left(sender_account, 12) AS sender, left(receiver_account, 12) AS receiver,
@@ -438,7 +438,7 @@ SELECT left(tx_id, 12) AS transaction, left(sender_account, 12) AS sender, left(
 FROM fu WHERE coalesce(fused_score, 0) >= CAST(0.6 AS DOUBLE)""", _fused(0.6))
 
 SQL["recent_alerts"] = with_tx("""
-SELECT tx_id, ts, fused_score FROM fu WHERE fused_score >= CAST(0.5 AS DOUBLE)
+SELECT tx_id, ts, fused_score FROM fu WHERE is_fraud
 ORDER BY ts DESC NULLS LAST, tx_id DESC LIMIT 50""", _fused(0.6))
 
 SQL["last_n"] = with_tx("SELECT tx_id, ts, sender_account FROM tx ORDER BY ts DESC NULLS LAST, tx_id DESC LIMIT 1000")
@@ -615,8 +615,7 @@ FROM c LEFT JOIN (
                                      JOIN e e3 ON e3.src = e2.dst AND e3.dst = c.s) p ON p.tx_id = c.tx_id
 GROUP BY c.tx_id, c.s, c.d""", SE, """
 e AS (SELECT DISTINCT src, dst FROM se WHERE src <> dst),
-c AS (SELECT tx_id, sender_account AS s, receiver_account AS d FROM tx WHERE label = 1
-      ORDER BY ts DESC, tx_id DESC LIMIT 50)""")
+c AS (SELECT tx_id, sender_account AS s, receiver_account AS d FROM tx WHERE label = 1)""")
 
 
 # --- point-in-time feature table ------------------------------------------------------------------

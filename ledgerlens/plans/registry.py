@@ -175,7 +175,6 @@ def q_rolling_features(spark, sf):
 from ledgerlens.operators import graph as GR  # noqa: E402
 
 EGO_SEEDS = 10      # top-k report: accounts with the most fraud-labelled transfers
-ALERT_FEED = 50     # the analyst feed: most recent alerts
 
 
 def graph_edges(spark, sf):
@@ -245,15 +244,15 @@ def q_node_role(spark, sf):
     return GR.node_roles(nodes, sub, seeds, flag_col="seed")
 
 
-def recent_fraud(t: DataFrame, n: int) -> DataFrame:
-    return t.where(F.col("label") == 1).orderBy(F.col("ts").desc(), F.col("tx_id").desc()).limit(n)
+def all_fraud(t: DataFrame) -> DataFrame:
+    return t.where(F.col("label") == 1)
 
 
 @register("alert_neighbourhood")
 def q_alert_neighbourhood(spark, sf):
     t = tx(spark, sf)
     e = graph_edges(spark, sf)
-    nodes, sub = GR.alert_neighbourhood(e, recent_fraud(t, ALERT_FEED))
+    nodes, sub = GR.alert_neighbourhood(e, all_fraud(t))
     n = nodes.groupBy("seed").agg(F.count(F.lit(1)).alias("n_nodes"))
     s = sub.groupBy("seed").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("highlight").cast("long").alias("n_highlight"))
     return n.join(s, "seed", "left").select(F.col("seed").alias("tx_id"), "n_nodes", "n_edges", "n_highlight")
@@ -665,7 +664,7 @@ def q_edge_index(spark, sf):
 @register("cycle_check")
 def q_cycle_check(spark, sf):
     t = tx(spark, sf)
-    cand = recent_fraud(t, ALERT_FEED).select(F.col("tx_id").alias("cand_id"), F.col("sender_account").alias("src"),
+    cand = all_fraud(t).select(F.col("tx_id").alias("cand_id"), F.col("sender_account").alias("src"),
                                               F.col("receiver_account").alias("dst"))
     r = GR.cycle_membership(graph_edges(spark, sf), cand, max_len=4)
     return r.select(F.col("cand_id").alias("tx_id"), "src", "dst", "in_cycle",

@@ -49,8 +49,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when it is unset (local tests) a private folder under the system temp dir is
-    created and registered, so written lineage cuts work everywhere.
+    On a local master (tests) a private folder under the system temp dir stands in for an unset one.
+    On a cluster executors do not share such a folder, so an unset one is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -60,6 +60,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001 - no SparkContext on a Connect session
         sc = None
     if not d:
+        if sc is None or not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and sc.getCheckpointDir() is None:

@@ -8,7 +8,7 @@ The canonical transaction table has one row per transfer:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,7 +73,24 @@ def read_transactions(spark: SparkSession, path: str, fmt: str = "csv", time_kin
         "payment_currency", "payment_format",
         F.col("label_raw").alias("label"),
     )
-    return resolve_label(df, strict=strict_label)
+    return resolve_label(number_equal_rows(df), strict=strict_label)
+
+
+def number_equal_rows(df: DataFrame, key: str = "tx_id") -> DataFrame:
+    """Make ``key``, a digest of the row, unique: the k-th of equal rows (k > 1) gets ``-k`` behind it.
+
+    Rows are numbered within their input partition and shifted by the counts of the partitions
+    before, so a row that is repeated very often is spread over as many tasks as it has partitions.
+    Equal rows may change places when a task is run again, which changes no row."""
+    part = df.withColumn("_part", F.spark_partition_id())
+    local = part.withColumn("_k", F.row_number().over(Window.partitionBy(key, "_part").orderBy(key)))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (part.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+             .select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    k = F.col("_before") + F.col("_k")
+    return (local.join(shift, [key, "_part"])
+            .withColumn(key, F.when(k > 1, F.concat(key, F.lit("-"), k.cast("string"))).otherwise(F.col(key)))
+            .select(*df.columns))
 
 
 def resolve_label(df: DataFrame, strict: bool = True) -> DataFrame:
