@@ -240,10 +240,20 @@ def ego_nodes(edges: DataFrame, seeds: DataFrame, hops: int = 2, seed_col: str =
 
 
 def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges of ``edges`` with both ends inside the same seed's node set: (seed, src, dst, ...)."""
+    """Edges of ``edges`` with both ends inside the same seed's node set: (seed, src, dst, ...).
+
+    An edge is expanded from the end that lies in fewer node sets, and kept where the other end is
+    in the same set; a hub that is near every seed is so never multiplied by all of them."""
     n = nodes.select("seed", "node")
-    j = edges.join(n.withColumnRenamed("node", "src"), "src")
-    return j.join(n.withColumnRenamed("node", "dst"), ["seed", "dst"], "left_semi")
+    sets = n.groupBy("node").agg(F.count(F.lit(1)).alias("_sets"))
+    e = (edges.join(sets.select(F.col("node").alias("src"), F.col("_sets").alias("_ns")), "src")
+         .join(sets.select(F.col("node").alias("dst"), F.col("_sets").alias("_nd")), "dst"))
+    out = None
+    for near, far, fewer in (("src", "dst", F.col("_ns") <= F.col("_nd")), ("dst", "src", F.col("_ns") > F.col("_nd"))):
+        j = (e.where(fewer).join(n.withColumnRenamed("node", near), near)
+             .join(n.withColumnRenamed("node", far), ["seed", far], "left_semi").select("seed", *edges.columns))
+        out = j if out is None else out.unionByName(j)
+    return out
 
 
 def ego_subgraph(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -174,7 +174,6 @@ def q_rolling_features(spark, sf):
 
 from ledgerlens.operators import graph as GR  # noqa: E402
 
-EGO_SEEDS = 10      # top-k report: accounts with the most fraud-labelled transfers
 
 
 def graph_edges(spark, sf):
@@ -183,7 +182,10 @@ def graph_edges(spark, sf):
 
 
 def _ego_seeds(t: DataFrame) -> DataFrame:
-    return GR.top_accounts_by(t, F.col("label") == 1, EGO_SEEDS)
+    """Every repeat sender of fraud-labelled transfers (two or more)."""
+    n = t.where((F.col("label") == 1) & F.col("sender_account").isNotNull()).groupBy(
+        F.col("sender_account").alias("seed")).agg(F.count(F.lit(1)).alias("n"))
+    return n.where("n >= 2").select("seed")
 
 
 @register("latest_edge")
