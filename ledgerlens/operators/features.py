@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import columns as C
-from ledgerlens.operators.lookup import DEFAULT_MAX_ENTRIES, lookup, null_safe_join
+from ledgerlens.operators.graph import ordered_index
+from ledgerlens.operators.lookup import lookup, null_safe_join
+from ledgerlens.session import cut_lineage
 
 # Model feature names and order (must equal the reference's).
 FEATURE_COLUMNS = [
@@ -30,8 +32,7 @@ FEATURE_COLUMNS = [
 # Fixed value: payment format used for a missing format before encoding.
 UNKNOWN_FORMAT = "Unknown"
 
-PAID_DEC = "decimal(20,6)"      # amount_paid carries 6 decimals (price x discount x tax)
-RECEIVED_DEC = "decimal(18,4)"  # amount_received carries 4 decimals
+MONEY_DEC = "decimal(28,10)"    # sums of amounts are exact to 10 decimals (small coins included)
 
 
 # --- projections ------------------------------------------------------------------------
@@ -63,57 +64,39 @@ def cross_flags(df: DataFrame) -> DataFrame:
 
 # --- dictionaries (PRJ-11/12, AGG-13) ------------------------------------------------------
 
-def distinct_values(df: DataFrame, *cols: str) -> DataFrame:
-    """AGG-13: distinct non-null values over the union of ``cols`` as column ``value``."""
-    parts = [df.select(F.col(c).cast("string").alias("value")) for c in cols]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.where(F.col("value").isNotNull()).distinct()
+def category_values(df: DataFrame) -> DataFrame:
+    """AGG-13: the distinct (kind, value) of both currency columns (kind ``currency``) and of the
+    payment format (kind ``format``, a missing one is ``Unknown``), in one scan."""
+    kinds = F.array(
+        F.struct(F.lit("currency").alias("kind"), F.col("payment_currency").cast("string").alias("value")),
+        F.struct(F.lit("currency").alias("kind"), F.col("receiving_currency").cast("string").alias("value")),
+        F.struct(F.lit("format").alias("kind"), _format_or_unknown().alias("value")))
+    return df.select(F.inline(kinds)).where(F.col("value").isNotNull()).distinct()
 
 
-def category_dictionary(df: DataFrame, *cols: str, fill: str | None = None) -> DataFrame:
-    """(value, code): alphabetical codes 0..k-1 over the distinct values of ``cols``.
+def _format_or_unknown() -> Column:
+    return F.coalesce(F.col("payment_format").cast("string"), F.lit(UNKNOWN_FORMAT))
+
+
+def fit_dictionaries(df: DataFrame) -> DataFrame:
+    """PRJ-11/12: (kind, value, code), codes 0..k-1 by binary string order within each kind.
+
+    The result is a written table: it is fitted once, kept with the model, and its size is known
+    to the planner when it is joined."""
+    vals = cut_lineage(category_values(df))
+    parts = [ordered_index(vals.where(F.col("kind") == kind), "value", "code")
+             .select(F.lit(kind).alias("kind"), "value", F.col("code").cast("int")) for kind in ("currency", "format")]
+    return cut_lineage(parts[0].unionByName(parts[1]))
 
-    The input is the distinct set of a categorical domain (currencies, formats), so the
-    ordering window runs over that small set, never over transaction rows.
-    """
-    src = df
-    if fill is not None:
-        src = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(fill)).alias(c) for c in cols])
-    vals = distinct_values(src, *cols)
-    return vals.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
-
-
-def encode_categories(df: DataFrame, max_entries: int = DEFAULT_MAX_ENTRIES) -> DataFrame:
-    """PRJ-11/12: one shared currency dictionary for both currency columns, one for formats
-    (missing format -> ``Unknown``); values absent from the dictionary get -1.
-
-    Both dictionaries come from one distinct pass, read only if it holds at most
-    2 * max_entries values, and are applied as literal maps (no join, no shuffle). Codes are
-    the rank in binary string order (the order Spark and the SQL oracle sort by). Beyond the
-    bound the dictionaries stay DataFrames and are joined."""
-    from ledgerlens.operators.lookup import bounded_rows, map_literal
-    vals = (df.select(F.lit("c").alias("k"), F.col("payment_currency").cast("string").alias("v"))
-            .union(df.select(F.lit("c"), F.col("receiving_currency").cast("string")))
-            .union(df.select(F.lit("f"), F.coalesce(F.col("payment_format").cast("string"), F.lit(UNKNOWN_FORMAT))))
-            .where(F.col("v").isNotNull()).distinct())
-    rows = bounded_rows(vals, 2 * max_entries)
-    fmt_key = F.coalesce(F.col("payment_format"), F.lit(UNKNOWN_FORMAT))
-    if rows is None:
-        cur = category_dictionary(df, "payment_currency", "receiving_currency")
-        fmt = category_dictionary(df, "payment_format", fill=UNKNOWN_FORMAT)
-        out = lookup(df, "payment_currency", cur, "value", "code", "payment_currency_enc", -1, 0)
-        out = lookup(out, "receiving_currency", cur, "value", "code", "receiving_currency_enc", -1, 0)
-        return lookup(out, fmt_key, fmt, "value", "code", "payment_format_enc", -1, 0)
-    codes = {}
-    for kind in ("c", "f"):
-        ordered = sorted((r["v"] for r in rows if r["k"] == kind), key=lambda x: x.encode("utf-8"))
-        codes[kind] = map_literal([(v, i) for i, v in enumerate(ordered)])
-    enc = lambda m, c: F.coalesce(F.try_element_at(m, c), F.lit(-1))
-    return (df.withColumn("payment_currency_enc", enc(codes["c"], F.col("payment_currency")))
-              .withColumn("receiving_currency_enc", enc(codes["c"], F.col("receiving_currency")))
-              .withColumn("payment_format_enc", enc(codes["f"], fmt_key)))
+
+def encode_categories(df: DataFrame, dictionaries: DataFrame | None = None) -> DataFrame:
+    """PRJ-11/12: one shared currency dictionary for both currency columns, one for formats;
+    values absent from the dictionary get -1. Without ``dictionaries`` they are fitted on ``df``."""
+    d = dictionaries if dictionaries is not None else fit_dictionaries(df)
+    cur, fmt = d.where(F.col("kind") == "currency"), d.where(F.col("kind") == "format")
+    out = lookup(df, "payment_currency", cur, "value", "code", "payment_currency_enc", -1)
+    out = lookup(out, "receiving_currency", cur, "value", "code", "receiving_currency_enc", -1)
+    return lookup(out, _format_or_unknown(), fmt, "value", "code", "payment_format_enc", -1)
 
 
 # --- account aggregates (AGG-1..4) -----------------------------------------------------------
@@ -129,7 +112,7 @@ def sender_profile(df: DataFrame) -> DataFrame:
     """AGG-1 + AGG-3: per sender count, exact sum, mean, sample std of paid; distinct receivers."""
     stats = (df.where(F.col("sender_account").isNotNull()).groupBy("sender_account").agg(
         F.count(F.lit(1)).alias("sender_tx_count"),
-        F.sum(F.col("amount_paid").cast(PAID_DEC)).alias("_s"),
+        F.sum(F.col("amount_paid").cast(MONEY_DEC)).alias("_s"),
         F.stddev_samp("amount_paid").alias("_sd")))
     stats = stats.select(
         "sender_account", "sender_tx_count",
@@ -144,7 +127,7 @@ def receiver_profile(df: DataFrame) -> DataFrame:
     """AGG-2 + AGG-4: per receiver count, exact sum, mean of received; distinct senders."""
     stats = (df.where(F.col("receiver_account").isNotNull()).groupBy("receiver_account").agg(
         F.count(F.lit(1)).alias("receiver_tx_count"),
-        F.sum(F.col("amount_received").cast(RECEIVED_DEC)).alias("_s")))
+        F.sum(F.col("amount_received").cast(MONEY_DEC)).alias("_s")))
     stats = stats.select(
         "receiver_account", "receiver_tx_count",
         C.fixed(F.col("_s").cast("double"), 4).alias("receiver_total_amount"),
@@ -167,17 +150,27 @@ def attach_profiles(df: DataFrame, sender: DataFrame, receiver: DataFrame) -> Da
     return out
 
 
-def engineer_features(tx: DataFrame, max_entries: int = DEFAULT_MAX_ENTRIES, point_in_time: bool = False) -> DataFrame:
+def fit_profiles(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """AGG-1..4 as kept with a model: the sender and the receiver profiles of ``tx``."""
+    f = amount_features(tx)
+    return cut_lineage(sender_profile(f)), cut_lineage(receiver_profile(f))
+
+
+def engineer_features(tx: DataFrame, point_in_time: bool = False, dictionaries: DataFrame | None = None,
+                      profiles: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The feature table: one row per transaction with the 21 model features.
 
+    ``dictionaries`` and ``profiles``: what ``fit_dictionaries`` and ``fit_profiles`` returned for the
+    training data (unseen categories are -1, unknown accounts 0); without them they come from ``tx``.
+
     ``point_in_time=False``: account aggregates are global (every row sees the whole table,
     later rows included), as in the reference. ``True``: the same columns are computed from
     strictly earlier transactions only (``history_stats``), which removes that look-ahead.
     """
     f = cross_flags(amount_features(time_features(tx)))
-    f = encode_categories(f, max_entries)
+    f = encode_categories(f, dictionaries)
     if not point_in_time:
-        return attach_profiles(f, sender_profile(f), receiver_profile(f))
+        return attach_profiles(f, *(profiles or (sender_profile(f), receiver_profile(f))))
     s = history_stats(f, "sender_account", "amount_paid", "receiver_account", "sender", "sender_receiver_diversity")
     r = history_stats(f, "receiver_account", "amount_received", "sender_account", "receiver",
                       "receiver_sender_diversity").drop("receiver_std_amount")
@@ -202,7 +195,7 @@ def history_stats(df: DataFrame, key: str, amount: str, other: str, prefix: str,
                      F.unix_micros(F.col(ts)).alias("_t"), F.col(amount).cast("double").alias("_x")) \
         .where(F.col("_k").isNotNull() & F.col("_t").isNotNull())
     first = base.where(F.col("_o").isNotNull()).groupBy("_k", "_o").agg(F.min("_t").alias("_t"))
-    dec = PAID_DEC
+    dec = MONEY_DEC
     rows = (base.select("_id", "_k", "_t", "_x", F.lit(1).alias("_n"), F.lit(0).alias("_m"))
             .unionByName(first.select(F.lit(None).cast("string").alias("_id"), "_k", "_t",
                                       F.lit(None).cast("double").alias("_x"), F.lit(0).alias("_n"), F.lit(1).alias("_m")))
@@ -352,7 +345,7 @@ def rolling_window_stats(df: DataFrame, key: str, amount: str, windows: dict[str
     for name, width in windows.items():
         w = w0.rangeBetween(-width, -1) if width is not None else w0.rangeBetween(Window.unboundedPreceding, -1)
         n = F.count("_x").over(w)
-        s = F.sum(F.col("_x").cast("decimal(20,6)")).over(w)
+        s = F.sum(F.col("_x").cast(MONEY_DEC)).over(w)
         cols += [
             n.alias(f"{prefix}cnt_{name}"),
             C.fixed(F.coalesce(s.cast("double"), F.lit(0.0)), 4).alias(f"{prefix}sum_{name}"),

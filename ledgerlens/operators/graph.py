@@ -17,6 +17,7 @@ from ledgerlens.functions import columns as C
 from ledgerlens.session import cut_lineage
 
 DAY_US = 86_400 * 1_000_000
+MONEY_DEC = "decimal(28,10)"    # sums of amounts are exact to 10 decimals
 
 
 # --- edges and vertices -----------------------------------------------------------------------
@@ -71,9 +72,9 @@ def node_stats(tx: DataFrame) -> DataFrame:
                      F.col("amount_received").alias("_recv"))
     long = sent.unionByName(recv).where(F.col("account_id").isNotNull())
     st = long.groupBy("account_id").agg(
-        F.sum(F.col("_sent").cast("decimal(20,6)")).alias("_ss"), F.count("_sent").alias("sent_count"),
+        F.sum(F.col("_sent").cast(MONEY_DEC)).alias("_ss"), F.count("_sent").alias("sent_count"),
         F.stddev_samp("_sent").alias("_sd"),
-        F.sum(F.col("_recv").cast("decimal(18,4)")).alias("_rs"), F.count("_recv").alias("recv_count"))
+        F.sum(F.col("_recv").cast(MONEY_DEC)).alias("_rs"), F.count("_recv").alias("recv_count"))
     pairs = tx.where(F.col("sender_account").isNotNull() & F.col("receiver_account").isNotNull()) \
         .select("sender_account", "receiver_account").distinct()
     uniq = (pairs.select(F.col("sender_account").alias("account_id"), F.lit(1).alias("_o"), F.lit(0).alias("_i"))
@@ -107,19 +108,25 @@ def node_features(tx: DataFrame, dp: int | None = 6) -> DataFrame:
         F.col("recv_from_unique").cast("double").alias("recv_from_unique"))
 
 
-def standardize(df: DataFrame, cols: list[str], suffix: str = "_z", dp: int | None = None) -> DataFrame:
-    """AGG-8/9 over all rows: (x - mean) / pop std (std 0 -> 1). Statistics are one bounded
-    row, read once and applied as literals (no join, no shuffle)."""
+def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
+    """AGG-8: (feature, mean, scale) over all rows, population standard deviation, 1 for a constant
+    column; a written table of one row per column."""
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
-    row = df.agg(*aggs).first()
+    items = F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(f"m_{c}", F.lit(0.0)).alias("mean"),
+                               F.coalesce(F.nullif(F.col(f"s_{c}"), F.lit(0.0)), F.lit(1.0)).alias("scale")) for c in cols])
+    return cut_lineage(df.agg(*aggs).select(F.inline(items)))
+
+
+def standardize(df: DataFrame, cols: list[str], suffix: str = "_z", dp: int | None = None,
+                scaler: DataFrame | None = None) -> DataFrame:
+    """AGG-9: (x - mean) / scale. ``scaler``: what ``fit_scaler`` returned for the training data, else
+    fitted on ``df``. Its rows (one per column) are read once and applied as literals."""
+    stats = {r["feature"]: (r["mean"], r["scale"]) for r in (fit_scaler(df, cols) if scaler is None else scaler).collect()}
     out = df
     for c in cols:
-        m = row[f"m_{c}"] or 0.0
-        s = row[f"s_{c}"]
-        s = 1.0 if (s is None or s == 0.0) else s
-        z = (F.col(c) - F.lit(float(m))) / F.lit(float(s))
+        z = (F.col(c) - F.lit(float(stats[c][0]))) / F.lit(float(stats[c][1]))
         out = out.withColumn(c + suffix, C.fixed(z, dp) if dp is not None else z)
     return out
 
@@ -401,7 +408,7 @@ def _windowed_counterparties(tx: DataFrame, key: str, other: str, window: str, a
     w = F.window("ts", window)
     pairs = (tx.where(F.col(key).isNotNull() & F.col(other).isNotNull() & F.col("ts").isNotNull())
              .groupBy(F.col(key).alias("account_id"), w.start.alias("window_start"), F.col(other).alias("_o"))
-             .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(amount).cast("decimal(20,6)")).alias("_s")))
+             .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(amount).cast(MONEY_DEC)).alias("_s")))
     return pairs.groupBy("account_id", "window_start").agg(
         F.count(F.lit(1)).alias("n_counterparties"), F.sum("_n").cast("long").alias("n_tx"),
         C.fixed(F.sum("_s").cast("double"), 4).alias("total_amount"))
@@ -456,7 +463,7 @@ def structuring(tx: DataFrame, limit: float = REPORTING_LIMIT, band: float = 0.1
     lo = limit * (1.0 - band)
     f = tx.where((F.col(amount) >= F.lit(lo)) & (F.col(amount) < F.lit(limit)) & F.col("sender_account").isNotNull())
     g = f.groupBy(F.col("sender_account").alias("account_id"), F.window("ts", window).start.alias("window_start")).agg(
-        F.count(F.lit(1)).alias("n_tx"), C.fixed(F.sum(F.col(amount).cast("decimal(20,6)")).cast("double"), 4)
+        F.count(F.lit(1)).alias("n_tx"), C.fixed(F.sum(F.col(amount).cast(MONEY_DEC)).cast("double"), 4)
         .alias("total_amount"))
     return g.where(F.col("n_tx") >= min_n)
 

@@ -1,45 +1,23 @@
-"""Small-table lookups with an explicit size check.
+"""Lookups in small tables and null-safe joins.
 
-A lookup table (category dictionary, per-feature statistics) is turned into a literal map
-expression — evaluated map-side with no join and no shuffle — only after checking that it
-holds at most ``max_entries`` rows. Beyond that bound the lookup becomes an ordinary join,
-and AQE picks broadcast or sort-merge from the measured stage size.
+A lookup is always an ordinary left join. The tables looked up in are written ones (dictionaries,
+profiles), so the planner knows their size: a small one is broadcast, a large one is sort-merged with
+skewed keys split.
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_ENTRIES = 100_000
-
-
-def bounded_rows(df: DataFrame, max_entries: int) -> list | None:
-    """Collect ``df`` if it has at most ``max_entries`` rows, else None (only max+1 rows move)."""
-    rows = df.limit(max_entries + 1).collect()
-    return rows if len(rows) <= max_entries else None
-
-
-def map_literal(pairs: list[tuple]) -> Column:
-    if not pairs:
-        return F.create_map()
-    return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in pairs))
-
 
 def lookup(df: DataFrame, key: Column | str, table: DataFrame, table_key: str, table_value: str,
-           out: str, default=None, max_entries: int = DEFAULT_MAX_ENTRIES) -> DataFrame:
+           out: str, default=None) -> DataFrame:
     """``df`` plus column ``out`` = table_value where table_key = key (``default`` if absent)."""
     key_col = F.col(key) if isinstance(key, str) else key
-    rows = bounded_rows(table.select(table_key, table_value), max_entries)
-    dflt = F.lit(default) if default is not None else F.lit(None)
-    if rows is not None:
-        m = map_literal([(r[0], r[1]) for r in rows if r[0] is not None])
-        return df.withColumn(out, F.coalesce(F.try_element_at(m, key_col), dflt))
     t = table.select(F.col(table_key).alias(f"__lk_{out}"), F.col(table_value).alias(f"__lv_{out}"))
     j = df.join(t, key_col == F.col(f"__lk_{out}"), "left")
-    return j.withColumn(out, F.coalesce(F.col(f"__lv_{out}"), dflt)).drop(f"__lk_{out}", f"__lv_{out}")
+    return j.withColumn(out, F.coalesce(F.col(f"__lv_{out}"), F.lit(default))).drop(f"__lk_{out}", f"__lv_{out}")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

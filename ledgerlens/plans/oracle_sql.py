@@ -121,6 +121,20 @@ enc AS (
 SQL["category_codes"] = with_tx(
     "SELECT tx_id, payment_currency_enc, receiving_currency_enc, payment_format_enc FROM enc", DICTS)
 
+SQL["fitted_codes"] = with_tx("""
+SELECT tx_id, coalesce(pc.code, -1) AS payment_currency_enc, coalesce(rc.code, -1) AS receiving_currency_enc,
+       coalesce(pf.code, -1) AS payment_format_enc
+FROM tx LEFT JOIN fit_cur pc ON tx.payment_currency = pc.value
+        LEFT JOIN fit_cur rc ON tx.receiving_currency = rc.value
+        LEFT JOIN fit_fmt pf ON coalesce(tx.payment_format, 'Unknown') = pf.value
+WHERE tx.ts >= TIMESTAMP '1992-01-02'""", """
+early AS (SELECT * FROM tx WHERE ts < TIMESTAMP '1992-01-02'),
+fit_cur AS (SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS code FROM (
+    SELECT payment_currency AS value FROM early WHERE payment_currency IS NOT NULL
+    UNION SELECT receiving_currency FROM early WHERE receiving_currency IS NOT NULL) v),
+fit_fmt AS (SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS code FROM (
+    SELECT DISTINCT coalesce(payment_format, 'Unknown') AS value FROM early) v)""")
+
 SENDER = f"""
 sp AS (
   SELECT sender_account, count(*) AS sender_tx_count,

@@ -113,6 +113,18 @@ def q_category_codes(spark, sf):
         "tx_id", "payment_currency_enc", "receiving_currency_enc", "payment_format_enc")
 
 
+FIT_BEFORE = "1992-01-02"   # dictionaries of one day: later currencies or formats may be unseen
+
+
+@register("fitted_codes")
+def q_fitted_codes(spark, sf):
+    """PRJ-11/12 fitted on early transactions and applied to the later ones (unseen = -1)."""
+    t, cut = tx(spark, sf), F.lit(FIT_BEFORE).cast("timestamp")
+    d = FE.fit_dictionaries(t.where(F.col("ts") < cut))
+    return FE.encode_categories(t.where(F.col("ts") >= cut), d).select(
+        "tx_id", "payment_currency_enc", "receiving_currency_enc", "payment_format_enc")
+
+
 # --- aggregates / joins --------------------------------------------------------------------------
 
 @register("sender_profile")
@@ -510,7 +522,7 @@ def event_profiles(spark, sf):
 
 def scored_stream(spark, sf):
     s, r = event_profiles(spark, sf)
-    f = ST.online_features(events_stream(spark, sf), {"USD": 0}, sender_profile=s, receiver_profile=r)
+    f = ST.online_features(events_stream(spark, sf), sender_profile=s, receiver_profile=r)
     return ST.score_stream(f.withColumn("_s", _event_score()), tabular_score="_s")
 
 
@@ -625,7 +637,8 @@ def q_global_importance(spark, sf):
 @register("score_batch")
 def q_score_batch(spark, sf):
     r = _training(spark, sf)
-    s = TR.score_batch(tx(spark, sf), r["models"]["tabular"], r["models"].get("graph"), explain_k=0)
+    s = TR.score_batch(tx(spark, sf), r["models"]["tabular"], r["models"].get("graph"), explain_k=0,
+                       tables=r["tables"])
     return s.select("tx_id", "fused_score", "is_fraud", "confidence", "weight_tabular")
 
 
@@ -707,7 +720,7 @@ def q_time_ordered(spark, sf):
 @register("currency_dictionary")
 def q_currency_dictionary(spark, sf):
     """AGG-13 + PRJ-11: the shared currency dictionary (value, code)."""
-    return FE.category_dictionary(tx(spark, sf), "payment_currency", "receiving_currency")
+    return FE.fit_dictionaries(tx(spark, sf)).where(F.col("kind") == "currency").select("value", "code")
 
 
 @register("rolling_account")

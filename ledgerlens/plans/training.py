@@ -29,13 +29,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def graph_edge_table(feats: DataFrame, hops: int = 2) -> tuple[DataFrame, list[str]]:
+def graph_edge_table(feats: DataFrame, hops: int = 2, scaler: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """GR-3 + GR-11 + GR-12: per transaction, source and destination embeddings (x, Ax, A²x of
-    the 8 node features, standardised) and the 4 edge features."""
+    the 8 node features, standardised by the fitted ``scaler``) and the 4 edge features."""
     tx = feats.select("tx_id", "ts", "sender_account", "receiver_account", "amount_paid", "amount_received", "label",
                       "is_cross_currency", "payment_format_enc", "is_cross_bank")
     nf = GR.node_features(tx, dp=None)
-    nf = GR.standardize(nf, GR.NODE_FEATURES, suffix="")
+    nf = GR.standardize(nf, GR.NODE_FEATURES, suffix="", scaler=scaler)
     emb = GR.khop_embedding(GR.multi_edges(tx), nf, GR.NODE_FEATURES, k=hops)
     ef = GR.edge_features(tx)
     rep = GR.edge_representation(ef, emb)
@@ -48,7 +48,9 @@ def run_training(spark: SparkSession, tx: DataFrame, out_dir: str | None = None,
                  threshold: float = FU.DEFAULT_THRESHOLD, with_graph: bool = True) -> dict:
     """Train both models on the same stratified split, fuse on the transaction key (JOIN-7),
     evaluate tabular / graph / fused (EVAL-7/8), and record a one-row summary (EVAL-9)."""
-    feats = materialize(FE.engineer_features(tx), "features")
+    dictionaries, profiles = FE.fit_dictionaries(tx), FE.fit_profiles(tx)
+    tables = {"dictionaries": dictionaries, "sender_profile": profiles[0], "receiver_profile": profiles[1]}
+    feats = materialize(FE.engineer_features(tx, dictionaries=dictionaries, profiles=profiles), "features")
     split = FE.stratified_split(feats.select("tx_id", "label"), test_frac, seed).select("tx_id", "is_test")
     data = materialize(feats.join(split, "tx_id"), "features-split")
     train, test = data.where(F.col("is_test") == 0), data.where(F.col("is_test") == 1)
@@ -57,7 +59,8 @@ def run_training(spark: SparkSession, tx: DataFrame, out_dir: str | None = None,
     scored = ML.score(tab, test.select("tx_id", "label", *cols), "tabular_score")
     models = {"tabular": tab}
     if with_graph:
-        rep, gcols = graph_edge_table(data)
+        tables["node_scaler"] = GR.fit_scaler(GR.node_features(data, dp=None), GR.NODE_FEATURES)
+        rep, gcols = graph_edge_table(data, scaler=tables["node_scaler"])
         rep = materialize(rep.join(split, "tx_id"), "edge-repr")
         gm = ML.fit_graph(rep.where(F.col("is_test") == 0), gcols)
         gs = ML.score(gm, rep.where(F.col("is_test") == 1).select("tx_id", *gcols), "gnn_score").select("tx_id", "gnn_score")
@@ -76,12 +79,13 @@ def run_training(spark: SparkSession, tx: DataFrame, out_dir: str | None = None,
         "pos_weight": round((n_train - p_train) / max(p_train, 1), 6), "tabular_weight": tabular_weight,
         "threshold": threshold,
     }
-    result = {"models": models, "scored": scored, "comparison": cmp, "summary": summary}
+    result = {"models": models, "scored": scored, "comparison": cmp, "summary": summary, "tables": tables,
+              "split": data.select("tx_id", "label", "is_test")}
     if out_dir:
         metrics = {f"{r['metric']}.{m}": r[m] for r in cmp.collect() for m in ("tabular", "graph", "fused")
                    if r[m] is not None}
         result["run_id"] = SK.append_run_metrics(spark, f"{out_dir}/run_metrics", "training", metrics, summary)
-        SK.save_model_bundle(f"{out_dir}/bundle", models, meta={"features": cols, **summary})
+        SK.save_model_bundle(f"{out_dir}/bundle", models, tables, meta={"features": cols, **summary})
     return result
 
 
@@ -92,15 +96,19 @@ def training_summary(spark: SparkSession, summary: dict) -> DataFrame:
 
 
 def score_batch(tx: DataFrame, tabular_model, graph_model=None, tabular_weight: float = FU.DEFAULT_TABULAR_WEIGHT,
-                threshold: float = FU.DEFAULT_THRESHOLD, explain_k: int = 5) -> DataFrame:
+                threshold: float = FU.DEFAULT_THRESHOLD, explain_k: int = 5,
+                tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """ML-10: features -> tabular score (+ graph score when a graph model is given) -> fusion ->
-    top contributions. One row per transaction."""
-    feats = FE.engineer_features(tx)
+    top contributions. One row per transaction. ``tables``: the training run's dictionaries, account
+    profiles and node scaler, as in its result and bundle; without them they are fitted on ``tx``."""
+    tables = tables or {}
+    profiles = (tables["sender_profile"], tables["receiver_profile"]) if "sender_profile" in tables else None
+    feats = FE.engineer_features(tx, dictionaries=tables.get("dictionaries"), profiles=profiles)
     cols = FE.FEATURE_COLUMNS
     s = ML.score(tabular_model, feats.select("tx_id", "ts", "sender_account", "receiver_account", "amount_paid",
                                              "label", *cols), "tabular_score")
     if graph_model is not None:
-        rep, gcols = graph_edge_table(feats)
+        rep, gcols = graph_edge_table(feats, scaler=tables.get("node_scaler"))
         g = ML.score(graph_model, rep.select("tx_id", *gcols), "gnn_score").select("tx_id", "gnn_score")
         s = s.join(g, "tx_id", "left")
     else:

@@ -51,19 +51,17 @@ def read_kafka_stream(spark: SparkSession, servers: str, topic: str, schema, max
 
 # --- scoring (ST-2, ST-3) -------------------------------------------------------------------------
 
-def online_features(stream: DataFrame, currency_codes: dict[str, int] | None = None,
-                    format_codes: dict[str, int] | None = None, sender_profile: DataFrame | None = None,
+def online_features(stream: DataFrame, dictionaries: DataFrame | None = None, sender_profile: DataFrame | None = None,
                     receiver_profile: DataFrame | None = None) -> DataFrame:
-    """ST-2 features: the batch projections (PRJ-1..12) with the training dictionaries as
-    literal maps, and account profiles by stream-static left join (0 when unknown)."""
+    """ST-2 features: the batch projections (PRJ-1..12) with the training run's dictionaries (without
+    them every category is unseen, -1) and account profiles (0 when unknown), both by stream-static
+    left joins."""
     f = FE.cross_flags(FE.amount_features(FE.time_features(stream)))
-    cur = C.col("payment_currency")
-    cmap = FE_map(currency_codes or {})
-    fmap = FE_map(format_codes or {})
-    f = (f.withColumn("payment_currency_enc", F.coalesce(F.try_element_at(cmap, cur), F.lit(-1)))
-          .withColumn("receiving_currency_enc", F.coalesce(F.try_element_at(cmap, F.col("receiving_currency")), F.lit(-1)))
-          .withColumn("payment_format_enc", F.coalesce(
-              F.try_element_at(fmap, F.coalesce(F.col("payment_format"), F.lit(FE.UNKNOWN_FORMAT))), F.lit(-1))))
+    if dictionaries is None:
+        for c in ("payment_currency_enc", "receiving_currency_enc", "payment_format_enc"):
+            f = f.withColumn(c, F.lit(-1))
+    else:
+        f = FE.encode_categories(f, dictionaries)
     if sender_profile is not None and receiver_profile is not None:
         return FE.attach_profiles(f, sender_profile, receiver_profile)
     for c in FE.SENDER_COLS + FE.RECEIVER_COLS:
@@ -71,11 +69,6 @@ def online_features(stream: DataFrame, currency_codes: dict[str, int] | None = N
     return f
 
 
-def FE_map(d: dict):
-    from ledgerlens.operators.lookup import map_literal
-    return map_literal(sorted(d.items()))
-
-
 def score_stream(features: DataFrame, tabular_model=None, tabular_score: str | None = None,
                  tabular_weight: float = FU.DEFAULT_TABULAR_WEIGHT, threshold: float = FU.DEFAULT_THRESHOLD) -> DataFrame:
     """ST-2: tabular probability from a fitted pipeline (or an existing score column), no

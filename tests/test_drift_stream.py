@@ -104,7 +104,7 @@ def test_stream_scored_with_fitted_model_equals_batch(spark, tx_frame, tmp_path)
     path = str(tmp_path / "tx")
     t.write.mode("overwrite").parquet(path)
     stream = ST.read_stream(spark, path, spark.read.parquet(path).schema)
-    feats = ST.online_features(stream, {"EUR": 0, "GBP": 1, "USD": 2}, {"ACH": 0, "Cash": 1, "Wire Transfer": 2})
+    feats = ST.online_features(stream, FE.fit_dictionaries(t))
     got = ST.run_to_table(ST.score_stream(feats, tabular_model=model).select("tx_id", "tabular_score"), "t-model")
     on = FE.engineer_features(spark.read.parquet(path))
     for c in FE.SENDER_COLS + FE.RECEIVER_COLS:       # online: no account history yet

@@ -8,12 +8,35 @@ from ledgerlens.plans import training as TR
 from ledgerlens.sources import sinks as SK
 
 
-def test_lookup_falls_back_to_join_beyond_bound(spark):
-    df = spark.createDataFrame([("a",), ("b",), ("z",)], "k string")
+def test_lookup_keeps_rows_and_fills_default(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("z",), (None,)], "k string")
     table = spark.createDataFrame([("a", 1), ("b", 2)], "value string, code int")
-    small = {r.k: r.c for r in lookup(df, "k", table, "value", "code", "c", -1, max_entries=10).collect()}
-    big = {r.k: r.c for r in lookup(df, "k", table, "value", "code", "c", -1, max_entries=1).collect()}
-    assert small == big == {"a": 1, "b": 2, "z": -1}
+    got = {r.k: r.c for r in lookup(df, "k", table, "value", "code", "c", -1).collect()}
+    assert got == {"a": 1, "b": 2, "z": -1, None: -1}
+
+
+def test_codes_and_profiles_of_the_bundle_are_applied(spark, tx_frame, tmp_path):
+    t = tx_frame(n=400, force_pos=8)
+    res = TR.run_training(spark, t, out_dir=str(tmp_path / "run"), rounds=2)
+    b = SK.load_model_bundle(spark, str(tmp_path / "run" / "bundle"))
+    assert set(b["tables"]) == {"dictionaries", "sender_profile", "receiver_profile", "node_scaler"}
+    one = t.where("tx_id = 'T000003'").withColumn("payment_currency", F.lit("XAU"))
+    f = FE.engineer_features(one, dictionaries=b["tables"]["dictionaries"],
+                             profiles=(b["tables"]["sender_profile"], b["tables"]["receiver_profile"])).first()
+    whole = FE.engineer_features(t).where("tx_id = 'T000003'").first()
+    assert f["payment_currency_enc"] == -1 and f["receiving_currency_enc"] == whole["receiving_currency_enc"]
+    assert f["sender_tx_count"] == whole["sender_tx_count"] == 40
+    s = TR.score_batch(t, b["models"]["tabular"], b["models"]["graph"], explain_k=0, tables=b["tables"])
+    live = TR.score_batch(t, res["models"]["tabular"], res["models"]["graph"], explain_k=0)
+    a = {r.tx_id: r.fused_score for r in s.collect()}
+    assert a == {r.tx_id: r.fused_score for r in live.collect()} and len(a) == 400
+
+
+def test_small_amounts_are_summed_exactly(spark):
+    t = spark.range(1000).select(F.lit("A").alias("sender_account"), F.lit("B").alias("receiver_account"),
+                                 F.lit(0.000214).alias("amount_paid"), F.lit(0.000214).alias("amount_received"))
+    assert FE.sender_profile(t).first()["sender_total_amount"] == 0.214
+    assert FE.receiver_profile(t).first()["receiver_total_amount"] == 0.214
 
 
 def test_write_features_partitioned_by_month(spark, tx_frame, tmp_path):
