@@ -10,6 +10,8 @@ splitting of oversized join partitions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -383,8 +385,9 @@ def cycles_3(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
 def cycle_membership(edges: DataFrame, candidates: DataFrame, max_len: int = 4) -> DataFrame:
     """GR-14 (scoring form): for each candidate transfer (cand_id, src, dst), whether a directed
     path dst -> ... -> src of at most ``max_len - 1`` edges exists, i.e. the transfer would
-    close a cycle of length <= max_len. Bounded BFS per candidate, distinct per hop."""
-    e = edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct()
+    close a cycle of length <= max_len. Bounded BFS per candidate, distinct per hop; every hop is
+    written once, as the next one reads it several times."""
+    e = cut_lineage(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
     start = candidates.select("cand_id", F.col("dst").alias("node"), F.col("src").alias("target"))
     visited = start.select("cand_id", "node")
     frontier = start
@@ -392,6 +395,7 @@ def cycle_membership(edges: DataFrame, candidates: DataFrame, max_len: int = 4)
     for h in range(1, max_len):
         nxt = (frontier.join(e, frontier["node"] == e["src"]).select("cand_id", F.col("dst").alias("node"), "target")
                .distinct().join(visited, ["cand_id", "node"], "left_anti"))
+        nxt = cut_lineage(nxt)
         hits = hits.unionByName(nxt.where(F.col("node") == F.col("target")).select("cand_id", F.lit(h).alias("_len")))
         nxt = nxt.where(F.col("node") != F.col("target"))
         visited = visited.unionByName(nxt.select("cand_id", "node"))
@@ -426,33 +430,103 @@ def fan_in(tx: DataFrame, window: str = "30 days", min_senders: int = 5) -> Data
     return r.where(F.col("n_counterparties") >= min_senders)
 
 
+def _leg_keys(legs: DataFrame, max_gap_us: int, min_ratio: float, max_ratio: float) -> tuple[DataFrame, DataFrame]:
+    """Range join of consecutive legs as an equi-join: ``legs`` (t microseconds, a amount) keyed as a
+    first leg (one time and one amount bucket) and as a following leg (two of each).
+
+    A following leg is due within ``max_gap_us`` of the first and carries min_ratio..max_ratio of its
+    amount, so it lies in the first leg's bucket or the next, by time and by log amount. Zero amounts,
+    which only zero follows, have a bucket of their own; a ratio without a lower bound has no amount
+    bucket. Every qualifying pair meets exactly once."""
+    tb = F.floor(F.col("t") / F.lit(max_gap_us))
+    if min_ratio > 0:
+        eps = 1e-6     # widens the buckets beyond rounding of the logarithm
+        width = math.log(max_ratio / min_ratio) + 4 * eps
+        ab = lambda y: F.when(F.col("a") > 0, F.floor(y / F.lit(width))).when(F.col("a") == 0, F.lit(-10**9))
+        first_ab, next_ab = ab(F.log("a") + F.lit(math.log(min_ratio) - 2 * eps)), ab(F.log("a"))
+    else:
+        first_ab = next_ab = F.lit(0)
+    first = legs.withColumn("tb", tb).withColumn("ab", first_ab.cast("long"))
+    after = (legs.withColumn("tb", F.explode(F.array(tb, tb - 1)))
+             .withColumn("ab", next_ab.cast("long"))
+             .withColumn("ab", F.explode(F.when((F.col("a") == 0) | F.lit(min_ratio <= 0), F.array("ab"))
+                                         .otherwise(F.array(F.col("ab"), F.col("ab") - 1)))))
+    return first, after
+
+
+def _follows(t1: str, a1: str, t2: str, a2: str, max_gap_us: int, min_ratio: float, max_ratio: float) -> Column:
+    gap = F.col(t2) - F.col(t1)
+    return ((gap >= 0) & (gap <= F.lit(max_gap_us)) & (F.col(a2) >= F.col(a1) * F.lit(min_ratio))
+            & (F.col(a2) <= F.col(a1) * F.lit(max_ratio)))
+
+
 def split_merge(tx: DataFrame, max_gap_us: int = 30 * DAY_US, min_ratio: float = 0.9, max_ratio: float = 1.0,
                 min_intermediates: int = 2) -> DataFrame:
     """GR-17: src -> m -> dst legs where the second leg leaves m no earlier than the first
     arrives and within ``max_gap_us``, carrying min_ratio..max_ratio of the first amount; pairs
     (src, dst), src != dst, reached through at least ``min_intermediates`` distinct m.
 
-    Range join as an equi-join on (m, time bucket of width max_gap): each second leg is also
-    offered to the previous bucket, so every qualifying pair meets exactly once and a hub m
-    is split by time instead of pairing all its in- and out-legs."""
+    An equi-join on (m, time bucket, amount bucket), so a hub m is split by time and amount
+    instead of pairing all its in- and out-legs."""
     base = tx.where(F.col("sender_account").isNotNull() & F.col("receiver_account").isNotNull()
-                    & (F.col("sender_account") != F.col("receiver_account")) & F.col("ts").isNotNull())
-    g = F.lit(max_gap_us)
-    leg1 = base.select(F.col("sender_account").alias("src"), F.col("receiver_account").alias("m"),
-                       F.unix_micros("ts").alias("t1"), F.col("amount_paid").alias("a1"))
-    leg1 = leg1.withColumn("b", F.floor(F.col("t1") / g))
-    leg2 = base.select(F.col("sender_account").alias("m"), F.col("receiver_account").alias("dst"),
-                       F.unix_micros("ts").alias("t2"), F.col("amount_paid").alias("a2"))
-    leg2 = leg2.withColumn("b", F.explode(F.array(F.floor(F.col("t2") / g), F.floor(F.col("t2") / g) - 1)))
-    p = leg1.join(leg2, ["m", "b"]).where(
-        (F.col("t2") >= F.col("t1")) & (F.col("t2") - F.col("t1") <= g) & (F.col("src") != F.col("dst"))
-        & (F.col("a2") >= F.col("a1") * F.lit(min_ratio)) & (F.col("a2") <= F.col("a1") * F.lit(max_ratio)))
+                    & (F.col("sender_account") != F.col("receiver_account")) & F.col("ts").isNotNull()
+                    & (F.col("amount_paid") >= 0))
+    legs = base.select("sender_account", "receiver_account", F.unix_micros("ts").alias("t"),
+                       F.col("amount_paid").alias("a"))
+    first, after = _leg_keys(legs, max_gap_us, min_ratio, max_ratio)
+    leg1 = first.select(F.col("sender_account").alias("src"), F.col("receiver_account").alias("m"), "tb", "ab",
+                        F.col("t").alias("t1"), F.col("a").alias("a1"))
+    leg2 = after.select(F.col("sender_account").alias("m"), F.col("receiver_account").alias("dst"), "tb", "ab",
+                        F.col("t").alias("t2"), F.col("a").alias("a2"))
+    p = leg1.join(leg2, ["m", "tb", "ab"]).where(
+        _follows("t1", "a1", "t2", "a2", max_gap_us, min_ratio, max_ratio) & (F.col("src") != F.col("dst")))
     per_mid = p.groupBy("src", "dst", "m").agg(F.count(F.lit(1)).alias("_n"))
     out = per_mid.groupBy(F.col("src").alias("src_account"), F.col("dst").alias("dst_account")).agg(
         F.count(F.lit(1)).alias("n_intermediates"), F.sum("_n").cast("long").alias("n_paths"))
     return out.where(F.col("n_intermediates") >= min_intermediates)
 
 
+def ring_cycles(tx: DataFrame, length: int = 5, max_gap_us: int = 30 * DAY_US, min_ratio: float = 0.9,
+                max_ratio: float = 1.0) -> DataFrame:
+    """GR-14 (laundering rings): directed cycles of ``length`` transfers through as many different
+    accounts, strictly forward in time, each transfer within ``max_gap_us`` of the one before and
+    carrying min_ratio..max_ratio of its amount. One row per ring of transfers, found at its earliest
+    one: (tx_ids, accounts), both in order.
+
+    Only transfers between accounts that both send and receive can lie on a ring. A path grows by an
+    equi-join on (account, time bucket, amount bucket), so a hub's transfers meet only those that can
+    follow; the last transfer has the start in its join key, so open paths of full length are never
+    kept. Paths are written after each hop."""
+    if length < 2:
+        raise ValueError("a ring has at least two transfers")
+    base = tx.where((F.col("sender_account") != F.col("receiver_account")) & F.col("ts").isNotNull()
+                    & (F.col("amount_paid") >= 0))
+    both = base.select(F.col("sender_account").alias("n")).distinct().join(
+        base.select(F.col("receiver_account").alias("n")).distinct(), "n", "left_semi")
+    legs = (base.join(both.withColumnRenamed("n", "sender_account"), "sender_account", "left_semi")
+            .join(both.withColumnRenamed("n", "receiver_account"), "receiver_account", "left_semi")
+            .select("tx_id", F.col("sender_account").alias("s"), F.col("receiver_account").alias("r"),
+                    F.unix_micros("ts").alias("t"), F.col("amount_paid").alias("a")))
+    legs = cut_lineage(legs)
+    _, after = _leg_keys(legs, max_gap_us, min_ratio, max_ratio)
+    nxt = after.select(F.col("s").alias("end"), "tb", "ab", F.col("tx_id").alias("_id"), F.col("r").alias("_r"),
+                       F.col("t").alias("_t"), F.col("a").alias("_a"))
+    paths = legs.select(F.col("s").alias("start"), F.col("r").alias("end"), "t", "a",
+                        F.array("tx_id").alias("ids"), F.array("s", "r").alias("nodes"))
+    fits = _follows("t", "a", "_t", "_a", max_gap_us, min_ratio, max_ratio) & (F.col("_t") > F.col("t"))
+    for _ in range(length - 2):
+        p, _unused = _leg_keys(paths, max_gap_us, min_ratio, max_ratio)
+        grown = p.join(nxt, ["end", "tb", "ab"]).where(fits & ~F.array_contains("nodes", F.col("_r")))
+        paths = cut_lineage(grown.select("start", F.col("_r").alias("end"), F.col("_t").alias("t"), F.col("_a").alias("a"),
+                                         F.array_append("ids", F.col("_id")).alias("ids"),
+                                         F.array_append("nodes", F.col("_r")).alias("nodes")))
+    p, _unused = _leg_keys(paths, max_gap_us, min_ratio, max_ratio)
+    closing = nxt.withColumnRenamed("_r", "start")
+    return p.join(closing, ["end", "tb", "ab", "start"]).where(fits).select(
+        F.array_join(F.array_append("ids", F.col("_id")), ",").alias("tx_ids"),
+        F.array_join("nodes", ",").alias("accounts"))
+
+
 # Fixed value: reporting limit for cash structuring (must equal the reference's sample).
 REPORTING_LIMIT = 10000.0
 

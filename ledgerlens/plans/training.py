@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import columns as C
 from ledgerlens.operators import drift as DR
 from ledgerlens.operators import features as FE
 from ledgerlens.operators import fusion as FU
@@ -70,29 +71,29 @@ def run_training(spark: SparkSession, tx: DataFrame, out_dir: str | None = None,
         scored = scored.withColumn("gnn_score", F.lit(None).cast("double"))
     scored = materialize(FU.fuse(scored, tabular_weight=tabular_weight, threshold=threshold), "scored-test")
     cmp = EV.compare_models(scored, {"tabular": "tabular_score", "graph": "gnn_score", "fused": "fused_score"})
-    st = data.agg(F.count_if(F.col("is_test") == 0).alias("n_train"), F.count_if(F.col("is_test") == 1).alias("n_test"),
-                  F.count_if((F.col("is_test") == 0) & (F.col("label") == 1)).alias("p_train")).first()   # one pass
-    n_train, p_train = int(st["n_train"]), int(st["p_train"])
-    summary = {
-        "train_size": n_train, "test_size": int(st["n_test"]),
-        "fraud_rate_train": p_train / n_train if n_train else 0.0,
-        "pos_weight": round((n_train - p_train) / max(p_train, 1), 6), "tabular_weight": tabular_weight,
-        "threshold": threshold,
-    }
+    split_rows = data.select("tx_id", "label", "is_test")
+    summary = training_summary(split_rows, tabular_weight, threshold)
     result = {"models": models, "scored": scored, "comparison": cmp, "summary": summary, "tables": tables,
-              "split": data.select("tx_id", "label", "is_test")}
+              "split": split_rows}
     if out_dir:
+        facts = summary.first().asDict()
         metrics = {f"{r['metric']}.{m}": r[m] for r in cmp.collect() for m in ("tabular", "graph", "fused")
                    if r[m] is not None}
-        result["run_id"] = SK.append_run_metrics(spark, f"{out_dir}/run_metrics", "training", metrics, summary)
-        SK.save_model_bundle(f"{out_dir}/bundle", models, tables, meta={"features": cols, **summary})
+        result["run_id"] = SK.append_run_metrics(spark, f"{out_dir}/run_metrics", "training", metrics, facts)
+        SK.save_model_bundle(f"{out_dir}/bundle", models, tables, meta={"features": cols, **facts})
     return result
 
 
-def training_summary(spark: SparkSession, summary: dict) -> DataFrame:
-    """EVAL-9: the summary as a one-row DataFrame."""
-    keys = sorted(summary)
-    return spark.createDataFrame([tuple(float(summary[k]) for k in keys)], ", ".join(f"{k} double" for k in keys))
+def training_summary(split: DataFrame, tabular_weight: float = FU.DEFAULT_TABULAR_WEIGHT,
+                     threshold: float = FU.DEFAULT_THRESHOLD) -> DataFrame:
+    """EVAL-9: one row of the split's sizes, the training fraud rate and class weight, and the settings."""
+    train = F.col("is_test") == 0
+    n, p = F.count_if(train).cast("double"), F.count_if(train & (F.col("label") == 1)).cast("double")
+    return split.agg(
+        n.alias("train_size"), F.count_if(F.col("is_test") == 1).cast("double").alias("test_size"),
+        C.fixed(F.coalesce(F.try_divide(p, n), F.lit(0.0)), 6).alias("fraud_rate_train"),
+        C.fixed((n - p) / F.greatest(p, F.lit(1.0)), 6).alias("pos_weight"),
+        F.lit(float(tabular_weight)).alias("tabular_weight"), F.lit(float(threshold)).alias("threshold"))
 
 
 def score_batch(tx: DataFrame, tabular_model, graph_model=None, tabular_weight: float = FU.DEFAULT_TABULAR_WEIGHT,

@@ -121,45 +121,68 @@ def account_velocity(stream: DataFrame, window: str = "1 hour", slide: str = "10
 
 RUNNING_SCHEMA = ("tx_id string, account_id string, prior_count long, prior_sum double, prior_mean double, "
                   "prior_std double")
-RUNNING_STATE = "n long, total double, mean double, m2 double"
+# statistics of the rows before the latest timestamp, that timestamp, statistics of the rows at it
+RUNNING_STATE = ("n long, total double, mean double, m2 double, last_t long, "
+                 "last_n long, last_total double, last_mean double, last_m2 double")
+NONE_YET = (0, 0.0, 0.0, 0.0)
+
+
+def _merge(a, b):
+    """(n, sum, mean, M2) of two disjoint sets; scalars or arrays."""
+    n = a[0] + b[0]
+    d = b[2] - a[2]
+    some = np.maximum(n, 1)
+    return n, a[1] + b[1], np.where(n > 0, (a[0] * a[2] + b[0] * b[2]) / some, 0.0), a[3] + b[3] + d * d * a[0] * b[0] / some
+
+
+def _of(x):
+    mean = float(x.mean()) if len(x) else 0.0
+    return len(x), float(x.sum()), mean, float(((x - mean) ** 2).sum())
 
 
 def _running(key, pdfs, state):
-    n0, s0, mean0, m20 = state.get if state.exists else (0, 0.0, 0.0, 0.0)
+    s = state.get if state.exists else (*NONE_YET, np.iinfo(np.int64).min, *NONE_YET)
+    base, last_t, at_last = s[:4], s[4], s[5:]
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t", "tx_id"], kind="mergesort")
+    t = pdf["_t"].to_numpy(dtype="int64")
     x = pdf["_x"].to_numpy(dtype=float)
-    k = np.arange(len(x))                           # rows before each row, within this batch
-    cs = np.concatenate([[0.0], np.cumsum(x)])[:-1]
-    piv = x[0] if len(x) else 0.0
-    d = x - piv
-    cd, cd2 = np.concatenate([[0.0], np.cumsum(d)])[:-1], np.concatenate([[0.0], np.cumsum(d * d)])[:-1]
-    with np.errstate(invalid="ignore", divide="ignore"):
-        bmean = np.where(k > 0, piv + cd / np.maximum(k, 1), 0.0)
-        bm2 = np.where(k > 0, cd2 - cd * cd / np.maximum(k, 1), 0.0)
-    n = n0 + k
-    delta = bmean - mean0
-    mean = np.where(n > 0, (n0 * mean0 + k * bmean) / np.maximum(n, 1), 0.0)
-    m2 = m20 + bm2 + delta * delta * n0 * k / np.maximum(n, 1)
+    counted = ~np.isnan(x)
+    piv = float(x[counted][0]) if counted.any() else 0.0
+    d = np.where(counted, x - piv, 0.0)
+    run = lambda v: np.concatenate([[0.0], np.cumsum(v)])
+    first = np.searchsorted(t, t, "left")          # rows of one timestamp see only the rows before it
+    k = run(counted)[first].astype("int64")
+    cd, cd2 = run(d)[first], run(d * d)[first]
+    some = np.maximum(k, 1)
+    inside = (k, run(np.where(counted, x, 0.0))[first], np.where(k > 0, piv + cd / some, 0.0), cd2 - cd * cd / some)
+    later = t > last_t
+    known = _merge(base, at_last)
+    before = tuple(np.where(later, w, o) for w, o in zip(known, base))
+    n, total, mean, m2 = _merge(before, inside)
     std = np.where(n > 1, np.sqrt(np.maximum(m2, 0.0) / np.maximum(n - 1, 1)), 0.0)
     out = pd.DataFrame({"tx_id": pdf["tx_id"].astype(str), "account_id": key[0], "prior_count": n.astype("int64"),
-                        "prior_sum": s0 + cs, "prior_mean": mean, "prior_std": std})
-    if len(x):
-        kt = len(x)
-        tmean = x.mean()
-        tm2 = float(((x - tmean) ** 2).sum())
-        nt = n0 + kt
-        dl = tmean - mean0
-        state.update((int(nt), float(s0 + x.sum()), float((n0 * mean0 + kt * tmean) / nt),
-                      float(m20 + tm2 + dl * dl * n0 * kt / nt)))
+                        "prior_sum": total, "prior_mean": mean, "prior_std": std})
+    if len(t):
+        top = int(t[-1])
+        if top > last_t:
+            base, at_last = known, NONE_YET
+        newest = max(top, last_t)
+        base = _merge(base, _of(x[counted & (t < newest)]))
+        at_last = _merge(at_last, _of(x[counted & (t == newest)]))
+        num = lambda v: (int(v[0]), float(v[1]), float(v[2]), float(v[3]))
+        state.update((*num(base), int(newest), *num(at_last)))
     yield out
 
 
 def account_running_state(stream: DataFrame, key: str = "sender_account", amount: str = "amount_paid") -> DataFrame:
-    """ST-6: per account, count / sum / mean / sample std of all its earlier transfers, emitted
-    with each transfer (order within a batch: ts, tx_id). State is (n, sum, mean, M2), merged
-    across batches with the parallel-variance formula; batch prefixes are numpy cumulative
-    sums, so there is no per-row Python loop."""
-    s = stream.select("tx_id", F.col(key).alias("_k"), F.unix_micros("ts").alias("_t"), F.col(amount).cast("double").alias("_x"))
+    """ST-6: per account, count / sum / mean / sample std of all its strictly earlier transfers, emitted
+    with each transfer; transfers of one timestamp do not see each other, also across batches. A missing
+    amount is not counted. State is (n, sum, mean, M2) of the rows before the account's latest timestamp
+    and of the rows at it, merged across batches with the parallel-variance formula; batch prefixes are
+    numpy cumulative sums, so there is no per-row Python loop. A transfer that arrives in a later batch
+    than a newer one of its account sees the rows already taken in before that newer one."""
+    s = (stream.where(F.col("ts").isNotNull())
+         .select("tx_id", F.col(key).alias("_k"), F.unix_micros("ts").alias("_t"), F.col(amount).cast("double").alias("_x")))
     return s.groupBy("_k").applyInPandasWithState(_running, RUNNING_SCHEMA, RUNNING_STATE, "append",
                                                   GroupStateTimeout.NoTimeout)
 

@@ -82,6 +82,22 @@ def test_running_state_equals_batch(spark, tmp_path):
     assert np.allclose(got.prior_std.values, batch.std_all.values, atol=1e-3)
 
 
+def test_running_state_ties_and_missing_amounts_across_batches(spark, tmp_path):
+    at = lambda s: (pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s)).to_pydatetime()
+    batches = [[("a", at(0), "A", "R", 10.0), ("b", at(5), "A", "R", 20.0), ("c", at(5), "A", "R", None)],
+               [("d", at(5), "A", "R", 40.0), ("e", at(6), "A", "R", 1.0)]]
+    path = str(tmp_path / "ties")
+    import time
+    for rows in batches:
+        spark.createDataFrame(rows, "tx_id string, ts timestamp, sender_account string, receiver_account string, "
+                                    "amount_paid double").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    stream = ST.read_stream(spark, path, spark.read.parquet(path).schema, max_files_per_trigger=1)
+    got = {r.tx_id: (r.prior_count, r.prior_sum) for r in
+           ST.run_to_table(ST.account_running_state(stream), "t-ties").collect()}
+    assert got == {"a": (0, 0.0), "b": (1, 10.0), "c": (1, 10.0), "d": (1, 10.0), "e": (3, 70.0)}
+
+
 def test_dedup_and_counters(spark, tmp_path):
     base = pd.Timestamp("2024-01-01")
     rows = [("t1", base, "A", "B", 10.0), ("t1", base, "A", "B", 10.0), ("t2", base + pd.Timedelta(hours=30), "A", "B", 400.0)]

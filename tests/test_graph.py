@@ -116,3 +116,46 @@ def test_ordered_index_across_partitions(spark):
     df = spark.createDataFrame([(i,) for i in ids], "account_id string")
     got = {r.account_id: r.idx for r in GR.ordered_index(df, "account_id", partitions=7).collect()}
     assert got == {v: i for i, v in enumerate(sorted(set(ids)))}
+
+
+def test_ring_of_five_is_found_once_and_in_time_order(spark):
+    from conftest import edges_df
+    day = 86_400
+    ring = [("A", "B", 0, 1000.0), ("B", "C", day, 980.0), ("C", "D", 2 * day, 960.0), ("D", "E", 3 * day, 940.0),
+            ("E", "A", 4 * day, 920.0)]
+    noise = [("B", "A", 5 * day, 5.0), ("E", "A", day, 920.0), ("D", "E", 90 * day, 940.0)]
+    t = edges_df(spark, ring + noise)
+    got = GR.ring_cycles(t, 5).collect()
+    assert [(r.tx_ids, r.accounts) for r in got] == [("E00000,E00001,E00002,E00003,E00004", "A,B,C,D,E")]
+    assert GR.ring_cycles(t, 4).count() == 0
+    cand = t.where("tx_id = 'E00000'").selectExpr("tx_id AS cand_id", "sender_account AS src", "receiver_account AS dst")
+    rest = GR.simple_edges(t.where("tx_id NOT IN ('E00000', 'E00005')"))
+    assert GR.cycle_membership(rest, cand, max_len=5).first()["cycle_len"] == 5
+
+
+def test_rings_equal_brute_force(spark):
+    import random
+
+    from conftest import edges_df
+    rnd = random.Random(3)
+    rows = [(f"N{rnd.randrange(7)}", f"N{rnd.randrange(7)}", rnd.randrange(60) * 43_200, float(rnd.choice([0, 90, 95, 100])))
+            for _ in range(110)]
+    want = set()
+
+    def grow(path):
+        last = rows[path[-1]]
+        if len(path) == 3:
+            if last[1] == rows[path[0]][0]:
+                want.add(",".join(f"E{k:05d}" for k in path))
+            return
+        seen = {rows[k][0] for k in path} | {last[1]}
+        for k, r in enumerate(rows):
+            if (r[0] == last[1] and r[0] != r[1] and 0 < r[2] - last[2] <= 20 * 86_400 and 0.9 * last[3] <= r[3] <= last[3]
+                    and (r[1] not in seen or (len(path) == 2 and r[1] == rows[path[0]][0]))):
+                grow(path + [k])
+
+    for k, r in enumerate(rows):
+        if r[0] != r[1]:
+            grow([k])
+    got = [r.tx_ids for r in GR.ring_cycles(edges_df(spark, rows), 3, 20 * GR.DAY_US, 0.9, 1.0).collect()]
+    assert want and sorted(got) == sorted(want)

@@ -65,7 +65,8 @@ def test_training_bundle_and_retrain_on_drift(spark, tx_frame, tmp_path):
     t = tx_frame(n=600, force_pos=12)
     res = TR.run_training(spark, t, out_dir=str(tmp_path / "run"), rounds=3, with_graph=False)
     assert set(res["models"]) == {"tabular"}
-    assert res["summary"]["train_size"] + res["summary"]["test_size"] == 600
+    summary = res["summary"].first()
+    assert summary["train_size"] + summary["test_size"] == 600
     b = SK.load_model_bundle(spark, str(tmp_path / "run" / "bundle"))
     assert b is not None and "tabular" in b["models"]
     f = FE.engineer_features(t)
