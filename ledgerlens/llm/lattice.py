@@ -12,8 +12,9 @@ training words are further arcs, over the whole word. The expected counts are su
 made in Spark; only the arc table (the vocabulary and at most FREQUENT words) passes through the
 driver. Characters outside the vocabulary are spelt in byte pieces.
 
-For the unigram word model beside it, the FREQUENT words with the most training tokens travel with
-the tasks; all other words of a document are joined with the word table by a shuffle on the word.
+Every distinct word is scored once. The FREQUENT words with the most training tokens travel with the
+tasks, with their scores; all other words of a document are joined with the table of word scores by a
+shuffle on the word. The unigram word model beside it takes the same way.
 
 Edge cases: null and empty texts are the end alone; with no training rows the starting weights stay
 and every token is unknown; repeated rows are scored each; further columns are ignored.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import WordCache, small_batches, stored
+from ledgerlens.llm.common import small_batches, stored
 
 MARK = "▁"
 FREQUENT = 100_000         # words of the word table that are sent to every task
@@ -269,6 +270,18 @@ def frequent_words(words: DataFrame, most: int) -> list[tuple[str, int]]:
     return sorted(((r["word"], r["c"]) for r in found), key=lambda x: (-x[1], x[0]))
 
 
+def word_scores(words: DataFrame, path: str, logp: np.ndarray) -> DataFrame:
+    """(word, c, score): every distinct word's log10 probability over all segmentations into pieces."""
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = log_marginals(b.column(0).to_pylist(), pieces(path), logp) / math.log(10)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(m)], names=["word", "c", "score"])
+
+    words.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
+    return words.select("word", "c").mapInArrow(price, "word string, c long, score double")
+
+
 def score(docs: DataFrame, training: Column, path: str, rounds: int = ROUNDS, frequent: int = FREQUENT) -> DataFrame:
     """Every document's base score (add-half unigram words) and lattice score, both log10.
 
@@ -285,40 +298,36 @@ def score(docs: DataFrame, training: Column, path: str, rounds: int = ROUNDS, fr
     floor = math.log10(total + 0.5 * (kinds + 1))
     end_base = math.log10(ends + 0.5) - floor
     end_score = float(logp[-1] / math.log(10))
+    priced = stored(word_scores(words, path, logp), "lattice-priced")
+    marginal = log_marginals([w for w, _ in listed], pieces(path), logp)
+    arc = np.array([whole[w][1] if w in whole else -np.inf for w, _ in listed])
+    frequent_score = dict(zip(top, (np.logaddexp(marginal, arc) / math.log(10)).tolist()))
+    frequent_base = {w: math.log10(c + 0.5) - floor for w, c in top.items()}
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("n_tokens long, known long, base double, score double, rare array<string>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table = pieces(path)
-
-        def both(some: list[bytes]) -> list[tuple]:
-            names = [w.decode() for w in some]
-            arc = np.array([whole[w][1] if w in whole else -np.inf for w in names])
-            marginal = np.logaddexp(log_marginals(names, table, logp), arc) / math.log(10)
-            return [(m, math.log10(top[w] + 0.5) - floor, True) if w in top else (m, 0.0, False)
-                    for w, m in zip(some, marginal.tolist())]
-
-        cache = WordCache(both)
         for s in texts:
-            split = [tokens(t) for t in s]
-            known = cache.look_up({w for ws in split for w in ws})
             rows = []
-            for ws in split:
-                found = [known[w] for w in ws]
-                hit = sum([f[2] for f in found])
-                rare = [w.decode() for w, f in zip(ws, found) if not f[2]] if hit < len(ws) else []
-                rows.append((len(ws) + 1, hit + (1 if ends else 0), math.fsum([f[1] for f in found]) + end_base,
-                             math.fsum([f[0] for f in found]) + end_score, rare))
+            for text in s:
+                ws = tokens(text)
+                found = [w for w in ws if w in frequent_score]
+                rare = [w.decode() for w in ws if w not in frequent_score] if len(found) < len(ws) else []
+                rows.append((len(ws) + 1, len(found) + (1 if ends else 0),
+                             math.fsum([frequent_base[w] for w in found]) + end_base,
+                             math.fsum([frequent_score[w] for w in found]) + end_score, rare))
             yield pd.DataFrame(rows, columns=["n_tokens", "known", "base", "score", "rare"])
 
     scored = docs.select("doc_id", "t", run(F.col("text")).alias("r")).select("doc_id", "t", "r.*")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "lattice-scored")
     rare = (scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("k"))
-            .join(words, "word")
-            .groupBy("row").agg(F.sum(F.col("k") * (F.log10(F.col("c") + 0.5) - F.lit(floor))).alias("rare_base"),
+            .join(priced, "word")
+            .groupBy("row").agg(F.sum(F.col("k") * F.col("score")).alias("rare_score"),
+                                F.sum(F.col("k") * (F.log10(F.col("c") + 0.5) - F.lit(floor))).alias("rare_base"),
                                 F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known")))
     return scored.join(rare, "row", "left").select(
         "doc_id", (~F.col("t")).alias("held_out"), "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"))
