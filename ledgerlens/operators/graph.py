@@ -60,6 +60,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 # --- node statistics (AGG-5, GR-3) ----------------------------------------------------------------
 
+# Node feature names and order (must equal the reference's).
 NODE_FEATURES = ["log_sent_sum", "sent_count", "log_sent_mean", "log_sent_std", "log_recv_sum", "recv_count",
                  "sent_to_unique", "recv_from_unique"]
 

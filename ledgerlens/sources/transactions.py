@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ledgerlens.functions import columns as C
 from ledgerlens.session import configure
 
-# Raw bank-export layout, given by position (the export repeats the header "Account").
+# Raw bank-export layout, given by position (the export repeats the header "Account").
 RAW_COLUMNS = [
     ("ts_raw", "Timestamp"),
     ("from_bank", "From Bank"),
