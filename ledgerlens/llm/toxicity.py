@@ -37,7 +37,7 @@ LEARN_PART = 0.75
 THRESHOLD = 0.3
 LEAST_WEIGHT = 2.5         # log ratio of a learnt word's shares in toxic and other documents
 LEAST_SURROUNDINGS = 3     # different left neighbours (for stems: neighbour and word) in toxic documents
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 MAX_LEARNT = 100_000       # checked bound of the learnt list that tasks receive
 
 # Classes of words. Fixed lists of English function words and threat verbs.
