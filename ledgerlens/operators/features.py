@@ -32,6 +32,7 @@ FEATURE_COLUMNS = [
 # Fixed value: payment format used for a missing format before encoding.
 UNKNOWN_FORMAT = "Unknown"
 
+MONEY_SUM = "decimal(38,10)"
 MONEY_DEC = "decimal(28,10)"    # sums of amounts are exact to 10 decimals (small coins included)
 
 
@@ -315,53 +316,144 @@ def random_split(df: DataFrame, test_frac: float = 0.2, seed: int = 7, key: str
 DAY_US = 86_400 * 1_000_000
 
 
+def _state(w=None) -> Column:
+    """Count, exact sum, mean, squared deviations and maximum of ``_x``, over ``w`` or the group."""
+    over = (lambda c: c.over(w)) if w is not None else (lambda c: c)
+    n = over(F.count("_x"))
+    return F.struct(n.alias("n"), over(F.sum(F.col("_x").cast(MONEY_DEC))).alias("s"), over(F.avg("_x")).alias("mean"),
+                    (over(F.var_pop("_x")) * n).alias("m2"), over(F.max("_x")).alias("mx"))
+
+
+def _merged(parts: Column) -> Column:
+    """The state of all rows behind an array of states; deviations are merged without cancellation."""
+    kind = f"struct<n:bigint,s:{MONEY_SUM},mean:double,m2:double,mx:double>"
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("s"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"),
+                    F.lit(None).alias("mx")).cast(kind)
+
+    def add(a: Column, b: Column) -> Column:
+        n, d = a["n"] + b["n"], b["mean"] - a["mean"]
+        both = F.struct(n.alias("n"), (a["s"] + b["s"]).alias("s"), (a["mean"] + d * b["n"] / n).alias("mean"),
+                        (a["m2"] + b["m2"] + d * d * a["n"] * b["n"] / n).alias("m2"),
+                        F.greatest(a["mx"], b["mx"]).alias("mx")).cast(kind)
+        return F.when(b["n"] == 0, a).when(a["n"] == 0, b.cast(kind)).otherwise(both)
+
+    return F.aggregate(parts, none, add)
+
+
+def _block(t: Column) -> Column:
+    """The block of a time: blocks of width ``_u``, one block where the window has no width."""
+    return F.coalesce(((t - F.pmod(t, F.col("_u"))) / F.col("_u")).cast("long"), F.lit(0).cast("long"))
+
+
+def _counterparty_marks(rows: DataFrame) -> DataFrame:
+    """(_i, _k, _b, _t, _m): signed marks whose sum over a block's earlier marks is the number of
+    distinct ``_o`` in the window.
+
+    A transfer stands for its counterparty until the next transfer of the pair or its own expiry, so
+    the spans of a pair never overlap. A span marks +1 where it begins, -1 where it ends, and +1
+    before the start of each further block it reaches. Pairs are followed block by block, with the
+    next block's first time as context, so a busy pair is split as its account is."""
+    seen = rows.where(F.col("_o").isNotNull()).groupBy("_i", "_width", "_u", "_k", "_o", "_b", "_t").agg(F.lit(True).alias("_own"))
+    # a span reaches ``width / u`` blocks on at most
+    following = (seen.where(F.col("_u").isNotNull()).groupBy("_i", "_width", "_u", "_k", "_o", "_b").agg(F.min("_t").alias("_t"))
+                 .withColumn("_b", F.explode(F.sequence(F.col("_b") - (F.col("_width") / F.col("_u")).cast("long"), F.col("_b") - 1)))
+                 .withColumn("_own", F.lit(False)))
+    pair = Window.partitionBy("_i", "_k", "_o", "_b").orderBy("_t")
+    spans = (seen.unionByName(following).withColumn("_next", F.lead("_t").over(pair)).where("_own")
+             .withColumn("_end", F.least("_next", F.col("_t") + F.col("_width"))).withColumn("_last", F.coalesce(
+                 F.when(F.col("_u").isNotNull() & F.col("_end").isNotNull(), _block(F.col("_end"))), F.col("_b"))))
+    later = F.when(F.col("_last") > F.col("_b"), F.transform(
+        F.sequence(F.col("_b") + 1, F.col("_last")),
+        lambda j: F.struct(j.alias("b"), (j * F.col("_u") - 1).alias("t"), F.lit(1).alias("m"))))
+    marks = F.concat(
+        F.array(F.struct(F.col("_b").alias("b"), F.col("_t").alias("t"), F.lit(1).alias("m"))),
+        F.when(F.col("_end").isNotNull(), F.array(F.struct(F.col("_last").alias("b"), F.col("_end").alias("t"), F.lit(-1).alias("m"))))
+        .otherwise(F.array().cast("array<struct<b:bigint,t:bigint,m:int>>")),
+        F.coalesce(later, F.array().cast("array<struct<b:bigint,t:bigint,m:int>>")))
+    return (spans.select("_i", "_k", F.explode(marks).alias("_e"))
+            .select("_i", "_k", F.col("_e.b").alias("_b"), F.col("_e.t").alias("_t"), F.col("_e.m").alias("_m")))
+
+
 def rolling_window_stats(df: DataFrame, key: str, amount: str, windows: dict[str, int | None],
-                         id_col: str = "tx_id", ts: str = "ts", prefix: str = "", split: int = 1) -> DataFrame:
-    """Count / exact sum / mean / sample std / max of ``amount`` over rows of the same ``key``
-    strictly earlier than each row, for every (name -> width in microseconds) in ``windows``.
-
-    Skew: the window is partitioned by (key, time bucket) with bucket width = longest window /
-    ``split``; every row is also copied, as context only, into the next ``split`` buckets, which
-    together cover the longest window. A hot account is thereby spread over as many tasks as it
-    has buckets, and ``split`` shrinks each partition further for bursty accounts at the cost of
-    ``split`` context copies per row. A width of None means the whole history (one partition
-    per key; ``history_stats`` is the skew-safe form of that case).
+                         id_col: str = "tx_id", ts: str = "ts", prefix: str = "", split: int = 1,
+                         other: str | None = None) -> DataFrame:
+    """Count / exact sum / mean / sample std / max of ``amount``, and the number of distinct ``other``
+    if given (``div``), over rows of the same ``key`` strictly earlier than each row, for every
+    (name -> width in microseconds) in ``windows``. ``id_col`` tells rows apart; rows without a key
+    or a time have no window and are left out.
+
+    No frame slides. Time is cut into blocks of width / ``split``: a window is the end of one block,
+    ``split - 1`` whole blocks and the beginning of the row's own block, and each of these is a
+    running aggregate or a total of its block. So the work grows with the rows however many lie in
+    one window, and a hot account is spread over as many tasks as it has blocks. A width must be a
+    multiple of ``split``; a width of None is the whole history (one partition per key;
+    ``history_stats`` is the skew-safe form of that case).
     """
-    widths = [w for w in windows.values() if w is not None]
-    span = max(widths) if widths and all(w is not None for w in windows.values()) else None
+    split = max(1, int(split))
+    if any(w is not None and w % split for w in windows.values()):
+        raise ValueError("every width must be a multiple of split")
     base = df.select(F.col(id_col).alias("_id"), F.col(key).alias("_k"), F.unix_micros(F.col(ts)).alias("_t"),
-                     F.col(amount).cast("double").alias("_x")).where(F.col("_k").isNotNull() & F.col("_t").isNotNull())
-    if span is not None:
-        k = max(1, int(split))
-        width = -(-span // k)
-        rows = (base.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(k))))
-                .withColumn("_bkt", F.floor(F.col("_t") / F.lit(width)) + F.col("_j"))
-                .withColumn("_target", F.col("_j") == 0).drop("_j"))
-        w0 = Window.partitionBy("_k", "_bkt").orderBy("_t")
-    else:
-        rows = base.withColumn("_target", F.lit(True))
-        w0 = Window.partitionBy("_k").orderBy("_t")
-    cols = []
-    for name, width in windows.items():
-        w = w0.rangeBetween(-width, -1) if width is not None else w0.rangeBetween(Window.unboundedPreceding, -1)
-        n = F.count("_x").over(w)
-        s = F.sum(F.col("_x").cast(MONEY_DEC)).over(w)
-        cols += [
+                     F.col(amount).cast("double").alias("_x"),
+                     (F.col(other) if other else F.lit(None).cast("string")).alias("_o")) \
+        .where(F.col("_k").isNotNull() & F.col("_t").isNotNull())
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).cast("long").alias("w"),
+                                        F.lit(None if w is None else w // split).cast("long").alias("u"))
+                               for i, w in enumerate(windows.values())]))
+    own = (base.withColumn("_e", each).select("*", F.col("_e.i").alias("_i"), F.col("_e.w").alias("_width"), F.col("_e.u").alias("_u"))
+           .withColumn("_b", _block(F.col("_t"))))
+    cols = ["_id", "_i", "_k", "_b", "_t", "_x"]
+    target = own.select(*cols, F.lit(0).alias("_m"), F.lit("row").alias("_kind"))
+    begins = F.col("_t") - F.col("_width")
+    begin = (own.where(F.col("_width").isNotNull()).withColumn("_b", _block(begins)).withColumn("_t", begins)
+             .withColumn("_x", F.lit(None).cast("double")).select(*cols, F.lit(0).alias("_m"), F.lit("begin").alias("_kind")))
+    rows = target.unionByName(begin)
+    if other:
+        rows = rows.unionByName(_counterparty_marks(own).withColumn("_kind", F.lit("mark")), allowMissingColumns=True)
+    block = Window.partitionBy("_i", "_k", "_b")
+    before = block.orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    onward = block.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, 0)
+    parts = (rows.select(*cols, "_kind", _state(before).alias("_before"), _state(onward).alias("_onward"),
+                         F.sum("_m").over(before).alias("_div")).where("_kind <> 'mark'")
+             .withColumn("_parts", F.array(F.when(F.col("_kind") == "row", F.col("_before")).otherwise(F.col("_onward"))))
+             .withColumn("_div", F.when(F.col("_kind") == "row", F.coalesce("_div", F.lit(0)))))
+    if split > 1:
+        between = Window.partitionBy("_i", "_k").orderBy("_b").rangeBetween(1 - split, -1)
+        whole = (own.groupBy("_i", "_k", "_b").agg(_state().alias("_all"))
+                 .select("_i", "_k", "_b", F.collect_list("_all").over(between).alias("_whole"), F.lit("row").alias("_kind")))
+        parts = parts.join(whole, ["_i", "_k", "_b", "_kind"], "left").withColumn(
+            "_parts", F.when(F.col("_whole").isNull(), F.col("_parts")).otherwise(F.concat("_parts", "_whole")))
+    found = parts.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_i", "_kind", "_parts", "_div"))).alias("_all"))
+    of_window = lambda i: F.filter("_all", lambda x: x["_i"] == i)
+    states = {name: of_window(i) for i, name in enumerate(windows)}
+    found = found.select("_id", *[F.struct(
+        _merged(F.flatten(F.transform(mine, lambda x: x["_parts"]))).alias("st"),
+        F.array_max(F.transform(mine, lambda x: x["_div"])).alias("div")).alias(name) for name, mine in states.items()])
+    out = []
+    for name in windows:
+        st = lambda f, name=name: F.col(f"`{name}`.st.{f}")
+        n, total = st("n"), st("s").cast("double")
+        std = F.when(n > 1, F.sqrt(st("m2") / (n - 1).cast("double")))
+        out += [
             n.alias(f"{prefix}cnt_{name}"),
-            C.fixed(F.coalesce(s.cast("double"), F.lit(0.0)), 4).alias(f"{prefix}sum_{name}"),
-            C.fixed(F.coalesce(F.try_divide(s.cast("double"), n.cast("double")), F.lit(0.0)), 6).alias(f"{prefix}mean_{name}"),
-            C.fixed(F.coalesce(F.stddev_samp("_x").over(w), F.lit(0.0)), 4).alias(f"{prefix}std_{name}"),
-            F.coalesce(F.max("_x").over(w), F.lit(0.0)).alias(f"{prefix}max_{name}"),
+            C.fixed(total, 4).alias(f"{prefix}sum_{name}"),
+            C.fixed(F.coalesce(F.try_divide(total, n.cast("double")), F.lit(0.0)), 6).alias(f"{prefix}mean_{name}"),
+            C.fixed(F.coalesce(std, F.lit(0.0)), 4).alias(f"{prefix}std_{name}"),
+            F.coalesce(st("mx"), F.lit(0.0)).alias(f"{prefix}max_{name}"),
         ]
-    out = rows.select("_id", "_target", *cols).where("_target").drop("_target")
-    return out.withColumnRenamed("_id", id_col)
+        if other:
+            out.append(F.col(f"`{name}`.div").cast("long").alias(f"{prefix}div_{name}"))
+    return found.select(F.col("_id").alias(id_col), *out)
 
 
-def rolling_account_features(df: DataFrame, windows: dict[str, int | None] | None = None, split: int = 1) -> DataFrame:
+def rolling_account_features(df: DataFrame, windows: dict[str, int | None] | None = None, split: int = 1,
+                             counterparties: bool = False) -> DataFrame:
     """WIN-1 for both ends of each transaction (sender: paid, receiver: received), keyed by
-    tx_id, over strictly earlier transfers inside each window. Whole-history statistics with
-    distinct counterparties are ``history_stats`` / ``engineer_features(point_in_time=True)``."""
+    tx_id, over strictly earlier transfers inside each window, on request with the number of distinct
+    counterparties. Whole-history statistics are ``history_stats`` /
+    ``engineer_features(point_in_time=True)``."""
     windows = windows or {"1d": DAY_US, "7d": 7 * DAY_US, "30d": 30 * DAY_US}
-    s = rolling_window_stats(df, "sender_account", "amount_paid", windows, prefix="sender_", split=split)
-    r = rolling_window_stats(df, "receiver_account", "amount_received", windows, prefix="receiver_", split=split)
+    ends = [("sender_account", "amount_paid", "sender_", "receiver_account"),
+            ("receiver_account", "amount_received", "receiver_", "sender_account")]
+    s, r = (rolling_window_stats(df, key, amount, windows, prefix=prefix, split=split, other=other if counterparties else None)
+            for key, amount, prefix, other in ends)
     return s.join(r, "tx_id", "full")

@@ -698,6 +698,18 @@ SELECT tx_id,
        {_roll_side('receiver_', 'receiver_account', 'amount_received', '30d', 30)}
 FROM tx""")
 
+def _roll_distinct(prefix: str, key: str, amount: str, other: str, days: int) -> str:
+    w = (f"(PARTITION BY {key} ORDER BY ts RANGE BETWEEN INTERVAL {days} DAY PRECEDING "
+         "AND INTERVAL 1 MICROSECOND PRECEDING)")
+    return (f"count({amount}) OVER {w} AS {prefix}_cnt_{days}d, "
+            f"count(DISTINCT {other}) OVER {w} AS {prefix}_div_{days}d")
+
+
+SQL["rolling_counterparties"] = with_tx("SELECT tx_id, " + ", ".join(
+    [_roll_distinct("sender", "sender_account", "amount_paid", "receiver_account", d) for d in (1, 7, 30)]
+    + [_roll_distinct("receiver", "receiver_account", "amount_received", "sender_account", d) for d in (1, 7, 30)])
+    + " FROM tx")
+
 SQL["account_velocity"] = f"""
 SELECT 'USR_' || CAST(user_id AS VARCHAR) AS account_id, ws AS window_start, ws + INTERVAL 1 HOUR AS window_end,
        count(*) AS n_tx, {fx('sum(value)', 4)} AS amount, count(DISTINCT event_type) AS n_counterparties

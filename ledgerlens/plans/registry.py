@@ -851,3 +851,11 @@ def q_currency_dictionary(spark, sf):
 def q_rolling_account(spark, sf):
     """WIN-1 on both ends of every transaction: 7- and 30-day strictly-earlier windows."""
     return FE.rolling_account_features(tx(spark, sf), {"7d": 7 * FE.DAY_US, "30d": 30 * FE.DAY_US})
+
+
+@register("rolling_counterparties")
+def q_rolling_counterparties(spark, sf):
+    """WIN-1: distinct counterparties of both ends in 1-, 7- and 30-day strictly-earlier windows."""
+    out = FE.rolling_account_features(tx(spark, sf), counterparties=True)
+    return out.select("tx_id", *[f"{end}_{what}_{w}" for end in ("sender", "receiver") for w in ("1d", "7d", "30d")
+                                 for what in ("cnt", "div")])

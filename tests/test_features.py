@@ -190,3 +190,39 @@ def test_rolling_split_buckets_same_result(spark):
     t0 = rows[150]
     prev = [x for x in rows if x[1] < t0[1] and x[1] >= t0[1] - timedelta(days=7)]
     assert a[t0[0]][5] == len(prev)
+
+
+def test_rolling_windows_against_brute_force(spark):
+    """All statistics and distinct counterparties, with ties, missing amounts and counterparties, for every split."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    base = datetime(2024, 1, 1)
+    rows = [(f"t{i:03d}", base + timedelta(hours=int(h)), "HOT" if a else f"A{i % 3}", f"R{r}" if r else None, v)
+            for i, (h, a, r, v) in enumerate(zip(rng.integers(0, 24 * 12, 400), rng.integers(0, 3, 400), rng.integers(0, 9, 400),
+                                                  [None if u < .05 else round(u * 50, 2) for u in rng.random(400).tolist()]))]
+    rows += [("n1", None, "HOT", "R1", 1.0), ("n2", base, None, "R1", 1.0)]
+    df = spark.createDataFrame(rows, "tx_id string, ts timestamp, sender_account string, receiver_account string, "
+                                     "amount_paid double")
+    widths = {"1d": 1, "3d": 3, "all": 10_000}
+    for split in (1, 4):
+        got = {r.tx_id: r for r in FE.rolling_window_stats(
+            df, "sender_account", "amount_paid", {"1d": FE.DAY_US, "3d": 3 * FE.DAY_US, "all": None}, split=split,
+            other="receiver_account").collect()}
+        assert set(got) == {r[0] for r in rows[:400]}
+        for tid, ts, a, _, _ in rows[:400]:
+            for name, days in widths.items():
+                prev = [x for x in rows[:400] if x[2] == a and ts - timedelta(days=days) <= x[1] < ts]
+                xs = [x[4] for x in prev if x[4] is not None]
+                g = got[tid]
+                assert g[f"cnt_{name}"] == len(xs) and g[f"max_{name}"] == max(xs, default=0.0)
+                assert abs(g[f"sum_{name}"] - sum(xs)) < 1e-3
+                assert abs(g[f"std_{name}"] - (np.std(xs, ddof=1) if len(xs) > 1 else 0)) < 1e-3
+                assert g[f"div_{name}"] == len({x[3] for x in prev} - {None})
+
+
+def test_rolling_std_of_large_equal_amounts_is_zero(spark):
+    base = datetime(2024, 1, 1)
+    rows = [(f"t{i}", base + timedelta(hours=i), "A", 123456789.01) for i in range(60)]
+    df = spark.createDataFrame(rows, "tx_id string, ts timestamp, sender_account string, amount_paid double")
+    got = FE.rolling_window_stats(df, "sender_account", "amount_paid", {"1d": FE.DAY_US}).collect()
+    assert {r.std_1d for r in got} == {0.0} and max(r.cnt_1d for r in got) == 24
