@@ -1,16 +1,18 @@
 """Subword lattice likelihood.
 
 A document is a sequence of words, each written with the vocabulary's word mark in front, and one
-end. The pieces of an existing subword vocabulary span a lattice over every word; the model's
-probability of a word is the sum over all its segmentations of the product of piece probabilities,
-found by the forward recursion in log space. As no piece crosses a word mark, the document's
-marginal is the product over its words and the end: probabilities of all texts sum to one.
+end. The pieces of an existing subword vocabulary span a lattice over every word; the sum over all
+segmentations of the product of piece probabilities is found by the forward recursion in log space.
+Every training word is one more arc, over the whole word: of its c training tokens it keeps c - d, and
+what all words give up, d each, is the weight of the arcs over pieces. d is the share that makes a word
+seen once expect to be seen again as often as held-out text shows (absolute discounting from the
+numbers of words seen once and twice). As no piece crosses a word mark, the document's marginal is the
+product over its words and the end; probabilities of all texts sum to one.
 
 The vocabulary's own scores rank its pieces; they give the starting weights (Zipf's law on the rank),
-which a few rounds of expectation-maximisation fit to all training words and their counts. Frequent
-training words are further arcs, over the whole word. The expected counts are sums over the corpus,
-made in Spark; only the arc table (the vocabulary and at most FREQUENT words) passes through the
-driver. Characters outside the vocabulary are spelt in byte pieces.
+which a few rounds of expectation-maximisation fit to all training words and their counts. The expected
+counts are sums over the corpus, made in Spark; only the piece table and at most FREQUENT words pass
+through the driver. Characters outside the vocabulary are spelt in byte pieces.
 
 Every distinct word is scored once. The FREQUENT words with the most training tokens travel with the
 tasks, with their scores; all other words of a document are joined with the table of word scores by a
@@ -25,6 +27,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,7 +39,6 @@ from ledgerlens.llm.common import small_batches, stored
 
 MARK = "▁"
 FREQUENT = 100_000         # words of the word table that are sent to every task
-WHOLE = 3                  # training tokens that make a frequent word an arc of its own
 ROUNDS = 2                 # of expectation-maximisation
 PSEUDO = 0.1               # added to every piece's expected count
 _FLUSH = 400_000
@@ -57,9 +59,9 @@ class Pieces:
         self.strings = [model.id_to_piece(i) for i in spelt]
         # the existing scores order the pieces; Zipf's law turns the order into weights
         rank = np.argsort(np.argsort([-model.get_score(i) for i in spelt], kind="stable"), kind="stable")
-        self.n = len(self.strings)                       # then 256 byte pieces, then the end
-        self.bytes_at, self.end_at, self.size = self.n, self.n + 256, self.n + 257
-        start = np.concatenate((1.0 / (rank + 10.0), np.full(256, 1e-7), [1e-3]))
+        self.n = len(self.strings)                       # then 256 byte pieces
+        self.bytes_at, self.size = self.n, self.n + 256
+        start = np.concatenate((1.0 / (rank + 10.0), np.full(256, 1e-7)))
         self.start = np.log(start / start.sum())
         self.longest = max(map(len, self.strings))
         width = np.array([len(s) for s in self.strings])
@@ -150,11 +152,9 @@ def log_marginals(words: list[str], table: Pieces, logp: np.ndarray) -> np.ndarr
     return out
 
 
-def expected_counts(words: list[str], counts: np.ndarray, table: Pieces, logp: np.ndarray,
-                    whole: dict[str, tuple[int, float]]) -> np.ndarray:
-    """Expected uses of every arc over all segmentations of the words, times the words' counts:
-    the pieces, then the whole-word arcs of ``whole`` (word -> number, log probability)."""
-    out = np.zeros(table.size + len(whole))
+def expected_counts(words: list[str], counts: np.ndarray, table: Pieces, logp: np.ndarray) -> np.ndarray:
+    """Expected uses of every piece over all segmentations of the words, times the words' counts."""
+    out = np.zeros(table.size)
     for part, code in _groups(words):
         ids = table.lattice(code)
         w = _weights(code, ids, logp, table.bytes_at)
@@ -168,13 +168,7 @@ def expected_counts(words: list[str], counts: np.ndarray, table: Pieces, logp: n
         after = np.full((b, n, most), -np.inf)
         for length in range(1, most + 1):
             after[:, :n - length + 1, length - 1] = beta[:, length:]
-        arc = [whole.get(words[k]) for k in part]
-        share = np.zeros(b)
-        hit = np.array([k for k, x in enumerate(arc) if x], int)
-        if len(hit):
-            share[hit] = 1 / (1 + np.exp(alpha[hit, n] - np.array([arc[k][1] for k in hit])))
-            out[table.size + np.array([arc[k][0] for k in hit])] += share[hit] * counts[np.array(part)[hit]]
-        use = np.exp(alpha[:, :n, None] + w + after - alpha[:, n][:, None, None]) * (counts[part] * (1 - share))[:, None, None]
+        use = np.exp(alpha[:, :n, None] + w + after - alpha[:, n][:, None, None]) * counts[part][:, None, None]
         known = ids >= 0
         out[:table.n] += np.bincount(ids[known], use[known], table.n)
         odd = ids[:, :, 0] < 0
@@ -221,36 +215,56 @@ def word_counts(docs: DataFrame, training: Column) -> DataFrame:
             .groupBy("word").agg(F.sum("c").alias("c")))
 
 
-def fit(words: DataFrame, documents: int, path: str, rounds: int, top: list[tuple[str, int]]) -> tuple[np.ndarray, dict]:
-    """Log probabilities of the pieces, and of the whole-word arcs (word -> number, log probability),
-    from a table (word, c) of training counts. Both together sum to one."""
-    size = pieces(path).size
-    names = [w for w, c in top if c >= WHOLE]
-    start = np.array([c for _, c in top if c >= WHOLE], float)
-    half = math.log(2) if len(names) else 0.0
-    logp = pieces(path).start - half
-    logq = np.log(start / start.sum()) - half if len(names) else start
+def fit(words: DataFrame, path: str, rounds: int) -> np.ndarray:
+    """Log probabilities of the pieces, from a table (word, c) of training counts."""
+    size, logp = pieces(path).size, pieces(path).start
     learn = words.filter("c > 0").select("word", "c")
-    for _ in range(rounds if documents else 0):
-        whole = {w: (k, q) for k, (w, q) in enumerate(zip(names, logq.tolist()))}
-
-        def expect(batches: Iterator[pa.RecordBatch], logp=logp, whole=whole) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(size + len(whole))
+    for _ in range(rounds):
+        def expect(batches: Iterator[pa.RecordBatch], logp=logp) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
             for b in batches:
-                total += expected_counts(b.column(0).to_pylist(), b.column(1).to_numpy().astype(float), pieces(path),
-                                         logp, whole)
+                total += expected_counts(b.column(0).to_pylist(), b.column(1).to_numpy().astype(float), pieces(path), logp)
             used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["arc", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["piece", "n"])
 
         learn.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
-        rows = learn.mapInArrow(expect, "arc long, n double").groupBy("arc").agg(F.sum("n").alias("n")).toPandas()
-        n = np.zeros(size + len(names))
-        n[:size] = PSEUDO
-        n[rows["arc"].to_numpy(int)] += rows["n"].to_numpy(float)
-        n[size - 1] += documents
-        log_n = np.log(np.maximum(n, 1e-30) / n.sum())
-        logp, logq = log_n[:size], log_n[size:]
-    return logp, {w: (k, q) for k, (w, q) in enumerate(zip(names, logq.tolist()))}
+        rows = learn.mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+        if rows.empty:
+            break
+        n = np.full(size, PSEUDO)
+        n[rows["piece"].to_numpy(int)] += rows["n"].to_numpy(float)
+        logp = np.log(n / n.sum())
+    return logp
+
+
+@dataclass(frozen=True)
+class WordArcs:
+    """Weights of the arcs over whole words beside those over pieces."""
+
+    tokens: int         # training tokens that are words
+    ends: int           # training documents
+    kinds: int          # distinct training words
+    once: int           # of these, seen once
+    twice: int
+
+    @property
+    def discount(self) -> float:
+        """Between 0 and 1: what every training word gives to the pieces."""
+        return (self.once + 0.5) / (self.once + 2 * self.twice + 1)
+
+    @property
+    def log_end(self) -> float:
+        return math.log((self.ends + 0.5) / (self.tokens + self.ends + 1))
+
+    def log_word(self, marginal: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Log probabilities of words, from those over pieces and the training counts."""
+        going_on = math.log((self.tokens + 0.5) / (self.tokens + self.ends + 1))
+        if not self.tokens:
+            return going_on + marginal
+        pieces_share = math.log(self.discount * self.kinds / self.tokens)
+        with np.errstate(divide="ignore"):
+            arc = np.log(np.maximum(counts - self.discount, 0) / self.tokens)
+        return going_on + np.logaddexp(pieces_share + marginal, arc)
 
 
 def frequent_words(words: DataFrame, most: int) -> list[tuple[str, int]]:
@@ -270,13 +284,13 @@ def frequent_words(words: DataFrame, most: int) -> list[tuple[str, int]]:
     return sorted(((r["word"], r["c"]) for r in found), key=lambda x: (-x[1], x[0]))
 
 
-def word_scores(words: DataFrame, path: str, logp: np.ndarray) -> DataFrame:
-    """(word, c, score): every distinct word's log10 probability over all segmentations into pieces."""
+def word_scores(words: DataFrame, path: str, logp: np.ndarray, arcs: WordArcs) -> DataFrame:
+    """(word, c, score): every distinct word's log10 probability over all segmentations."""
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = log_marginals(b.column(0).to_pylist(), pieces(path), logp) / math.log(10)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(m)], names=["word", "c", "score"])
+            m = arcs.log_word(log_marginals(b.column(0).to_pylist(), pieces(path), logp), b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(m / math.log(10))], names=["word", "c", "score"])
 
     words.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
     return words.select("word", "c").mapInArrow(price, "word string, c long, score double")
@@ -288,20 +302,21 @@ def score(docs: DataFrame, training: Column, path: str, rounds: int = ROUNDS, fr
     ``training``: boolean column, true for the documents to learn from."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), training.alias("t"))
     words = stored(word_counts(docs, F.col("t")), "lattice-words")
-    n_train, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    n_train, distinct, once, twice = words.agg(F.coalesce(F.sum("c"), F.lit(0)), *[
+        F.count(F.when(cond, 1)) for cond in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2)]).first()
     ends = docs.filter("t").count()
     # the end is a token of the base model and counts as one of its words
     total, kinds = int(n_train) + ends, int(distinct) + (1 if ends else 0)
     listed = frequent_words(words, frequent)
     top = {w.encode(): c for w, c in listed}
-    logp, whole = fit(words, ends, path, rounds, listed)
+    arcs = WordArcs(int(n_train), ends, int(distinct), int(once), int(twice))
+    logp = fit(words, path, rounds)
     floor = math.log10(total + 0.5 * (kinds + 1))
     end_base = math.log10(ends + 0.5) - floor
-    end_score = float(logp[-1] / math.log(10))
-    priced = stored(word_scores(words, path, logp), "lattice-priced")
-    marginal = log_marginals([w for w, _ in listed], pieces(path), logp)
-    arc = np.array([whole[w][1] if w in whole else -np.inf for w, _ in listed])
-    frequent_score = dict(zip(top, (np.logaddexp(marginal, arc) / math.log(10)).tolist()))
+    end_score = arcs.log_end / math.log(10)
+    priced = stored(word_scores(words, path, logp, arcs), "lattice-priced")
+    whole = arcs.log_word(log_marginals([w for w, _ in listed], pieces(path), logp), np.array([c for _, c in listed], float))
+    frequent_score = dict(zip(top, (whole / math.log(10)).tolist()))
     frequent_base = {w: math.log10(c + 0.5) - floor for w, c in top.items()}
     small_batches(docs.sparkSession)
 

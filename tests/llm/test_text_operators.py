@@ -145,10 +145,22 @@ def test_lattice_sums_over_all_segmentations():
     words = ["there", "a", "ö\u4e00x", "\U0001f642b", "thering"]
     assert np.allclose(lattice.log_marginals(words, table, logp), [math.log(brute(lattice.MARK + w)) for w in words])
     # expected uses of arcs spell each word once
-    n = lattice.expected_counts(["there"], np.array([2.0]), table, logp, {})
+    n = lattice.expected_counts(["there"], np.array([2.0]), table, logp)
     assert np.isclose(sum(n[k] * len(s) for s, k in place.items()), 2 * 6)
 
 
+def test_lattice_words_sum_to_one():
+    """Whole-word arcs, pieces and the end share all probability: known words, new ones and the end."""
+    counts = np.array([5, 1, 1, 2, 0, 0])
+    pieces = np.log([0.3, 0.1, 0.05, 0.05, 0.4, 0.1])          # a lattice over six possible words
+    arcs = lattice.WordArcs(tokens=9, ends=3, kinds=4, once=2, twice=1)
+    p = np.exp(arcs.log_word(pieces, counts))
+    assert 0 < arcs.discount < 1 and np.isclose(p.sum() + math.exp(arcs.log_end), 1)
+    assert p[0] > p[3] > p[1] > p[5]
+    untrained = lattice.WordArcs(0, 0, 0, 0, 0)
+    assert np.isclose(np.exp(untrained.log_word(pieces, np.zeros(6))).sum() + math.exp(untrained.log_end), 1)
+
+
 def test_lattice_score_equals_brute_force(docs):
     out = lattice.score(docs, ~held_out(5, 1), PIECES, frequent=20).collect()
     train, kept = Counter(), 0
@@ -163,6 +175,23 @@ def test_lattice_score_equals_brute_force(docs):
         want[(i, i is not None and crc(i) % 5 == 1, len(ts), sum(train[x] > 0 for x in ts), n, round(base, 6))] += 1
     assert Counter((r[0], r[1], r[2], r[3], r[4], round(r["base_score"], 6)) for r in out) == want
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in out)
+    words = {w: c for w, c in train.items() if w != "end"}
+    seen = Counter(words.values())
+    ends = sum(1 for i, *_ in ALL if i is None or crc(i) % 5 != 1)
+    arcs = lattice.WordArcs(sum(words.values()), ends, len(words), seen[1], seen[2])
+    pieces = lattice.pieces(PIECES)
+    logp = pieces.start
+    for _ in range(lattice.ROUNDS):
+        use = lattice.PSEUDO + lattice.expected_counts([w.decode() for w in words], np.array(list(words.values()), float),
+                                                       pieces, logp)
+        logp = np.log(use / use.sum())
+    score = Counter()
+    for i, t, *_ in ALL:
+        ws = lattice.tokens(t)
+        each = arcs.log_word(lattice.log_marginals([w.decode() for w in ws], pieces, logp),
+                             np.array([words.get(w, 0) for w in ws], float))
+        score[(i, round((each.sum() + arcs.log_end) / math.log(10), 4))] += 1
+    assert Counter((r["doc_id"], round(r["score"], 4)) for r in out) == score
     same = [r["score"] for r in out if r["doc_id"] in (1003, 1004)]
     assert math.isclose(*same)
 
