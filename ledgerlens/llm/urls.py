@@ -7,9 +7,8 @@ rest are matched through an inverted index: each rule is filed under its rarest
 its own tokens there, and what is found is checked against the whole token set. URLs are first
 reduced to their distinct sets of mined tokens, so a common URL or host is matched once.
 
-ITEMS, the most telling frequent tokens, is a parameter of the model: FP-growth's item sets grow with
-the power set of the tokens that occur together, and this bounds them for any input. The counts that
-choose them cover all labelled URLs.
+No frequent token is left out: only those with too few blocked URLs for any rule's support are, which
+is exact. So at most (tokens a URL) / MIN_SUPPORT tokens pass through the driver.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, no rule and no token, and
 is allowed; with no blocked URL, or no other, nothing is mined; repeated rows and page ids come back
@@ -18,18 +17,20 @@ as often as they came; further columns are left out.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import stored
+
 # (verdict, host, path prefix): fixed values of the query contract.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
 MAX_RULES = 1000           # the list is written into the plan; longer ones are refused
-ITEMS = 20
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.8
-BLOCK = "=block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,60 +72,96 @@ def url_tokens() -> Column:
         F.when(F.col("tail").contains("#"), F.array(F.lit("anchor:"))).otherwise(none)))
 
 
-def telling_tokens(labelled: DataFrame, items: int, min_support: float) -> list[str]:
-    """The frequent tokens whose presence tells most about the verdict (absolute covariance with it)."""
+def least_rows(n: int, min_support: float) -> int:
+    """The fewest of ``n`` rows that reach the support."""
+    return max(1, math.ceil(min_support * n - 1e-9))
+
+
+def telling_tokens(labelled: DataFrame, items: int | None, min_support: float) -> list[str]:
+    """The tokens that can be in a rule, the most common first: a rule's blocked rows hold each of its
+    tokens, so those with fewer blocked rows than the support asks for can't. ``items``: only so many."""
     n, blocked = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not blocked or blocked == n:
         return []
     counts = (labelled.select("y", F.explode("tokens").alias("token")).groupBy("token")
-              .agg(F.count(F.lit(1)).alias("k"), F.sum("y").alias("b")).filter(F.col("k") >= min_support * n)
-              .filter(F.col("k") < n))
-    gain = F.abs(F.col("b") - F.col("k") * F.lit(blocked / n))
-    return [r["token"] for r in counts.withColumn("g", gain).orderBy(F.desc("g"), "token").limit(items).collect()]
+              .agg(F.count(F.lit(1)).alias("k"), F.sum("y").alias("b")).filter(F.col("b") >= least_rows(n, min_support))
+              .orderBy(F.desc("k"), "token"))
+    return [r["token"] for r in (counts if items is None else counts.limit(items)).collect()]
+
+
+def _texts(tokens: list[str]) -> Column:
+    return F.array(*[F.lit(t) for t in tokens]) if tokens else F.array().cast("array<string>")
+
+
+def _held(sets: DataFrame, index: DataFrame) -> DataFrame:
+    """Pairs of a token set and an antecedent it holds, found by the antecedent's rarest token."""
+    return (sets.withColumn("token", F.explode("set")).join(index, "token")
+            .filter(F.size(F.array_except("antecedent", "set")) == 0))
 
 
 def mine(labelled: DataFrame, tokens: list[str], min_support: float, min_confidence: float) -> DataFrame:
-    """(rule_id, antecedent, confidence, support): pruned rules antecedent => block."""
-    chosen = F.array(*[F.lit(t) for t in tokens])
-    rows = labelled.select(F.concat(F.array_intersect("tokens", chosen),
-                                    F.when(F.col("y") == 1, F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>")))
-                           .alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
-    rules = (model.associationRules.filter(F.col("consequent") == F.array(F.lit(BLOCK)))
-             .select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-             .withColumn("rule_id", F.xxhash64("antecedent")))
-    small = rules.select(F.col("rule_id").alias("s_id"), F.col("antecedent").alias("s_ante"), F.col("confidence").alias("s_conf"),
-                         F.element_at("antecedent", 1).alias("token"))
-    covered = (rules.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("token")).join(small, "token")
-               .filter((F.col("s_id") != F.col("rule_id")) & (F.size(F.array_except("s_ante", "antecedent")) == 0)
-                       & (F.col("s_conf") >= F.col("confidence"))).select("rule_id").distinct())
-    return rules.join(covered, "rule_id", "left_anti")
+    """(rule_id, antecedent, confidence, support): pruned rules antecedent => block.
+
+    FP-growth mines the blocked rows only; how many other rows hold an item set is counted in a join. It
+    is spared what pruning would drop anyway: longer sets with a token that is always blocked, and sets
+    with two tokens that always come together (one stands for all; the rules are written out for each)."""
+    sets = stored(labelled.select(F.array_sort(F.array_intersect("tokens", _texts(tokens))).alias("set"), "y").groupBy("set")
+                  .agg(F.count(F.lit(1)).alias("k"), F.sum("y").alias("b")), "url-sets")
+    n, blocked = (int(x) for x in sets.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first())
+    least = least_rows(n, min_support)
+    single = (sets.select("k", "b", F.xxhash64("set").alias("h"), F.xxhash64(F.lit(1), "set").alias("g"), F.explode("set").alias("token"))
+              .groupBy("token").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"))
+              .filter(F.col("b") >= least))
+    sure = single.filter("k = b").select(F.array("token").alias("antecedent"), F.lit(1.0).alias("confidence"),
+                                         (F.col("b") / n).alias("support"))
+    alike: dict[tuple, list[str]] = {}               # tokens of the same rows
+    for r in single.filter("k > b").orderBy("token").collect():
+        alike.setdefault((r["k"], r["b"], r["h"], r["g"]), []).append(r["token"])
+    rules = sure
+    if alike:
+        chosen = _texts([same[0] for same in alike.values()])
+        rows = labelled.filter("y = 1").select(F.array_intersect("tokens", chosen).alias("items"))
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / max(1, blocked)).fit(rows)
+        found = stored(model.freqItemsets.select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("b")), "url-item-sets")
+        others = (_held(sets.filter("k > b").select("set", (F.col("k") - F.col("b")).alias("o")), rule_index(found, tokens))
+                  .groupBy("antecedent").agg(F.sum("o").alias("o")))
+        mixed = (found.join(others, "antecedent", "left")
+                 .select("antecedent", (F.col("b") / (F.col("b") + F.coalesce("o", F.lit(0)))).alias("confidence"),
+                         (F.col("b") / n).alias("support")).filter(F.col("confidence") >= min_confidence))
+        mixed = stored(mixed, "url-rules")
+        small = mixed.select(F.col("antecedent").alias("s_ante"), F.col("confidence").alias("s_conf"),
+                             F.element_at("antecedent", 1).alias("token"))
+        covered = (mixed.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(small, "token")
+                   .filter((F.size("s_ante") < F.size("antecedent")) & (F.size(F.array_except("s_ante", "antecedent")) == 0)
+                           & (F.col("s_conf") >= F.col("confidence"))).select("antecedent").distinct())
+        same = F.create_map(*[c for v in alike.values() for c in (F.lit(v[0]), _texts(v))])
+        written = F.aggregate("antecedent", F.array(F.array().cast("array<string>")), lambda done, t: F.flatten(
+            F.transform(done, lambda d: F.transform(same[t], lambda m: F.concat(d, F.array(m))))))
+        rules = sure.unionByName(mixed.join(covered, "antecedent", "left_anti").withColumn("antecedent", F.explode(written))
+                                 .withColumn("antecedent", F.array_sort("antecedent")))
+    return rules.withColumn("rule_id", F.xxhash64("antecedent")).select("rule_id", "antecedent", "confidence", "support")
 
 
 def rule_index(rules: DataFrame, tokens: list[str]) -> DataFrame:
-    """The inverted index: each rule under its least common token (``tokens`` order stands in for it)."""
-    place = F.array(*[F.lit(t) for t in tokens])
-    rarest = F.array_max(F.transform("antecedent", lambda t: F.struct(F.array_position(place, t).alias("p"), t.alias("t"))))["t"]
-    return rules.select(rarest.alias("token"), "rule_id", "antecedent", "confidence")
+    """The inverted index: each antecedent under its least common token, the last in ``tokens``."""
+    rarest = F.array_max(F.transform("antecedent", lambda t: F.struct(F.array_position(_texts(tokens), t).alias("p"), t.alias("t"))))["t"]
+    return rules.select(rarest.alias("token"), "antecedent")
 
 
-def judge(pages: DataFrame, rules=RULES, items: int = ITEMS, min_support: float = MIN_SUPPORT,
-          min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule, verdict, mined_rules (how many mined rules match a URL without a listed one)."""
     name, verdict = listed_rule(rules)
     df = split_url(pages.select("page_id", F.col("url").cast("string").alias("url")))
     df = df.withColumn("rule", name).withColumn("listed", verdict).withColumn("tokens", url_tokens())
     labelled = df.select(F.coalesce(F.col("listed") == "block", F.lit(False)).cast("int").alias("y"), "tokens")
-    tokens = telling_tokens(labelled, items, min_support)
+    tokens = telling_tokens(labelled, None, min_support)
     if not tokens:
         return df.select("page_id", "host", "path", "rule", F.coalesce("listed", F.lit("allow")).alias("verdict"),
                          F.lit(0).cast("long").alias("mined_rules"))
-    index = rule_index(mine(labelled, tokens, min_support, min_confidence), tokens)
-    df = df.withColumn("set", F.array_sort(F.array_intersect("tokens", F.array(*[F.lit(t) for t in tokens]))))
+    index = rule_index(stored(mine(labelled, tokens, min_support, min_confidence), "url-pruned"), tokens)
+    df = df.withColumn("set", F.array_sort(F.array_intersect("tokens", _texts(tokens))))
     sets = df.filter("listed is null").select("set").distinct()
-    fired = (sets.withColumn("token", F.explode("set")).join(index, "token")
-             .filter(F.size(F.array_except("antecedent", "set")) == 0)
-             .groupBy("set").agg(F.count(F.lit(1)).alias("mined")))
+    fired = _held(sets, index).groupBy("set").agg(F.count(F.lit(1)).alias("mined"))
     out = df.select("page_id", "host", "path", "rule", "listed", "set").join(fired, "set", "left")
     mined = F.when(F.col("listed").isNull(), F.coalesce("mined", F.lit(0))).otherwise(F.lit(0))
     return out.select("page_id", "host", "path", "rule",

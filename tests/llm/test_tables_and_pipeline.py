@@ -3,6 +3,7 @@
 import os
 import sys
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -63,6 +64,37 @@ def test_mined_rules_match_by_index(spark):
         assert not any(set(s["antecedent"]) < set(r["antecedent"]) and s["confidence"] >= r["confidence"] for s in rules)
 
 
+def test_rare_combinations_are_mined_beside_many_frequent_tokens(spark):
+    urls_ = [f"http://bad{i % 20}.net/fr/" for i in range(400)]
+    urls_ += [f"http://com/k{i % 10}/b{i // 10 % 6}/?n{i % 5}=1" for i in range(600)]      # frequent, and of the allowed class
+    urls_ += ["http://rare.net/es/pill?win=1"] * 20 + ["http://com/pill"] * 10 + ["http://com/?win=1"] * 10
+    urls_ += ["http://other.org/pill?win=1", "http://other.org/pill", "http://other.org/?win=1"]   # no listed rule
+    out = urls.judge(spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")).filter("rule is null").collect()
+    assert [(r["verdict"], r["mined_rules"]) for r in sorted(out, key=lambda r: r["page_id"])] == [("block", 1), ("allow", 0), ("allow", 0)]
+
+
+def test_mined_rules_equal_enumeration(spark):
+    rng = np.random.default_rng(3)
+    table = []
+    for _ in range(300):
+        t = {f"t{k}" for k in range(7) if rng.random() < 0.5}
+        t |= {"twin"} if "t0" in t else set()                      # always beside t0
+        table.append((int(rng.random() < (0.95 if {"t1", "t2"} <= t or "t6" in t else 0.3)), t))
+    table += [(1, {"only", "t3"})] * 9
+    toks = spark.createDataFrame([(y, sorted(t)) for y, t in table], "y int, tokens array<string>")
+    got = {tuple(r["antecedent"]): (r["confidence"], r["support"])
+           for r in urls.mine(toks, urls.telling_tokens(toks, None, 0.02), 0.02, 0.8).collect()}
+    fits = {}
+    names = sorted(set().union(*(t for _, t in table)))
+    for m in range(1, len(names) + 1):
+        for x in combinations(names, m):
+            y = [y for y, t in table if t.issuperset(x)]
+            if sum(y) >= 0.02 * len(table) and sum(y) / len(y) >= 0.8:
+                fits[x] = (sum(y) / len(y), sum(y) / len(table))
+    want = {x: v for x, v in fits.items() if not any(set(z) < set(x) and fits[z][0] >= v[0] for z in fits)}
+    assert len(want) > 5 and got.keys() == want.keys() and all(np.allclose(got[x], want[x]) for x in want)
+
+
 def test_url_tables_without_labels(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge(empty).count() == 0
