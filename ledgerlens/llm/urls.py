@@ -1,8 +1,10 @@
 """URL filter by association rules, in DataFrame functions and Spark ML only.
 
 A short list of host and path rules decides first (the longest that fits). Its decisions label the
-URLs: those it blocks against all others, listed or not. Spark's FP-growth mines which combinations
-of URL tokens go with ``block``. Rules are pruned by support and confidence, and a rule that contains a shorter one of no less confidence goes. The
+URLs it reaches; those without a listed rule carry no label and are not learnt from. Spark's FP-growth
+mines which combinations of URL tokens go with ``block``. The least confidence is the one, from
+min_confidence up, that judges a held-out part of the listed URLs best by rules of the others; the
+rules used are then mined from all listed URLs. Rules are pruned by support and confidence, and a rule that contains a shorter one of no less confidence goes. The
 rest are matched through an inverted index: each rule is filed under its rarest token, a URL looks up
 its own tokens there, and what is found is checked against the whole token set. URLs are first
 reduced to their distinct sets of mined tokens, so a common URL or host is matched once.
@@ -11,7 +13,8 @@ No frequent token is left out: only those with too few blocked URLs for any rule
 is exact. So at most (tokens a URL) / MIN_SUPPORT tokens pass through the driver.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, no rule and no token, and
-is allowed; with no blocked URL, or no other, nothing is mined; repeated rows and page ids come back
+is allowed; with no blocked URL nothing is mined; with no allowed one all frequent tokens of the blocked
+ones are rules; repeated rows and page ids come back
 as often as they came; further columns are left out.
 """
 
@@ -30,7 +33,9 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
 MAX_RULES = 1000           # the list is written into the plan; longer ones are refused
 MIN_SUPPORT = 0.005
-MIN_CONFIDENCE = 0.8
+MIN_CONFIDENCE = 0.8       # the least that tuning may choose
+CONFIDENCES = (0.85, 0.9, 0.95, 1.0)
+HELD_OUT = 5               # one listed URL in so many, by hash of host and path, tunes the confidence
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,7 +86,7 @@ def telling_tokens(labelled: DataFrame, items: int | None, min_support: float) -
     """The tokens that can be in a rule, the most common first: a rule's blocked rows hold each of its
     tokens, so those with fewer blocked rows than the support asks for can't. ``items``: only so many."""
     n, blocked = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not blocked or blocked == n:
+    if not blocked:
         return []
     counts = (labelled.select("y", F.explode("tokens").alias("token")).groupBy("token")
               .agg(F.count(F.lit(1)).alias("k"), F.sum("y").alias("b")).filter(F.col("b") >= least_rows(n, min_support))
@@ -148,17 +153,36 @@ def rule_index(rules: DataFrame, tokens: list[str]) -> DataFrame:
     return rules.select(rarest.alias("token"), "antecedent")
 
 
+def tuned_confidence(labelled: DataFrame, min_support: float, min_confidence: float) -> float:
+    """The least confidence whose rules, mined from the other rows, judge most ``held`` rows right; the lowest of equals."""
+    learn = labelled.filter("not held")
+    tokens = telling_tokens(learn, None, min_support)
+    if not tokens:
+        return min_confidence
+    rules = stored(mine(learn, tokens, min_support, min_confidence), "url-tuning")
+    index = rule_index(rules, tokens).join(rules.select("antecedent", "confidence"), "antecedent")
+    sets = (labelled.filter("held").select(F.array_sort(F.array_intersect("tokens", _texts(tokens))).alias("set"), "y")
+            .groupBy("set").agg(F.sum("y").alias("b"), F.sum(1 - F.col("y")).alias("o")))
+    best = _held(sets.select("set"), index).groupBy("set").agg(F.max("confidence").alias("best"))
+    levels = [min_confidence, *(c for c in CONFIDENCES if c > min_confidence)]
+    right = sets.join(best, "set", "left").agg(*[
+        F.coalesce(F.sum(F.when(F.coalesce("best", F.lit(-1.0)) >= c, F.col("b")).otherwise(F.col("o"))), F.lit(0)) for c in levels]).first()
+    return max(zip(levels, right), key=lambda x: (x[1], -x[0]))[0]
+
+
 def judge(pages: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule, verdict, mined_rules (how many mined rules match a URL without a listed one)."""
     name, verdict = listed_rule(rules)
     df = split_url(pages.select("page_id", F.col("url").cast("string").alias("url")))
     df = df.withColumn("rule", name).withColumn("listed", verdict).withColumn("tokens", url_tokens())
-    labelled = df.select(F.coalesce(F.col("listed") == "block", F.lit(False)).cast("int").alias("y"), "tokens")
+    held = F.pmod(F.xxhash64("host", "path"), F.lit(HELD_OUT)) == 0
+    labelled = df.filter("listed is not null").select((F.col("listed") == "block").cast("int").alias("y"), "tokens", held.alias("held"))
     tokens = telling_tokens(labelled, None, min_support)
     if not tokens:
         return df.select("page_id", "host", "path", "rule", F.coalesce("listed", F.lit("allow")).alias("verdict"),
                          F.lit(0).cast("long").alias("mined_rules"))
-    index = rule_index(stored(mine(labelled, tokens, min_support, min_confidence), "url-pruned"), tokens)
+    confidence = tuned_confidence(labelled, min_support, min_confidence)
+    index = rule_index(stored(mine(labelled, tokens, min_support, confidence), "url-pruned"), tokens)
     df = df.withColumn("set", F.array_sort(F.array_intersect("tokens", _texts(tokens))))
     sets = df.filter("listed is null").select("set").distinct()
     fired = _held(sets, index).groupBy("set").agg(F.count(F.lit(1)).alias("mined"))

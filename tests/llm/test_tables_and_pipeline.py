@@ -95,6 +95,23 @@ def test_mined_rules_equal_enumeration(spark):
     assert len(want) > 5 and got.keys() == want.keys() and all(np.allclose(got[x], want[x]) for x in want)
 
 
+def test_urls_without_a_listed_rule_are_no_labels(spark):
+    # most URLs of the blocked kind are unlisted; as negatives they would sink the rule's confidence
+    urls_ = [f"http://a{i}.net/fr/casino" for i in range(40)] + [f"http://b{i}.com/news" for i in range(60)]
+    urls_ += [f"http://c{i}.org/casino" for i in range(200)] + [f"http://d{i}.org/news" for i in range(50)]
+    out = urls.judge(spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")).filter("rule is null").collect()
+    assert {(r["page_id"] < 300, r["verdict"]) for r in out} == {(True, "block"), (False, "allow")} and len(out) == 250
+
+
+def test_confidence_is_tuned_on_held_out_rows(spark):
+    # part:x is blocked in 9 of 10 learning rows, and in no held-out row; part:z always
+    data = [(int(k % 10 > 0), ["part:x"], False) for k in range(100)] + [(0, ["part:x"], True)] * 30
+    data += [(1, ["part:z"], h) for h in (False, True) for _ in range(20)] + [(0, ["part:o"], False)] * 50
+    rows_ = spark.createDataFrame(data, "y int, tokens array<string>, held boolean")
+    assert urls.tuned_confidence(rows_, 0.005, 0.8) == 0.95
+    assert urls.tuned_confidence(rows_.filter("not held"), 0.005, 0.8) == 0.8
+
+
 def test_url_tables_without_labels(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge(empty).count() == 0
