@@ -14,7 +14,8 @@ bounded by the block sizes. The rotation is seeded and the centre is the mean of
 
 Edge cases: null vectors, zero vectors and those with null or non-finite components take no part;
 vectors meet only those of their own dimension; a null vec_id takes no part; equal distances go to the
-smaller vec_id; repeated rows are candidates each, rows of the query's own vec_id are not.
+smaller vec_id; repeated rows are candidates each, rows of the query's own vec_id are not; repeated
+query rows are one query, and a vec_id with several vectors is a query, with ranks from 1, for each.
 """
 
 from __future__ import annotations
@@ -120,8 +121,8 @@ def _best(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, dist))[:k]
 
 
-def search_group(query_ids: np.ndarray, queries: np.ndarray, parts: list[tuple], centre: np.ndarray, k: int) -> list[tuple]:
-    """(query_id, vec_id, score) of the k nearest of each query among the blocks."""
+def search_group(query_ids: np.ndarray, keys: np.ndarray, queries: np.ndarray, parts: list[tuple], centre: np.ndarray, k: int) -> list[tuple]:
+    """(query_id, key, vec_id, score) of the k nearest of each query among the blocks."""
     dim = queries.shape[1]
     turned = (queries - centre) @ rotation(dim)
     far = np.full(len(queries), np.inf)
@@ -145,7 +146,7 @@ def search_group(query_ids: np.ndarray, queries: np.ndarray, parts: list[tuple],
                 best[q] = d[top], i[top]
                 if len(top) == k:
                     far[q] = d[top[-1]]
-    return [(q, i, d) for q, (ds, js) in zip(query_ids.tolist(), best) for d, i in zip(ds.tolist(), js.tolist())]
+    return [(q, key, i, d) for q, key, (ds, js) in zip(query_ids.tolist(), keys.tolist(), best) for d, i in zip(ds.tolist(), js.tolist())]
 
 
 def _search(rows: DataFrame, is_query: Column, dim: int, k: int) -> DataFrame:
@@ -157,8 +158,9 @@ def _search(rows: DataFrame, is_query: Column, dim: int, k: int) -> DataFrame:
     query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = coded.withColumn("share", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).withColumn("qb", each(query_blocks))
-    right = (rows.filter(is_query).withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
-             .withColumn("share", each(groups)).select("qb", "share", "vec_id", "v"))
+    asked_once = rows.filter(is_query).select("vec_id", "v").dropDuplicates().withColumn("key", F.xxhash64("v"))
+    right = (asked_once.withColumn("qb", F.pmod(F.xxhash64("vec_id", "key"), F.lit(query_blocks)).cast("int"))
+             .withColumn("share", each(groups)).select("qb", "share", "vec_id", "key", "v"))
 
     def run(mine: pa.Table, asked: pa.Table) -> pa.Table:
         parts, out = [], []
@@ -167,15 +169,15 @@ def _search(rows: DataFrame, is_query: Column, dim: int, k: int) -> DataFrame:
                 ids, x, codes, norm, align = (np.frombuffer(b, t) for b, t in zip(raw, ("<i8", "<f8", "<u8", "<f8", "<f8")))
                 parts.append((ids, x.reshape(len(ids), dim), codes.reshape(len(ids), -1), norm, align))
             q = asked.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-            out = search_group(asked.column("vec_id").to_numpy(), q, parts, centre, k)
-        return pa.table({"query_id": pa.array([r[0] for r in out], pa.int64()), "vec_id": pa.array([r[1] for r in out], pa.int64()),
-                         "score": pa.array([r[2] for r in out], pa.float64())})
+            out = search_group(asked.column("vec_id").to_numpy(), asked.column("key").to_numpy(), q, parts, centre, k)
+        return pa.table({"query_id": pa.array([r[0] for r in out], pa.int64()), "key": pa.array([r[1] for r in out], pa.int64()),
+                         "vec_id": pa.array([r[2] for r in out], pa.int64()), "score": pa.array([r[3] for r in out], pa.float64())})
 
     found = left.groupBy("qb", "share").cogroup(right.groupBy("qb", "share")).applyInArrow(
-        run, "query_id long, vec_id long, score double")
-    # repeated query rows ask the same question; each group returns k rows a query at most
+        run, "query_id long, key long, vec_id long, score double")
+    # queries are distinct by vec_id and vector, so each group returns k rows a query at most
     best = F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k)
-    return found.groupBy("query_id").agg(best.alias("b"))
+    return found.groupBy("query_id", "key").agg(best.alias("b"))
 
 
 def nearest(embeddings: DataFrame, is_query: Column, k: int = NEIGHBOURS) -> DataFrame:

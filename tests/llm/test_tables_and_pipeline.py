@@ -149,6 +149,22 @@ def test_neighbours_equal_brute_force(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_repeated_queries_keep_all_neighbours(spark):
+    x = np.random.default_rng(5).normal(size=(40, 8))
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    data += [data[0]] * 3 + [(100, data[7][1]), (100, data[9][1])]          # one vec_id, twice the same and two vectors
+    out = ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).toPandas()
+    ids, v = np.array([i for i, _ in data]), np.array([r for _, r in data])
+    for q, places in ((0, [0]), (100, [7, 9])):
+        got = out[out.query_id == q].sort_values(["rank", "score"])
+        assert got["rank"].tolist() == sorted(list(range(1, 11)) * len(places))
+        want = []
+        for p in places:
+            d = np.where(ids == q, np.inf, np.sqrt(((v - v[p]) ** 2).sum(1)))
+            want += [(k + 1, ids[i], d[i]) for k, i in enumerate(np.lexsort((ids, d))[:10])]
+        assert Counter(zip(got["rank"], got["vec_id"])) == Counter((k, i) for k, i, _ in want)
+
+
 def test_error_bound_holds_mostly():
     rng = np.random.default_rng(0)
     x, q = rng.normal(size=(500, 64)), rng.normal(size=(20, 64))
