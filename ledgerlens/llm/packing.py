@@ -14,6 +14,7 @@ sequence is laid out in sequences whose lengths are powers of two, so nothing is
 
 Edge cases: null and empty texts are the end token alone; a null source is a queue of its own;
 repeated rows are packed once each; an empty table gives no pieces; other columns are not looked at.
+Every source is its own queue at any number; their names and totals pass through the driver to every task.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from ledgerlens.llm.common import WordCache, small_batches, stored
 SEQUENCE = 4096
 WINDOW_SEQUENCES = 32
 END_ID = 2
-MAX_QUEUES = 4096          # sources beyond this share queues by hash; their rows stay
+BOUND_CELLS = 1 << 24      # queue positions at window bounds that a task remembers
 ROWS_PER_BUCKET = 4096     # rows that one ordering task partition holds on average
 _process: dict = {}
 
@@ -131,7 +132,7 @@ class Layout:
 
     def bound(self, w: int) -> np.ndarray:
         if w not in self.bounds:
-            if len(self.bounds) > 4096:
+            if len(self.bounds) >= max(2, min(4096, BOUND_CELLS // max(1, len(self.totals)))):
                 self.bounds.clear()
             self.bounds[w] = served_after(w * self.window, self.totals, self.weights)
         return self.bounds[w]
@@ -182,9 +183,6 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, window_sequences:
     ids = ids.withColumn("queue", queue).withColumn("spread", F.xxhash64("doc_id", "ids"))
     ids = stored(ids, "packing-ids")
 
-    names = [r[0] for r in ids.select("queue").distinct().orderBy("queue").limit(MAX_QUEUES + 1).collect()]
-    if len(names) > MAX_QUEUES:
-        ids = ids.withColumn("queue", F.concat(F.lit("h"), F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES))))
     by_queue = {r["queue"]: (int(r["n"]), int(r["rows"])) for r in ids.groupBy("queue").agg(
         F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
     if not by_queue:

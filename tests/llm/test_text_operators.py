@@ -250,6 +250,24 @@ def test_packing_places_every_token_once(docs, target):
             assert abs(g.loc[g.source == "hot", "length"].sum() - 256 * hot / total) < 8
 
 
+def test_every_source_is_a_queue_at_any_number(spark):
+    # one more source than were once kept apart; the target of one of them must still hold
+    data = [(i, "a", "en", f"n{i}", 1) for i in range(4096)] + [(5000 + i, "the thing over there " * 50, "en", "big", 1) for i in range(10)]
+    tok = Tokenizer.from_file(WORD_BPE)
+    n = Counter()
+    for _, t, _, s, _ in data:
+        n[s] += len(tok.encode(t, add_special_tokens=False).ids) + 1
+    names = sorted(n)
+    out = packing.pack(documents(spark, data), WORD_BPE, sequence=64, window_sequences=4, target={"big": 4096.0, "n0": 1.0}).toPandas()
+    assert out["length"].sum() == n.total()
+    totals, weights = np.array([n[s] for s in names]), np.array([4096.0 if s == "big" else 1.0 for s in names])
+    for w in (0, 3, 10, 20):
+        want = packing.served_after(256 * (w + 1), totals, weights)
+        got = out[out.window_id <= w].groupby("source")["length"].sum()
+        assert [got.get(s, 0) for s in names] == want.tolist()
+    assert out.loc[out.window_id == 0, "length"].sum() == out.loc[(out.window_id == 0) & (out.source == "big"), "length"].sum() == 256
+
+
 def brute_fingerprint(text):
     w = text.encode().lower().split() if text else []
     if not w:
