@@ -61,7 +61,7 @@ def passes(kind: str, found: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p) < 400 and int(p) <= 255 for p in found.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in found.split(".")))
     digits = "".join(c for c in found if "0" <= c <= "9")
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 

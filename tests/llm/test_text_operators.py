@@ -359,6 +359,12 @@ def test_pii_base_and_additions(spark, docs):
             assert out[i]["spans"] == ""
 
 
+def test_zero_padded_ip_parts():
+    found = "0" * 5000 + "1.255.000.7"
+    assert pii.base_spans(f"at {found} now")[0] == [("ip", 3, 3 + len(found))]
+    assert not pii.passes("ip", "1.2.3." + "0" * 400 + "256") and not pii.passes("ip", "1.2.3." + "9" * 500)
+
+
 def test_field_learns_held_out_windows(spark):
     data = [(i, f"call me at +1 ({100 + i}) 555-{2000 + 7 * i} or mail u{i}@mail{i % 9}.example.org soon please {i} times", "en", "s", 1)
             for i in range(120)]
