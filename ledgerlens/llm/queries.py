@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import ann, bpe, langid, lattice, packing, pii, quality, simhash, toxicity, urls
+from ledgerlens.llm import ann, bpe, bytebpe, langid, lattice, packing, pii, quality, simhash, toxicity, urls
 from ledgerlens.llm.common import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +54,14 @@ def op10_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op13_byte_bpe_rank_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE),
+                                 public_tokenizers.PATTERN)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_ledger, op2_one_bit_neighbours, op3_lattice_likelihood, op4_url_rules, op5_pii_field,
-    op6_language_mixture, op7_mixture_packing, op8_toxicity_grammar, op9_simhash_popcount, op10_bpe_segment_tree)}
+    op6_language_mixture, op7_mixture_packing, op8_toxicity_grammar, op9_simhash_popcount, op10_bpe_segment_tree,
+    op13_byte_bpe_rank_queue)}
 
 SQL = {"op1_quality_ledger": quality.SQL}
