@@ -1,12 +1,12 @@
 """Byte-level pair encoding with a rank queue over a hierarchical bitmap, for pre-tokens of any length.
 
 A pre-token is a chain of byte runs. A run's adjacent pair has the rank of its joined bytes. The queue
-has one bucket per rank with the places of the pairs of that rank, and a bitmap of the buckets in use
-with bitmaps of its words above it: three find-first-set steps give the lowest rank. A bucket is served
+has one bucket per rank with the places of the pairs of that rank, and a bitmap of the buckets in use with
+a bitmap of its words above it: two find-first-set steps give the lowest rank. A bucket is served
 from left to right; a place whose pair has changed since it was queued is stale and skipped (a pair
 only ever grows, so it never comes back to a rank). When a merge makes a pair of a lower rank than the
-bucket's, the rest of the bucket waits. So each merge costs a constant number of dictionary and bitmap
-steps, and a pre-token of n bytes O(n log n) with the sorting of its buckets.
+bucket's, the pre-token's other places of the bucket wait. So each merge costs a few dictionary and
+bitmap steps and one step in its bucket's heap, and a pre-token of n bytes O(n log n).
 
 Text is cut at blanks that no pattern match can cross; each stretch is cut by the pattern, encoded once
 and remembered, long ones excepted. Decoding joins the bytes of the ids.
@@ -21,8 +21,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -30,7 +34,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import WordCache, small_batches
 
-BITS = 6                       # a bitmap word covers 64 buckets
+BITS = 8                       # a bitmap word covers 256 buckets
+ALONE = 256                    # bytes from which a pre-token has the queue to itself
+SHARED = 1 << 18               # bytes of the shorter ones that share it
 _LOW = (1 << BITS) - 1
 # A blank with white space before it and after it (or the end): only then do stretches hang together.
 _WIDE_GAP = re.compile(r"\s (?:\s|\Z)")
@@ -39,46 +45,43 @@ _loaded: dict = {}
 
 
 class RankQueue:
-    """Places by rank, lowest rank first."""
+    """Places by rank, lowest rank first, and in a rank the leftmost first."""
 
     def __init__(self, ranks: int):
         self.words = [0] * ((ranks >> BITS) + 1)
-        self.groups = [0] * ((ranks >> 2 * BITS) + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, list[int]] = {}      # each a heap
 
-    def put(self, rank: int, places: list[int]) -> None:
+    def put(self, rank: int, place: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is not None:
-            bucket += places
-            return
-        self.buckets[rank] = places
+            heappush(bucket, place)
+        else:
+            self.buckets[rank] = [place]
+            self._mark(rank)
+
+    def _mark(self, rank: int) -> None:
         word = rank >> BITS
         if not self.words[word]:
-            group = word >> BITS
-            if not self.groups[group]:
-                self.top |= 1 << group
-            self.groups[group] |= 1 << (word & _LOW)
+            self.top |= 1 << word
         self.words[word] |= 1 << (rank & _LOW)
 
     def take(self) -> tuple[int, list[int]]:
-        """The lowest rank in use and its places in order; the bucket is emptied."""
-        group = (self.top & -self.top).bit_length() - 1
-        bits = self.groups[group]
-        word = group << BITS | (bits & -bits).bit_length() - 1
+        """The lowest rank in use with its bucket, which leaves the queue."""
+        top = self.top
+        word = (top & -top).bit_length() - 1
         low = self.words[word]
         rank = word << BITS | (low & -low).bit_length() - 1
         low &= low - 1
         self.words[word] = low
         if not low:
-            bits &= bits - 1
-            self.groups[group] = bits
-            if not bits:
-                self.top &= self.top - 1
-        places = self.buckets.pop(rank)
-        if len(places) > 1:
-            places.sort()
-        return rank, places
+            self.top = top & (top - 1)
+        return rank, self.buckets.pop(rank)
+
+    def give_back(self, rank: int, bucket: list[int]) -> None:
+        """``bucket`` is a heap of places that still wait for their rank; none was queued meanwhile."""
+        self.buckets[rank] = bucket
+        self._mark(rank)
 
 
 class Encoder:
@@ -87,58 +90,108 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
-        self.ranks = {base64.b64decode(t): int(r) for t, r in pairs}
-        self.bytes_of = {r: t for t, r in self.ranks.items()}
+        self._set_ranks({base64.b64decode(t): int(r) for t, r in pairs})
         self.cut = regex.compile(pattern).findall
-        self.queue = RankQueue(max(self.ranks.values(), default=0) + 1)
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: itself if it is a token, else the merges from single bytes."""
-        rank = self.ranks.get(piece)
-        if rank is not None:
-            return [rank]
-        get, queue, n = self.ranks.get, self.queue, len(piece)
-        end = list(range(1, n + 1))               # end of the run that starts at a place
+
+    def _set_ranks(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.bytes_of = {r: t for t, r in ranks.items()}
+        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.pair_rank = np.full(1 << 16, -1, np.int64)
+        for t, r in ranks.items():
+            if len(t) == 2:
+                self.pair_rank[t[0] << 8 | t[1]] = r
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pre-tokens: itself if it is a token, else the merges from single bytes. Short ones share
+        a queue, in which none sees another's pairs; a long one has it to itself."""
+        out: list = [None] * len(pieces)
+        batch: list[int] = []
+        size = 0
+        for k, p in enumerate(pieces):
+            rank = self.ranks.get(p)
+            if rank is not None:
+                out[k] = [rank]
+            elif len(p) > ALONE:
+                out[k] = self._merged([p])[0]
+            else:
+                batch.append(k)
+                size += len(p)
+                if size > SHARED:
+                    for i, ids in zip(batch, self._merged([pieces[i] for i in batch])):
+                        out[i] = ids
+                    batch, size = [], 0
+        for i, ids in zip(batch, self._merged([pieces[i] for i in batch])):
+            out[i] = ids
+        return out
+
+    def _merged(self, pieces: list[bytes]) -> list[list[int]]:
+        data = b"".join(pieces)
+        n, alone = len(data), len(pieces) == 1
+        if not n:
+            return [[] for _ in pieces]
+        edges = list(accumulate(map(len, pieces)))
+        edge = bytearray(n + 1)                   # 1 where a piece ends
         before = list(range(-1, n))               # start of the run before the one that starts at a place
-        pair = [get(piece[i:i + 2], -1) for i in range(n - 1)]   # rank of the pair that starts at a place
-        pair.append(-1)
-        for i, r in enumerate(pair):
-            if r >= 0:
-                queue.put(r, [i])
+        raw = np.frombuffer(data, np.uint8).astype(np.int64)
+        first = self.pair_rank[raw[:-1] << 8 | raw[1:]]
+        for e in edges:
+            edge[e] = 1
+            before[e] = -1
+        first[np.array(edges[:-1], np.int64) - 1] = -1
+        pair = [*first.tolist(), -1]              # rank of the pair that starts at a place
+        end = list(range(1, n + 1))               # end of the run that starts at a place
+        get, queue, take = self.ranks.get, self.queue, self.queue.take
+        put = queue.put
+        for i in np.flatnonzero(first >= 0).tolist():
+            put(pair[i], i)
         while queue.top:
-            rank, places = queue.take()
-            for k, i in enumerate(places):
+            rank, places = take()
+            waiting, blocked = [], -1
+            while places:
+                i = heappop(places)
                 if pair[i] != rank:
                     continue
+                if i < blocked:
+                    waiting.append(i)
+                    continue
                 j = end[i]
                 stop = end[j]
                 end[i] = stop
                 pair[j] = -1
                 lowest = rank
-                if stop < n:
+                if edge[stop]:
+                    pair[i] = -1
+                else:
                     before[stop] = i
-                    r = pair[i] = get(piece[i:end[stop]], -1)
+                    r = pair[i] = get(data[i:end[stop]], -1)
                     if r >= 0:
-                        queue.put(r, [i])
-                        lowest = r
-                else:
-                    pair[i] = -1
+                        put(r, i)
+                        if r < lowest:
+                            lowest = r
                 h = before[i]
                 if h >= 0:
-                    r = pair[h] = get(piece[h:stop], -1)
+                    r = pair[h] = get(data[h:stop], -1)
                     if r >= 0:
-                        queue.put(r, [h])
+                        put(r, h)
                         if r < lowest:
                             lowest = r
-                if lowest < rank:
-                    if k + 1 < len(places):
-                        queue.put(rank, places[k + 1:])
-                    break
-        ids, i = [], 0
+                if lowest < rank:                 # the piece's other places of this rank wait
+                    if alone:
+                        waiting = places
+                        break
+                    blocked = edges[bisect_right(edges, i)]
+            if waiting:
+                queue.give_back(rank, waiting)
+        ids, out, i = [], [], 0
         while i < n:
-            ids.append(self.ranks[piece[i:end[i]]])
-            i = end[i]
-        return ids
+            stop = end[i]
+            ids.append(self.ranks[data[i:stop]])
+            if edge[stop]:
+                out.append(ids)
+                ids = []
+            i = stop
+        return out
 
     def stretches(self, text: str) -> list[str]:
         """The text in stretches that the pattern cuts apart from one another."""
@@ -148,7 +201,10 @@ class Encoder:
         return [first, *[" " + s for s in others]] if first else [" " + s for s in others]
 
     def encode(self, text: str) -> list[int]:
-        return [i for s in self.stretches(text) for p in self.cut(s) for i in self.encode_piece(p.encode())]
+        found = [p.encode() for s in self.stretches(text) for p in self.cut(s)]
+        different = list(set(found))
+        ids = dict(zip(different, self.encode_pieces(different)))
+        return [i for p in found for i in ids[p]]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
@@ -169,7 +225,7 @@ def digests(texts: Iterator[pd.Series], path: str, pattern: str) -> Iterator[pd.
         return ",".join(map(str, ids)), len(ids), enc.decode(ids)
 
     pieces = _loaded.setdefault(("pieces", path, pattern), WordCache(
-        lambda found: [enc.encode_piece(p.encode()) for p in found]))
+        lambda found: enc.encode_pieces([p.encode() for p in found])))
 
     def whole(found: list[str]) -> list[tuple[str, int, bytes]]:
         cut = [enc.cut(s) for s in found]

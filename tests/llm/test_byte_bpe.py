@@ -61,17 +61,19 @@ def test_merges_that_make_lower_ranks():
         order = sorted(tokens)
         rnd.shuffle(order)
         enc = bytebpe.Encoder.__new__(bytebpe.Encoder)
-        enc.ranks = {t: i for i, t in enumerate(order)}
-        enc.queue = bytebpe.RankQueue(len(order))
-        for _ in range(20):
-            piece = bytes(rnd.choices(b"abc", k=rnd.randrange(1, 30)))
+        enc._set_ranks({t: i for i, t in enumerate(order)})
+        pieces = [bytes(rnd.choices(b"abc", k=rnd.randrange(1, 30))) for _ in range(20)]
+        together = enc.encode_pieces(pieces)
+        assert not enc.queue.top and not enc.queue.buckets
+        for piece, ids in zip(pieces, together):
             parts = [piece] if piece in enc.ranks else [bytes([b]) for b in piece]
             while len(parts) > 1:
                 best = min(range(len(parts) - 1), key=lambda i: enc.ranks.get(parts[i] + parts[i + 1], 99))
                 if parts[best] + parts[best + 1] not in enc.ranks:
                     break
                 parts[best:best + 2] = [parts[best] + parts[best + 1]]
-            assert enc.encode_piece(piece) == [enc.ranks[p] for p in parts]
+            assert ids == [enc.ranks[p] for p in parts]
+            assert enc.encode_pieces([piece]) == [ids] and (piece in enc.ranks or enc._merged([piece]) == [ids])
             assert not enc.queue.top and not enc.queue.buckets
 
 
