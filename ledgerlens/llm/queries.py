@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import ann, bpe, bytebpe, langid, lattice, packing, phrases, pii, quality, simhash, toxicity, urls
+from ledgerlens.llm import ann, bpe, bytebpe, convtrie, langid, lattice, packing, phrases, pii, quality, simhash, toxicity, urls
 from ledgerlens.llm.common import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -58,6 +58,10 @@ def op11_phrase_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_byte_bpe_rank_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE),
                                  public_tokenizers.PATTERN)
@@ -66,6 +70,7 @@ def op13_byte_bpe_rank_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_ledger, op2_one_bit_neighbours, op3_lattice_likelihood, op4_url_rules, op5_pii_field,
     op6_language_mixture, op7_mixture_packing, op8_toxicity_grammar, op9_simhash_popcount, op10_bpe_segment_tree,
-    op11_phrase_subtrees, op13_byte_bpe_rank_queue)}
+    op11_phrase_subtrees, op12_conversation_trie, op13_byte_bpe_rank_queue)}
 
-SQL = {"op1_quality_ledger": quality.SQL, "op11_phrase_subtrees": phrases.SQL}
+SQL = {"op1_quality_ledger": quality.SQL, "op11_phrase_subtrees": phrases.SQL,
+       "op12_conversation_trie": convtrie.SQL}
