@@ -384,27 +384,10 @@ def cycles_3(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
 
 
 def cycle_membership(edges: DataFrame, candidates: DataFrame, max_len: int = 4) -> DataFrame:
-    """GR-14 (scoring form): for each candidate transfer (cand_id, src, dst), whether a directed
-    path dst -> ... -> src of at most ``max_len - 1`` edges exists, i.e. the transfer would
-    close a cycle of length <= max_len. Bounded BFS per candidate, distinct per hop; every hop is
-    written once, as the next one reads it several times."""
-    e = cut_lineage(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
-    start = candidates.select("cand_id", F.col("dst").alias("node"), F.col("src").alias("target"))
-    visited = start.select("cand_id", "node")
-    frontier = start
-    hits = start.where(F.col("node") == F.col("target")).select("cand_id", F.lit(0).alias("_len"))
-    for h in range(1, max_len):
-        nxt = (frontier.join(e, frontier["node"] == e["src"]).select("cand_id", F.col("dst").alias("node"), "target")
-               .distinct().join(visited, ["cand_id", "node"], "left_anti"))
-        nxt = cut_lineage(nxt)
-        hits = hits.unionByName(nxt.where(F.col("node") == F.col("target")).select("cand_id", F.lit(h).alias("_len")))
-        nxt = nxt.where(F.col("node") != F.col("target"))
-        visited = visited.unionByName(nxt.select("cand_id", "node"))
-        frontier = nxt
-    best = hits.groupBy("cand_id").agg(F.min("_len").alias("cycle_len"))
-    return (candidates.join(best, "cand_id", "left")
-            .withColumn("cycle_len", F.col("cycle_len") + F.lit(1))
-            .withColumn("in_cycle", F.col("cycle_len").isNotNull().cast("int")))
+    """GR-14 (scoring form): whether each candidate transfer (cand_id, src, dst) would close a directed
+    cycle of at most ``max_len`` edges, and its length; see ``bitgraph.cycle_lengths``."""
+    from ledgerlens.operators.bitgraph import cycle_lengths
+    return cycle_lengths(edges, candidates, max_len)
 
 
 def _windowed_counterparties(tx: DataFrame, key: str, other: str, window: str, amount: str) -> DataFrame:

@@ -297,7 +297,7 @@ FROM se""", SE)
 
 EGO = """
 seeds AS (SELECT sender_account AS seed FROM tx WHERE label = 1 AND sender_account IS NOT NULL
-          GROUP BY sender_account HAVING count(*) >= 2),
+          GROUP BY sender_account),
 und AS (SELECT src AS a, dst AS b FROM se UNION SELECT dst, src FROM se),
 v0 AS (SELECT seed, seed AS node FROM seeds WHERE seed IN (SELECT a FROM und)),
 n1 AS (SELECT seed, node FROM v0 UNION SELECT v0.seed, und.b FROM v0 JOIN und ON v0.node = und.a),

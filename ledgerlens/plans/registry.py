@@ -216,6 +216,7 @@ def q_rolling_features(spark, sf):
 
 # --- graph ----------------------------------------------------------------------------------------
 
+from ledgerlens.operators import bitgraph as BG  # noqa: E402
 from ledgerlens.operators import graph as GR  # noqa: E402
 
 
@@ -226,10 +227,9 @@ def graph_edges(spark, sf):
 
 
 def _ego_seeds(t: DataFrame) -> DataFrame:
-    """Every repeat sender of fraud-labelled transfers (two or more)."""
-    n = t.where((F.col("label") == 1) & F.col("sender_account").isNotNull()).groupBy(
-        F.col("sender_account").alias("seed")).agg(F.count(F.lit(1)).alias("n"))
-    return n.where("n >= 2").select("seed")
+    """Every sender of a fraud-labelled transfer."""
+    return t.where((F.col("label") == 1) & F.col("sender_account").isNotNull()).select(
+        F.col("sender_account").alias("seed")).distinct()
 
 
 @register("latest_edge")
@@ -271,23 +271,13 @@ def q_graph_summary(spark, sf):
 
 @register("ego_2hop")
 def q_ego_2hop(spark, sf):
-    t = tx(spark, sf)
-    e = graph_edges(spark, sf)
-    nodes, sub = GR.ego_subgraph(e, _ego_seeds(t), hops=2)
-    n = nodes.groupBy("seed").agg(F.count(F.lit(1)).alias("n_nodes"))
-    s = sub.groupBy("seed").agg(F.count(F.lit(1)).alias("n_edges"),
-                                F.count_if(F.col("label") == 1).alias("n_fraud_edges"))
-    return n.join(s, "seed", "left").select("seed", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"),
-                                            F.coalesce("n_fraud_edges", F.lit(0)).alias("n_fraud_edges"))
+    return BG.ego_counts(graph_edges(spark, sf), _ego_seeds(tx(spark, sf)), hops=2)
 
 
 @register("node_role")
 def q_node_role(spark, sf):
-    t = tx(spark, sf)
-    e = graph_edges(spark, sf)
-    seeds = _ego_seeds(t)
-    nodes, sub = GR.ego_subgraph(e, seeds, hops=2)
-    return GR.node_roles(nodes, sub, seeds, flag_col="seed")
+    seeds = _ego_seeds(tx(spark, sf))
+    return BG.ego_roles(graph_edges(spark, sf), seeds, seeds, hops=2, flag_col="seed")
 
 
 def all_fraud(t: DataFrame) -> DataFrame:
