@@ -1,35 +1,24 @@
-"""Classifiers, scoring and feature contributions on Spark ML (ML-1..4, ML-7..10).
+"""Classifiers, scoring and feature contributions (ML-1..4, ML-7..10).
 
-* tabular model: class-weighted gradient-boosted trees (``GBTClassifier`` with ``weightCol``);
+* tabular model: class-weighted second-order boosted trees (``boosting``);
 * graph model: class-weighted logistic regression on the edge representation (GR-12) —
   a linear head on pre-computed propagation, not a trained neighbour network;
 * contributions: for the linear head coef x standardised value (column expressions); for the
-  trees the path (Saabas) decomposition — base + sum of contributions = margin — computed
-  in ``mapInPandas`` from the fitted tree table (bounded by trees x nodes, broadcast once).
+  trees path-dependent Shapley values (``boosting``).
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlens.functions import columns as C
-from ledgerlens.session import scratch_path
-
-# The reference's tree-model settings (rounds are a parameter here; 500
-# sequential boosting rounds are slow on any engine, so the default is 50).
-GBT_MAX_DEPTH = 6
-GBT_STEP = 0.05
-GBT_SUBSAMPLE = 0.8
-GBT_COLSAMPLE = "0.8"
-GBT_DEFAULT_ROUNDS = 50
+from ledgerlens.operators import boosting as BO
+
 SEED = 42
 
 
@@ -43,16 +32,10 @@ def with_class_weight(df: DataFrame, w: float, label: str = "label", out: str =
     return df.withColumn(out, F.when(F.col(label) == 1, F.lit(float(w))).otherwise(F.lit(1.0)))
 
 
-def fit_tabular(train: DataFrame, cols: list[str], label: str = "label", rounds: int = GBT_DEFAULT_ROUNDS,
-                max_depth: int = GBT_MAX_DEPTH, step: float = GBT_STEP, seed: int = SEED) -> PipelineModel:
+def fit_tabular(train: DataFrame, cols: list[str], label: str = "label", rounds: int = BO.ROUNDS,
+                max_depth: int = BO.MAX_DEPTH, step: float = BO.STEP, seed: int = SEED) -> BO.BoostedTrees:
     """ML-1: boosted trees, positive class weighted by n_neg / n_pos."""
-    w = positive_weight(train, label)
-    data = with_class_weight(train.select(*cols, label), w, label)
-    asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
-    gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds,
-                        maxDepth=max_depth, stepSize=step, subsamplingRate=GBT_SUBSAMPLE,
-                        featureSubsetStrategy=GBT_COLSAMPLE, seed=seed, maxBins=64)
-    return Pipeline(stages=[asm, gbt]).fit(data.withColumn(label, F.col(label).cast("double")))
+    return BO.fit(train, cols, positive_weight(train, label), label, rounds, max_depth, step, seed)
 
 
 def fit_graph(train: DataFrame, cols: list[str], label: str = "label", max_iter: int = 100) -> PipelineModel:
@@ -66,8 +49,10 @@ def fit_graph(train: DataFrame, cols: list[str], label: str = "label", max_iter:
     return Pipeline(stages=[asm, sc, lr]).fit(data.withColumn(label, F.col(label).cast("double")))
 
 
-def score(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
+def score(model, df: DataFrame, out: str) -> DataFrame:
     """ML-2 / ML-4: positive-class probability as column ``out`` (input columns kept)."""
+    if isinstance(model, BO.BoostedTrees):
+        return BO.score(model, df, out)
     keep = df.columns
     s = model.transform(df)
     return s.select(*keep, vector_to_array("probability")[1].alias(out))
@@ -87,84 +72,12 @@ def linear_contributions(model: PipelineModel, df: DataFrame, cols: list[str], o
     return df.withColumn(out, F.array(*items)).withColumn("base_margin", F.lit(float(lr.intercept)))
 
 
-def tree_table(gbt_model, spark) -> tuple[list[dict], list[float]]:
-    """The fitted ensemble as node arrays per tree, read from the model's own saved form
-    (bounded: trees x nodes)."""
-    path = scratch_path(spark, "gbt-model")
-    gbt_model.write().overwrite().save(path)
-    rows = (spark.read.parquet(f"{path}/data")
-            .select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
-                    "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
-                    "nodeData.split.numCategories").toPandas())
-    trees = []
-    for tid, g in rows.groupby("treeID"):
-        g = g.sort_values("id")
-        n = int(g["id"].max()) + 1
-        feat = np.full(n, -1, dtype=np.int64)
-        thr = np.zeros(n)
-        left = np.full(n, -1, dtype=np.int64)
-        right = np.full(n, -1, dtype=np.int64)
-        pred = np.zeros(n)
-        for r in g.itertuples(index=False):
-            i = int(r.id)
-            pred[i] = r.prediction
-            left[i], right[i] = int(r.leftChild), int(r.rightChild)
-            if left[i] >= 0:
-                if int(r.numCategories) != -1:
-                    raise ValueError("categorical splits are not used by this model")
-                feat[i] = int(r.featureIndex)
-                thr[i] = float(r.leftCategoriesOrThreshold[0])
-        trees.append({"feat": feat, "thr": thr, "left": left, "right": right, "pred": pred, "root": int(g["id"].min())})
-    return trees, list(gbt_model.treeWeights)
-
-
-def _path_contributions(x: np.ndarray, trees, weights, n_feat: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectorised Saabas decomposition for a batch: returns (contrib [rows x feat], base)."""
-    rows = x.shape[0]
-    contrib = np.zeros((rows, n_feat))
-    base = 0.0
-    idx = np.arange(rows)
-    for t, w in zip(trees, weights):
-        node = np.full(rows, t["root"], dtype=np.int64)
-        base += w * t["pred"][t["root"]]
-        active = t["left"][node] >= 0
-        while active.any():
-            a = idx[active]
-            nd = node[a]
-            f = t["feat"][nd]
-            v = x[a, f]
-            go_left = v <= t["thr"][nd]   # Spark's rule: x <= threshold goes left (NaN goes right)
-            child = np.where(go_left, t["left"][nd], t["right"][nd])
-            np.add.at(contrib, (a, f), w * (t["pred"][child] - t["pred"][nd]))
-            node[a] = child
-            active = t["left"][node] >= 0
-    return contrib, np.full(rows, base)
-
-
-def tree_contributions(model: PipelineModel, df: DataFrame, cols: list[str], key: str = "tx_id",
+def tree_contributions(model: BO.BoostedTrees, df: DataFrame, cols: list[str], key: str = "tx_id",
                        out: str = "contributions") -> DataFrame:
     """ML-7b: per row (key, base_margin, margin, contributions array<struct<feature, contribution>>)."""
-    spark = df.sparkSession
-    # the ensemble (trees x nodes, a bound fixed by rounds and depth) travels with the function
-    trees, weights = tree_table(model.stages[-1], spark)
-    n = len(cols)
-    schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("base_margin", T.DoubleType()),
-                           T.StructField("margin", T.DoubleType())]
-                          + [T.StructField(f"_c{j}", T.DoubleType()) for j in range(n)])
-
-    def run(batches):
-        tr, ws = trees, weights
-        for pdf in batches:
-            c, b = _path_contributions(pdf[cols].to_numpy(dtype=float), tr, ws, n)
-            o = pd.DataFrame(c, columns=[f"_c{j}" for j in range(n)])
-            o.insert(0, "margin", b + c.sum(axis=1))
-            o.insert(0, "base_margin", b)
-            o.insert(0, key, pdf[key].astype(str).to_numpy())
-            yield o
-
-    wide = df.select(F.col(key).cast("string"), *[F.col(c).cast("double") for c in cols]).mapInPandas(run, schema)
-    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_c{j}").alias("contribution")) for j, c in enumerate(cols)])
-    return wide.select(key, "base_margin", "margin", arr.alias(out))
+    if list(cols) != model.features:
+        raise ValueError("the model was fitted on other features")
+    return BO.row_contributions(model, df, key, out)
 
 
 def risk_factors(df: DataFrame, contrib: str = "contributions", k: int = 5) -> DataFrame:

@@ -653,7 +653,6 @@ def q_drift_microbatch(spark, sf):
 from ledgerlens.operators import models as ML  # noqa: E402
 from ledgerlens.plans import training as TR  # noqa: E402
 
-MODEL_ROUNDS = 20
 _FITTED: dict = {}
 
 
@@ -662,7 +661,7 @@ def _training(spark, sf):
     from ledgerlens.session import app_key
     key = (app_key(spark), sf)
     if key not in _FITTED:
-        _FITTED[key] = TR.run_training(spark, tx(spark, sf), rounds=MODEL_ROUNDS)
+        _FITTED[key] = TR.run_training(spark, tx(spark, sf))
     return _FITTED[key]
 
 
@@ -683,20 +682,28 @@ def q_scored_test(spark, sf):
                     C.fixed("gnn_score", 6).alias("gnn_score"), "fused_score", "is_fraud", "confidence")
 
 
+def _fitted_features(spark, sf):
+    """The feature table with the training run's own dictionaries and profiles."""
+    t = _training(spark, sf)["tables"]
+    return FE.engineer_features(tx(spark, sf), dictionaries=t["dictionaries"],
+                                profiles=(t["sender_profile"], t["receiver_profile"]))
+
+
+def _contributions(spark, sf):
+    """The contributions of all transactions, stored once for the queries that read them."""
+    return stored(spark, sf, "contributions", lambda: ML.tree_contributions(
+        _training(spark, sf)["models"]["tabular"], _fitted_features(spark, sf), FE.FEATURE_COLUMNS))
+
+
 @register("risk_factors")
 def q_risk_factors(spark, sf):
-    model = _training(spark, sf)["models"]["tabular"]
-    feats = FE.engineer_features(tx(spark, sf))
-    c = ML.tree_contributions(model, feats, FE.FEATURE_COLUMNS)
-    return ML.risk_factors(c).select("tx_id", C.fixed("base_margin", 6).alias("base_margin"),
-                                     C.fixed("margin", 6).alias("margin"), "top_risk_factors")
+    return ML.risk_factors(_contributions(spark, sf)).select(
+        "tx_id", C.fixed("base_margin", 6).alias("base_margin"), C.fixed("margin", 6).alias("margin"), "top_risk_factors")
 
 
 @register("global_importance")
 def q_global_importance(spark, sf):
-    model = _training(spark, sf)["models"]["tabular"]
-    feats = FE.engineer_features(tx(spark, sf))
-    return ML.global_importance(ML.tree_contributions(model, feats, FE.FEATURE_COLUMNS))
+    return ML.global_importance(_contributions(spark, sf))
 
 
 @register("score_batch")
@@ -735,18 +742,16 @@ def q_score_batch_check(spark, sf):
 def q_risk_factors_check(spark, sf):
     """ML-7/8, WIN-7: contributions add up to the margin, the margin gives the model's probability, and
     the factors are the largest contributions in order."""
-    r = _training(spark, sf)
-    feats = FE.engineer_features(tx(spark, sf), dictionaries=r["tables"]["dictionaries"],
-                                 profiles=(r["tables"]["sender_profile"], r["tables"]["receiver_profile"]))
-    c = ML.risk_factors(ML.tree_contributions(r["models"]["tabular"], feats, FE.FEATURE_COLUMNS))
-    p = ML.score(r["models"]["tabular"], feats.select("tx_id", *FE.FEATURE_COLUMNS), "p").select("tx_id", "p")
+    feats = _fitted_features(spark, sf)
+    c = ML.risk_factors(_contributions(spark, sf))
+    p = ML.score(_training(spark, sf)["models"]["tabular"], feats.select("tx_id", *FE.FEATURE_COLUMNS), "p").select("tx_id", "p")
     total = F.aggregate("contributions", F.col("base_margin"), lambda a, e: a + e["contribution"])
     size = F.transform("top_risk_factors", lambda e: F.abs(e["contribution"]))
     largest = F.slice(F.reverse(F.array_sort(F.transform("contributions", lambda e: F.abs(e["contribution"])))), 1, 5)
     return c.join(p, "tx_id").select(
         "tx_id", F.size("top_risk_factors").alias("n_factors"),
         (F.abs(total - F.col("margin")) <= 1e-9).alias("sums_to_margin"),
-        (F.abs(F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col("margin"))) - F.col("p")) <= 1e-9).alias("margin_gives_probability"),
+        (F.abs(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin"))) - F.col("p")) <= 1e-9).alias("margin_gives_probability"),
         F.forall(F.zip_with(size, largest, lambda a, b: F.abs(a - b) <= 1e-6), lambda ok: ok).alias("largest_first"))
 
 

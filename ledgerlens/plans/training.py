@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import columns as C
+from ledgerlens.operators import boosting as BO
 from ledgerlens.operators import drift as DR
 from ledgerlens.operators import features as FE
 from ledgerlens.operators import fusion as FU
@@ -44,7 +45,7 @@ def graph_edge_table(feats: DataFrame, hops: int = 2, scaler: DataFrame | None =
     return rep, cols
 
 
-def run_training(spark: SparkSession, tx: DataFrame, out_dir: str | None = None, rounds: int = ML.GBT_DEFAULT_ROUNDS,
+def run_training(spark: SparkSession, tx: DataFrame, out_dir: str | None = None, rounds: int = BO.ROUNDS,
                  test_frac: float = 0.2, seed: int = 42, tabular_weight: float = FU.DEFAULT_TABULAR_WEIGHT,
                  threshold: float = FU.DEFAULT_THRESHOLD, with_graph: bool = True) -> dict:
     """Train both models on the same stratified split, fuse on the transaction key (JOIN-7),
