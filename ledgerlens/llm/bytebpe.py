@@ -44,23 +44,21 @@ _CUT = re.compile(r"(?<=\S)(?= )")
 _loaded: dict = {}
 
 
+def _popped(heap: list[int]) -> Iterator[int]:
+    while heap:
+        yield heappop(heap)
+
+
 class RankQueue:
-    """Places by rank, lowest rank first, and in a rank the leftmost first."""
+    """Buckets of places by rank, and a two-level bitmap of the ranks in use."""
 
     def __init__(self, ranks: int):
         self.words = [0] * ((ranks >> BITS) + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}      # each a heap
+        self.buckets: dict[int, list[int]] = {}
 
-    def put(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, place)
-        else:
-            self.buckets[rank] = [place]
-            self._mark(rank)
-
-    def _mark(self, rank: int) -> None:
+    def mark(self, rank: int) -> None:
+        """The rank has a bucket from now on."""
         word = rank >> BITS
         if not self.words[word]:
             self.top |= 1 << word
@@ -78,11 +76,6 @@ class RankQueue:
             self.top = top & (top - 1)
         return rank, self.buckets.pop(rank)
 
-    def give_back(self, rank: int, bucket: list[int]) -> None:
-        """``bucket`` is a heap of places that still wait for their rank; none was queued meanwhile."""
-        self.buckets[rank] = bucket
-        self._mark(rank)
-
 
 class Encoder:
     """The ranks of a tiktoken file and the pattern that cuts text before the merges."""
@@ -141,15 +134,21 @@ class Encoder:
         first[np.array(edges[:-1], np.int64) - 1] = -1
         pair = [*first.tolist(), -1]              # rank of the pair that starts at a place
         end = list(range(1, n + 1))               # end of the run that starts at a place
-        get, queue, take = self.ranks.get, self.queue, self.queue.take
-        put = queue.put
-        for i in np.flatnonzero(first >= 0).tolist():
-            put(pair[i], i)
+        get, queue = self.ranks.get, self.queue
+        buckets, mark = queue.buckets, queue.mark
+        push = heappush if alone else list.append    # a shared bucket is sorted when it is served
+        places = np.flatnonzero(first >= 0)
+        order = np.argsort(first[places], kind="stable")
+        ranks, starts = np.unique(first[places][order], return_index=True)
+        for rank, found in zip(ranks.tolist(), np.split(places[order], starts[1:])):
+            buckets[rank] = found.tolist()
+            mark(rank)
         while queue.top:
-            rank, places = take()
+            rank, places = queue.take()
             waiting, blocked = [], -1
-            while places:
-                i = heappop(places)
+            if not alone:
+                places.sort()
+            for i in _popped(places) if alone else places:
                 if pair[i] != rank:
                     continue
                 if i < blocked:
@@ -166,14 +165,24 @@ class Encoder:
                     before[stop] = i
                     r = pair[i] = get(data[i:end[stop]], -1)
                     if r >= 0:
-                        put(r, i)
+                        bucket = buckets.get(r)
+                        if bucket is None:
+                            buckets[r] = [i]
+                            mark(r)
+                        else:
+                            push(bucket, i)
                         if r < lowest:
                             lowest = r
                 h = before[i]
                 if h >= 0:
                     r = pair[h] = get(data[h:stop], -1)
                     if r >= 0:
-                        put(r, h)
+                        bucket = buckets.get(r)
+                        if bucket is None:
+                            buckets[r] = [h]
+                            mark(r)
+                        else:
+                            push(bucket, h)
                         if r < lowest:
                             lowest = r
                 if lowest < rank:                 # the piece's other places of this rank wait
@@ -182,7 +191,8 @@ class Encoder:
                         break
                     blocked = edges[bisect_right(edges, i)]
             if waiting:
-                queue.give_back(rank, waiting)
+                buckets[rank] = waiting
+                mark(rank)
         ids, out, i = [], [], 0
         while i < n:
             stop = end[i]
