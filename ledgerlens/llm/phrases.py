@@ -89,8 +89,7 @@ def _counted(docs: DataFrame, count: Callable) -> DataFrame:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     def count(c: Counter, lang: str, text: str) -> None:
-        for words in pieces(text):
-            c.update(words)
+        c.update([w for words in pieces(text) for w in words])
 
     return _counted(docs, count)
 
@@ -202,17 +201,23 @@ def suffixes(docs: DataFrame, bits: bytes, heavy: dict[int, dict[str, set[bytes]
             rows = []
             for lang, c in found.items():
                 mine = [heavy[d].get(lang, set()) for d in levels]
-                start, groups, memo = lang.encode() + b"\0", {}, {}
+                start, groups, light = lang.encode() + b"\0", {}, {}
+                heavy_words = mine[0] if mine else ()
+
+                def group(prefix, depth):
+                    return groups.setdefault((int(group_of[_hash(start + prefix) % n]), depth), ([], []))
+
                 for s, k in c.items():
-                    p = _prefix(s, mine)
-                    if p is None:
-                        continue
-                    where = memo.get(p)
-                    if where is None:
-                        where = memo[p] = (int(group_of[_hash(start + p[0]) % n]), p[1])
-                    lines = groups.get(where)
+                    word = s[:s.find(b" ")]
+                    lines = light.get(word)
                     if lines is None:
-                        lines = groups[where] = ([], [])
+                        if word in heavy_words:
+                            p = _prefix(s, mine)
+                            if p is None:
+                                continue
+                            lines = group(*p)
+                        else:
+                            lines = light[word] = group(word, 1)
                     lines[0].append(s)
                     lines[1].append(k)
                 rows += [(g, lang, d, b"\n".join(ss), np.array(ks, "<i8").tobytes())
@@ -228,11 +233,12 @@ def suffixes(docs: DataFrame, bits: bytes, heavy: dict[int, dict[str, set[bytes]
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                c = found.setdefault(lang, Counter())
+                mine = []
                 for run in runs(text):
-                    c.update(map(b" ".join, zip(*[run[i:] for i in range(DEPTH)])))
-                    for k in range(2, min(DEPTH, len(run) + 1)):
-                        c[b" ".join(run[-k:])] += 1
+                    if len(run) >= DEPTH:
+                        mine += map(b" ".join, zip(*[run[i:] for i in range(DEPTH)]))
+                    mine += [b" ".join(run[-k:]) for k in range(2, min(DEPTH, len(run) + 1))]
+                found.setdefault(lang, Counter()).update(mine)
             if sum(map(len, found.values())) > COUNTED:
                 yield from flush()
         yield from flush()
