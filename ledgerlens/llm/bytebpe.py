@@ -85,6 +85,7 @@ class Encoder:
             pairs = [line.split() for line in f if line.strip()]
         self._set_ranks({base64.b64decode(t): int(r) for t, r in pairs})
         self.cut = regex.compile(pattern).findall
+        self.plain = r"| ?\p{L}+|" in pattern
 
     def _set_ranks(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
@@ -235,13 +236,20 @@ def digests(texts: Iterator[pd.Series], path: str, pattern: str) -> Iterator[pd.
         return ",".join(map(str, ids)), len(ids), enc.decode(ids)
 
     pieces = _loaded.setdefault(("pieces", path, pattern), WordCache(
-        lambda found: enc.encode_pieces([p.encode() for p in found])))
+        lambda found: [written(ids) for ids in enc.encode_pieces([p.encode() for p in found])]))
 
     def whole(found: list[str]) -> list[tuple[str, int, bytes]]:
-        cut = [enc.cut(s) for s in found]
+        # letters, after a blank or not, are one match of the pattern if it takes them so
+        cut = [(s,) if enc.plain and (s[1:] if s[0] == " " else s).isalpha() else enc.cut(s) for s in found]
         known = pieces.look_up({p for parts in cut for p in parts})
-        return [written(known[parts[0]] if len(parts) == 1 else [i for p in parts for i in known[p]])
-                for parts in cut]
+        out = []
+        for parts in cut:
+            if len(parts) == 1:
+                out.append(known[parts[0]])
+            else:
+                ids, n, text = zip(*[known[p] for p in parts])
+                out.append((",".join(ids), sum(n), b"".join(text)))
+        return out
 
     cache = _loaded.setdefault(("stretches", path, pattern), WordCache(whole))
     for series in texts:
