@@ -191,30 +191,36 @@ def history_stats(df: DataFrame, key: str, amount: str, other: str, prefix: str,
     the pair first appears. Skew: running sums are split by (key, time bucket) — the window
     runs inside a bucket, and the totals of all earlier buckets come from a table with one row
     per (key, bucket) — so a hot account is spread over as many tasks as it has buckets.
-    The variance uses the sums of x and x^2 (doubles) and is clamped at 0."""
+    The variance uses the sums of d and d^2 (doubles), d being the distance to the account's mean amount, so
+    large amounts close together do not cancel, and is clamped at 0."""
     base = df.select(F.col(id_col).alias("_id"), F.col(key).alias("_k"), F.col(other).alias("_o"),
                      F.unix_micros(F.col(ts)).alias("_t"), F.col(amount).cast("double").alias("_x")) \
         .where(F.col("_k").isNotNull() & F.col("_t").isNotNull())
+    centre = base.groupBy("_k").agg(F.avg("_x").alias("_c"))
+    base = base.join(centre, "_k").withColumn("_d", F.col("_x") - F.col("_c")).drop("_c")
     first = base.where(F.col("_o").isNotNull()).groupBy("_k", "_o").agg(F.min("_t").alias("_t"))
     dec = MONEY_DEC
-    rows = (base.select("_id", "_k", "_t", "_x", F.lit(1).alias("_n"), F.lit(0).alias("_m"))
+    none = F.lit(None).cast("double")
+    rows = (base.select("_id", "_k", "_t", "_x", "_d", F.lit(1).alias("_n"), F.lit(0).alias("_m"))
             .unionByName(first.select(F.lit(None).cast("string").alias("_id"), "_k", "_t",
-                                      F.lit(None).cast("double").alias("_x"), F.lit(0).alias("_n"), F.lit(1).alias("_m")))
+                                      none.alias("_x"), none.alias("_d"), F.lit(0).alias("_n"), F.lit(1).alias("_m")))
             .withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us))))
     tot = rows.groupBy("_k", "_b").agg(F.sum("_n").alias("_bn"), F.sum(F.col("_x").cast(dec)).alias("_bs"),
-                                       F.sum(F.col("_x") * F.col("_x")).alias("_bq"), F.sum("_m").alias("_bm"))
+                                       F.sum(F.col("_d") * F.col("_d")).alias("_bq"), F.sum("_d").alias("_bd"),
+                                       F.sum("_m").alias("_bm"))
     wb = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_k", "_b", *[F.sum(c).over(wb).alias("_o" + c[2:]) for c in ("_bn", "_bs", "_bq", "_bm")])
+    off = tot.select("_k", "_b", *[F.sum(c).over(wb).alias("_o" + c[2:]) for c in ("_bn", "_bs", "_bq", "_bd", "_bm")])
     wi = Window.partitionBy("_k", "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
     inb = rows.select("_id", "_k", "_b", "_n",
                       F.sum("_n").over(wi).alias("_ln"), F.sum(F.col("_x").cast(dec)).over(wi).alias("_ls"),
-                      F.sum(F.col("_x") * F.col("_x")).over(wi).alias("_lq"), F.sum("_m").over(wi).alias("_lm")) \
+                      F.sum(F.col("_d") * F.col("_d")).over(wi).alias("_lq"), F.sum("_d").over(wi).alias("_ld"),
+                      F.sum("_m").over(wi).alias("_lm")) \
         .where(F.col("_n") == 1)
     j = inb.join(off, ["_k", "_b"])
     z = lambda a, b: F.coalesce(F.col(a), F.lit(0)) + F.coalesce(F.col(b), F.lit(0))
-    n, sm, q, m = z("_on", "_ln"), z("_os", "_ls"), z("_oq", "_lq"), z("_om", "_lm")
+    n, sm, q, d, m = z("_on", "_ln"), z("_os", "_ls"), z("_oq", "_lq"), z("_od", "_ld"), z("_om", "_lm")
     sd = sm.cast("double")
-    var = F.when(n > 1, F.greatest((q - sd * sd / n.cast("double")) / (n - 1).cast("double"), F.lit(0.0)))
+    var = F.when(n > 1, F.greatest((q - d * d / n.cast("double")) / (n - 1).cast("double"), F.lit(0.0)))
     return j.select(
         F.col("_id").alias(id_col),
         n.cast("long").alias(f"{prefix}_tx_count"),

@@ -226,3 +226,14 @@ def test_rolling_std_of_large_equal_amounts_is_zero(spark):
     df = spark.createDataFrame(rows, "tx_id string, ts timestamp, sender_account string, amount_paid double")
     got = FE.rolling_window_stats(df, "sender_account", "amount_paid", {"1d": FE.DAY_US}).collect()
     assert {r.std_1d for r in got} == {0.0} and max(r.cnt_1d for r in got) == 24
+
+
+def test_history_std_of_large_amounts_close_together(spark):
+    amounts = [1e9 + i % 3 for i in range(12)]
+    rows = [(f"T{i:02d}", "A", f"R{i}", 1_700_000_000 + i * 50_000, x) for i, x in enumerate(amounts)]
+    df = spark.createDataFrame(rows, "tx_id string, sender_account string, receiver_account string, t long, amount_paid double") \
+        .withColumn("ts", F.timestamp_seconds("t"))
+    got = {r.tx_id: r.s_std_amount for r in FE.history_stats(df, "sender_account", "amount_paid", "receiver_account", "s",
+                                                             "div").collect()}
+    for i in range(2, 12):
+        assert abs(got[f"T{i:02d}"] - np.std(amounts[:i], ddof=1)) < 1e-3
