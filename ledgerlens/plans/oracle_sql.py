@@ -792,6 +792,9 @@ FROM (SELECT CAST(count(*) FILTER (WHERE is_test = 0) AS DOUBLE) AS n, count(*)
 _FUSED_OK = ("label, CAST(0.6 AS DOUBLE) AS weight_tabular, true AS scores_in_range, true AS fused_is_weighted_sum, "
              "true AS flag_at_threshold")
 SQL["scored_test_check"] = with_tx(f"SELECT tx_id, {_FUSED_OK} FROM sp WHERE is_test = 1", _SPLIT)
+SQL["fitted_rows_check"] = with_tx("""
+SELECT 'sender' AS profile, CAST(count(sender_account) AS BIGINT) AS n_rows FROM tx JOIN sp ON sp.tx_id = tx.tx_id WHERE is_test = 0
+UNION ALL SELECT 'receiver', CAST(count(receiver_account) AS BIGINT) FROM tx JOIN sp ON sp.tx_id = tx.tx_id WHERE is_test = 0""", _SPLIT)
 SQL["score_batch_check"] = with_tx(f"SELECT tx_id, {_FUSED_OK} FROM tx")
 SQL["risk_factors_check"] = with_tx("""
 SELECT tx_id, CAST(5 AS INTEGER) AS n_factors, true AS sums_to_margin, true AS margin_gives_probability, true AS largest_first

@@ -755,6 +755,14 @@ def q_risk_factors_check(spark, sf):
         F.forall(F.zip_with(size, largest, lambda a, b: F.abs(a - b) <= 1e-6), lambda ok: ok).alias("largest_first"))
 
 
+@register("fitted_rows_check")
+def q_fitted_rows_check(spark, sf):
+    """AGG-1/2, SNK-4: the fitted profiles hold the training rows and no test row."""
+    t = _training(spark, sf)["tables"]
+    return t["sender_profile"].agg(F.sum("sender_tx_count").alias("n_rows")).select(F.lit("sender").alias("profile"), "n_rows").unionByName(
+        t["receiver_profile"].agg(F.sum("receiver_tx_count").alias("n_rows")).select(F.lit("receiver").alias("profile"), "n_rows"))
+
+
 @register("global_importance_check")
 def q_global_importance_check(spark, sf):
     """ML-9: every feature once, none negative."""

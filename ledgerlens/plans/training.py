@@ -31,29 +31,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def graph_edge_table(feats: DataFrame, hops: int = 2, scaler: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+def graph_edge_table(feats: DataFrame, hops: int = 2, scaler: DataFrame | None = None,
+                     graph_of: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """GR-3 + GR-11 + GR-12: per transaction, source and destination embeddings (x, Ax, A²x of
-    the 8 node features, standardised by the fitted ``scaler``) and the 4 edge features."""
-    tx = feats.select("tx_id", "ts", "sender_account", "receiver_account", "amount_paid", "amount_received", "label",
-                      "is_cross_currency", "payment_format_enc", "is_cross_bank")
-    nf = GR.node_features(tx, dp=None)
+    the 8 node features, standardised by the fitted ``scaler``) and the 4 edge features.
+
+    ``graph_of``: the transactions that make the graph, by default ``feats``; an account that is not in
+    it has the mean (0) in every embedding column."""
+    need = ["tx_id", "ts", "sender_account", "receiver_account", "amount_paid", "amount_received", "label",
+            "is_cross_currency", "payment_format_enc", "is_cross_bank"]
+    base = (feats if graph_of is None else graph_of).select(*need)
+    nf = GR.node_features(base, dp=None)
     nf = GR.standardize(nf, GR.NODE_FEATURES, suffix="", scaler=scaler)
-    emb = GR.khop_embedding(GR.multi_edges(tx), nf, GR.NODE_FEATURES, k=hops)
-    ef = GR.edge_features(tx)
-    rep = GR.edge_representation(ef, emb)
+    emb = GR.khop_embedding(GR.multi_edges(base), nf, GR.NODE_FEATURES, k=hops)
+    rep = GR.edge_representation(GR.edge_features(feats.select(*need)), emb)
     cols = EDGE_FEATURES + [c for c in rep.columns if c.startswith("src_") or c.startswith("dst_")]
-    return rep, cols
+    return rep.fillna(0.0, [c for c in cols if c not in EDGE_FEATURES]), cols
 
 
 def run_training(spark: SparkSession, tx: DataFrame, out_dir: str | None = None, rounds: int = BO.ROUNDS,
                  test_frac: float = 0.2, seed: int = 42, tabular_weight: float = FU.DEFAULT_TABULAR_WEIGHT,
                  threshold: float = FU.DEFAULT_THRESHOLD, with_graph: bool = True) -> dict:
     """Train both models on the same stratified split, fuse on the transaction key (JOIN-7),
-    evaluate tabular / graph / fused (EVAL-7/8), and record a one-row summary (EVAL-9)."""
-    dictionaries, profiles = FE.fit_dictionaries(tx), FE.fit_profiles(tx)
+    evaluate tabular / graph / fused (EVAL-7/8), and record a one-row summary (EVAL-9). Dictionaries,
+    profiles, scaler and the graph come from the training part only, so no test row is in them."""
+    split = cut_lineage(FE.stratified_split(tx.select("tx_id", "label"), test_frac, seed).select("tx_id", "is_test"))
+    fitted = tx.join(split.where("is_test = 0").select("tx_id"), "tx_id", "left_semi")
+    dictionaries, profiles = FE.fit_dictionaries(fitted), FE.fit_profiles(fitted)
     tables = {"dictionaries": dictionaries, "sender_profile": profiles[0], "receiver_profile": profiles[1]}
     feats = materialize(FE.engineer_features(tx, dictionaries=dictionaries, profiles=profiles), "features")
-    split = FE.stratified_split(feats.select("tx_id", "label"), test_frac, seed).select("tx_id", "is_test")
     data = materialize(feats.join(split, "tx_id"), "features-split")
     train, test = data.where(F.col("is_test") == 0), data.where(F.col("is_test") == 1)
     cols = FE.FEATURE_COLUMNS
@@ -61,8 +67,8 @@ def run_training(spark: SparkSession, tx: DataFrame, out_dir: str | None = None,
     scored = ML.score(tab, test.select("tx_id", "label", *cols), "tabular_score")
     models = {"tabular": tab}
     if with_graph:
-        tables["node_scaler"] = GR.fit_scaler(GR.node_features(data, dp=None), GR.NODE_FEATURES)
-        rep, gcols = graph_edge_table(data, scaler=tables["node_scaler"])
+        tables["node_scaler"] = GR.fit_scaler(GR.node_features(train, dp=None), GR.NODE_FEATURES)
+        rep, gcols = graph_edge_table(data, scaler=tables["node_scaler"], graph_of=train)
         rep = materialize(rep.join(split, "tx_id"), "edge-repr")
         gm = ML.fit_graph(rep.where(F.col("is_test") == 0), gcols)
         gs = ML.score(gm, rep.where(F.col("is_test") == 1).select("tx_id", *gcols), "gnn_score").select("tx_id", "gnn_score")
