@@ -801,3 +801,33 @@ SELECT tx_id, CAST(5 AS INTEGER) AS n_factors, true AS sums_to_margin, true AS m
 FROM tx""")
 SQL["global_importance_check"] = "SELECT unnest([" + ", ".join(
     f"'{c}'" for c in FEATURE_COLUMNS) + "]) AS feature, true AS not_negative"
+
+
+# --- features at serving time ----------------------------------------------------------------------
+
+def _known(role: str, account: str, other: str, frame: str) -> str:
+    """All transfers of the account within ``frame`` of days, one row an account and day."""
+    w = f"(PARTITION BY {account} ORDER BY CAST(ts AS DATE) RANGE BETWEEN UNBOUNDED PRECEDING AND {frame})"
+    return f"""
+{role}_first AS (SELECT *, CAST(row_number() OVER (PARTITION BY {account}, {other} ORDER BY ts, tx_id) = 1 AS INTEGER) AS fresh
+  FROM ev),
+{role}_k AS (SELECT DISTINCT {account} AS account_id, CAST(ts AS DATE) AS day, n AS tx_count,
+         {fx('coalesce(s, 0)', 4)} AS total_amount, {fx('coalesce(coalesce(s, 0) / nullif(CAST(n AS DOUBLE), 0), 0)', 6)} AS mean_amount,
+         {fx('coalesce(sd, 0)', 4)} AS std_amount, CAST(coalesce(dv, 0) AS BIGINT) AS diversity, age
+  FROM (SELECT {account}, ts, count(*) OVER {w} AS n, CAST(sum(CAST(amount_paid AS DECIMAL(20,6))) OVER {w} AS DOUBLE) AS s,
+               stddev_samp(amount_paid) OVER {w} AS sd, sum(fresh) OVER {w} AS dv,
+               datediff('day', max(CAST(ts AS DATE)) OVER {w}, CAST(ts AS DATE)) AS age
+        FROM {role}_first) q)"""
+
+
+_SIDES = (("s", "sender_account", "receiver_account"), ("r", "receiver_account", "sender_account"))
+SQL["profile_history"] = f"""WITH {EV},{",".join(_known(*side, "CURRENT ROW") for side in _SIDES)}
+SELECT 'sender' AS role, * EXCLUDE (age) REPLACE (CAST(day AS TIMESTAMP) AS day) FROM s_k
+UNION ALL SELECT 'receiver' AS role, * EXCLUDE (age) REPLACE (CAST(day AS TIMESTAMP) AS day) FROM r_k"""
+SQL["serving_features"] = f"""WITH {EV},{",".join(_known(*side, "INTERVAL 1 DAY PRECEDING") for side in _SIDES)}
+SELECT ev.tx_id, s.tx_count AS sender_tx_count, s.total_amount AS sender_total_amount, s.mean_amount AS sender_mean_amount,
+       s.std_amount AS sender_std_amount, s.diversity AS sender_receiver_diversity, CAST(coalesce(s.age, -1) AS INTEGER) AS sender_profile_age,
+       r.tx_count AS receiver_tx_count, r.total_amount AS receiver_total_amount, r.mean_amount AS receiver_mean_amount,
+       r.diversity AS receiver_sender_diversity, CAST(coalesce(r.age, -1) AS INTEGER) AS receiver_profile_age
+FROM ev JOIN s_k s ON s.account_id = ev.sender_account AND s.day = CAST(ev.ts AS DATE)
+        JOIN r_k r ON r.account_id = ev.receiver_account AND r.day = CAST(ev.ts AS DATE)"""

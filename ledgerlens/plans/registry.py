@@ -648,6 +648,32 @@ def q_drift_microbatch(spark, sf):
     return spark.read.parquet(f"{base}/out").select("feature", "psi", "drifted")
 
 
+# --- features at serving time (SNK-1, ML-10) --------------------------------------------------------
+
+from ledgerlens.operators import serving as SE  # noqa: E402
+
+
+def _histories(spark, sf):
+    ev = SRC.events_as_transactions(spark, sf)
+    return [stored(spark, sf, f"event-{role}-history", lambda role=role: SE.profile_history(ev, role))
+            for role in ("sender", "receiver")]
+
+
+@register("profile_history")
+def q_profile_history(spark, sf):
+    s, r = _histories(spark, sf)
+    return (s.withColumn("role", F.lit("sender")).unionByName(r.withColumn("role", F.lit("receiver")))
+            .select("role", "account_id", ntz("day"), *SE.STATE))
+
+
+@register("serving_features")
+def q_serving_features(spark, sf):
+    """Every event as a request, with what the stored profiles knew before its day (age -1: nothing)."""
+    out = SE.serving_features(SRC.events_as_transactions(spark, sf), *_histories(spark, sf))
+    ages = [F.coalesce(F.col(c), F.lit(-1)).alias(c) for c in ("sender_profile_age", "receiver_profile_age")]
+    return out.select("tx_id", *FE.SENDER_COLS, *FE.RECEIVER_COLS, *ages)
+
+
 # --- models (rows-only: fitted models have no SQL twin) --------------------------------------------
 
 from ledgerlens.operators import models as ML  # noqa: E402
