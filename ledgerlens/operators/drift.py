@@ -1,19 +1,24 @@
-"""Population stability drift (DR-1..5, FLT-6/7) as one aggregate plan over a long form.
-
-Both frames are unpivoted to (feature, value); per feature the reference min / max fix ten
-equal-width bins (edges lo + i*step, last edge = hi; a constant reference widens by 0.5 each
-way; an empty one uses [0, 1]). A value's bin is the number of interior edges it reaches —
-an exact edge comparison, so the last bin is closed and values outside [lo, hi] fall out of
-every bin while still counting in the denominator. The per-feature edge table has one row
-per monitored feature (a fixed, small bound) and is broadcast.
+"""Population stability drift (DR-1..5, FLT-6/7) on mergeable histograms.
+
+``fit_histogram`` fixes ten equal-width bins a feature on the reference (edges lo + i*step, last edge
+= hi; a constant reference widens by 0.5 each way; an empty one uses [0, 1]) and counts it: a table of
+one row a feature and bin, written once and kept. ``count_cells`` counts any other rows in the same
+bins. Counts of disjoint rows (days, micro-batches, partitions) add up, so a window's histogram is a
+sum of small tables and the reference is never read again.
+
+Counting reads wide rows once: a row becomes an array of one cell number a feature, and cells are
+counted by their number with map-side aggregation; no (feature, value) rows are joined to edges. A
+value's bin is the number of interior edges it reaches, by exact comparisons, so the last bin is
+closed and values outside [lo, hi] are in no bin but still in the denominator (cell OUTSIDE).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import columns as C
+from ledgerlens.session import cut_lineage
 
 # Fixed values (must equal the reference's): bins, smoothing, PSI and dataset thresholds.
 N_BINS = 10
@@ -28,55 +33,99 @@ def common_columns(ref: DataFrame, cur: DataFrame, cols: list[str]) -> list[str]
     return [c for c in cols if c in ref.columns and c in cur.columns]
 
 
-def to_long(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(feature, value) rows; FLT-6: NULL, NaN and infinite values are dropped per feature."""
-    stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
-    long = df.selectExpr(f"stack({len(cols)}, {stack}) AS (feature, value)")
-    v = F.col("value")
-    return long.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
-
-
-def histogram_edges(ref_long: DataFrame, features: list[str], n_bins: int = N_BINS) -> DataFrame:
-    """DR-1: (feature, lo, hi, edges, n_ref) for every monitored feature."""
-    st = ref_long.groupBy("feature").agg(F.min("value").alias("_mn"), F.max("value").alias("_mx"),
-                                         F.count(F.lit(1)).alias("n_ref"))
-    spark = ref_long.sparkSession
-    feats = spark.createDataFrame([(f,) for f in features], "feature string")
-    st = feats.join(st, "feature", "left")
-    lo = F.when(F.col("_mn").isNull(), F.lit(0.0)).when(F.col("_mn") == F.col("_mx"), F.col("_mn") - F.lit(0.5)) \
-        .otherwise(F.col("_mn"))
-    hi = F.when(F.col("_mx").isNull(), F.lit(1.0)).when(F.col("_mn") == F.col("_mx"), F.col("_mx") + F.lit(0.5)) \
-        .otherwise(F.col("_mx"))
-    st = st.select("feature", lo.alias("lo"), hi.alias("hi"), F.coalesce("n_ref", F.lit(0)).alias("n_ref"))
-    step = (F.col("hi") - F.col("lo")) / F.lit(float(n_bins))
-    edges = F.transform(F.sequence(F.lit(0), F.lit(n_bins)),
-                        lambda i: F.when(i == n_bins, F.col("hi")).otherwise(i.cast("double") * step + F.col("lo")))
-    return st.withColumn("edges", edges)
-
-
-def _binned(long: DataFrame, edges: DataFrame, n_bins: int) -> DataFrame:
-    j = long.join(F.broadcast(edges.select("feature", "lo", "hi", "edges")), "feature")
-    inside = (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))
-    interior = F.slice(F.col("edges"), 2, n_bins - 1)
-    b = F.size(F.filter(interior, lambda e: F.col("value") >= e))
-    return j.where(inside).groupBy("feature", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+def _clean(c: str) -> Column:
+    """FLT-6: NULL, NaN and infinite values are dropped per feature."""
+    v = F.col(f"`{c}`").cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
+
+
+def histogram_edges(ref: DataFrame, features: list[str], n_bins: int = N_BINS) -> dict[str, list[float]]:
+    """DR-1: the n_bins + 1 edges of every monitored feature, from one aggregate row."""
+    aggs = [f(_clean(c)).alias(f"{k}{i}") for i, c in enumerate(features) for k, f in (("lo", F.min), ("hi", F.max))]
+    row = ref.agg(*aggs).first() if aggs else None
+    out = {}
+    for i, c in enumerate(features):
+        lo, hi = row[f"lo{i}"], row[f"hi{i}"]
+        if lo is None:
+            lo, hi = 0.0, 1.0
+        elif lo == hi:
+            lo, hi = lo - 0.5, hi + 0.5
+        step = (hi - lo) / float(n_bins)
+        out[c] = [i * step + lo for i in range(n_bins)] + [hi]
+    return out
+
+
+CELLS = "feature string, bin int, n long"
+FITTED = "feature string, lo double, hi double, bin int, n long"
+
+
+def count_cells(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """(feature, bin, n) of ``df``: every bin of every feature of ``edges``, empty ones included, and the
+    values outside all of them as bin = number of bins. One scan; the result adds up over disjoint rows."""
+    spark = df.sparkSession
+    features = list(edges)
+    if not features:
+        return spark.createDataFrame([], CELLS)
+    width = len(edges[features[0]])                # bins and one cell for what is outside
+    cells = []
+    for i, c in enumerate(features):
+        v, e = F.col(f"_v{i}"), edges[c]
+        reached = sum(((v >= F.lit(x)).cast("int") for x in e[1:-1]), F.lit(i * width))
+        cells.append(F.when((v >= F.lit(e[0])) & (v <= F.lit(e[-1])), reached)
+                     .when(v.isNotNull(), F.lit(i * width + width - 1)))
+    values = df.select(*[_clean(c).alias(f"_v{i}") for i, c in enumerate(features)])
+    counted = (values.select(F.explode(F.array(*cells)).alias("_cell")).where(F.col("_cell").isNotNull())
+               .groupBy("_cell").agg(F.count(F.lit(1)).alias("n")))
+    # one row a cell, a fixed number: features x (bins + 1)
+    scaffold = spark.createDataFrame([(c, b, i * width + b) for i, c in enumerate(features) for b in range(width)],
+                                     "feature string, bin int, _cell int")
+    return scaffold.join(counted, "_cell", "left").select("feature", "bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def merge_cells(cells: DataFrame, *by: str) -> DataFrame:
+    """Sum of histograms over disjoint rows, per ``by``."""
+    return cells.groupBy(*by, "feature", "bin").agg(F.sum("n").alias("n"))
+
+
+def fit_histogram(ref: DataFrame, cols: list[str], n_bins: int = N_BINS) -> DataFrame:
+    """DR-1: the reference's histogram as a written table (feature, lo, hi, bin, n)."""
+    edges = histogram_edges(ref, cols, n_bins)
+    if not edges:
+        return ref.sparkSession.createDataFrame([], FITTED)
+    ends = ref.sparkSession.createDataFrame([(c, e[0], e[-1]) for c, e in edges.items()], "feature string, lo double, hi double")
+    return cut_lineage(count_cells(ref, edges).join(ends, "feature").select("feature", "lo", "hi", "bin", "n"))
+
+
+def edges_of(fitted: DataFrame) -> dict[str, list[float]]:
+    """The edges of a fitted histogram, by feature: a row each, so a bounded collect."""
+    rows = fitted.groupBy("feature").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.max("bin").alias("k")).collect()
+    out = {}
+    for r in sorted(rows, key=lambda r: r["feature"]):
+        step = (r["hi"] - r["lo"]) / float(r["k"])
+        out[r["feature"]] = [i * step + r["lo"] for i in range(r["k"])] + [r["hi"]]
+    return out
+
+
+def psi_of(fitted: DataFrame, cells: DataFrame, *by: str) -> DataFrame:
+    """DR-2 from two histograms: (by, feature, psi) with shares (count + eps) / (total + eps) and
+    psi = sum((c - r) * ln(c / r)) over the reference bins."""
+    total = Window.partitionBy("feature")
+    width = F.max("bin").over(total)
+    ref = fitted.select("feature", "bin", F.col("n").alias("r_n"), F.sum("n").over(total).alias("n_ref"), width.alias("_k"))
+    cur = cells.select(*by, "feature", "bin", F.col("n").alias("c_n"),
+                       F.sum("n").over(Window.partitionBy(*by, "feature")).alias("n_cur"))
+    eps = F.lit(EPS)
+    r = (F.col("r_n").cast("double") + eps) / (F.col("n_ref").cast("double") + eps)
+    c = (F.col("c_n").cast("double") + eps) / (F.col("n_cur").cast("double") + eps)
+    return (cur.join(ref, ["feature", "bin"]).where(F.col("bin") < F.col("_k"))
+            .groupBy(*by, "feature").agg(F.sum((c - r) * F.log(c / r)).alias("psi")))
 
 
 def psi(ref: DataFrame, cur: DataFrame, cols: list[str], n_bins: int = N_BINS) -> DataFrame:
-    """DR-2: (feature, psi) with shares (count + eps) / (total + eps) and
-    psi = sum((c - r) * ln(c / r)) over the reference bins."""
-    feats = common_columns(ref, cur, cols)
-    rl, cl = to_long(ref, feats), to_long(cur, feats)
-    edges = histogram_edges(rl, feats, n_bins)
-    n_cur = cl.groupBy("feature").agg(F.count(F.lit(1)).alias("n_cur"))
-    scaffold = edges.select("feature", "n_ref", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
-    rb = _binned(rl, edges, n_bins).withColumnRenamed("n", "r_n")
-    cb = _binned(cl, edges, n_bins).withColumnRenamed("n", "c_n")
-    t = (scaffold.join(n_cur, "feature", "left").join(rb, ["feature", "bin"], "left").join(cb, ["feature", "bin"], "left"))
-    eps = F.lit(EPS)
-    r = (F.coalesce("r_n", F.lit(0)).cast("double") + eps) / (F.col("n_ref").cast("double") + eps)
-    c = (F.coalesce("c_n", F.lit(0)).cast("double") + eps) / (F.coalesce("n_cur", F.lit(0)).cast("double") + eps)
-    return t.groupBy("feature").agg(F.sum((c - r) * F.log(c / r)).alias("psi"))
+    """DR-2: (feature, psi) of two frames: the reference is scanned for its ends and its counts, the
+    current frame once."""
+    fitted = fit_histogram(ref, common_columns(ref, cur, cols), n_bins)
+    return psi_of(fitted, count_cells(cur, edges_of(fitted)))
 
 
 def feature_drift(psi_df: DataFrame, threshold: float = PSI_THRESHOLD) -> DataFrame:

@@ -736,6 +736,26 @@ pt AS (SELECT (CAST(coalesce(rb.r_n, 0) AS DOUBLE) + 1e-10) / (CAST(ed.n_ref AS
 SELECT 'amount_paid' AS feature, {fx('sum((c - r) * ln(c / r))', 4)} AS psi,
        sum((c - r) * ln(c / r)) > CAST(0.2 AS DOUBLE) AS drifted FROM pt"""
 
+SQL["drift_stream_window"] = f"""
+WITH refv AS (SELECT value FROM events WHERE ts < TIMESTAMP '2024-01-15' AND {_OK}),
+bounds AS (SELECT min(epoch_us(ts)) AS t0, max(epoch_us(ts)) AS t1 FROM events),
+slices AS (SELECT value, CAST(coalesce(floor((epoch_us(ts) - t0) * 3 / (t1 - t0 + 1)), 0) AS INTEGER) AS slice
+           FROM events, bounds WHERE {_OK}),
+curv AS (SELECT b AS batch_id, value FROM slices JOIN range(3) r(b) ON slice BETWEEN b - 1 AND b),
+st AS (SELECT min(value) AS mn, max(value) AS mx, count(*) AS n_ref FROM refv),
+ed AS (SELECT lo, hi, n_ref, (hi - lo) / CAST(10 AS DOUBLE) AS step FROM (
+         SELECT n_ref, CASE WHEN mn = mx THEN mn - CAST(0.5 AS DOUBLE) ELSE mn END AS lo,
+                CASE WHEN mn = mx THEN mx + CAST(0.5 AS DOUBLE) ELSE mx END AS hi FROM st) q),
+rb AS (SELECT {_bin} AS bin, count(*) AS r_n FROM refv, ed WHERE value >= lo AND value <= hi GROUP BY 1),
+cb AS (SELECT batch_id, {_bin} AS bin, count(*) AS c_n FROM curv, ed WHERE value >= lo AND value <= hi GROUP BY 1, 2),
+nc AS (SELECT batch_id, count(*) AS n_cur FROM curv GROUP BY 1),
+pt AS (SELECT nc.batch_id, (CAST(coalesce(rb.r_n, 0) AS DOUBLE) + 1e-10) / (CAST(ed.n_ref AS DOUBLE) + 1e-10) AS r,
+              (CAST(coalesce(cb.c_n, 0) AS DOUBLE) + 1e-10) / (CAST(nc.n_cur AS DOUBLE) + 1e-10) AS c
+       FROM ed CROSS JOIN nc CROSS JOIN range(10) b(bin)
+       LEFT JOIN rb ON rb.bin = b.bin LEFT JOIN cb ON cb.bin = b.bin AND cb.batch_id = nc.batch_id)
+SELECT CAST(batch_id AS INTEGER) AS batch_id, 'amount_paid' AS feature, {fx('sum((c - r) * ln(c / r))', 4)} AS psi,
+       sum((c - r) * ln(c / r)) > CAST(0.2 AS DOUBLE) AS drifted FROM pt GROUP BY batch_id"""
+
 # --- faults, exports, rings, model invariants -------------------------------------------------------
 
 SQL["validate_dirty"] = with_tx("""

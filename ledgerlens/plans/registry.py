@@ -636,16 +636,26 @@ def q_stream_dedup_repeats(spark, sf):
     return ST.run_to_table(d, "dedup-repeats").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@register("drift_microbatch")
-def q_drift_microbatch(spark, sf):
+def _stream_drift(spark, sf, events, window: int):
     from ledgerlens.session import scratch_path
     ev = SRC.events_as_transactions(spark, sf)
     ref = ev.where(F.col("ts") < F.lit("2024-01-15").cast("timestamp")).select("amount_paid")
     base = scratch_path(spark, "drift")
-    q = ST.drift_microbatch(events_in_one_batch(spark, sf).select("amount_paid"), ref, ["amount_paid"], f"{base}/out",
-                            f"{base}/checkpoint")
+    q = ST.drift_microbatch(events.select("amount_paid"), DR.fit_histogram(ref, ["amount_paid"]), f"{base}/out",
+                            f"{base}/checkpoint", window)
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("feature", "psi", "drifted")
+    return spark.read.parquet(f"{base}/out/psi").select(F.col("batch_id").cast("int"), "feature", "psi", "drifted")
+
+
+@register("drift_microbatch")
+def q_drift_microbatch(spark, sf):
+    return _stream_drift(spark, sf, events_in_one_batch(spark, sf), 1).drop("batch_id")
+
+
+@register("drift_stream_window")
+def q_drift_stream_window(spark, sf):
+    """Three batches, each judged with the one before it."""
+    return _stream_drift(spark, sf, events_stream(spark, sf), 2)
 
 
 # --- features at serving time (SNK-1, ML-10) --------------------------------------------------------

@@ -192,13 +192,23 @@ def dedup_transactions(stream: DataFrame, watermark: str = "24 hours", key: str
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
 
 
-def drift_microbatch(features: DataFrame, reference: DataFrame, cols: list[str], path: str, checkpoint: str,
+def drift_microbatch(features: DataFrame, fitted: DataFrame, path: str, checkpoint: str, window: int = 1,
                      trigger: dict | None = None):
-    """ST-8: PSI of every micro-batch against the stored reference frame, one row per feature
-    and batch appended under ``path``."""
+    """ST-8: drift of the last ``window`` micro-batches, that one included, against a fitted reference
+    histogram (``drift.fit_histogram``), one row per feature and batch under ``path``/psi.
+
+    A batch is counted once into the reference's bins and its counts are kept under ``path``/cells; the
+    window's histogram is the sum of the last counts, so neither the reference nor earlier batches are
+    read again. Both folders are named by batch id: a replayed batch replaces its own."""
+    edges = DR.edges_of(fitted)
+
     def sink(batch: DataFrame, batch_id: int):
-        fd = DR.feature_drift(DR.psi(reference, batch, cols))
-        fd.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
+        spark = batch.sparkSession
+        folder = lambda kind, k: os.path.join(path, kind, f"batch_id={k}")
+        DR.count_cells(batch, edges).coalesce(1).write.mode("overwrite").parquet(folder("cells", batch_id))
+        last = [folder("cells", k) for k in range(max(0, batch_id - window + 1), batch_id + 1)]
+        merged = DR.merge_cells(spark.read.schema(DR.CELLS).parquet(*last))
+        DR.feature_drift(DR.psi_of(fitted, merged)).coalesce(1).write.mode("overwrite").parquet(folder("psi", batch_id))
 
     w = features.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()

@@ -50,6 +50,44 @@ def test_psi_drops_nulls_and_dataset_drift(spark):
     assert (d.n_features, d.n_drifted, d.drift_score, d.drift_detected, d.retrain) == (4, 2, 0.5, True, True)
 
 
+def test_histograms_of_parts_add_up(spark):
+    rng = np.random.default_rng(5)
+    vals = rng.normal(0, 1, 900)
+    fitted = DR.fit_histogram(_frame(spark, rng.normal(0.3, 1, 400)), ["x"])
+    edges = DR.edges_of(fitted)
+    parts = [DR.count_cells(_frame(spark, vals[k::3]), edges) for k in range(3)]
+    merged = DR.merge_cells(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    whole = DR.count_cells(_frame(spark, vals), edges)
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, whole.collect()))
+    assert whole.agg(F.sum("n")).first()[0] == 900 and whole.count() == 11     # ten bins and what is outside
+    assert DR.psi_of(fitted, merged).first().psi == pytest.approx(DR.psi_of(fitted, whole).first().psi)
+
+
+def test_histograms_of_nothing(spark):
+    empty = _frame(spark, [])
+    fitted = DR.fit_histogram(empty, ["x"])
+    assert DR.edges_of(fitted)["x"][0] == 0.0 and DR.edges_of(fitted)["x"][-1] == 1.0
+    assert DR.psi(empty, empty, ["x"]).first().psi == pytest.approx(0.0)
+    assert DR.psi(empty, empty, ["absent"]).count() == 0
+
+
+def test_stream_drift_merges_the_last_batches(spark, tmp_path):
+    import time
+    rng = np.random.default_rng(6)
+    ref, parts = rng.normal(0, 1, 500), [rng.normal(m, 1, 200) for m in (0.0, 0.5, 3.0)]
+    path = str(tmp_path / "parts")
+    for p in parts:
+        _frame(spark, p).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    stream = ST.read_stream(spark, path, "x double", max_files_per_trigger=1)
+    ST.drift_microbatch(stream, DR.fit_histogram(_frame(spark, ref), ["x"]), str(tmp_path / "out"),
+                        str(tmp_path / "ck"), window=2).awaitTermination()
+    got = {r.batch_id: r.psi for r in spark.read.parquet(str(tmp_path / "out" / "psi")).collect()}
+    for k in range(3):
+        want = psi_numpy(ref, np.concatenate(parts[max(0, k - 1):k + 1]))
+        assert got[k] == pytest.approx(want, abs=1e-4)
+
+
 def _events(spark, tmp_path, rows):
     p = tmp_path / "ev"
     pdf = pd.DataFrame(rows, columns=["tx_id", "ts", "sender_account", "receiver_account", "amount_paid"])
