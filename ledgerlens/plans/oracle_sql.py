@@ -593,6 +593,11 @@ SELECT CAST(event_id AS VARCHAR) AS tx_id, 'USR_' || CAST(user_id AS VARCHAR) AS
        {fx(f'CASE WHEN count(value) OVER {_RW} > 1 THEN stddev_samp(value) OVER {_RW} ELSE 0 END', 4)} AS prior_std
 FROM events"""
 
+SQL["account_expiring_state"] = """WITH gaps AS (
+  SELECT *, CAST(coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 12 HOUR, false) AS INTEGER) AS anew FROM events),
+spans AS (SELECT * EXCLUDE (anew), sum(anew) OVER (PARTITION BY user_id ORDER BY ts) AS span FROM gaps)
+""" + SQL["account_running_state"].replace("PARTITION BY user_id", "PARTITION BY user_id, span").replace("FROM events", "FROM spans")
+
 SQL["stream_dedup"] = """
 SELECT CAST(event_id AS VARCHAR) AS tx_id, ts FROM events
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1"""
@@ -718,6 +723,10 @@ FROM (SELECT user_id, event_type, value,
       FROM events, range(6) r(j)) q
 GROUP BY 1, 2"""
 
+SQL["account_velocity_exact"] = f"""
+SELECT * FROM ({SQL["account_velocity"].replace("sum(value)", "CAST(sum(CAST(value AS DECIMAL(20,6))) AS DOUBLE)")}) v
+WHERE window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+
 _OK = "value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value)"
 SQL["drift_microbatch"] = f"""
 WITH refv AS (SELECT value FROM events WHERE ts < TIMESTAMP '2024-01-15' AND {_OK}),

@@ -615,15 +615,33 @@ def q_account_velocity(spark, sf):
                     "n_tx", "amount", "n_counterparties")
 
 
-@register("account_running_state")
-def q_account_running_state(spark, sf):
-    r = ST.run_to_table(ST.account_running_state(events_stream(spark, sf)), "running")
+@register("account_velocity_exact")
+def q_account_velocity_exact(spark, sf):
+    """Windows that the watermark has closed."""
+    t = ST.run_to_table(ST.account_velocity_exact(events_stream(spark, sf)), "velocity-exact")
+    return t.select("account_id", F.col("window_start").cast("timestamp_ntz"), F.col("window_end").cast("timestamp_ntz"),
+                    "n_tx", "amount", "n_counterparties")
+
+
+def _running_out(r: DataFrame) -> DataFrame:
     return r.select("tx_id", "account_id", "prior_count", C.fixed("prior_sum", 4).alias("prior_sum"),
                     C.fixed(F.coalesce(F.try_divide(C.fixed("prior_sum", 4), F.col("prior_count").cast("double")),
                                        F.lit(0.0)), 6).alias("prior_mean"),
                     C.fixed("prior_std", 4).alias("prior_std"))
 
 
+@register("account_running_state")
+def q_account_running_state(spark, sf):
+    return _running_out(ST.run_to_table(ST.account_running_state(events_stream(spark, sf)), "running"))
+
+
+@register("account_expiring_state")
+def q_account_expiring_state(spark, sf):
+    """The same with accounts forgotten after twelve idle hours."""
+    return _running_out(ST.run_to_table(ST.account_running_state(events_stream(spark, sf), expire_after="12 hours"),
+                                        "expiring"))
+
+
 @register("stream_dedup")
 def q_stream_dedup(spark, sf):
     d = ST.dedup_transactions(events_stream(spark, sf), "24 hours").select("tx_id", "ts")

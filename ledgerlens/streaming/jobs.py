@@ -119,6 +119,24 @@ def account_velocity(stream: DataFrame, window: str = "1 hour", slide: str = "10
                     "n_tx", C.fixed("amount", 4).alias("amount"), "n_counterparties")
 
 
+def account_velocity_exact(stream: DataFrame, window: str = "1 hour", slide: str = "10 minutes",
+                           watermark: str = "1 hour", key: str = "sender_account") -> DataFrame:
+    """ST-5 with exact distinct counterparties, for any number of them: two chained aggregations, first
+    by (account, window, counterparty), then by (account, window). A hot account's state is spread by
+    counterparty, is partially aggregated before each shuffle and leaves with the watermark.
+
+    Append mode: a window comes out once, when the watermark has passed its end. A null counterparty
+    counts as a transfer but not as a counterparty; a missing amount adds nothing."""
+    w = F.window("ts", window, slide).alias("w")
+    amount = F.col("amount_paid").cast(FE.MONEY_DEC)
+    by_pair = (stream.withWatermark("ts", watermark).groupBy(F.col(key).alias("account_id"), w, "receiver_account")
+               .agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("s")))
+    a = by_pair.groupBy("account_id", "w").agg(F.sum("n").alias("n_tx"), F.sum("s").alias("s"),
+                                               F.count("receiver_account").alias("n_counterparties"))
+    return a.select("account_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_tx",
+                    C.fixed(F.coalesce(F.col("s").cast("double"), F.lit(0.0)), 4).alias("amount"), "n_counterparties")
+
+
 RUNNING_SCHEMA = ("tx_id string, account_id string, prior_count long, prior_sum double, prior_mean double, "
                   "prior_std double")
 # statistics of the rows before the latest timestamp, that timestamp, statistics of the rows at it
@@ -140,12 +158,19 @@ def _of(x):
     return len(x), float(x.sum()), mean, float(((x - mean) ** 2).sum())
 
 
-def _running(key, pdfs, state):
-    s = state.get if state.exists else (*NONE_YET, np.iinfo(np.int64).min, *NONE_YET)
+def _columns_of(pdfs):
+    """Ids, times and amounts of an account's rows, in order of time and id. The rows come in bounded
+    frames; only these three arrays are kept of them."""
+    parts = [(p["tx_id"].astype(str).to_numpy(object), p["_t"].to_numpy("int64"), p["_x"].to_numpy(float)) for p in pdfs]
+    ids, t, x = (np.concatenate([q[i] for q in parts]) for i in range(3))
+    order = np.lexsort((ids.astype(str), t))
+    return ids[order], t[order], x[order]
+
+
+def _advance(s, t, x):
+    """Rows (times ascending, amounts) of one account after state ``s``: (count, sum, mean, std) known
+    before each row, and the next state."""
     base, last_t, at_last = s[:4], s[4], s[5:]
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t", "tx_id"], kind="mergesort")
-    t = pdf["_t"].to_numpy(dtype="int64")
-    x = pdf["_x"].to_numpy(dtype=float)
     counted = ~np.isnan(x)
     piv = float(x[counted][0]) if counted.any() else 0.0
     d = np.where(counted, x - piv, 0.0)
@@ -160,31 +185,66 @@ def _running(key, pdfs, state):
     before = tuple(np.where(later, w, o) for w, o in zip(known, base))
     n, total, mean, m2 = _merge(before, inside)
     std = np.where(n > 1, np.sqrt(np.maximum(m2, 0.0) / np.maximum(n - 1, 1)), 0.0)
-    out = pd.DataFrame({"tx_id": pdf["tx_id"].astype(str), "account_id": key[0], "prior_count": n.astype("int64"),
-                        "prior_sum": total, "prior_mean": mean, "prior_std": std})
-    if len(t):
-        top = int(t[-1])
-        if top > last_t:
-            base, at_last = known, NONE_YET
-        newest = max(top, last_t)
-        base = _merge(base, _of(x[counted & (t < newest)]))
-        at_last = _merge(at_last, _of(x[counted & (t == newest)]))
-        num = lambda v: (int(v[0]), float(v[1]), float(v[2]), float(v[3]))
-        state.update((*num(base), int(newest), *num(at_last)))
-    yield out
-
-
-def account_running_state(stream: DataFrame, key: str = "sender_account", amount: str = "amount_paid") -> DataFrame:
+    top = int(t[-1])
+    if top > last_t:
+        base, at_last = known, NONE_YET
+    newest = max(top, last_t)
+    base = _merge(base, _of(x[counted & (t < newest)]))
+    at_last = _merge(at_last, _of(x[counted & (t == newest)]))
+    num = lambda v: (int(v[0]), float(v[1]), float(v[2]), float(v[3]))
+    return (n.astype("int64"), total, mean, std), (*num(base), int(newest), *num(at_last))
+
+
+NO_STATE = (*NONE_YET, np.iinfo(np.int64).min, *NONE_YET)
+
+
+def _running(key, pdfs, state, expire_us=None):
+    if state.hasTimedOut:
+        state.remove()
+        return
+    s = state.get if state.exists else NO_STATE
+    ids, t, x = _columns_of(pdfs)
+    if not len(t):
+        return
+    starts = [0] if expire_us is None else [0, *(np.flatnonzero(np.diff(t) > expire_us) + 1)]
+    for i, j in zip(starts, [*starts[1:], len(t)]):
+        if expire_us is not None and s[4] != NO_STATE[4] and int(t[i]) - s[4] > expire_us:
+            s = NO_STATE
+        (n, total, mean, std), s = _advance(s, t[i:j], x[i:j])
+        yield pd.DataFrame({"tx_id": ids[i:j], "account_id": key[0], "prior_count": n, "prior_sum": total,
+                            "prior_mean": mean, "prior_std": std})
+    state.update(s)
+    if expire_us is not None:
+        # a time-out must lie ahead of the watermark
+        state.setTimeoutTimestamp(max((s[4] + expire_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+
+def account_running_state(stream: DataFrame, key: str = "sender_account", amount: str = "amount_paid",
+                          expire_after: str | None = None, watermark: str = "1 hour") -> DataFrame:
     """ST-6: per account, count / sum / mean / sample std of all its strictly earlier transfers, emitted
     with each transfer; transfers of one timestamp do not see each other, also across batches. A missing
     amount is not counted. State is (n, sum, mean, M2) of the rows before the account's latest timestamp
     and of the rows at it, merged across batches with the parallel-variance formula; batch prefixes are
     numpy cumulative sums, so there is no per-row Python loop. A transfer that arrives in a later batch
-    than a newer one of its account sees the rows already taken in before that newer one."""
+    than a newer one of its account sees the rows already taken in before that newer one.
+
+    ``expire_after`` (an interval such as "30 days") bounds the state: a transfer more than that after the
+    account's previous one starts anew, however the transfers fall into batches, and a timer drops the
+    state of an account once the watermark is that far past its latest transfer. Without it state is
+    kept for good, which is what equals the whole-history batch form."""
     s = (stream.where(F.col("ts").isNotNull())
-         .select("tx_id", F.col(key).alias("_k"), F.unix_micros("ts").alias("_t"), F.col(amount).cast("double").alias("_x")))
-    return s.groupBy("_k").applyInPandasWithState(_running, RUNNING_SCHEMA, RUNNING_STATE, "append",
-                                                  GroupStateTimeout.NoTimeout)
+         .select("tx_id", "ts", F.col(key).alias("_k"), F.unix_micros("ts").alias("_t"),
+                 F.col(amount).cast("double").alias("_x")))
+    if expire_after is None:
+        return s.drop("ts").groupBy("_k").applyInPandasWithState(_running, RUNNING_SCHEMA, RUNNING_STATE, "append",
+                                                                 GroupStateTimeout.NoTimeout)
+    expire_us = int(pd.Timedelta(expire_after).total_seconds() * 1_000_000)
+
+    def expiring(k, pdfs, state):
+        yield from _running(k, pdfs, state, expire_us)
+
+    return s.withWatermark("ts", watermark).groupBy("_k").applyInPandasWithState(
+        expiring, RUNNING_SCHEMA, RUNNING_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def dedup_transactions(stream: DataFrame, watermark: str = "24 hours", key: str = "tx_id") -> DataFrame:

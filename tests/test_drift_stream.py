@@ -166,3 +166,44 @@ def test_stream_scored_with_fitted_model_equals_batch(spark, tx_frame, tmp_path)
     exp = {r.tx_id: r.tabular_score for r in ML.score(model, on, "tabular_score").collect()}
     g = {r.tx_id: r.tabular_score for r in got.collect()}
     assert set(g) == set(exp) and all(abs(g[k] - exp[k]) < 1e-9 for k in g)
+
+
+def _in_batches(spark, path, batches):
+    import time
+    for rows in batches:
+        spark.createDataFrame(rows, "tx_id string, ts timestamp, sender_account string, receiver_account string, "
+                                    "amount_paid double").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    return ST.read_stream(spark, path, spark.read.parquet(path).schema, max_files_per_trigger=1)
+
+
+def test_idle_accounts_expire(spark, tmp_path):
+    at = lambda d: (pd.Timestamp("2024-01-01") + pd.Timedelta(days=d)).to_pydatetime()
+    batches = [[("a", at(0), "A", "R", 10.0), ("b", at(1), "B", "R", 1.0)], [("c", at(9), "B", "R", 2.0)],
+               [("d", at(20), "B", "R", 3.0)], [("e", at(21), "A", "R", 5.0), ("f", at(21), "B", "R", 4.0)],
+               [("g", at(22), "A", "R", 6.0)]]
+    stream = _in_batches(spark, str(tmp_path / "idle"), batches)
+    kept = {r.tx_id: r.prior_count for r in ST.run_to_table(ST.account_running_state(stream), "t-kept").collect()}
+    assert kept == {"a": 0, "b": 0, "c": 1, "d": 2, "e": 1, "f": 3, "g": 2}
+    got = {r.tx_id: (r.prior_count, r.prior_sum) for r in ST.run_to_table(
+        ST.account_running_state(stream, expire_after="10 days"), "t-expire").collect()}
+    # A was idle for 21 days, B for eleven: both are counted anew
+    assert got == {"a": (0, 0.0), "b": (0, 0.0), "c": (1, 1.0), "d": (0, 0.0), "e": (0, 0.0), "f": (1, 3.0), "g": (1, 5.0)}
+    one = _in_batches(spark, str(tmp_path / "one"), [[r for rows in batches for r in rows]])
+    assert got == {r.tx_id: (r.prior_count, r.prior_sum) for r in ST.run_to_table(
+        ST.account_running_state(one, expire_after="10 days"), "t-expire-one").collect()}
+
+
+def test_exact_velocity_with_many_counterparties(spark, tmp_path):
+    base = pd.Timestamp("2024-01-01")
+    hot = [(f"h{i}", (base + pd.Timedelta(seconds=i)).to_pydatetime(), "H", f"R{i % 1500}", 0.5) for i in range(3000)]
+    hot.append(("n", base.to_pydatetime(), "H", None, None))
+    late = [("z", (base + pd.Timedelta(hours=5)).to_pydatetime(), "Z", "R", 1.0)]
+    stream = _in_batches(spark, str(tmp_path / "hot"), [hot[:1700], hot[1700:], late])
+    got = {r.window_start: r for r in ST.run_to_table(ST.account_velocity_exact(stream), "t-exact").collect()
+           if r.account_id == "H"}
+    for start, r in got.items():
+        inside = [q for q in hot if pd.Timestamp(start) <= pd.Timestamp(q[1]) < pd.Timestamp(start) + pd.Timedelta(hours=1)]
+        assert r.n_tx == len(inside) and r.amount == 0.5 * sum(q[4] is not None for q in inside)
+        assert r.n_counterparties == len({q[3] for q in inside} - {None})
+    assert len(got) == 10 and max(r.n_counterparties for r in got.values()) == 1500
