@@ -30,6 +30,8 @@ ROUNDS = 20
 TOLERANCE = 1e-3
 UNKNOWN = "und"
 MAX_LANGUAGES = 512        # bounds the model: BUCKETS x languages counts
+HELD_LANGUAGES = 64        # languages a counting task holds at once, BUCKETS counts each
+CELLS = 1 << 24            # n-grams x languages looked up at once; texts are taken together up to this
 
 
 def _grams(raw: np.ndarray) -> np.ndarray:
@@ -60,6 +62,12 @@ def count_grams(docs: DataFrame, learn: Column) -> DataFrame:
             for lang, texts in by.items():
                 raw = np.frombuffer(b"  " + b"  ".join(texts), np.uint8)
                 total[lang] = total.get(lang, 0) + np.bincount(_grams(raw), minlength=BUCKETS)
+            if len(total) > HELD_LANGUAGES:
+                yield from flush(total)
+                total = {}
+        yield from flush(total)
+
+    def flush(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for lang, n in total.items():
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int64()),
@@ -72,10 +80,12 @@ def count_grams(docs: DataFrame, learn: Column) -> DataFrame:
 
 def fit(docs: DataFrame, learn: Column) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the log probability of each bucket under each of them."""
+    # told before the texts are read: a column with any number of values must not be gathered
+    named = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang").distinct()
+    if named.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     counts = count_grams(docs, learn).toPandas()
     langs = sorted(counts["lang"].unique())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     n = np.full((BUCKETS, len(langs)), PSEUDO)
     at = {lang: k for k, lang in enumerate(langs)}
     n[counts["bucket"].to_numpy(int), counts["lang"].map(at).to_numpy(int)] += counts["n"].to_numpy(float)
@@ -92,6 +102,36 @@ def _mixture_round(like: np.ndarray, doc: np.ndarray, first: np.ndarray, share:
     return np.add.reduceat(e / s, first, axis=0) / size, np.add.reduceat((np.log(s) + top)[:, 0], first, dtype=np.float64)
 
 
+def _word_likelihoods(grams: np.ndarray, start: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """[word, language]: the sum of the log probabilities of each word's n-grams, CELLS of them at once."""
+    step = max(1, CELLS // max(1, logp.shape[1]))
+    bounds = np.append(start, len(grams))
+    out = np.zeros((len(start), logp.shape[1]), np.float32)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + step, side="right")) - 1)
+        if bounds[b] - bounds[a] <= step:
+            out[a:b] = np.add.reduceat(logp[grams[bounds[a]:bounds[b]]], bounds[a:b] - bounds[a], axis=0)
+        else:                                  # one word longer than a slice
+            for c in range(bounds[a], bounds[b], step):
+                out[a] += logp[grams[c:min(c + step, bounds[b])]].sum(0)
+        a = b
+    return out
+
+
+def _together(texts: list[str], languages: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts whose characters times languages stay within CELLS (one text at least)."""
+    a, held = 0, 0
+    for i, t in enumerate(texts):
+        size = (len(t) + 2) * max(1, languages)
+        if i > a and held + size > CELLS:
+            yield a, i
+            a, held = i, 0
+        held += size
+    if texts:
+        yield a, len(texts)
+
+
 def infer(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares of the selected languages of each text, and the selected sets (both [text, language])."""
     k = logp.shape[1]
@@ -99,7 +139,7 @@ def infer(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"  " + b"  ".join(raws) + b" ", np.uint8)
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     start = np.flatnonzero(~blank[2:] & blank[1:-1])          # of words, as places of n-grams
-    like = np.add.reduceat(logp[_grams(raw)], start, axis=0)   # [word, language]; a blank belongs to the word before
+    like = _word_likelihoods(_grams(raw), start, logp)         # [word, language]; a blank belongs to the word before
     begins = np.cumsum([0, *(len(r) + 2 for r in raws[:-1])])
     doc = np.searchsorted(begins, start, side="right") - 1
     first = np.searchsorted(doc, np.arange(len(texts)))
@@ -159,9 +199,10 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
         for s in texts:
             out = [(UNKNOWN, 0.0, "")] * len(s)
             able = [i for i, t in enumerate(s) if langs and has_letter(t)]
-            if able:
-                share, chosen = infer([s.iloc[i] for i in able], logp)
-                for i, p, c in zip(able, share, chosen):
+            some = [s.iloc[i] for i in able]
+            for a, b in _together(some, len(langs)):
+                share, chosen = infer(some[a:b], logp)
+                for i, p, c in zip(able[a:b], share, chosen):
                     best = int(p.argmax())
                     names = ",".join(f"{langs[j]}:{p[j]:.3f}" for j in np.argsort(-p, kind="stable") if c[j])
                     out[i] = (langs[best], float(min(1.0, p[best])), names)

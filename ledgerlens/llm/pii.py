@@ -43,6 +43,7 @@ MAX_WINDOWS = 6000
 REACH = 2
 FEATURES = 1 << 12         # hashed
 ROUNDS = 60
+VITERBI_WORDS = 1 << 15    # padded words decoded together
 TAGS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
 _MARKED = re.compile(r"[0-9@+]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -164,22 +165,30 @@ class Field:
         size = np.array([len(s) for s in batch])
         f = np.array([w for s in batch for w in s])
         out = np.zeros((len(batch), size.max(), len(TAGS)))
-        out[np.arange(size.max())[None, :] < size[:, None]] = self.emit[f].sum(1)
+        total = self.emit[f[:, 0]]
+        for j in range(1, f.shape[1]):
+            total += self.emit[f[:, j]]
+        out[np.arange(size.max())[None, :] < size[:, None]] = total
         return out, size
 
     def viterbi(self, batch: list[list[list[int]]]) -> list[list[int]]:
-        """The best tags of every sequence; sequences of a batch go forward together."""
+        """The best tags of every sequence; sequences of like length go forward together, at most
+        VITERBI_WORDS padded words at once (one sequence at least)."""
         order = sorted(range(len(batch)), key=lambda k: len(batch[k]))
         out: list[list[int]] = [[]] * len(batch)
-        for a in range(0, len(order), 256):
-            part = order[a:a + 256]
+        parts: list[list[int]] = []
+        for k in order:
+            if not parts or (len(parts[-1]) + 1) * len(batch[k]) > VITERBI_WORDS:
+                parts.append([])
+            parts[-1].append(k)
+        for part in parts:
             pot, size = self.potentials([batch[k] for k in part])
             n, longest, tags = pot.shape
-            best, back = pot[:, 0], np.zeros((n, longest, tags), np.int64)
+            best, back = pot[:, 0], np.zeros((n, longest, tags), np.int8)
             for t in range(1, longest):
                 step = best[:, :, None] + self.move[None]
                 back[:, t] = step.argmax(1)
-                new = np.take_along_axis(step, back[:, t][:, None], 1)[:, 0] + pot[:, t]
+                new = np.take_along_axis(step, back[:, t].astype(np.int64)[:, None], 1)[:, 0] + pot[:, t]
                 best = np.where((t < size)[:, None], new, best)
             for r, k in enumerate(part):
                 tag, path = int(best[r].argmax()), []
