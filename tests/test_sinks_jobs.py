@@ -25,9 +25,12 @@ def test_codes_and_profiles_of_the_bundle_are_applied(spark, tx_frame, tmp_path)
                              profiles=(b["tables"]["sender_profile"], b["tables"]["receiver_profile"])).first()
     whole = FE.engineer_features(t).where("tx_id = 'T000003'").first()
     assert f["payment_currency_enc"] == -1 and f["receiving_currency_enc"] == whole["receiving_currency_enc"]
-    assert f["sender_tx_count"] == whole["sender_tx_count"] == 40
+    # profiles are fitted on the training part: no test transaction is counted
+    train = FE.stratified_split(t.select("tx_id", "label"), 0.2, 42).where("is_test = 0").join(t.drop("label"), "tx_id")
+    assert f["sender_tx_count"] == train.where(F.col("sender_account") == whole["sender_account"]).count()
+    assert whole["sender_tx_count"] == 40
     s = TR.score_batch(t, b["models"]["tabular"], b["models"]["graph"], explain_k=0, tables=b["tables"])
-    live = TR.score_batch(t, res["models"]["tabular"], res["models"]["graph"], explain_k=0)
+    live = TR.score_batch(t, res["models"]["tabular"], res["models"]["graph"], explain_k=0, tables=res["tables"])
     a = {r.tx_id: r.fused_score for r in s.collect()}
     assert a == {r.tx_id: r.fused_score for r in live.collect()} and len(a) == 400
 
