@@ -19,3 +19,14 @@ def test_events_as_transactions(spark):
     e = SRC.events_as_transactions(spark, SF)
     assert e.count() == spark.read.parquet(f"{SF}/events.parquet").count()
     assert e.where(F.col("sender_account").startswith("USR_")).count() == e.count()
+
+
+def test_lines_travel_once_and_without_texts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")      # as on tables too large to broadcast
+    try:
+        plan = SRC.transactions_from_tables(spark, SF)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [plan[i + 1] for i, line in enumerate(plan) if "Exchange hashpartitioning" in line]
+    assert moved and not [line for line in moved if "n_name" in line or "_currency" in line]
