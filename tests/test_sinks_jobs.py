@@ -2,6 +2,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import graph as GR  # noqa: E402
 from ledgerlens.operators import features as FE
 from ledgerlens.operators.lookup import lookup
 from ledgerlens.plans import training as TR
@@ -79,3 +80,18 @@ def test_training_bundle_and_retrain_on_drift(spark, tx_frame, tmp_path):
     assert TR.retrain_if_drifted(spark, f, f, t, rounds=3, with_graph=False) is None
     r2 = TR.retrain_if_drifted(spark, f, shifted, t, out_dir=str(tmp_path / "run2"), rounds=3, with_graph=False)
     assert r2 is not None and r2["drift"]["retrain"]
+
+
+def test_edges_are_scored_without_wide_rows(spark, tx_frame, tmp_path):
+    """An edge moves two numbers instead of two embeddings, and its score is the model's own."""
+    from ledgerlens.operators import models as ML
+    t = tx_frame(n=300, force_pos=12)
+    light = TR.graph_rows(t)
+    emb = TR.graph_embedding(light)
+    known = emb.where("account_id <> 'ACC_003'")                  # an account without an embedding
+    rep, cols = TR.graph_edge_table(light, emb=known)
+    model = ML.fit_graph(rep, cols, max_iter=5)
+    got = ML.score_edges(model, GR.edge_features(light), known, cols, "p")
+    want = ML.score(model, rep, "q").select("tx_id", "q")
+    j = got.join(want, "tx_id")
+    assert j.count() == 300 and j.where(F.abs(F.col("p") - F.col("q")) > 1e-9).count() == 0
