@@ -237,3 +237,47 @@ def test_history_std_of_large_amounts_close_together(spark):
                                                              "div").collect()}
     for i in range(2, 12):
         assert abs(got[f"T{i:02d}"] - np.std(amounts[:i], ddof=1)) < 1e-3
+
+
+def test_rolling_moves_a_row_once_for_all_windows(spark, tx_frame):
+    """One move to the account and one back to the id, however many windows; no window function."""
+    df = tx_frame(n=50)
+    for windows in ({"1d": FE.DAY_US}, {f"{k}d": k * FE.DAY_US for k in (1, 3, 7, 30)}):
+        got = FE.rolling_window_stats(df, "sender_account", "amount_paid", windows, other="receiver_account")
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression") == 2 and "Window [" not in plan
+        assert got.count() == 50
+
+
+def test_rolling_over_many_segments_and_chunks(spark, monkeypatch):
+    """Long histories, so that windows reach over segments, and chunks of a few rows, so that they reach over chunks."""
+    import pyarrow as pa
+    rng = np.random.default_rng(11)
+    day = FE.DAY_US
+    rows = sorted((f"K{k}", int(t), f"t{i}", f"R{o}", float(v)) for i, (k, t, o, v) in enumerate(zip(
+        rng.integers(0, 2, 300), rng.integers(-60, 60, 300) * day // 4, rng.integers(0, 4, 300), rng.integers(1, 90, 300))))
+    widths = {"1d": day, "2d": 2 * day}
+
+    def expected(k, t, w):
+        prev = [r for r in rows if r[0] == k and t - w <= r[1] < t]
+        return len(prev), sum(r[4] for r in prev), max((r[4] for r in prev), default=None), len({r[3] for r in prev})
+
+    df = spark.createDataFrame([(i, k, t, o, v) for k, t, i, o, v in rows], "tx_id string, k string, t long, o string, x double") \
+        .withColumn("ts", F.timestamp_micros("t"))
+    got = {r.tx_id: r for r in FE.rolling_window_stats(df, "k", "x", widths, other="o").collect()}
+    monkeypatch.setattr(FE, "CHUNK_ROWS", 7)
+    batches = [pa.RecordBatch.from_pydict({
+        "_id": [r[2] for r in part], "_k": [r[0] for r in part], "_t": [r[1] for r in part], "_x": [r[4] for r in part],
+        "_o": [r[3] for r in part], "_g": pa.array([0] * len(part), pa.int64()), "_own": [True] * len(part),
+        "_h": pa.array([int(r[4]) for r in part], pa.int64()), "_l": pa.array([0] * len(part), pa.int64())})
+        for part in (rows[a:a + 5] for a in range(0, len(rows), 5))]
+    chunks = list(FE._window_rows(list(widths.values()), True)(iter(batches)))
+    assert len(chunks) > 10
+    chunked = {r["_id"]: r for b in chunks for r in b.to_pylist()}
+    assert len(got) == len(chunked) == 300
+    for k, t, i, _, _ in rows:
+        for n, (name, w) in enumerate(widths.items()):
+            want = expected(k, t, w)
+            g, c = got[i], chunked[i]
+            assert (g[f"cnt_{name}"], g[f"sum_{name}"], g[f"max_{name}"] or None, g[f"div_{name}"]) == want
+            assert (c[f"n{n}"], float(c[f"h{n}"]), c[f"x{n}"], c[f"d{n}"]) == want
