@@ -281,3 +281,16 @@ def test_rolling_over_many_segments_and_chunks(spark, monkeypatch):
             g, c = got[i], chunked[i]
             assert (g[f"cnt_{name}"], g[f"sum_{name}"], g[f"max_{name}"] or None, g[f"div_{name}"]) == want
             assert (c[f"n{n}"], float(c[f"h{n}"]), c[f"x{n}"], c[f"d{n}"]) == want
+
+
+def test_split_moves_rows_without_their_hash(spark, tx_frame):
+    rows = tx_frame(n=50).select("tx_id", "label")
+    for split in (FE.random_split(rows), FE.stratified_split(rows)):
+        plan = split._jdf.queryExecution().optimizedPlan()
+        stack, widths = [plan], []
+        while stack:
+            p = stack.pop()
+            if p.nodeName() == "RepartitionByExpression":
+                widths.append(sorted(p.output().apply(i).name() for i in range(p.output().length())))
+            stack += [p.children().apply(i) for i in range(p.children().length())]
+        assert widths == [["_b", "label", "tx_id"]]
