@@ -159,3 +159,37 @@ def test_rings_equal_brute_force(spark):
             grow([k])
     got = [r.tx_ids for r in GR.ring_cycles(edges_df(spark, rows), 3, 20 * GR.DAY_US, 0.9, 1.0).collect()]
     assert want and sorted(got) == sorted(want)
+
+
+def test_induced_edges_move_lists_of_seeds(spark, monkeypatch):
+    import random
+    rng = random.Random(3)
+    edges = sorted({(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(150)})
+    sets = sorted({(s, f"n{rng.randrange(30)}") for s in range(20) for _ in range(12)} | {(s, "n0") for s in range(20)})
+    e, n = (spark.createDataFrame(edges, "src string, dst string").withColumn("label", F.lit(0)),
+            spark.createDataFrame(sets, "seed int, node string"))
+    inside = set(sets)
+    want = sorted((s, a, b) for s in range(20) for a, b in edges if (s, a) in inside and (s, b) in inside)
+    for members in (4096, 7):        # 7: some nodes are hubs without a list
+        monkeypatch.setattr(GR, "LIST_MEMBERS", members)
+        out = GR.induced_edges(e, n)
+        assert sorted((r.seed, r.src, r.dst) for r in out.collect()) == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "array_intersect" in plan and ("LeftSemi" in plan) == (members == 7)
+
+
+def test_alert_neighbourhood_equals_brute_force(spark):
+    edges = [("A", "B"), ("C", "B"), ("A", "D"), ("D", "C"), ("E", "F"), ("F", "E"), ("B", "B"), ("E", "G")]
+    e = spark.createDataFrame([(s, d, int((s, d) == ("D", "C"))) for s, d in edges], "src string, dst string, label int")
+    alerts = [(1, "A", "B"), (2, "E", "F"), (3, "A", None), (4, "Z", "Y"), (5, "A", "B"), (5, "A", "B")]
+    nodes, sub = GR.alert_neighbourhood(e, spark.createDataFrame(alerts, "tx_id int, sender_account string, receiver_account string"))
+    want, rows = {}, []
+    for i in {a[0] for a in alerts}:
+        ends = {x for a in alerts if a[0] == i for x in a[1:]}
+        want[i] = ({x for p in edges if ends & set(p) for x in p})
+    assert {(r.seed, r.node) for r in nodes.collect()} == {(i, x) for i, xs in want.items() for x in xs}
+    for i, s, r in alerts:
+        rows += [(i, a, b, None if r is None and not (a, b) == ("D", "C") and a == s else int((a, b) == (s, r) or (a, b) == ("D", "C")))
+                 for a, b in edges if a in want[i] and b in want[i]]
+    key = lambda t: tuple(str(x) for x in t)
+    assert sorted(((r.seed, r.src, r.dst, r.highlight) for r in sub.collect()), key=key) == sorted(rows, key=key)
