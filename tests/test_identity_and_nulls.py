@@ -43,3 +43,12 @@ def test_flag_follows_the_unrounded_score(spark):
     fused = FU.fuse(df)
     assert {r["tx_id"] for r in FU.flag(fused).collect()} == {"y", "z"}
     assert {r["tx_id"] for r in FU.flag(fused, threshold=0.8).collect()} == {"z"}
+
+
+def test_single_rows_are_not_moved_to_be_numbered(spark):
+    df = spark.createDataFrame([(k, v) for k, n in (("a", 1), ("b", 3), ("c", 1), ("d", 2)) for v in [k * 2] * n], "tx_id string, v string")
+    out = SRC.number_equal_rows(df.repartition(3))
+    assert sorted((r.tx_id, r.v) for r in out.collect()) == [("a", "aa"), ("b", "bb"), ("b-2", "bb"), ("b-3", "bb"),
+                                                           ("c", "cc"), ("d", "dd"), ("d-2", "dd")]
+    single = out._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+    assert "LeftAnti" in single and "Window" not in single
