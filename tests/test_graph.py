@@ -193,3 +193,16 @@ def test_alert_neighbourhood_equals_brute_force(spark):
                  for a, b in edges if a in want[i] and b in want[i]]
     key = lambda t: tuple(str(x) for x in t)
     assert sorted(((r.seed, r.src, r.dst, r.highlight) for r in sub.collect()), key=key) == sorted(rows, key=key)
+
+
+def test_edges_carry_their_latest_transfer_once(spark):
+    t = edges_df(spark, [("A", "B", 5, 1.0), ("A", "B", 9, 2.0), ("A", "B", 9, 3.0), ("B", "A", 1, 4.0), ("B", "C", 1, 4.0)])
+    e = GR.simple_edges(t)
+    last = t.where("sender_account = 'A'").orderBy(F.desc("ts"), F.desc("tx_id")).first()
+    got = {(r.src, r.dst): (r.tx_id, r.amount_paid, r.n_tx) for r in e.collect()}
+    assert got[("A", "B")] == (last.tx_id, last.amount_paid, 3) and len(got) == 3
+    assert "max_by" not in e._jdf.queryExecution().optimizedPlan().toString()
+    trimmed = GR.trimmed_edges(GR.multi_edges(t))       # distinct only what is left
+    plan = trimmed._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in trimmed.collect()} == {("A", "B"), ("B", "A")}
+    assert plan.index("Aggregate [") < plan.index("LeftSemi")
