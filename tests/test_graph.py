@@ -206,3 +206,24 @@ def test_edges_carry_their_latest_transfer_once(spark):
     plan = trimmed._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in trimmed.collect()} == {("A", "B"), ("B", "A")}
     assert plan.index("Aggregate [") < plan.index("LeftSemi")
+
+
+def test_following_legs_are_copied_little_and_meet_once(spark):
+    import random
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(10**6), rng.choice([0.0, rng.uniform(1, 1000)])) for i in range(400)]
+    legs = spark.createDataFrame(rows, "id int, t long, a double")
+    first, after = GR._leg_keys(legs, 20_000, 0.9, 1.0)
+    assert after.count() < 3 * len(rows)            # four copies each before
+    f = first.select(F.col("id").alias("x"), F.col("t").alias("t1"), F.col("a").alias("a1"), "tb", "ab")
+    g = after.select(F.col("id").alias("y"), F.col("t").alias("t2"), F.col("a").alias("a2"), "tb", "ab")
+    met = f.join(g, ["tb", "ab"]).where(GR._follows("t1", "a1", "t2", "a2", 20_000, 0.9, 1.0))
+    want = sorted((i, j) for i, t, a in rows for j, u, b in rows if 0 <= u - t <= 20_000 and a * 0.9 <= b <= a)
+    assert sorted((r.x, r.y) for r in met.collect()) == want
+
+
+def test_split_merge_keys_only_legs_through_intermediates(spark):
+    rows = [("S", f"M{i}", 0, 9500.0) for i in range(3)] + [(f"M{i}", "D", 100, 9450.0) for i in range(3)] + [("X", "Y", 0, 1.0)]
+    out = GR.split_merge(edges_df(spark, rows), max_gap_us=3600 * 10**6)
+    assert [(r.src_account, r.dst_account, r.n_intermediates, r.n_paths) for r in out.collect()] == [("S", "D", 3, 3)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
