@@ -227,3 +227,15 @@ def test_split_merge_keys_only_legs_through_intermediates(spark):
     out = GR.split_merge(edges_df(spark, rows), max_gap_us=3600 * 10**6)
     assert [(r.src_account, r.dst_account, r.n_intermediates, r.n_paths) for r in out.collect()] == [("S", "D", 3, 3)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
+
+
+def test_ring_paths_are_numbers(spark, monkeypatch):
+    written = []
+    cut = GR.cut_lineage
+    monkeypatch.setattr(GR, "cut_lineage", lambda df: written.append(df.schema) or cut(df))
+    t = edges_df(spark, RING4 + [("X", "A", 0, 12000.0)])
+    got = GR.ring_cycles(t.unionByName(t.where("sender_account = 'A'")), 4).collect()
+    ids = {r.sender_account: r.tx_id for r in t.collect()}
+    assert [(r.tx_ids, r.accounts) for r in got] == [(",".join(ids[a] for a in "ABCD"), "A,B,C,D")] * 2
+    paths = [s for s in written if "nodes" in s.names]
+    assert len(paths) == 2 and all("string" not in s.simpleString() for s in paths)
