@@ -6,14 +6,18 @@ one row a feature and bin, written once and kept. ``count_cells`` counts any oth
 bins. Counts of disjoint rows (days, micro-batches, partitions) add up, so a window's histogram is a
 sum of small tables and the reference is never read again.
 
-Counting reads wide rows once: a row becomes an array of one cell number a feature, and cells are
-counted by their number with map-side aggregation; no (feature, value) rows are joined to edges. A
+Counting reads wide rows once: a task counts the cells of its rows batch by batch and hands on one row
+a cell; no (feature, value) rows are made or joined to edges. A
 value's bin is the number of interior edges it reaches, by exact comparisons, so the last bin is
 closed and values outside [lo, hi] are in no bin but still in the denominator (cell OUTSIDE).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,15 +71,22 @@ def count_cells(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
     if not features:
         return spark.createDataFrame([], CELLS)
     width = len(edges[features[0]])                # bins and one cell for what is outside
-    cells = []
-    for i, c in enumerate(features):
-        v, e = F.col(f"_v{i}"), edges[c]
-        reached = sum(((v >= F.lit(x)).cast("int") for x in e[1:-1]), F.lit(i * width))
-        cells.append(F.when((v >= F.lit(e[0])) & (v <= F.lit(e[-1])), reached)
-                     .when(v.isNotNull(), F.lit(i * width + width - 1)))
+    cells = len(features) * width
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(cells, np.int64)
+        for b in batches:
+            for i, c in enumerate(features):
+                v, e = b.column(i).to_numpy(zero_copy_only=False), edges[c]
+                v = v[~np.isnan(v)]                # null
+                bins = np.searchsorted(np.array(e[1:-1]), v, side="right")
+                bins[~((v >= e[0]) & (v <= e[-1]))] = width - 1
+                n[i * width:(i + 1) * width] += np.bincount(bins, minlength=width)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["_cell", "n"])
+
     values = df.select(*[_clean(c).alias(f"_v{i}") for i, c in enumerate(features)])
-    counted = (values.select(F.explode(F.array(*cells)).alias("_cell")).where(F.col("_cell").isNotNull())
-               .groupBy("_cell").agg(F.count(F.lit(1)).alias("n")))
+    counted = values.mapInArrow(count, "_cell int, n long").groupBy("_cell").agg(F.sum("n").alias("n"))
     # one row a cell, a fixed number: features x (bins + 1)
     scaffold = spark.createDataFrame([(c, b, i * width + b) for i, c in enumerate(features) for b in range(width)],
                                      "feature string, bin int, _cell int")
