@@ -294,3 +294,48 @@ def test_split_moves_rows_without_their_hash(spark, tx_frame):
                 widths.append(sorted(p.output().apply(i).name() for i in range(p.output().length())))
             stack += [p.children().apply(i) for i in range(p.children().length())]
         assert widths == [["_b", "label", "tx_id"]]
+
+
+def _earlier_brute(rows, i, key, other, amount):
+    """Count, sum, std and counterparties of the strictly earlier rows of row i's account."""
+    r = rows[i]
+    if r[key] is None or r["ts"] is None:
+        return None
+    prev = [x for x in rows if x[key] == r[key] and x["ts"] is not None and x["ts"] < r["ts"]]
+    amounts = [x[amount] or 0.0 for x in prev]
+    return (len(prev), round(sum(amounts), 4), float(np.std(amounts, ddof=1)) if len(prev) > 1 else 0.0,
+            len({x[other] for x in prev} - {None}))
+
+
+def test_point_in_time_rows_take_their_history_along(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pick = lambda v: None if rng.random() < 0.1 else v
+    rows = [{"tx_id": f"t{i:03d}", "ts": pick(datetime(2024, 1, 1) + timedelta(hours=int(rng.integers(0, 60)))),
+             "sender_account": pick(f"A{int(4 * rng.random() ** 2)}"), "receiver_account": pick(f"A{rng.integers(0, 4)}"),
+             "amount_paid": pick(float(rng.integers(0, 500)) / 4), "amount_received": float(rng.integers(0, 500)) / 4} for i in range(150)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "tx_id string, ts timestamp, sender_account string, "
+                               "receiver_account string, amount_paid double, amount_received double")
+    want = {r["tx_id"]: (_earlier_brute(rows, i, "sender_account", "receiver_account", "amount_paid"),
+                         _earlier_brute(rows, i, "receiver_account", "sender_account", "amount_received")) for i, r in enumerate(rows)}
+    for hot in (1_000_000, 20):          # none, and some accounts and the rows without a history above the limit
+        monkeypatch.setattr(FE, "HOT_ROWS", hot)
+        p = FE.point_in_time_profiles(df)
+        # a row is moved to its two accounts, and not to be joined by id
+        assert "Join" not in p._jdf.queryExecution().optimizedPlan().toString() or hot == 20
+        got = {r.tx_id: r for r in p.collect()}
+        assert len(got) == p.count() == len(rows)
+        for tid, (s, r) in want.items():
+            g = got[tid]
+            mine = (g.sender_tx_count, g.sender_total_amount, g.sender_std_amount, g.sender_receiver_diversity)
+            assert mine == (None,) * 4 if s is None else (mine[:2] == s[:2] and abs(mine[2] - s[2]) < 1e-3 and mine[3] == s[3]), (hot, mine, s)
+            mine = (g.receiver_tx_count, g.receiver_total_amount, g.receiver_sender_diversity)
+            assert mine == (None,) * 3 if r is None else mine == (r[0], r[1], r[3])
+
+
+def test_point_in_time_rows_with_one_id_are_joined(spark):
+    rows = [("a", 1, "S", "R"), ("a", 2, "S", "R"), ("b", 3, "S", "R"), (None, 4, "S", "R")]
+    df = spark.createDataFrame([(i, datetime(2024, 1, 1, h), s, r, 1.0, 1.0) for i, h, s, r in rows],
+                               "tx_id string, ts timestamp, sender_account string, receiver_account string, "
+                               "amount_paid double, amount_received double")
+    got = sorted((str(r.tx_id), r.ts.hour, r.sender_tx_count, r.receiver_tx_count) for r in FE.point_in_time_profiles(df).collect())
+    assert got == sorted([("None", 4, None, None), ("b", 3, 2, 2), *[("a", h, s, r) for h in (1, 2) for s in (0, 1) for r in (0, 1)]], key=str)
