@@ -151,8 +151,14 @@ def served_after(n: int, totals: np.ndarray, weights: np.ndarray) -> np.ndarray:
         k = np.floor(v * weights + 0.5)
         return np.minimum(totals, k.astype(np.int64))
 
-    low, high = 0.0, float((totals / weights).max(initial=0)) + 1.0
+    # each queue is within half a token of its share, so the time lies here, if no queue is used up by then
+    queues, share = len(totals), float(weights.sum()) or 1.0
+    low, high = max(0.0, (n - queues / 2 - 1) / share), (n + queues) / share
+    if due_by(high).sum() < n:
+        high = float((totals / weights).max(initial=0)) + 1.0
     for _ in range(80):
+        if due_by(high).sum() - due_by(low).sum() <= 2 * queues:
+            break
         mid = (low + high) / 2
         low, high = (mid, high) if due_by(mid).sum() < n else (low, mid)
     served = np.maximum(due_by(low) - 1, 0)      # one back: the last ones are taken in exact order below
