@@ -22,3 +22,11 @@ def test_shuffle_files_go_when_the_table_is_written(spark):
     assert not shuffle_files(spark) - before
     assert spark.conf.get(SHUFFLE_CLEANUP, None) == set_before
     assert out.count() == 5000 and df.count() == 5000       # the frame itself can still be run
+
+
+def test_features_join_written_profiles(spark, tx_frame):
+    from ledgerlens.operators import features as FE
+    tx = tx_frame(n=200, pos_rate=0.1)
+    plan = FE.engineer_features(tx).select("tx_id", *FE.FEATURE_COLUMNS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan      # nothing of the profiles is shuffled beside the rows
+    assert FE.engineer_features(tx).count() == 200
